@@ -1 +1,89 @@
-"""Part of tidemark."""
+"""Readers of recordings, event stamps, ratings and cohort records; a store for scored sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.schema import MODALITY_CHANNEL, MODALITY_RATE
+
+RECORDS = "subject string, group string, seg_idx int, events array<string>, in_experiment boolean, consensus double, dtw double, rulsif double, cohens_d double"
+
+
+def read_recordings(spark: SparkSession, path: str, header_lines: int = 20) -> DataFrame:
+    """Text recordings, a file per subject: subject_id, row_idx, channel (from 1) and value.
+
+    Lines after the header are split at white space; what is no number, or missing in
+    a short line, is NULL, also in lines before a channel first appears.  Lines are
+    numbered within their file by the byte order in which Spark reads them, so files
+    of any size are split.
+    """
+    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    parts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    numbered = lines.join(base, ["file", "block"]).withColumn("line", F.col("base") + F.row_number().over(Window.partitionBy("file", "block").orderBy("n")) - 1)
+    rows = numbered.where(F.col("line") >= header_lines).select(
+        F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("subject_id"), (F.col("line") - header_lines).alias("row_idx"),
+        F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("cells"),
+    )
+    width = rows.groupBy("subject_id").agg(F.max(F.size("cells")).alias("width"))
+    rows = rows.join(width, "subject_id").where("width > 0")
+    cell = rows.select("subject_id", "row_idx", "cells", F.explode(F.sequence(F.lit(1), F.col("width"))).alias("channel"))
+    return cell.select("subject_id", "row_idx", "channel", F.expr("try_cast(try_element_at(cells, channel) AS double)").alias("value"))
+
+
+def modality_samples(recording: DataFrame, raw_rate: int = 2000, window: DataFrame | None = None) -> DataFrame:
+    """samples of the five modalities at their working rates; ``window`` (subject_id, t0, t1) clips the session first."""
+    rows = recording
+    if window is not None:
+        rows = rows.join(window, "subject_id").where((F.col("row_idx") >= F.floor(F.col("t0") * raw_rate)) & (F.col("row_idx") < F.floor(F.col("t1") * raw_rate)))
+        rows = rows.withColumn("row_idx", F.col("row_idx") - F.floor(F.col("t0") * raw_rate))
+    table = F.create_map(*[x for m, c in MODALITY_CHANNEL.items() for x in (F.lit(c), F.struct(F.lit(m).alias("modality"), F.lit(MODALITY_RATE[m]).alias("fs")))])
+    rows = rows.withColumn("_m", F.try_element_at(table, F.col("channel"))).where("_m IS NOT NULL")
+    factor = (F.lit(raw_rate) / F.col("_m.fs")).cast("long")
+    return rows.where(F.col("row_idx") % factor == 0).select("subject_id", "_m.modality", "_m.fs", F.floor(F.col("row_idx") / factor).cast("long").alias("idx"), "value")
+
+
+def relative_stamps(stamps: DataFrame, origin: str = "Data Start", shift: str | None = "Video Start") -> DataFrame:
+    """subject_id, event and t in seconds after ``origin`` (after ``shift`` too, and not before it, where that is given).
+
+    ``stamps``: subject_id, event, year, month, day, hour, minute, second; missing clock parts are 0.
+    """
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    at = stamps.withColumn("ts", F.make_timestamp_ntz(F.col("year"), F.col("month"), F.col("day"), z("hour"), z("minute"), z("second")))
+    w = Window.partitionBy("subject_id")
+    rows = at.withColumn("_o", F.max(F.when(F.col("event") == origin, F.col("ts"))).over(w))
+    rows = rows.withColumn("t", F.timestamp_diff("SECOND", F.col("_o"), F.col("ts")).cast("double"))
+    if shift is not None:
+        rows = rows.withColumn("t", F.col("t") - F.max(F.when(F.col("event") == shift, F.col("t"))).over(w)).where("t >= 0")
+    return rows.select("subject_id", "event", "t")
+
+
+def read_ratings(spark: SparkSession, path: str) -> DataFrame:
+    """subject, emotion, condition and rating from CSV files of that header."""
+    return spark.read.csv(path, header=True, schema="subject string, emotion string, condition string, rating string")
+
+
+def read_records(spark: SparkSession, path: str, group: str | None = None) -> DataFrame:
+    """Cohort segment records from JSON lines; ``group`` tags them."""
+    rows = spark.read.schema(RECORDS).json(path)
+    return rows.withColumn("group", F.lit(group)) if group else rows
+
+
+def union_cohorts(cohorts: dict[str, DataFrame]) -> DataFrame:
+    """All records, tagged with their cohort; columns that a cohort lacks are NULL."""
+    tagged = [df.withColumn("group", F.lit(name)) for name, df in cohorts.items()]
+    out = tagged[0]
+    for df in tagged[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def save_scored(df: DataFrame, path: str) -> None:
+    """Store scored sessions by subject."""
+    df.write.mode("overwrite").partitionBy("subject_id").parquet(path)
+
+
+def load_scored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
