@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
@@ -29,12 +30,30 @@ def brute(docs):
     return out
 
 
+def pieces(text):
+    head, spaced = op.split_pieces(text)
+    return [head, *(f" {p}" for p in spaced)]
+
+
 def test_pieces_keep_pre_tokens():
     rng, pattern = random.Random(1), regex.compile(public_tokenizers.PATTERN)
     alphabet = ["a", "B", " ", " ", "\n", "\t", "é", "7", "'s", "'ll", ".", "$", " ", "　", "\x1c", "一", "\r"]
     for _ in range(30_000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 9)))
-        assert pattern.findall(text) == [x for p in op.split_pieces(text) for x in pattern.findall(p)]
+        assert pattern.findall(text) == [x for p in pieces(text) for x in pattern.findall(p)]
+
+
+def test_encoder_gives_the_ids_of_whole_texts():
+    rng, whole = random.Random(9), model()
+    for small in (10, 10**6):
+        encoder = op.TextEncoder(PATH, memo_size=small)
+        bits = ["word", "Über", "naïve", "漢字", "ª", "ǅ", "x\u0301", "a1", "it's", "don't.", "end.", "end,", '"(', "...", "_", "a_b", "%%", "'", "ende'.", "Ⅷ", "１２", "🙂", "\n", "\u00a0", "a\u200bb"]
+        for _ in range(300):
+            texts = [" ".join(rng.choice(bits) + rng.choice(["", "", ".", ",", "?!", "\n", "'s", "%%%"]) for _ in range(rng.randrange(30))) for _ in range(5)]
+            flat, cuts = encoder.encode(pa.array([*texts, " ", "", "  a", "b  c", "d "]))
+            got = [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+            texts += [" ", "", "  a", "b  c", "d "]
+            assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 9000])
@@ -61,11 +80,11 @@ def test_nulls_repeats_and_empty_tables(spark):
     docs = [(3, "a b"), (3, "a b"), (-5, None), (None, "null id"), (9, ""), (10**15, " x\n\n  y  " * 3000), (1, "<|endoftext|> as text")]
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, ids int")
     manifest = op.write_shards(df, PATH, partitions=3)
-    got = [(r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in op.read_shards(spark, manifest).orderBy("start").collect()]
+    got = [(r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in op.read_shards(manifest).orderBy("start").collect()]
     assert got == brute(docs)
     assert op.lookup(manifest, 3) == [[*model().encode("a b").ids, 0]] * 2 and op.lookup(manifest, 4) == [] and op.lookup(manifest, 9) == [[0]]
     empty = op.write_shards(df.limit(0), PATH)
-    assert empty.count() == 0 and op.read_shards(spark, empty).count() == 0
+    assert empty.count() == 0 and op.read_shards(empty).count() == 0
 
 
 def test_query_over_whole_table(spark):

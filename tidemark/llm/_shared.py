@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -56,6 +58,18 @@ def publish(uri: str, write: Callable) -> None:
     files.move(partial, path)
 
 
+@contextlib.contextmanager
+def no_collection():
+    """Without Python's cycle collector, which would walk large tables of strings again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def batches_of(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 16 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` (text or binary) holds about ``max_bytes``, or one row."""
     for batch in batches:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,25 +59,14 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 @_query
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
-
-    def digest(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            ids, ends = np.asarray(lists.flatten()).astype("<u4"), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype("i8")), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return sstable.read_shards(spark, manifest).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return sstable.digest_shards(manifest)
 
 
 @_query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode_corpus(_table(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode_corpus(encoded, ranks).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.decode_corpus(encoded, ranks).select("doc_id", *bpe.digests())
 
 
 @_query

@@ -2,7 +2,7 @@
 
 File format (integers little-endian unless said otherwise)::
 
-    block*      zlib( entry* ), entries in ascending key order
+    block*      zstd( entry* ), entries in ascending key order
       entry     varint shared, varint unshared, varint value bytes, key suffix, value
     index       per block: varint key bytes, last key, varint offset, varint length, varint crc32, varint tokens before
     bloom       u32 hash count, bit array
@@ -26,19 +26,23 @@ gives no shards.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import batches_of, filesystem, publish, shared_folder, written
+from tidemark.llm._shared import batches_of, filesystem, no_collection, publish, shared_folder, written
 
 MAGIC = b"TMSST\x00\x00\x01"
 FOOTER = struct.Struct("<6Q8s")
@@ -87,6 +91,7 @@ class Writer:
         self.out, self.at, self.block, self.index, self.keys = out, 0, bytearray(), bytearray(), []
         self.last, self.tokens, self.before = b"", 0, 0
         self.first_key: bytes | None = None
+        self.pack = zstandard.ZstdCompressor(level=1).compress
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
@@ -109,7 +114,7 @@ class Writer:
     def _flush(self) -> None:
         if not self.block:
             return
-        packed = zlib.compress(bytes(self.block), 1)
+        packed = self.pack(bytes(self.block))
         self.index += varint(len(self.last)) + self.last + varint(self.at) + varint(len(packed)) + varint(zlib.crc32(packed)) + varint(self.before)
         self._put(packed)
         self.block.clear()
@@ -160,7 +165,7 @@ class Reader:
         packed = self.file.read_at(length, offset)
         if zlib.crc32(packed) != crc:
             raise ValueError("a block of a token shard is damaged")
-        data, at, last = zlib.decompress(packed), 0, b""
+        data, at, last = zstandard.decompress(packed), 0, b""
         while at < len(data):
             shared, at = read_varint(data, at)
             unshared, at = read_varint(data, at)
@@ -195,60 +200,159 @@ def unpack(value: bytes) -> np.ndarray:
     return np.frombuffer(value, "<u2" if value[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
+#: Marks that form a pre-token of their own after letters (the apostrophe may start a contraction and is left out).
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for 256, 257, ..."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class TextEncoder:
     """Ids of whole texts by the tokenizers library, as packed bytes of ``width`` per id.
 
     Where the tokenizer is byte-level with the usual pre-token pattern and no
     normaliser, a text may be cut before every single space that a visible
     character follows: no pre-token reaches over such a cut.  The pieces recur, so
-    each is encoded once per task; ``memo_size`` bounds what is kept.
+    a worker process keeps the ids of about ``memo_size`` of them; when there are
+    more it starts again from those of the batch at hand.  A piece of letters is one
+    pre-token and goes straight to the library's BPE model; punctuation that follows
+    the letters is a pre-token of its own.
     """
 
-    def __init__(self, path: str, memo_size: int = 400_000):
+    def __init__(self, path: str, memo_size: int = 1_200_000):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        import json
-
         spec = json.loads(self.model.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.pieces = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space", True)
-        self.memo: dict[str, bytes] = {}
+        self.piecewise = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space", True)
+        self.spaced: dict[str, bytes] = {}  # by piece without the space it starts with
+        self.tails: dict[str, bytes] = {}
         self.memo_size = memo_size
 
     def _ids(self, texts: list[str]) -> list[bytes]:
+        code, out = "H" if self.width == 2 else "I", []
+        for at in range(0, len(texts), 1000):
+            out += [array(code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that consist of a space and letters."""
+        code, merge, table = "H" if self.width == 2 else "I", self.model.model.tokenize, BYTE_CHARS
+        return [array(code, [t.id for t in merge(f" {w}".encode().decode("latin-1").translate(table))]).tobytes() for w in words]
+
+    def _learn(self, missing: list[str]) -> None:
+        spaced, tails, words, rest, ended = self.spaced, self.tails, set(), [], []
+        for piece in missing:
+            word = piece.rstrip(PUNCTUATION)
+            if not word.isalpha():
+                rest.append(piece)
+            elif word == piece:
+                words.add(word)
+            else:
+                if word not in spaced:
+                    words.add(word)
+                ended.append((piece, word, piece[len(word) :]))
+        new = list(words)
+        spaced.update(zip(new, self._words(new), strict=True))
+        spaced.update(zip(rest, self._ids([f" {p}" for p in rest]), strict=True))
+        for tail in {t for _, _, t in ended} - tails.keys():
+            tails[tail] = self._ids([tail])[0]
+        spaced.update((piece, spaced[word] + tails[tail]) for piece, word, tail in ended)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (no nulls), one after the other, and where each text's begin and end."""
         kind = "<u2" if self.width == 2 else "<u4"
-        return [np.array(e.ids, kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.pieces:
-            return self._ids(texts)
-        cut = [split_pieces(t) for t in texts]
-        if len(self.memo) > self.memo_size:
-            self.memo.clear()
-        missing = list({p for pieces in cut for p in pieces if p not in self.memo})
-        self.memo.update(zip(missing, self._ids(missing), strict=True))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-
-def split_pieces(text: str) -> list[str]:
-    """Pieces whose byte-level pre-tokens, one after the other, are those of ``text``.
+        if not self.piecewise:
+            whole = self._ids(texts.to_pylist())
+            return np.frombuffer(b"".join(whole), kind), np.cumsum([0, *(len(w) // self.width for w in whole)])
+        parts = pc.split_pattern(texts, " ")
+        offsets = np.asarray(parts.offsets).astype("i8")
+        coded = parts.flatten().dictionary_encode()
+        offsets -= offsets[0]
+        at, pieces = np.asarray(coded.indices).astype("i8"), coded.dictionary.to_pylist()
+        firsts = offsets[:-1]
+        # A text is cut at its spaces if a visible character follows each; else it is encoded whole, by its pieces' slower way.
+        odd = np.array([not p or p[0].isspace() for p in pieces], bool)
+        in_run = odd[at]
+        in_run[firsts] = False
+        whole = np.add.reduceat(in_run, firsts).astype(bool) if len(firsts) else in_run
+        heads = [pieces[n] for n in at[firsts]]
+        if whole.any():
+            for n in np.flatnonzero(whole):
+                heads[n] = texts[int(n)].as_py()
+            at[np.repeat(whole, np.diff(offsets))] = -1
+        ids = list(map(self.spaced.get, pieces))
+        new = [n for n, x in enumerate(ids) if x is None]
+        self._learn([pieces[n] for n in new if not odd[n]])
+        for n in new:
+            ids[n] = self.spaced.get(pieces[n], b"")  # odd pieces have no use
+        ids += self._ids(heads)
+        ids.append(b"")
+        at[firsts] = len(pieces) + np.arange(len(heads))
+        sizes = np.array([len(x) for x in ids], "i8") // self.width
+        begins = np.cumsum(sizes) - sizes
+        lengths = sizes[at]
+        flat = gather(np.frombuffer(b"".join(ids), kind), begins[at], lengths)
+        if len(self.spaced) > self.memo_size:
+            self.spaced, self.tails = dict(zip(pieces, ids)), {}
+            for n in np.flatnonzero(odd):
+                self.spaced.pop(pieces[n], None)
+        return flat, np.concatenate([[0], np.cumsum(lengths)])[offsets]
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[starts[0] : starts[0] + sizes[0]], then the next, as one array."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder_for(path: str) -> TextEncoder:
+    """The worker process's encoder for a tokenizer file: its memo serves one task after the other."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path]
+
+
+_run = re.compile(r" (?:\s|$)")
+
+
+def split_pieces(text: str) -> tuple[str, list[str]]:
+    """The first piece of ``text``, and the others without the space that each starts with.
 
     A cut stands before every space that a visible character follows; other white
-    space stays with what comes before it.
+    space stays with what comes before it.  The byte-level pre-tokens of the pieces,
+    one after the other, are those of ``text``.
     """
-    pieces, open_parts = [], []
-    for number, part in enumerate(text.split(" ")):
-        if number and part and not part[0].isspace():
-            pieces.append(" ".join(open_parts))
-            open_parts = ["", part]
+    parts = text.split(" ")
+    if not _run.search(text):
+        return parts[0], parts[1:]
+    pieces: list[list[str]] = [[parts[0]]]
+    for part in parts[1:]:
+        if part and not part[0].isspace():
+            pieces.append([part])
         else:
-            open_parts.append(part)
-    pieces.append(" ".join(open_parts))
-    return [p for p in pieces if p]
+            pieces[-1].append(part)
+    whole = [" ".join(p) for p in pieces]
+    return whole[0], whole[1:]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> DataFrame:
@@ -266,13 +370,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        stream = batches_of(batches, "body", 4 << 20)
+        stream = batches_of(batches, "body", 16 << 20, 1 << 14)
         first = next(stream, None)
         if first is None:
             return
         number = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{number:06d}-{uuid.uuid4().hex}.sst"
-        encoder = TextEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         width = bytes([encoder.width])
         end = np.array([end_id], "<u2" if encoder.width == 2 else "<u4").tobytes()
         made: list = []
@@ -281,52 +385,74 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             writer = Writer(out)
             batch = first
             while batch is not None:
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    writer.add(key_of(doc), width + ids + end, len(ids) // encoder.width + 1)
+                flat, cuts = encoder.encode(batch.column(1))
+                for doc, a, b in zip(batch.column(0).to_pylist(), cuts, cuts[1:]):
+                    writer.add(key_of(doc), width + flat[a:b].tobytes() + end, int(b - a) + 1)
                 batch = next(stream, None)
             writer.close()
             made.append(writer)
 
-        publish(uri, fill)
+        with no_collection():
+            publish(uri, fill)
         w = made[0]
         yield pa.RecordBatch.from_pylist([{"shard": number, "path": uri, "bytes": w.at, "docs": len(w.keys), "tokens": w.tokens, "first_key": w.first_key, "last_key": w.last}])
 
     return written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
 
-def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (with the end id) of every document, from the files."""
+def _located(manifest: DataFrame) -> DataFrame:
+    """path and base (tokens of all shards before it) of every shard, a task each."""
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    parts = max(1, manifest.count())
-    located = manifest.select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base")).repartition(parts)
+    return manifest.select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base")).repartition(max(1, manifest.count()))
+
+
+def _documents(path: str, base: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """Id, start and tokens of every document of a shard."""
+    reader = Reader(path)
+    for doc, tokens in reader.scan():
+        yield doc, base, tokens
+        base += len(tokens)
+    reader.close()
+
+
+def read_shards(manifest: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it) and ids (with the end id) of every document, from the files."""
 
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                reader, at, size = Reader(row["path"]), row["base"], 0
-                ids, starts, values = [], [], []
-                for doc, tokens in reader.scan():
-                    ids.append(doc)
-                    starts.append(at)
-                    values.append(tokens.astype("<i4"))
-                    at += len(tokens)
-                    size += len(tokens)
+                rows, size = [], 0
+                for found in _documents(row["path"], row["base"]):
+                    rows.append(found)
+                    size += len(found[2])
                     if size >= 1 << 20:
-                        yield _rows(ids, starts, values)
-                        ids, starts, values, size = [], [], [], 0
-                reader.close()
-                if ids:
-                    yield _rows(ids, starts, values)
+                        yield _rows(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _rows(rows)
 
-    return located.mapInArrow(read, "doc_id long, start long, ids array<int>")
+    return _located(manifest).mapInArrow(read, "doc_id long, start long, ids array<int>")
 
 
-def _rows(ids: list, starts: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype("<i4")
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    ids, starts, values = zip(*rows, strict=True)
+    offsets = np.cumsum([0, *(len(v) for v in values)]).astype("<i4")
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).astype("<i4")))
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), lists], names=["doc_id", "start", "ids"])
 
 
+def digest_shards(manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of every document, from the files."""
+
+    def read(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = [(doc, start, len(tokens), zlib.crc32(tokens.tobytes())) for doc, start, tokens in _documents(row["path"], row["base"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _located(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def lookup(manifest: DataFrame, doc_id: int | None) -> list[list[int]]:
     """Ids under one document id, by the manifest's key ranges and each shard's filter and index."""
     key = key_of(doc_id)
