@@ -5,11 +5,12 @@ Encoding has three steps:
 1. A task splits its documents into pre-tokens and numbers the distinct ones of a
    chunk of documents (``chunk_bytes`` of text) in the order they appear.  The
    documents, as sequences of those numbers, go to one file per chunk in the shared
-   folder; a number's place in the sequence is the position of the pre-token.  One
-   row per chunk and distinct word is what remains to be shuffled, so a word that is
-   everywhere weighs one row per chunk.
-2. The rows are shuffled and sorted by word.  Each distinct word of the corpus is
-   merged once, by rank, and its ids go back to every chunk that has it.
+   folder; a number's place in the sequence is the position of the pre-token.  What
+   remains to be shuffled is each distinct word once per chunk, so a word that is
+   everywhere weighs one entry per chunk; the words of a chunk that hash to the same
+   bucket travel as one compressed row.
+2. The rows are shuffled by bucket.  A bucket's task merges each distinct word of the
+   corpus once, by rank, and sends its ids back to every chunk that has it.
 3. The rows are shuffled by chunk, and the documents are reassembled by position.
 
 Steps 1 and 2 meet in a written table: a lost executor repeats its own tasks only,
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import base64
 import secrets
+import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,10 +36,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import batches_of, filesystem, publish, shared_folder, written
-from tidemark.llm.sstable import split_pieces
+from tidemark.llm._shared import batches_of, filesystem, no_collection, publish, shared_folder, written
+from tidemark.llm.sstable import gather, split_pieces
 
-WORDS = "chunk long, idx int, word string"
+WORDS = "chunk long, bucket int, n int, words binary"
+CODES = "chunk long, bucket int, n int, codes binary"
+
+
+def _pack(*parts: bytes) -> bytes:
+    """Byte strings as one, compressed."""
+    import zstandard
+
+    return zstandard.compress(np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts), 3)
+
+
+def _unpack(data: bytes, count: int) -> list[bytes]:
+    import zstandard
+
+    raw, at, out = zstandard.decompress(data), 4 * count, []
+    for n in np.frombuffer(raw, "<u4", count):
+        out.append(raw[at : at + n])
+        at += int(n)
+    return out
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -66,22 +87,22 @@ class _Chunk:
         self.tables: list[pa.RecordBatch] = []
         self.bytes = 0
 
-    def _piece(self, piece: str) -> bytes:
+    def _words(self, text: str) -> bytes:
         words = self.words
-        packed = np.array([words.setdefault(w, len(words)) for w in self.split(piece)], "<u4").tobytes()
-        self.pieces[piece] = packed
-        return packed
+        return array("I", [words.setdefault(w, len(words)) for w in self.split(text)]).tobytes()
 
-    def add(self, batch: pa.RecordBatch, text_at: int, byte_cuts: bool) -> None:
-        sequences, known, new = [], self.pieces, self._piece
+    def add(self, batch: pa.RecordBatch, text_at: int, piecewise: bool) -> None:
+        sequences, known = [], self.pieces
         for text in batch.column(text_at).to_pylist():
             if not text:
                 sequences.append(b"")
-            elif byte_cuts:
-                sequences.append(b"".join([known.get(p) or new(p) for p in split_pieces(text)]))
+            elif piecewise:
+                head, spaced = split_pieces(text)
+                for piece in set(spaced).difference(known):
+                    known[piece] = self._words(f" {piece}")
+                sequences.append(self._words(head) + b"".join(map(known.__getitem__, spaced)))
             else:
-                sequences.append(new(text))
-                known.clear()
+                sequences.append(self._words(text))
         self.bytes += batch.column(text_at).nbytes
         values = np.frombuffer(b"".join(sequences), "<u4")
         ends = np.cumsum([0, *(len(s) // 4 for s in sequences)]).astype("<i4")
@@ -101,12 +122,22 @@ class _Chunk:
         publish(f"{folder}/chunk-{name}", fill)
         return name
 
-    def rows(self, name: int) -> Iterator[pa.RecordBatch]:
-        """Its words, and a row without a word so that no chunk is without rows."""
-        words = [None, *self.words]
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(np.arange(at - 1, at - 1 + len(part), dtype="i4")), pa.array(part, pa.string())], names=["chunk", "idx", "word"])
+    def rows(self, name: int, buckets: int) -> pa.RecordBatch:
+        """Its words by bucket: ascending numbers, sizes and bytes.  Bucket 0 always has a row, so that no chunk is without one."""
+        numbers: list[list[int]] = [[] for _ in range(buckets)]
+        words: list[list[bytes]] = [[] for _ in range(buckets)]
+        for word, number in self.words.items():
+            data = word.encode()
+            bucket = zlib.crc32(data) % buckets
+            numbers[bucket].append(number)
+            words[bucket].append(data)
+        rows = []
+        for bucket, (own, data) in enumerate(zip(numbers, words, strict=True)):
+            if own or bucket == 0:
+                steps, sizes = np.diff(np.array(own, "<u4"), prepend=np.uint32(0)).astype("<u4"), np.array([len(d) for d in data], "<u4")
+                rows.append((name, bucket, len(own), _pack(steps.tobytes(), sizes.tobytes(), b"".join(data))))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "n", "words"])
 
 
 def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", chunk_bytes: int = 32 << 20, piecewise: bool = True) -> DataFrame:
@@ -119,68 +150,77 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     folder = shared_folder(spark, "bpe-chunks")
     kept = [c for c in docs.columns if c.lower() not in ("ids", text_col.lower())]
     source = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in kept])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         compiled, chunk = regex.compile(pattern), None
-        for batch in batches_of(batches, "text", 8 << 20):
-            chunk = chunk or _Chunk(compiled)
-            chunk.add(batch, 0, piecewise)
-            if chunk.bytes >= chunk_bytes:
-                yield from chunk.rows(chunk.save(folder))
-                chunk = None
-        if chunk:
-            yield from chunk.rows(chunk.save(folder))
+        with no_collection():
+            for batch in batches_of(batches, "text", 8 << 20):
+                chunk = chunk or _Chunk(compiled)
+                chunk.add(batch, 0, piecewise)
+                if chunk.bytes >= chunk_bytes:
+                    yield chunk.rows(chunk.save(folder), buckets)
+                    chunk = None
+            if chunk:
+                yield chunk.rows(chunk.save(folder), buckets)
 
     words = written(source.mapInArrow(chunks, WORDS), "bpe-words")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, word, packed = WordEncoder(load_ranks(ranks_path), pattern), None, b""
-        for batch in batches:
-            out = []
-            for w in batch.column(2).to_pylist():
-                if w != word:  # sorted: each distinct word comes once
-                    word, packed = w, encoder.pack(w) if w is not None else b""
-                out.append(packed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["chunk", "idx", "packed"])
-
-    encoded = words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(encode, "chunk long, idx int, packed binary")
+        encoder = WordEncoder(load_ranks(ranks_path), pattern)
+        known: dict[bytes, bytes] = {}
+        width = np.dtype(encoder.kind).itemsize
+        with no_collection():
+            for batch in batches:
+                out = []
+                for data in batch.column(3).to_pylist():
+                    steps, sizes, blob = _unpack(data, 3)
+                    ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+                    found, at = [], 0
+                    for end in ends:
+                        word = blob[at:end]
+                        at = end
+                        packed = known.get(word)
+                        if packed is None:
+                            packed = known[word] = encoder.pack(word.decode())
+                        found.append(packed)
+                    counts = np.array([len(p) // width for p in found], "<u4")
+                    out.append(_pack(steps, counts.tobytes(), b"".join(found)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["chunk", "bucket", "n", "codes"])
+
+    encoded = words.repartition(buckets, "bucket").mapInArrow(encode, CODES)
     kind = WordEncoder(load_ranks(ranks_path), pattern).kind
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, parts = None, []
+        chunk, own = None, []
         for batch in batches:
-            names = np.asarray(batch.column(0))
-            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1), len(names)]
-            for a, b in zip(cuts, cuts[1:]):
-                if names[a] != chunk:
-                    if parts:
-                        yield from _reassembled(folder, chunk, parts, kind, schema.names)
-                    chunk, parts = int(names[a]), []
-                parts.append(batch.column(2).slice(a, b - a))
-        if parts:
-            yield from _reassembled(folder, chunk, parts, kind, schema.names)
-
-    return encoded.repartition(parts, "chunk").sortWithinPartitions("chunk", "idx").mapInArrow(assemble, schema)
-
-
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """flat[starts[0] : starts[0] + sizes[0]], then the next, as one array."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-
-
-def _reassembled(folder: str, chunk: int, parts: list[pa.Array], kind: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The documents of a chunk, with ids; ``parts`` holds the packed ids of its words in order, after the row without a word."""
-    packed = pa.concat_arrays(parts).slice(1)
-    width = np.dtype(kind).itemsize
-    offsets = np.asarray(pa.Array.from_buffers(pa.int32(), len(packed) + 1, [None, packed.buffers()[1]], offset=packed.offset)).astype("i8")
-    flat = np.frombuffer(packed.buffers()[2] or b"", kind)
-    starts, sizes = offsets[:-1] // width, np.diff(offsets) // width
+            for name, codes in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if name != chunk:
+                    if own:
+                        yield from _reassembled(folder, chunk, own, kind, schema.names)
+                    chunk, own = name, []
+                own.append(codes)
+        if own:
+            yield from _reassembled(folder, chunk, own, kind, schema.names)
+
+    return encoded.repartition(buckets, "chunk").sortWithinPartitions("chunk").mapInArrow(assemble, schema)
+
+
+def _reassembled(folder: str, chunk: int, parts: list[bytes], kind: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The documents of a chunk, with ids, from the codes of all its buckets."""
+    numbers, counts, flat = [], [], []
+    for codes in parts:
+        steps, sizes, blob = _unpack(codes, 3)
+        numbers.append(np.cumsum(np.frombuffer(steps, "<u4"), dtype="i8"))
+        counts.append(np.frombuffer(sizes, "<u4").astype("i8"))
+        flat.append(blob)
+    flat = np.frombuffer(b"".join(flat), kind)
+    number, count = np.concatenate(numbers), np.concatenate(counts)
+    starts, sizes = np.zeros(len(number), "i8"), np.zeros(len(number), "i8")
+    starts[number], sizes[number] = np.cumsum(count) - count, count
     files, path = filesystem(f"{folder}/chunk-{chunk}")
     with files.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as reader:
         for saved in reader:
@@ -191,7 +231,7 @@ def _reassembled(folder: str, chunk: int, parts: list[pa.Array], kind: str, name
                 ends = np.asarray(lists.offsets).astype("i8")
                 ends -= ends[0]
                 lengths = sizes[sequence]
-                ids = _gather(flat, starts[sequence], lengths).astype("<i4")
+                ids = gather(flat, starts[sequence], lengths).astype("<i4")
                 cuts = np.concatenate([[0], np.cumsum(lengths)])[ends].astype("<i4")
                 column = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=names)
@@ -227,7 +267,7 @@ def decode_corpus(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") ->
                 lengths = sizes[ids]
                 counts = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], "i8")
                 ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-                data = _gather(flat, starts[ids], lengths).tobytes()
+                data = gather(flat, starts[ids], lengths).tobytes()
                 missing = lists.is_null().to_pylist()
                 values = [None if m else data[a:b] for m, a, b in zip(missing, ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=schema.names)
@@ -235,6 +275,12 @@ def decode_corpus(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") ->
     return own.mapInArrow(decode, schema)
 
 
+def digests() -> list:
+    """n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 of decoded rows, as columns."""
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def encode_texts(spark: SparkSession, texts: list[str], ranks_path: str, pattern: str) -> list[list[int]]:
     """Ids of a few texts, in their order."""
     df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
