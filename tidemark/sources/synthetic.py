@@ -29,7 +29,7 @@ def noise(*columns: Column | str, seed: int = 0) -> Column:
 
 
 def regimes(spark: SparkSession, subjects: int = 1, seed: int = 0) -> DataFrame:
-    """subject_id, w, feature, norm: six segments of steady, two-mode, wavy, steady, steady and rising shape."""
+    """subject_id, w, feature, norm: six segments of steady, two-mode, wavy, steady, rising and steady shape."""
     rows = spark.range(subjects).select(F.concat(F.lit("S"), F.col("id")).alias("subject_id")).withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(REGIME_LENGTH - 1).cast("long"))))
     rows = rows.withColumn("feature", F.explode(F.array(*[F.lit(f"f{k}") for k in range(3)])))
     seg = sum((F.col("w") >= c).cast("int") for c in REGIME_CUTS)
@@ -41,7 +41,7 @@ def regimes(spark: SparkSession, subjects: int = 1, seed: int = 0) -> DataFrame:
     wild = noise("subject_id", "w", "feature", seed=seed + 1)
     side = F.when(F.pmod(F.xxhash64("subject_id", "w", F.lit(seed)), F.lit(2)) == 0, 0.06).otherwise(-0.06)
     shape = F.when(F.col("seg") == 1, side + 0.02 * wild).when(F.col("seg") == 2, F.abs(F.sin(F.col("u") * 4 * math.pi)) * 0.10 + 0.015 * wild)
-    shape = shape.when(F.col("seg") == 5, (F.col("u") * 2 - 1) * 0.08 + 0.015 * wild).otherwise(0.025 * wild)
+    shape = shape.when(F.col("seg") == 4, (F.col("u") * 2 - 1) * 0.08 + 0.015 * wild).otherwise(0.025 * wild)
     return rows.select("subject_id", "w", "feature", (level[F.col("seg")][k] + shape).alias("norm"))
 
 
