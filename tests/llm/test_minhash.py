@@ -1,6 +1,6 @@
 import random
 
-import numpy as np
+import zstandard
 
 from tidemark.llm import minhash as op
 
@@ -60,13 +60,15 @@ def test_components_are_those_of_all_pairs(spark):
 
 
 def test_links_between_members_of_a_bucket_are_found_without_its_first(spark):
-    rng = np.random.Generator(np.random.PCG64(3))
-    sketches = [bytes(rng.integers(0, 256, 128, dtype="u1")) for _ in range(30)]
-    nodes = spark.createDataFrame([(bytes([i]) * 16, bytearray(sketches[i // 2])) for i in range(60)], "node binary, sketch binary")
-    members = spark.createDataFrame([(7, bytes([i]) * 16) for i in range(60)] + [(8, bytes([0]) * 16), (8, bytes([1]) * 16)], "band long, node binary")
-    roots = spark.createDataFrame([(bytes([5]) * 16, bytes([4]) * 16)], "node binary, root binary")
-    for block in (4, 2048):
-        found = {(r.a[0], r.b[0]) for r in op._hidden_pairs(members, roots, nodes, 80, block).collect()}
+    texts = [" ".join(f"t{i // 2}w{k}" for k in range(60)) + (" more" if i % 2 else "") for i in range(60)]
+    marks = op.signatures(op.shingle_sets(texts, 4)).astype("u1")
+    name = lambda i: bytes([i]) * 16
+    nodes = spark.createDataFrame([(name(i), bytearray(marks[i].tobytes())) for i in range(60)], "node binary, sketch binary")
+    packed = spark.createDataFrame([(name(i), bytearray(zstandard.compress(t.encode()))) for i, t in enumerate(texts)], "node binary, packed binary")
+    members = spark.createDataFrame([(7, name(i)) for i in range(60)] + [(8, name(0)), (8, name(1))], "band long, node binary")
+    roots = spark.createDataFrame([(name(5), name(4))], "node binary, root binary")
+    for block, size in ((4, 1 << 20), (2048, 200), (2048, 1 << 20)):
+        found = {(r.a[0], r.b[0]) for r in op._hidden_links(members, roots, nodes, packed, 4, 80, block, size).collect()}
         assert found == {(i, i + 1) for i in range(0, 60, 2) if i != 4}
 
 

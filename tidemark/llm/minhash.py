@@ -8,9 +8,9 @@
 3. In each bucket all members are compared with the smallest member: first the
    signatures, then the full sets.  Confirmed links go into connected components.
 4. A bucket whose members still lie in different components may hide links between
-   them.  All its pairs across components are compared by signature, in blocks, and
-   promising ones by full sets; the components are completed with what is found.
-   Pairs inside a component need no look: they are connected already.
+   them.  All its pairs across components are compared, in blocks: first by signature,
+   then by full sets; the components are completed with the links found.  Pairs inside
+   a component need no look: they are connected already.
 5. Components come from alternating large-star and small-star steps, each written to
    the shared folder.
 
@@ -198,38 +198,72 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).head())
 
 
-def _hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, block: int = 2048) -> DataFrame:
-    """(a, b) with similar signatures from buckets whose members lie in different components."""
+def _hidden_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 2048, block_bytes: int = 8 << 20) -> DataFrame:
+    """(a, b) with similar full sets from buckets whose members lie in different components.
+
+    A bucket's members are dealt into blocks of bounded number and text; each pair of
+    blocks is one group.  Inside it, pairs of one component are passed over, also when
+    a link just found has joined the two, and pairs with unlike signatures; the rest
+    are settled by their full sets.
+    """
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "bucket-members")
-    open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 2")
-    open_ = open_.select("band", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    left = split_hot_join(placed, open_, ["band"], "n").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    left = left.join(nodes.select("node", "sketch"), "node").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 2").select("band", "n")
+    left = split_hot_join(placed, open_, ["band"], "n").select("band", "node", "root").join(nodes.select("node", "sketch"), "node").join(texts, "node")
+    left = written(left, "bucket-texts")
+    sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.length("packed")).alias("bytes"))
+    sizes = sizes.select("band", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    dealt = split_hot_join(left, sizes, ["band"], "n").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch", "packed")
+    dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["band", "i", "j"]):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            own, node, root = np.array(group.column("own").to_pylist()), group.column("node").to_pylist(), group.column("root").to_pylist()
-            marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "u1").reshape(len(node), -1)
-            numbers = {r: n for n, r in enumerate(dict.fromkeys(root))}
-            component = np.array([numbers[r] for r in root])
-            found = []
-            for x in np.flatnonzero(own == i):
-                others = np.flatnonzero((component != component[x]) & (own == j))
-                if i == j:
-                    others = others[others > x]
-                if len(others):
-                    near = others[(marks[others] == marks[x]).mean(axis=1) >= percent / 100 - 0.14]
-                    found += [(min(node[x], node[y]), max(node[x], node[y])) for y in near]
+            found = _links_of_group(group, size, percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return left.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _links_of_group(group: pa.Table, size: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between components of the members of a group, until it has no more to find."""
+    import zstandard
+
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    own, node, packed = np.array(group.column("own").to_pylist()), group.column("node").to_pylist(), group.column("packed").to_pylist()
+    marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "u1").reshape(len(node), -1)
+    numbers: dict[bytes, int] = {}
+    component = np.array([numbers.setdefault(r, len(numbers)) for r in group.column("root").to_pylist()])
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_sets([zstandard.decompress(packed[k]).decode()], size)[0]
+        return sets[k]
+
+    found = []
+    for x in np.flatnonzero(own == i):
+        others = np.flatnonzero((component != component[x]) & (own == j))
+        others = others[others > x] if i == j else others
+        others = others[(marks[others] == marks[x]).mean(axis=1) >= percent / 100 - 0.14] if len(others) else others
+        for at in range(0, len(others), 64):
+            near = [y for y in others[at : at + 64] if component[y] != component[x]]
+            if not near:
+                continue
+            mine, theirs = set_of(x), [set_of(y) for y in near]
+            lengths = np.array([len(t) for t in theirs])
+            both = np.concatenate(theirs)
+            place = np.minimum(np.searchsorted(mine, both), len(mine) - 1)
+            common = np.add.reduceat((mine[place] == both).astype("i8"), np.cumsum(lengths) - lengths)
+            for y in np.array(near)[100 * common >= percent * (len(mine) + lengths - common)]:
+                if component[y] != component[x]:
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+                    component[component == component[y]] = component[x]
+    return found
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -280,11 +314,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = written(_verify(pairs, texts, size, percent), "minhash-links")
     roots = connected_components(links)
-    hidden = written(_hidden_pairs(members.select("band", "node"), roots, nodes, percent), "minhash-hidden")
-    if hidden.limit(1).count():
-        more = written(_verify(hidden, texts, size, percent), "minhash-more")
-        if more.limit(1).count():
-            roots = connected_components(links.union(more))
+    more = written(_hidden_links(members.select("band", "node"), roots, nodes, texts, size, percent), "minhash-hidden")
+    if more.limit(1).count():
+        roots = connected_components(links.union(more))
 
     rooted = written(nodes.select("node", "copies", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-roots")
     smallest = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("min_id").alias("component_id"))
