@@ -36,7 +36,7 @@ def score_columns(records: DataFrame) -> DataFrame:
     order = Window.partitionBy("subject").orderBy("seg_idx")
     rows = records.withColumn("rulsif", F.coalesce("rulsif", "consensus"))
     steps = {f"_d_{m}": F.col(m) - F.coalesce(F.lag(m).over(order), F.col(m)) for m in ("dtw", "consensus", "rulsif", "cohens_d")}
-    rows = rows.withColumns(steps).where("in_experiment").withColumn("pos", F.row_number().over(order) - 1)
+    rows = rows.withColumns(steps).where("in_experiment").withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
     c = F.col
     rows = _with_z(rows, {
         "cons_z": c("consensus"), "dc_z": (c("dtw") + c("cohens_d")) / 2, "_dtw_z": c("dtw"), "_coh_z": c("cohens_d"), "_rul_z": c("rulsif"),
@@ -67,24 +67,35 @@ def fuse(scored: DataFrame) -> DataFrame:
     }).drop(*ranks)
 
 
-def long_scores(fused: DataFrame) -> DataFrame:
-    """subject, pos, events, strategy and score: a row per strategy."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("strat_ord"), F.lit(s).alias("strategy"), F.col(s).alias("score")) for n, s in enumerate(STRATEGIES)])
-    return fused.select("subject", "pos", "events", F.explode(pairs).alias("_s")).select("subject", "pos", "events", "_s.*")
+def _places(flag: Column, position: str) -> Column:
+    """Positions of the flagged rows of the subject; a session has tens of segments."""
+    return F.collect_set(F.when(flag, F.col(position))).over(Window.partitionBy("subject"))
 
 
-def event_labels(fused: DataFrame, events: list[str], windows: dict[str, list[int]] = WINDOWS) -> DataFrame:
-    """subject, pos, event, window and y: 1 at an event and at the window's offsets after it, for subjects that have the event."""
-    marked = fused.select("subject", "pos", F.explode("events").alias("event")).where(F.col("event").isin(events)).distinct()
-    spread = F.array(*[F.struct(F.lit(n).alias("win_ord"), F.lit(w).alias("window"), F.lit(o).alias("off")) for n, (w, offs) in enumerate(windows.items()) for o in offs])
-    ones = marked.withColumn("_w", F.explode(spread)).select("subject", (F.col("pos") + F.col("_w.off")).alias("pos"), "event", "_w.win_ord", "_w.window").distinct().withColumn("y", F.lit(1))
-    grid = fused.select("subject", "pos").join(ones.select("subject", "event", "win_ord", "window").distinct(), "subject")
-    return grid.join(ones, ["subject", "pos", "event", "win_ord", "window"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+def _near(places: Column, position: str, offsets: Column) -> Column:
+    """Whether one of ``places`` lies an offset before the row."""
+    return F.arrays_overlap(places, F.transform(offsets, lambda o: (F.col(position) - o).cast("int")))
+
+
+def label_segments(records: DataFrame, names: list[str], offsets: list[int] | None = None) -> DataFrame:
+    """``records`` with y: 1 at the affective events of the session, and at ``offsets`` after them."""
+    flag = F.arrays_overlap("events", F.array(*[F.lit(n) for n in names]))
+    rows = records.withColumn("_at", _places(flag, "seg_idx"))
+    return rows.withColumn("y", F.coalesce(_near(F.col("_at"), "seg_idx", F.array(*[F.lit(o) for o in offsets or [0]])), F.lit(False)).cast("int")).drop("_at")
 
 
 def event_aucs(fused: DataFrame, events: list[str], windows: dict[str, list[int]] = WINDOWS) -> DataFrame:
-    """AUC per subject, event, window and strategy, where both classes are present."""
-    rows = event_labels(fused, events, windows).join(long_scores(fused).drop("events"), ["subject", "pos"])
+    """AUC per subject, event, window and strategy, where the subject has the event and both classes are present.
+
+    A row counts as positive at an event and at the window's offsets after it.
+    """
+    at = F.array(*[F.struct(F.lit(e).alias("event"), _places(F.array_contains("events", e), "pos").alias("at")) for e in events])
+    wide = F.array(*[F.struct(F.lit(n).alias("win_ord"), F.lit(w).alias("window"), F.array(*[F.lit(o) for o in offs]).alias("offs")) for n, (w, offs) in enumerate(windows.items())])
+    scores = F.array(*[F.struct(F.lit(n).alias("strat_ord"), F.lit(s).alias("strategy"), F.col(s).alias("score")) for n, s in enumerate(STRATEGIES)])
+    rows = fused.withColumn("_at", at).select("subject", "pos", scores.alias("_s"), F.explode("_at").alias("_e")).where(F.size("_e.at") > 0)
+    rows = rows.withColumn("_w", F.explode(wide))
+    rows = rows.withColumn("y", _near(F.col("_e.at"), "pos", F.col("_w.offs")).cast("int")).withColumn("_s", F.explode("_s"))
+    rows = rows.select("subject", "_e.event", "_w.win_ord", "_w.window", "_s.strat_ord", "_s.strategy", "_s.score", "y")
     return auc(rows, ["subject", "event", "win_ord", "window", "strat_ord", "strategy"])
 
 
@@ -95,19 +106,17 @@ def best_strategies(aucs: DataFrame) -> DataFrame:
     return means.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "win_ord", "strat_ord")
 
 
-def detection_eval(fused: DataFrame, names: list[str], offsets: list[int] | None = None) -> DataFrame:
-    """Pooled AUC per strategy on whether a segment is an affective event (or follows one at an offset), over all subjects."""
-    hit = fused.withColumn("_e", F.arrays_overlap("events", F.array(*[F.lit(n) for n in names])))
-    ones = hit.where("_e").select("subject", F.explode(F.array(*[F.col("seg_idx") + o for o in offsets or [0]])).alias("seg_idx")).distinct().withColumn("y", F.lit(1))
-    rows = long_scores(fused).join(fused.select("subject", "pos", "seg_idx").join(ones, ["subject", "seg_idx"], "left").select("subject", "pos", F.coalesce("y", F.lit(0)).alias("y")), ["subject", "pos"])
-    return auc(rows, ["strategy"])
+def detection_eval(fused: DataFrame) -> DataFrame:
+    """Pooled AUC per strategy over all subjects; ``fused`` carries the labels of ``label_segments`` as y."""
+    scores = F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("score")) for s in STRATEGIES])
+    return auc(fused.select("y", F.explode(scores).alias("_s")).select("y", "_s.*"), ["strategy"])
 
 
 def pooled_roc(fused: DataFrame, event: str, strategy: str, offsets: list[int]) -> DataFrame:
     """ROC points of one strategy for one event over all subjects; offsets stay within a subject."""
-    marked = fused.where(F.array_contains("events", event)).select("subject", F.explode(F.array(*[F.col("pos") + o for o in offsets])).alias("pos")).distinct().withColumn("y", F.lit(1))
-    rows = fused.select("subject", "pos", F.col(strategy).alias("score")).join(marked, ["subject", "pos"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    return roc_points(rows.withColumn("event", F.lit(event)), ["event"])
+    rows = fused.withColumn("_at", _places(F.array_contains("events", event), "pos"))
+    y = F.coalesce(_near(F.col("_at"), "pos", F.array(*[F.lit(o) for o in offsets])), F.lit(False)).cast("int")
+    return roc_points(rows.select(F.lit(event).alias("event"), F.col(strategy).alias("score"), y.alias("y")), ["event"])
 
 
 def event_trajectories(records: DataFrame, names: list[str], reach: int = 4) -> DataFrame:

@@ -134,17 +134,23 @@ def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] =
     return spread.mapInArrow(run, schema)
 
 
-def effect_sizes(stats: DataFrame, keys: list[str], n_features: DataFrame | None = None) -> DataFrame:
-    """keys, seg_i, seg_j, method and d: root mean square over features of Cohen's d, from ``segment_stats``.
+def mean_shifts(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seg_i, seg_j, effect and centroid, from ``segment_stats`` in one pass over the pairs of segments.
 
-    A feature with under three valid rows on a side, or without spread, counts as 0.
+    ``effect``: root mean square over features of Cohen's d, where a feature with under
+    three valid rows on a side, or without spread, counts as 0; ``centroid``: distance
+    between the mean vectors.
     """
     both = pairs(stats, [*keys, "feature"], "seg", ["n", "mean", "var"])
     pooled = F.sqrt(((F.col("n_i") - 1) * F.col("var_i") + (F.col("n_j") - 1) * F.col("var_j")) / (F.col("n_i") + F.col("n_j") - 2))
-    ok = (F.col("n_i") >= 3) & (F.col("n_j") >= 3)
-    rows = both.withColumn("_p", F.when(ok, pooled))
-    d = F.when(F.col("_p") > 1e-12, (F.col("mean_i") - F.col("mean_j")) / F.when(F.col("_p") > 1e-12, F.col("_p"))).otherwise(0.0)
-    return rows.withColumn("_d", d).groupBy(*keys, "seg_i", "seg_j").agg(F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("d")).select(*keys, "seg_i", "seg_j", F.lit("Cohen's d").alias("method"), "d")
+    rows = both.withColumn("_p", F.when((F.col("n_i") >= 3) & (F.col("n_j") >= 3), pooled)).withColumn("_g", F.col("mean_i") - F.col("mean_j"))
+    rows = rows.withColumn("_d", F.when(F.col("_p") > 1e-12, F.col("_g") / F.when(F.col("_p") > 1e-12, F.col("_p"))).otherwise(0.0))
+    return rows.groupBy(*keys, "seg_i", "seg_j").agg(F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("effect"), F.sqrt(F.sum(F.col("_g") * F.col("_g"))).alias("centroid"))
+
+
+def effect_sizes(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seg_i, seg_j, method and d: the effect of ``mean_shifts`` as a distance."""
+    return mean_shifts(stats, keys).select(*keys, "seg_i", "seg_j", F.lit("Cohen's d").alias("method"), F.col("effect").alias("d"))
 
 
 def sliding_divergence(vectors: DataFrame, keys: list[str], half: int = 25, alpha: float = 0.5) -> DataFrame:

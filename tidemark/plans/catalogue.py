@@ -116,11 +116,9 @@ co AS (SELECT subject_id, seg, avg(CASE WHEN top > 0 THEN md / top ELSE md END)
 def segment_distances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Effect-size and centroid distances between the segments of ``fifths``, and the segments."""
     rows, segments = fifths(spark, sf_dir)
-    stats = segment.segment_stats(rows, segments, S)
-    effect = divergence.effect_sizes(stats, S).withColumn("method", F.lit("effect"))
-    both = joins.pairs(stats, SF, "seg", ["mean"])
-    centroid = both.groupBy(*S, "seg_i", "seg_j").agg(F.sqrt(F.sum((F.col("mean_i") - F.col("mean_j")) * (F.col("mean_i") - F.col("mean_j")))).alias("d"))
-    return effect.unionByName(centroid.withColumn("method", F.lit("centroid"))), segments
+    both = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("d")) for m in METHODS])
+    shifts = divergence.mean_shifts(segment.segment_stats(rows, segments, S), S)
+    return shifts.select(*S, "seg_i", "seg_j", F.explode(both).alias("_m")).select(*S, "seg_i", "seg_j", "_m.*"), segments
 
 
 def point_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,16 +132,20 @@ ge AS (SELECT g.subject_id, g.seg, coalesce(ev.events, []) AS events FROM g LEFT
 
 
 def segments_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, segments = fifths(spark, sf_dir)
-    return joins.events_by_segment(segments, rows.select("subject_id", "w", "t").distinct(), point_events(spark, sf_dir), S)
+    days = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id")).distinct()
+    segments = days.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(*S, "seg", (F.col("seg") * 5).alias("start"), (F.col("seg") * 5 + 5).alias("end"))
+    times = days.withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAYS - 1).cast("long")))).withColumn("t", F.col("w") + 0.5)
+    return joins.events_by_segment(segments, times, point_events(spark, sf_dir), S)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohort records: dtw is the mean centroid distance, rulsif is absent, the first segment is outside the experiment."""
     distances, segments = segment_distances(spark, sf_dir)
     means = rdi.mean_distances(distances, segments, S, METHODS)
-    wide = means.groupBy(*S, "seg").agg(F.max(F.when(F.col("method") == "centroid", F.col("md"))).alias("dtw"), F.max(F.when(F.col("method") == "effect", F.col("md"))).alias("cohens_d"))
-    rows = rdi.consensus(means, S).join(wide, [*S, "seg"]).join(segments_with_events(spark, sf_dir).select(*S, "seg", F.array_distinct("events").alias("events")), [*S, "seg"])
+    top = F.max("md").over(Window.partitionBy(*S, "method"))
+    shares = means.withColumn("_v", F.when(top > 0, F.col("md") / F.when(top > 0, top)).otherwise(F.col("md")))
+    wide = shares.groupBy(*S, "seg").agg(F.avg("_v").alias("consensus"), *[F.max(F.when(F.col("method") == m, F.col("md"))).alias(n) for m, n in (("centroid", "dtw"), ("effect", "cohens_d"))])
+    rows = wide.join(segments_with_events(spark, sf_dir).select(*S, "seg", F.array_distinct("events").alias("events")), [*S, "seg"])
     return rows.select(
         F.col("subject_id").alias("subject"), F.col("seg").cast("int").alias("seg_idx"), (F.col("seg") > 0).alias("in_experiment"), "events", F.round("consensus", 9).alias("consensus"),
         F.round("dtw", 9).alias("dtw"), F.lit(None).cast("double").alias("rulsif"), F.round("cohens_d", 9).alias("cohens_d"),
@@ -178,7 +180,7 @@ LONG = RANKED + ", ls AS (" + " UNION ALL ".join(f"SELECT subject, pos, seg_idx,
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detect.score_columns(records(spark, sf_dir))
+    rows = detect.score_columns(detect.label_segments(records(spark, sf_dir), ["Error"]))
     rows = detect.fuse(rows.withColumns({b: F.round(b, 9) for b in BASE}))
     return rows.withColumns({f: F.round(f, 9) for f in detect.FUSED})
 
@@ -491,7 +493,7 @@ def segment_stats(spark, d):
 @query(f"WITH {EFFECT} SELECT subject_id, i AS seg_i, j AS seg_j, {r('d', 'd')} FROM cd")
 def pair_cohens_d(spark, d):
     rows, segments = fifths(spark, d)
-    return divergence.effect_sizes(segment.segment_stats(rows, segments, S), S).drop("method")
+    return divergence.mean_shifts(segment.segment_stats(rows, segments, S), S).select(*S, "seg_i", "seg_j", F.col("effect").alias("d"))
 
 
 @query(f"""WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), s AS (SELECT label, k, count(*) AS n, avg(v) AS mean, var_samp(v) AS var FROM x GROUP BY 1, 2)
@@ -653,7 +655,7 @@ POOLED = LONG + ", pl AS (SELECT ls.*, CASE WHEN list_contains(events, 'Error')
 @query(f"""WITH {POOLED}, k AS (SELECT strategy, y, rank() OVER (PARTITION BY strategy ORDER BY score) + (count(*) OVER (PARTITION BY strategy, score) - 1) / 2 AS rk FROM pl)
 SELECT strategy, {r(AUC, 'auc')}, CAST(sum(y) AS BIGINT) AS n1, CAST(sum(1 - y) AS BIGINT) AS n0 FROM k GROUP BY 1""")
 def detection_eval(spark, d):
-    return detect.detection_eval(fused(spark, d), ["Error"])
+    return detect.detection_eval(fused(spark, d))
 
 
 @query(f"""WITH {POOLED}, t AS (SELECT score, sum(y) AS p, sum(1 - y) AS n FROM pl WHERE strategy = 'cons_z' GROUP BY 1)
