@@ -110,8 +110,12 @@ def segment_rows(vectors: DataFrame, segments: DataFrame, keys: list[str]) -> Da
     return rows.groupBy(*keys, "seg").agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("data"))
 
 
-def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] = ("DTW", "RuLSIF"), normalise: bool = True) -> DataFrame:
-    """keys, seg_i, seg_j, method, d for every pair of segments of ``data`` (keys, seg, data)."""
+def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] = ("DTW", "RuLSIF"), normalise: bool = True, metric: str = "euclidean", band: int | None = None, slope: float = 1.0) -> DataFrame:
+    """keys, seg_i, seg_j, method, d for every pair of segments of ``data`` (keys, seg, data).
+
+    ``metric``, ``band`` (widened to the difference in length) and ``slope`` shape the
+    warping; ``normalise`` divides its distance by the longer length.
+    """
     both = pairs(data, keys, "seg", ["data"])
     spread = both.repartition(*[F.col(k) for k in keys], "seg_i", "seg_j")
     kept = [*keys, "seg_i", "seg_j"]
@@ -119,7 +123,8 @@ def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] =
 
     def score(method: str, a: np.ndarray, b: np.ndarray) -> float:
         if method == "DTW":
-            return dtw_distance(a, b) / (max(len(a), len(b)) if normalise else 1)
+            reach = None if band is None else max(band, abs(len(a) - len(b)))
+            return dtw_distance(a, b, metric, reach, slope) / (max(len(a), len(b)) if normalise else 1)
         return segment_divergence(a, b)
 
     def run(batches):
@@ -134,6 +139,24 @@ def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] =
     return spread.mapInArrow(run, schema)
 
 
+def warping_paths(data: DataFrame, keys: list[str], metric: str = "euclidean") -> DataFrame:
+    """keys, seg_i, seg_j, d (not normalised) and path (array of i, j) of the cheapest warping of every pair of segments."""
+    spread = pairs(data, keys, "seg", ["data"]).repartition(*[F.col(k) for k in keys], "seg_i", "seg_j")
+    kept = [*keys, "seg_i", "seg_j"]
+    cell = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
+    schema = T.StructType([*(spread.schema[c] for c in kept), T.StructField("d", T.DoubleType()), T.StructField("path", T.ArrayType(cell))])
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+
+    def run(batches):
+        for batch in batches:
+            totals = [accumulated(local_costs(np.array(a, float), np.array(b, float), metric)) for a, b in zip(batch.column("data_i").to_pylist(), batch.column("data_j").to_pylist(), strict=True)]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            paths = [[{"i": i, "j": j} for i, j in warping_path(t)] for t in totals]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([float(t[-1, -1]) for t in totals], pa.float64()), pa.array(paths, kind)], names=schema.names)
+
+    return spread.mapInArrow(run, schema)
+
+
 def mean_shifts(stats: DataFrame, keys: list[str]) -> DataFrame:
     """keys, seg_i, seg_j, effect and centroid, from ``segment_stats`` in one pass over the pairs of segments.
 

@@ -32,3 +32,9 @@ def score_segments(distances: DataFrame, segments: DataFrame, keys: list[str], m
     """``segments`` with consensus and z (its distance from the subject's mean in standard deviations)."""
     scored = segments.join(consensus(mean_distances(distances, segments, keys, methods), keys), [*keys, "seg"])
     return standardise(scored, keys, "consensus", "z")
+
+
+def outliers(scored: DataFrame, keys: list[str], share: float = 0.75) -> DataFrame:
+    """``scored`` with threshold (the share's quantile of the subject's consensus) and outlier (at or above it)."""
+    limit = scored.groupBy(*keys).agg(F.expr(f"percentile(consensus, {share}D)").alias("threshold"))
+    return scored.join(limit, keys).withColumn("outlier", F.col("consensus") >= F.col("threshold"))

@@ -38,6 +38,15 @@ def permutation_seeded(scores: DataFrame, keys: list[str], n_perm: int = 10_000,
     return scores.select(*keys, "unit", "score", "is_event").groupBy(*keys).applyInPandas(run, schema)
 
 
+def phase_permutations(scores: DataFrame, comparisons: dict[str, tuple[str, str]], n_perm: int = 10_000, seed: int = 42) -> DataFrame:
+    """comparison, delta, p and null_mean of the seeded test for each named pair of conditions (SQL over ``scores``: the event side, the other side)."""
+    parts = [scores.where(f"({own}) OR ({other})").select(F.lit(name).alias("comparison"), "unit", "score", F.expr(own).alias("is_event")) for name, (own, other) in comparisons.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return permutation_seeded(rows, ["comparison"], n_perm, seed)
+
+
 def permutation_hashed(scores: DataFrame, n_perm: int = 1000, seed: str = "42") -> DataFrame:
     """The same test over one table, each permutation a row: labels go to the units with the smallest hash of (seed, permutation, unit).
 

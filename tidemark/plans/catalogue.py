@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
 from tidemark.operators import detect, divergence, frames, joins, quality, rdi, segment, validate
 from tidemark.plans import features, regimes
 from tidemark.sources import synthetic, union_cohorts
@@ -522,6 +523,17 @@ def pair_dtw(spark, d):
     return divergence.pair_distances(_segment_rows(spark, d), S, ("DTW",)).drop("method")
 
 
+@query()
+def banded_dtw(spark, d):
+    return divergence.pair_distances(_segment_rows(spark, d), S, ("DTW",), normalise=False, metric="cityblock", band=2, slope=1.5).drop("method")
+
+
+@query()
+def dtw_path(spark, d):
+    found = divergence.warping_paths(_segment_rows(spark, d), S)
+    return found.withColumn("path", F.array_join(F.transform("path", lambda c: F.concat_ws("-", c["i"], c["j"])), " "))
+
+
 @query()
 def pair_rulsif(spark, d):
     return divergence.pair_distances(_segment_rows(spark, d), S, ("RuLSIF",)).drop("method")
@@ -552,6 +564,14 @@ def rdi_zscore(spark, d):
     return rdi.score_segments(distances, segments, S, METHODS).select(*S, "seg", "z")
 
 
+@query(f"""WITH {EFFECT}, th AS (SELECT subject_id, quantile_cont(round(consensus, 9), 0.75) AS th FROM co GROUP BY 1)
+SELECT subject_id, seg, {r('th', 'threshold')}, round(consensus, 9) >= th AS outlier FROM co JOIN th USING (subject_id)""")
+def outlier_segments(spark, d):
+    distances, segments = segment_distances(spark, d)
+    scored = rdi.consensus(rdi.mean_distances(distances, segments, S, METHODS), S).withColumn("consensus", F.round("consensus", 9))
+    return rdi.outliers(scored, S).select(*S, "seg", "threshold", "outlier")
+
+
 @query(f"WITH {EFFECT}, tl AS (SELECT DISTINCT subject_id, w FROM u) SELECT subject_id, w, {r('consensus', 'consensus')} FROM tl LEFT JOIN co ON co.subject_id = tl.subject_id AND w >= seg * 5 AND w < seg * 5 + 5".replace("SELECT subject_id, w, round", "SELECT tl.subject_id, w, round"))
 def rdi_timeline(spark, d):
     distances, segments = segment_distances(spark, d)
@@ -611,6 +631,13 @@ def permutation_test_seeded(spark, d):
     return validate.permutation_seeded(_units(spark, d).withColumn("group", F.lit("all")), ["group"], 1000)
 
 
+@query()
+def phase_permutation(spark, d):
+    rows = records(spark, d).select(F.xxhash64("subject", "seg_idx").alias("unit"), F.col("consensus").alias("score"), F.arrays_overlap("events", F.array(F.lit("Error"))).alias("hit"), "in_experiment", "seg_idx")
+    inside = "in_experiment AND NOT hit"
+    return validate.phase_permutations(rows, {"event vs other": ("hit", "NOT hit"), "event vs practice": ("hit AND in_experiment", "NOT in_experiment"), "experiment only": ("hit AND in_experiment", inside), "event vs late": ("hit", "NOT hit AND seg_idx > 3")}, 500)
+
+
 @query(f"""WITH {UNITS}, k AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM un), m AS (SELECT count(*) FILTER (WHERE is_event) AS n1, count(*) FILTER (WHERE NOT is_event) AS n0, sum(rk) FILTER (WHERE is_event) AS s FROM k)
 SELECT 'all' AS "group", n1, n0, {r('s - n1 * (n1 + 1) / 2', 'u')}, {r('2 * (s - n1 * (n1 + 1) / 2) / (n1 * n0) - 1', 'r')} FROM m""")
 def rank_biserial(spark, d):
@@ -744,7 +771,8 @@ def quadrant_summary(spark, d):
 def paired_tests(spark, d):
     rows = _halves(spark, d).withColumn("d", F.col("after") - F.col("before"))
     w = validate.signed_rank(rows, ["emotion"]).withColumn("family", F.lit("all"))
-    return validate.holm(w, ["family"], tie="emotion").drop("family").join(validate.paired_t(rows, ["emotion"]).select("emotion", F.col("p").alias("p_t")), "emotion")
+    w = validate.holm(w, ["family"], tie="emotion").drop("family")
+    return w.withColumn("mark", stats.stars(F.col("p_holm"))).join(validate.paired_t(rows, ["emotion"]).select("emotion", F.col("p").alias("p_t")), "emotion")
 
 
 def _solo(spark, d):
