@@ -69,6 +69,23 @@ def test_events_on_bounds_and_in_gaps(spark):
     assert [r.is_event for r in joins.affective(names, ["Crash"]).collect()] == [True, False]
 
 
+def test_label_expansion_and_outliers(spark):
+    rec = spark.createDataFrame([("a", i, i == 2) for i in range(6)] + [("b", 0, False)], "k string, idx int, hit boolean")
+    assert [(r.k, r.y) for r in joins.expand_labels(rec, K, "idx", "hit", [0, 1, 9]).orderBy("k", "idx").collect()] == [("a", 0), ("a", 0), ("a", 1), ("a", 1), ("a", 0), ("a", 0), ("b", 0)]
+    scored = spark.createDataFrame([("a", s, float(s)) for s in range(5)], "k string, seg int, consensus double")
+    assert [r.outlier for r in rdi.outliers(scored, K).orderBy("seg").collect()] == [False, False, False, True, True]
+
+
+def test_paths_bands_and_phases(spark):
+    data = spark.createDataFrame([("a", 0, [[0.0], [1.0], [2.0]]), ("a", 1, [[0.0], [2.0]]), ("a", 2, [[5.0]])], "k string, seg int, data array<array<double>>")
+    paths = {(r.seg_i, r.seg_j): (r.d, [tuple(c) for c in r.path]) for r in divergence.warping_paths(data, K).collect()}
+    assert paths[0, 1] == (1, [(0, 0), (1, 0), (2, 1)]) and paths[1, 2] == (8, [(0, 0), (1, 0)])
+    assert {r.d for r in divergence.pair_distances(data, K, ("DTW",), normalise=False, band=0).where("seg_i = 0 AND seg_j = 1").collect()} == {1.0}
+    units = spark.createDataFrame([(i, float(i), i % 2) for i in range(30)], "unit int, score double, phase int")
+    found = {r.comparison: r for r in validate.phase_permutations(units, {"late": ("unit >= 15", "unit < 15"), "none": ("phase = 7", "phase = 1")}, 100).collect()}
+    assert found["late"].p <= 0.05 and found["none"].p == 1
+
+
 def test_consensus_golden_and_single_segment(spark):
     d = [("a", i, j, m, x) for m, row in (("DTW", (1, 3, 2)), ("RuLSIF", (0, 0, 0)), ("Cohen's d", (2, 2, 0))) for (i, j), x in zip(((0, 1), (0, 2), (1, 2)), map(float, row))]
     dist = spark.createDataFrame(d, "k string, seg_i int, seg_j int, method string, d double")
