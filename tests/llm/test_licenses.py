@@ -36,7 +36,7 @@ def test_rules(text, names):
 
 
 def test_whole_table_against_line_search(spark):
-    d = "/root/testdata/sf0.1"
+    d = "/root/testdata/sf0.01"
     lines = {op.normal(s[0]): name for name, s in op.RULES if len(s) == 1}
     rows = {r.doc_id: r for r in op7_licenses(spark, d).collect()}
     hits = 0
@@ -44,7 +44,7 @@ def test_whole_table_against_line_search(spark):
         want = sorted(n for line in (text or "").split("\n") for key, n in lines.items() if re.search(rf"(?:^|[.!?;:] ){re.escape(key)}$", op.normal(line)) or op.normal(line) == key)
         assert rows[doc].licenses == ",".join(want)
         hits += bool(want)
-    assert hits > 100
+    assert hits > 10
 
 
 def test_nulls_repeats_and_names(spark):

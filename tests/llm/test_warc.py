@@ -42,13 +42,13 @@ def test_round_trip_at_every_cut(spark):
     assert all((r.page_id, bytes(r.payload)) in texts for r in kept)
     uris = {r.page_id: r.target_uri for r in kept}
     assert uris[20] == "u%0D%0AX:%201" and uris[21] is None
-    path = manifest.head().path.removeprefix("file://")
+    path = manifest.head().path.removeprefix("file:").replace("//", "/")
     assert gzip.open(path).read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
 def test_damage_is_an_error_and_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "text " * 500)], "page_id long, url string, html string")
-    path = op.write_archives(df).head().path.removeprefix("file://")
+    path = op.write_archives(df).head().path.removeprefix("file:").replace("//", "/")
     whole = open(path, "rb").read()
     (tmp_path / "cut.warc.gz").write_bytes(whole[:-30])
     with pytest.raises(ValueError, match="inside a member"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -25,7 +26,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # a path without a scheme is the default store's
+    return f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +48,9 @@ def filesystem(uri: str):
     """pyarrow's file system for ``uri``, and the path within it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
+    if "://" not in uri:
+        uri = f"file://{uri.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(uri)
 
 
 def publish(uri: str, write: Callable) -> None:
@@ -58,9 +63,16 @@ def publish(uri: str, write: Callable) -> None:
     files.move(partial, path)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker process to the system: the next task may be one of another kind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextlib.contextmanager
 def no_collection():
-    """Without Python's cycle collector, which would walk large tables of strings again and again."""
+    """Without Python's cycle collector, which would walk large tables of strings again and again; gives memory back at the end."""
     on = gc.isenabled()
     gc.disable()
     try:
@@ -68,6 +80,7 @@ def no_collection():
     finally:
         if on:
             gc.enable()
+        give_back()
 
 
 def batches_of(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 16 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -107,10 +120,12 @@ def annotate(docs: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]
 
     def run(batches):
         apply = make()
-        for batch in batches_of(batches, text_col):
+        for batch in batches_of(batches, text_col, 8 << 20):
             values = apply(batch.column(batch.schema.get_field_index(text_col)))
             new = [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(values, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + new, names=schema.names)
+        del apply
+        give_back()
 
     return own.mapInArrow(run, schema)
 

@@ -149,7 +149,7 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     spark = docs.sparkSession
     folder = shared_folder(spark, "bpe-chunks")
     kept = [c for c in docs.columns if c.lower() not in ("ids", text_col.lower())]
-    source = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in kept])
+    source = docs.select(F.col(f"`{text_col}`").alias("own text"), *[F.col(f"`{c}`") for c in kept])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
 
         compiled, chunk = regex.compile(pattern), None
         with no_collection():
-            for batch in batches_of(batches, "text", 8 << 20):
+            for batch in batches_of(batches, "own text", 2 << 20):
                 chunk = chunk or _Chunk(compiled)
                 chunk.add(batch, 0, piecewise)
                 if chunk.bytes >= chunk_bytes:
@@ -165,6 +165,7 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
                     chunk = None
             if chunk:
                 yield chunk.rows(chunk.save(folder), buckets)
+            chunk = None
 
     words = written(source.mapInArrow(chunks, WORDS), "bpe-words")
 
@@ -189,6 +190,7 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
                     counts = np.array([len(p) // width for p in found], "<u4")
                     out.append(_pack(steps, counts.tobytes(), b"".join(found)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["chunk", "bucket", "n", "codes"])
+            known.clear()
 
     encoded = words.repartition(buckets, "bucket").mapInArrow(encode, CODES)
     kind = WordEncoder(load_ranks(ranks_path), pattern).kind

@@ -45,13 +45,10 @@ _A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uin
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype="u8")
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-_word_hashes: dict[bytes, int] = {}
 
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; a worker process remembers those it has seen."""
-    known = _word_hashes
-    if len(known) > 500_000:
+def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words; ``known`` remembers those seen, 200,000 or one text's more."""
+    if len(known) > 200_000:
         known.clear()
     missing = [w for w in set(words) if w not in known]
     known.update((w, xxhash.xxh64_intdigest(w)) for w in missing)
@@ -63,15 +60,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], size: int, known: dict[bytes, int] | None = None) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words, but not none, is one shingle."""
-    out = []
+    known, out = {} if known is None else known, []
     for text in texts:
         words = text.encode().translate(_LOWER).split() if text else []
         if not words:
             out.append(np.empty(0, "u8"))
             continue
-        h = _hashes(words)
+        h = _hashes(words, known)
         width = min(size, len(words))
         total = np.full(len(words) - width + 1, width, "u8")
         for k in range(width):
@@ -107,9 +104,10 @@ def _sketch_rows(docs: DataFrame, size: int) -> DataFrame:
     """id, text_key, node, n_shingles, bands and sketch (low bytes of the signature) of every row of (id, body)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         with no_collection():
             for batch in batches_of(batches, "body", 4 << 20, 2048):
-                sets = shingle_sets(batch.column(2).to_pylist(), size)
+                sets = shingle_sets(batch.column(2).to_pylist(), size, known)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[i] for i in full]) if full else np.empty((0, BANDS * ROWS), "u4")
                 nodes, bands, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -127,6 +125,7 @@ def _sketch_rows(docs: DataFrame, size: int) -> DataFrame:
                     [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                     names=["id", "text_key", "node", "n_shingles", "bands", "sketch"],
                 )
+            known.clear()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text_key", "body").mapInArrow(run, f"id {kind}, text_key long, node binary, n_shingles long, bands array<long>, sketch binary")

@@ -80,7 +80,7 @@ class Model:
         for word in words:
             own = known.get(word)
             if own is None:
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known.clear()
                 own = known[word] = tuple(f for f in features_of(word) if f in weights)
             if own:
@@ -134,10 +134,11 @@ def _counts(sample: DataFrame, min_docs: int, max_features: int) -> list[str]:
                 for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for feature in {f for w in words_of(text) for f in features_of(w)}:
                         counts.setdefault(feature, [0, 0])[toxic] += 1
-                if len(counts) > 400_000:
+                if len(counts) > 150_000:
                     yield _count_batch(counts)
                     counts = {}
             yield _count_batch(counts)
+            counts = {}
 
     found = sample.select("body", "toxic").mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = found.where(F.col("n0") + F.col("n1") >= min_docs)
