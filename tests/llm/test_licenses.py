@@ -51,3 +51,22 @@ def test_nulls_repeats_and_names(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.", "own"), (1, "Released under the MIT License.", "own"), (None, None, "own"), (2, "", "x"), (3, "word " * 100_000 + "\nLicensed under CC BY 4.0.", "y")], "doc_id long, text string, LICENSES string")
     assert sorted((r.n_known, r.licenses) for r in op.scan(df).collect()) == [(0, []), (0, []), (1, ["CC-BY-4.0"]), (1, ["MIT"]), (1, ["MIT"])]
     assert op.scan(df.limit(0)).collect() == []
+
+
+def test_every_rule_is_found_however_its_spaces_are_written(spark):
+    gaps = ("\n", "  ", "\u00a0", "\n# ", "\r\n * ")
+    rows = [(n, name, gap.join(" ".join(sentences).split(" "))) for n, (name, sentences) in enumerate(op.RULES) for gap in gaps]
+    df = spark.createDataFrame(rows, "rule int, name string, text string")
+    assert [(r.name, r.text) for r in op.scan(df).collect() if r.licenses != [r.name]] == []
+    rules = op.Rules()
+    for name, sentences in op.RULES:
+        words = " ".join(sentences).split(" ")
+        for k in range(1, len(words)):
+            text = f"{' '.join(words[:k])}\n{' '.join(words[k:])}"
+            assert rules.possible(text) and rules.match(rules.sequence(text), 1) == [name]
+
+
+def test_known_sentences_count_in_any_company(spark):
+    texts = ["some words\nMIT\nmore", "some words\nMIT\nmore software", "Some. 2.0. More"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    assert [(r.n_known, r.licenses) for r in op.scan(df).orderBy("doc_id").collect()] == [(1, []), (1, []), (1, [])]

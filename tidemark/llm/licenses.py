@@ -8,9 +8,11 @@ between two of them.  Longer rules are tried first, and a sentence serves one ma
 
 A text is cut in two ways, because licences come as wrapped paragraphs and as single
 lines: at ends of sentences across line breaks, and at line breaks too.  A known
-sentence counts once, wherever either cut finds it.
+sentence counts once, wherever either cut finds it, and what a wrapped one holds on a
+line of its own does not count beside it.
 
-Every known sentence holds one of ``ANCHORS``; a text without any needs no cutting.
+A text that lacks, for every known sentence, one of its words needs no cutting: words
+are looked for in the lower-cased text, which no white space or mark can hide.
 
 Defined results: null and empty texts have no sentences; a null id is passed through;
 repeated rows are judged row by row; an empty table gives an empty result.
@@ -59,8 +61,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("This work is licensed under a Creative Commons Attribution 4.0 International License.",)), ("CC-BY-NC-4.0", ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",)),
 )
 
-ANCHORS = ("licen", "copyright", "permission", "redistribut", "software", "public domain", "mpl")
-_anchor = re.compile("|".join(ANCHORS), re.I)
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n")
 _LINE = re.compile(r"(?<=[.!?;:])\s+|\n")
 _WORDS = re.compile(r"[^\W_]+")
@@ -79,10 +79,16 @@ class Rules:
         self.rules: list[tuple[str, tuple[int, ...]]] = []
         for name, sentences in rules:
             keys = [normal(part) for s in sentences for part in _SENTENCE.split(s) if normal(part)]
-            if not any(_anchor.search(s) for s in keys):
-                raise ValueError(f"no anchor in the rule for {name}")
+            if not keys:
+                raise ValueError(f"no words in the rule for {name}")
             self.rules.append((name, tuple(self.identifiers.setdefault(k, len(self.identifiers)) for k in keys)))
         self.rules.sort(key=lambda r: -len(r[1]))
+        self.words = [sorted(set(k.split()), key=lambda w: (-len(w), w)) for k in self.identifiers]
+
+    def possible(self, text: str) -> bool:
+        """Whether a text holds all words of some known sentence, hence whether it may hold the sentence."""
+        low = text.lower()
+        return any(all(w in low for w in words) for words in self.words)
 
     def sequence(self, text: str) -> list[tuple[int, int]]:
         """(sentence number, identifier) of the known sentences, in text order."""
@@ -108,7 +114,11 @@ class Rules:
     @staticmethod
     def _numbered(found: dict[tuple[int, int], int], starts: list[int]) -> list[tuple[int, int]]:
         """Sentences are numbered by where they end among all others; the pieces of a wrapped sentence are no others."""
-        spans = sorted((at, end, number) for (end, number), at in found.items())
+        spans, last = [], -1
+        for at, end, number in sorted(((at, end, number) for (end, number), at in found.items()), key=lambda s: (s[0], -s[1])):
+            if end > last:
+                spans.append((at, end, number))
+                last = end
         out, position, k = [], 0, 0
         for at, end, number in spans:
             while k < len(starts) and starts[k] < at:
@@ -158,7 +168,7 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple = RULES, gap: int
         def apply(texts: pa.Array) -> list:
             known, names = [], []
             for text in texts.to_pylist():
-                sequence = table.sequence(text) if text and _anchor.search(text) else []
+                sequence = table.sequence(text) if text and table.possible(text) else []
                 known.append(len(sequence))
                 names.append(table.match(sequence, gap) if sequence else [])
             return [known, names]
