@@ -5,7 +5,8 @@ all rows that its predecessor kept, and returns a DataFrame that is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
 columns of ``docs``:
 
-1. quality: documents that the base rules or the line-frequency verdict reject go;
+1. quality: documents that the base rules or the line-frequency verdict reject go,
+   and so do the lines above the limit in those that stay (n_chars follows);
 2. toxicity: a classifier learns from the labelled documents that are left (labels
    whose id is held out excepted); documents that it calls toxic go;
 3. near_duplicates: of each group of documents (five-word shingles, similarity 0.8)
@@ -25,7 +26,8 @@ from tidemark.llm._shared import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.filter_quality(docs)
+    kept = quality.filter_quality(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

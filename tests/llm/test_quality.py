@@ -49,3 +49,22 @@ def test_copies_are_not_rejected_for_being_copied(spark):
     df = spark.createDataFrame([(i, text, "h") for i in range(500)], "doc_id long, text string, source string")
     assert op.judge(df).where("kept").count() == 500
     assert op.judge(df.limit(0)).count() == 0
+
+
+def test_lines_above_the_limit_are_taken_out_of_kept_texts(spark):
+    own = [f"own first line {'abcdefghijklmnopqrstuvwxyz'[i]} é\n \n  Menu  HOME {i:02}\nown last line {'abcdefghijklmnopqrstuvwxyz'[i]}\n" for i in range(12)]
+    docs = [(i, t, "h1", 7) for i, t in enumerate(own)] + [(20, own[0], "h1", 7), (21, own[1], None, 7), (22, "menu home 01\nmenu home 02\nrest", "h1", 7), (23, None, "h1", 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, KEPT int").repartition(3)
+    out = op.filter_quality(df, line_limit=10, min_words=1)
+    want = {(i, re.sub(r"  Menu  HOME \d+\n", "", t), "h1", 7) for i, t, *_ in docs[:12]} | {(20, re.sub(r"  Menu  HOME \d+\n", "", own[0]), "h1", 7), docs[13]}
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == want and out.count() == 14
+    assert {tuple(r) for r in op.filter_quality(df, line_limit=100, min_words=1).collect()} == {d for d in docs if d[1]}
+
+
+def test_pipeline_stage_takes_out_common_lines(spark):
+    import corpus_pipeline
+
+    body = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    df = spark.createDataFrame([(i, f"{body(i)}\nAll rights reserved {i:03}", "en", "h", 0) for i in range(150)], "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.quality_stage(spark, df, "")
+    assert out.schema == df.schema and {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(i, body(i), len(body(i))) for i in range(150)}

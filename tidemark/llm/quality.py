@@ -14,6 +14,9 @@ A verdict depends on host and text only.  It is made once per pair of them and j
 back to the rows; pairs that many rows share, and lines that many documents share,
 are split off and broadcast, under a bound that follows from their share.
 
+``judge`` gives the verdicts and counts the words of lines above the limit;
+``filter_quality`` gives the kept rows, their texts without those lines.
+
 Defined results: null and empty texts have no words, fail the base rules and are
 rejected; null hosts are one host; repeated rows get the same verdict each; an empty
 table gives an empty result.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import annotate, split_hot_join, written
+from tidemark.llm._shared import annotate, batches_of, give_back, split_hot_join, written
 
 SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -54,6 +57,17 @@ def repeat_words(words: list, window: int = 3) -> int:
     return covered
 
 
+def _line(line: bytes) -> tuple[int, int]:
+    """The hash of a normalised line, and its words."""
+    parts = line.translate(_NORMAL).split()
+    return xxhash.xxh64_intdigest(b" ".join(parts)) - (1 << 63), len(parts)
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """``text`` without the lines whose hashes are in ``gone``; blank lines stay."""
+    return b"\n".join(x for x in text.encode().split(b"\n") if not x.strip() or _line(x)[0] not in gone).decode()
+
+
 def measure(text: str | None) -> tuple[tuple[int, ...], dict[int, int]]:
     """MEASURES of a text, and the words under each hash of a normalised line."""
     if not text:
@@ -63,9 +77,8 @@ def measure(text: str | None) -> tuple[tuple[int, ...], dict[int, int]]:
     full = [x for x in data.split(b"\n") if x.strip()]
     lines: dict[int, int] = {}
     for line in full:
-        parts = line.translate(_NORMAL).split()
-        key = xxhash.xxh64_intdigest(b" ".join(parts)) - (1 << 63)
-        lines[key] = lines.get(key, 0) + len(parts)
+        key, n = _line(line)
+        lines[key] = lines.get(key, 0) + n
     white = len(data) - len(data.translate(None, _WHITE))
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     return (len(words), len(text) - white, symbols, len(full) - len(set(full)), repeat_words(words)), lines
@@ -85,6 +98,13 @@ def judge(docs: DataFrame, id_cols: list[str] | None = None, text_col: str = "te
 
     ``removed_words`` counts the words of lines above the limit.
     """
+    columns = [c for c in id_cols or docs.columns if c.lower() not in RESULTS]
+    joined = _judged(docs, columns, text_col, host_col, line_limit, kept_share, min_words, max_repeat_percent)
+    return joined.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)], *RESULTS)
+
+
+def _judged(docs: DataFrame, columns: list[str], text_col: str, host_col: str, line_limit: int, kept_share: float, min_words: int, max_repeat_percent: int, gone: bool = False) -> DataFrame:
+    """``columns`` of ``docs`` as own_0, own_1, ..., with RESULTS and, on demand, the hashes of the lines above the limit (``gone``)."""
     text, host = F.col(f"`{text_col}`"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
     key = F.concat(F.coalesce(F.md5(text.cast("binary")), F.lit("null")), F.lit("@"), host)
     source = docs.select(host.alias("host"), key.alias("row_key"), text.alias("body"))
@@ -94,21 +114,34 @@ def judge(docs: DataFrame, id_cols: list[str] | None = None, text_col: str = "te
     texts = seen.groupBy("row_key").agg(F.count("*").alias("copies"), *[F.first(n).alias(n) for n, _ in MEASURES])
     lines = seen.select("row_key", "host", F.explode("lines").alias("l")).select("row_key", "host", "l.line", "l.words").dropDuplicates(["row_key", "line"])
     often = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > line_limit)
-    removed = split_hot_join(lines, often, ["host", "line"], "docs").groupBy("row_key").agg(F.sum("words").alias("removed_words"))
+    removed = split_hot_join(lines, often, ["host", "line"], "docs").groupBy("row_key")
+    removed = removed.agg(F.sum("words").alias("removed_words"), *([F.collect_list("line").alias("gone")] if gone else []))
 
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     verdict = texts.join(removed, "row_key", "left").withColumns({"base_failed": base, "removed_words": F.coalesce("removed_words", F.lit(0)).cast("long")})
     verdict = verdict.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.lit(kept_share) * F.col("n_words")))
-    verdict = written(verdict.select("row_key", "copies", *RESULTS), "quality-verdicts")
+    verdict = written(verdict.select("row_key", "copies", *RESULTS, *(["gone"] if gone else [])), "quality-verdicts")
 
-    columns = [c for c in id_cols or docs.columns if c.lower() not in RESULTS]
     own = docs.select(key.alias("row_key"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)])
-    joined = split_hot_join(own, verdict, ["row_key"], "copies")
-    return joined.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)], *RESULTS)
-
-
-def filter_quality(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    aside = {c: f"{c}__own" for c in docs.columns if c.lower() in RESULTS}
-    judged = judge(docs.withColumnsRenamed(aside), **options)
-    return judged.where("kept").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+    return split_hot_join(own, verdict, ["row_key"], "copies")
+
+
+def filter_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = 100, kept_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns of ``docs``; lines above the limit are taken out of their texts."""
+    joined = _judged(docs, docs.columns, text_col, host_col, line_limit, kept_share, min_words, max_repeat_percent, gone=True).where("kept")
+    own = [f"own_{i}" for i in range(len(docs.columns))]
+    text = own[[c.lower() for c in docs.columns].index(text_col.lower())]
+    joined = joined.select(*own, "gone")
+    schema = T.StructType(joined.schema.fields[:-1])
+
+    def run(batches):
+        for batch in batches_of(batches, text, 8 << 20):
+            at = batch.schema.get_field_index(text)
+            values = batch.columns[:-1]
+            if batch.column(len(own)).null_count < batch.num_rows:
+                rows = zip(batch.column(at).to_pylist(), batch.column(len(own)).to_pylist(), strict=True)
+                values[at] = pa.array([without_lines(t, set(hashes)) if hashes else t for t, hashes in rows], values[at].type)
+            yield pa.RecordBatch.from_arrays(values, names=own)
+        give_back()
+
+    return joined.mapInArrow(run, schema).select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)])
