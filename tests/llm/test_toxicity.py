@@ -51,3 +51,25 @@ def test_nulls_repeats_empty_tables_and_one_class(spark):
     assert op.score(docs.limit(0), model).collect() == []
     small = op.train(docs, labels, max_rows=10)
     assert small.score("kind words here") == pytest.approx(op.train(docs, labels, max_rows=10).score("kind words here"))
+
+
+def test_every_swap_counts_by_the_features_it_changes():
+    text = "The gay man sang of Americans. An american and a german woman. " * 3 + "A muslim cook"
+    names = [f for w in sorted(op.words_of(text) | op._KIND.keys()) for f in op.features_of(w)]
+    number = {f: n for n, f in enumerate(dict.fromkeys(names))}
+    code = lambda words: {number[f] for w in words for f in op.features_of(w)}
+    want = {}
+    for before, after in op.swapped(text):
+        a, b = code(before), code(after)
+        key = tuple(sorted(a - b)), tuple(sorted(b - a))
+        want[key] = want.get(key, 0) + 1
+    assert dict(op.swap_changes(text, number)) == want and sum(want.values()) > 64 and op.swap_changes(None, number) == {}
+
+
+def test_terms_late_in_long_texts_are_regularised(spark):
+    early = "An american came. " * 20
+    rows = [(i, early + ("A muslim came. bad deed" if i % 2 else "A hindu came. kind deed"), i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    free, held = (op.train(docs, docs, pair_weight=w).weights for w in (0.0, 1000.0))
+    gap = lambda w: sum(w.get(f, 0) for f in op.features_of("muslim")) - sum(w.get(f, 0) for f in op.features_of("hindu"))
+    assert gap(free) > 1 and abs(gap(held)) < 0.3 * gap(free)

@@ -9,7 +9,9 @@ the labelled rows.
 
 Learning takes a bounded sample: ``max_rows`` labelled rows, chosen by a hash of
 their id, and the ``max_features`` features that differ most between the labels.
-Both bounds are parameters.  Scoring covers whole texts of all rows, without a
+Both bounds are parameters.  All swaps of the sampled texts count: a swap changes the
+score only by the features it takes out and puts in, so equal changes are counted
+over all texts and weighted by their number.  Scoring covers whole texts of all rows, without a
 shuffle, from the broadcast weights.
 
 Defined results: a null or empty text has no features and gets the score of the
@@ -68,6 +70,24 @@ def swapped(text: str | None) -> list[tuple[set[str], set[str]]]:
     return pairs
 
 
+def swap_changes(text: str | None, number: dict[str, int]) -> Counter:
+    """The swaps of ``swapped`` as (features taken out, features put in), by the numbers of known features, with how often each occurs."""
+    changes: Counter = Counter()
+    own = lambda word: {number[f] for f in features_of(word) if f in number}
+    for sentence in _SENTENCE.findall(text.lower()) if text else ():
+        words = words_of(sentence)
+        terms = words & _KIND.keys()
+        if terms:
+            held = Counter(f for w in words for f in own(w))
+            for term in terms:
+                gone = {f for f in own(term) if held[f] == 1}
+                for other in _KIND[term]:
+                    if other not in words:
+                        new = own(other)
+                        changes[tuple(sorted(gone - new)), tuple(sorted(new - held.keys()))] += 1
+    return changes
+
+
 class Model:
     """Weights by feature, and the intercept."""
 
@@ -97,12 +117,13 @@ def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], "i8")
 
 
-def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n_features: int, pair_weight: float = 1.0, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Minimise mean log loss + pair_weight * mean squared change of the logit over pairs + ridge * |w|^2, by Adam steps."""
+def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n_features: int, pair_weight: float = 1.0, ridge: float = 1e-4, steps: int = 400, times: list[int] | None = None) -> tuple[np.ndarray, float]:
+    """Minimise mean log loss + pair_weight * mean squared change of the logit over pairs (each as often as ``times`` says) + ridge * |w|^2, by Adam steps."""
     at, feature = _sparse(rows)
     p_at, p_feature = _sparse([a for a, _ in pairs])
     q_at, q_feature = _sparse([b for _, b in pairs])
     n, m = len(rows), max(1, len(pairs))
+    weight = np.ones(m) / m if times is None or not pairs else np.array(times, float) / sum(times)
     theta, first, second = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     theta[-1] = np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5))
     for step in range(1, steps + 1):
@@ -112,7 +133,7 @@ def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[lis
         gradient = np.append(np.bincount(feature, error[at], n_features) + 2 * ridge * w, error.sum())
         if pairs:
             change = np.bincount(p_at, w[p_feature], m) - np.bincount(q_at, w[q_feature], m)
-            pull = 2 * pair_weight * change / m
+            pull = 2 * pair_weight * change * weight
             gradient[:-1] += np.bincount(p_feature, pull[p_at], n_features) - np.bincount(q_feature, pull[q_at], n_features)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         theta -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
@@ -176,18 +197,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches_of(batches, "body", 4 << 20):
-            rows = [(encode(words_of(t)), x, [[encode(a), encode(b)] for a, b in swapped(t)[:64]]) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            kinds = (pa.list_(pa.int32()), pa.int32(), pa.list_(pa.list_(pa.list_(pa.int32()))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["own", "toxic", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array([encode(words_of(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], names=["own", "toxic"])
 
-    coded = sample.orderBy("id").select("body", "toxic").mapInArrow(run, "own array<int>, toxic int, pairs array<array<array<int>>>").collect()
+    def swaps(batches):
+        for batch in batches_of(batches, "body", 4 << 20):
+            changes: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                changes.update(swap_changes(text, packed.value))
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
+            columns = ([a for a, _ in changes], [b for _, b in changes], list(changes.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gone", "new", "n"])
+
+    coded = sample.orderBy("id").select("body", "toxic").mapInArrow(run, "own array<int>, toxic int").collect()
     truth = np.array([r.toxic for r in coded], float)
     if not len(truth):
         return Model({}, None)
     if truth.min() == truth.max():
         share = (truth.sum() + 0.5) / (len(truth) + 1)
         return Model({}, float(np.log(share / (1 - share))))
-    weights, intercept = fit_weights([r.own for r in coded], truth, [(p[0], p[1]) for r in coded for p in r.pairs], len(number), pair_weight)
+    pairs = sample.select("body").mapInArrow(swaps, "gone array<int>, new array<int>, n long").groupBy("gone", "new").agg(F.sum("n").alias("n")).orderBy("gone", "new").collect()
+    weights, intercept = fit_weights([r.own for r in coded], truth, [(p.gone, p.new) for p in pairs], len(number), pair_weight, times=[p.n for p in pairs])
     return Model({f: float(weights[n]) for f, n in number.items() if weights[n]}, intercept)
 
 
