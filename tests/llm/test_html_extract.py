@@ -59,3 +59,13 @@ def test_query_over_whole_table(spark):
         inner = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+def test_template_of_a_part_of_a_host(spark):
+    notice = lambda i: "<div><p>Shared section notice</p></div>" if i % 10 < 3 else "<div class='ad'><p>Marked in places</p></div>" if i % 10 < 9 else "<div><p>Marked in places</p></div>"
+    pages = [(i, f"http://d.org/{i}", f"<body>{notice(i)}<p>Own text {i}.</p></body>") for i in range(60)]
+    pages += [(100 + i, f"http://e.org/{i}", f"<article><p>Own text {i}.</p>{'<p>Said again.</p>' if i % 2 else ''}</article>") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for options in ({}, {"block_hashes": 1}):
+        got = {r.page_id: r.text for r in op.extract(df, **options).collect()}
+        assert got == {i: f"Own text {i}." for i in range(60)} | {100 + i: f"Own text {i}." + "\nSaid again." * (i % 2) for i in range(60)}

@@ -3,10 +3,12 @@
 A page becomes a tree of elements.  Elements that their tag, role or class marks as
 navigation, header, footer, sidebar, notice, advert, form, script, style or reader
 comment are left out, and where the page names its article (or main part), only that
-counts.  What remains is compared across the site: every element's subtree is hashed,
-Spark counts per host in how many pages with different main texts each hash stands,
-and subtrees that stand in at least ``min_pages`` of them and in ``share`` of the
-host's are template and are deleted.  Pages that carry one and the same text count
+counts.  Subtrees are compared across the site before these rules: every element's
+subtree is hashed, and Spark counts per host in how many pages with different main
+texts each hash stands.  Subtrees that stand in at least ``min_pages`` of them and in
+a share of the host's are template and are deleted: in ``share`` of them inside a
+named article, whose repeated paragraphs are content, and in ``outer_share`` of them
+elsewhere (pages that name no article are elsewhere throughout).  Pages that carry one and the same text count
 once, so that a copied article does not look like a template.
 
 The hashes to delete travel to the executors in blocks of a checked number; if they
@@ -63,6 +65,10 @@ _MARKS = frozenset(
 _ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment comments related recommended".split())
 
 
+#: Tells the hash of a subtree outside a named article from that of the same one inside.
+OUTER = 0x9E3779B97F4A7C15
+
+
 class Node:
     __slots__ = ("tag", "children", "out", "hash", "main", "words")
 
@@ -203,7 +209,7 @@ def walk(roots: list[Node], named: bool, template=frozenset()) -> Iterator[Node
             if not isinstance(item, Node):
                 yield item
                 continue
-            if item.out or item.hash in template or (not named and item.tag in ("ul", "ol") and _is_link_list(item)):
+            if item.out or (item.hash if named else item.hash ^ OUTER) in template or (not named and item.tag in ("ul", "ol") and _is_link_list(item)):
                 continue
             if item.tag in ("br", "img"):
                 yield " "
@@ -226,49 +232,62 @@ def main_text(page: str | None, template=frozenset()) -> str:
     return "\n".join(b for b in blocks if b)
 
 
-def subtrees(page: str | None) -> tuple[int, list[int]]:
-    """A hash of the page's main text, and the hashes of the elements with words in it, as signed 64-bit numbers."""
+def subtrees(page: str | None) -> tuple[int, list[int], list[int]]:
+    """A hash of the page's main text, and the hashes of the elements with words inside and outside a named article, as signed 64-bit numbers.
+
+    What is left out by tag, class or role counts as outside; of it, and of what
+    surrounds an article, only blocks count, so that a menu's link is not taken for one in a text.
+    """
     if not page:
-        return 0, []
-    roots, named = content_roots(parse(page))
-    found, texts = set(), []
+        return 0, [], []
+    root = parse(page)
+    roots, named = content_roots(root)
+    inner, outer, texts = set(), set(), []
     for item in walk(roots, named):
         if isinstance(item, Node):
             if item.words and item.tag not in ("#root", "html", "body"):
-                found.add(item.hash)
+                (inner if named else outer).add(item.hash if named else item.hash ^ OUTER)
         elif item:
             texts.append(" ".join(item.split()))
+    content, todo = {id(r) for r in roots}, [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = (inside or id(node) in content) and not node.out
+        if not inside and node.words and (node.out or node.tag in _BLOCK) and node.tag not in ("html", "body"):
+            outer.add(node.hash ^ OUTER)
+        todo += [(c, inside) for c in node.children if isinstance(c, Node)]
     signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
-    return signed(xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass"))), sorted(map(signed, found))
+    return signed(xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass"))), sorted(map(signed, inner)), sorted(map(signed, outer))
 
 
-def template_hashes(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 8, share: float = 0.6) -> DataFrame:
+def template_hashes(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 8, share: float = 0.6, outer_share: float = 0.05) -> DataFrame:
     """host and hash of the subtrees that are template."""
     source = pages.select(_host(url_col).alias("host"), F.col(f"`{html_col}`").alias("page"))
 
     def make():
         def apply(texts: pa.Array) -> list:
             found = [subtrees(t) for t in texts.to_pylist()]
-            return [[c for c, _ in found], [k for _, k in found]]
+            return [list(c) for c in zip(*found, strict=True)] or [[], [], []]
 
         return apply
 
-    seen = annotate(source, "page", [("content", T.LongType()), ("hashes", T.ArrayType(T.LongType()))], make, drop=["page"])
-    distinct = written(seen.where(F.size("hashes") > 0), "html-subtrees").groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
+    seen = annotate(source, "page", [("content", T.LongType()), ("hashes", T.ArrayType(T.LongType())), ("outer", T.ArrayType(T.LongType()))], make, drop=["page"])
+    distinct = written(seen.where(F.size("hashes") + F.size("outer") > 0), "html-subtrees").groupBy("host", "content").agg(F.first(F.struct("hashes", "outer")).alias("found"))
     distinct = written(distinct, "html-contents")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(hosts, "host").where(F.col("n") >= F.lit(share) * F.col("pages")).select("host", "hash")
+    each = lambda part, least: distinct.select("host", F.explode(f"found.{part}").alias("hash"), F.lit(least).alias("least"))
+    counts = each("hashes", share).union(each("outer", outer_share)).groupBy("host", "hash", "least").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    return counts.join(hosts, "host").where(F.col("n") >= F.col("least") * F.col("pages")).select("host", "hash")
 
 
 def _host(url_col: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 8, share: float = 0.6, block_hashes: int = 1 << 20) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 8, share: float = 0.6, outer_share: float = 0.05, block_hashes: int = 1 << 20) -> DataFrame:
     """``pages`` with text and n_chars (its code points); columns of those names are replaced."""
     spark = pages.sparkSession
-    template = written(template_hashes(pages, html_col, url_col, min_pages, share), "html-template")
+    template = written(template_hashes(pages, html_col, url_col, min_pages, share, outer_share), "html-template")
     count = template.count()
     blocks = max(1, -(-count // block_hashes))
     columns = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
@@ -298,7 +317,7 @@ def _pass(work: DataFrame, packed, last: bool) -> DataFrame:
                     made = [main_text(page, _unsigned(packed.value.get(host), hits)) for host, page, hits in rows]
                     values = [batch.column(batch.schema.get_field_index(f.name)) for f in kept] + [pa.array(made, pa.string())]
                 else:
-                    made = [hits + np.intersect1d(np.array(subtrees(page)[1], "i8"), packed.value.get(host, np.empty(0, "i8"))).tolist() for host, page, hits in rows]
+                    made = [hits + np.intersect1d(np.array(sum(subtrees(page)[1:], []), "i8"), packed.value.get(host, np.empty(0, "i8"))).tolist() for host, page, hits in rows]
                     values = [pa.array(made, pa.list_(pa.int64())) if f.name == "hits" else batch.column(batch.schema.get_field_index(f.name)) for f in kept]
                 yield pa.RecordBatch.from_arrays(values, names=schema.names)
 
