@@ -16,9 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def model():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def brute(docs):
@@ -47,7 +45,7 @@ def test_encoder_gives_the_ids_of_whole_texts():
     rng, whole = random.Random(9), model()
     for small in (10, 10**6):
         encoder = op.TextEncoder(PATH, memo_size=small)
-        bits = ["word", "Über", "naïve", "漢字", "ª", "ǅ", "x\u0301", "a1", "it's", "don't.", "end.", "end,", '"(', "...", "_", "a_b", "%%", "'", "ende'.", "Ⅷ", "１２", "🙂", "\n", "\u00a0", "a\u200bb"]
+        bits = ["word", "Über", "naïve", "漢字", "ª", "ǅ", "x\u0301", "a1", "it's", "don't.", "end.", "end,", '"(', "...", "_", "a_b", "%%", "'", "ende'.", "Ⅷ", "１２", "🙂", "<|endoftext|>", "a<|endoftext|>", "<|endoftext|>.", "\n", "\u00a0", "a\u200bb"]
         for _ in range(300):
             texts = [" ".join(rng.choice(bits) + rng.choice(["", "", ".", ",", "?!", "\n", "'s", "%%%"]) for _ in range(rng.randrange(30))) for _ in range(5)]
             flat, cuts = encoder.encode(pa.array([*texts, " ", "", "  a", "b  c", "d "]))
@@ -77,11 +75,16 @@ def test_file_round_trip_and_lookup(tmp_path, n):
 
 
 def test_nulls_repeats_and_empty_tables(spark):
-    docs = [(3, "a b"), (3, "a b"), (-5, None), (None, "null id"), (9, ""), (10**15, " x\n\n  y  " * 3000), (1, "<|endoftext|> as text")]
+    docs = [(3, "a b"), (3, "a b"), (-5, None), (None, "null id"), (9, ""), (10**15, " x\n\n  y  " * 3000), (1, "hello <|endoftext|> there"), (2, "<|endoftext|>")]
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, ids int")
     manifest = op.write_shards(df, PATH, partitions=3)
     got = [(r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in op.read_shards(manifest).orderBy("start").collect()]
     assert got == brute(docs)
+    assert [r.ids for r in op.read_shards(manifest).where("doc_id = 1").collect()] == [[31373, 220, 50256, 612, 0]]
+    small = op.write_shards(df, PATH, partitions=2, max_docs=2)
+    assert small.count() > 3 and small.agg({"docs": "max"}).head()[0] == 2
+    assert [tuple(r) for r in op.digest_shards(small).orderBy("start").collect()] == brute(docs)
+    assert op.lookup(small, 3) == op.lookup(manifest, 3) and op.lookup(small, -5) == [[0]]
     assert op.lookup(manifest, 3) == [[*model().encode("a b").ids, 0]] * 2 and op.lookup(manifest, 4) == [] and op.lookup(manifest, 9) == [[0]]
     empty = op.write_shards(df.limit(0), PATH)
     assert empty.count() == 0 and op.read_shards(empty).count() == 0

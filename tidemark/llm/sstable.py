@@ -17,11 +17,15 @@ Shards are made by a range shuffle of the documents on their id: shard k holds
 smaller ids than shard k + 1.  A task streams its sorted documents through the
 encoder into its shard and publishes the finished file under a name of its own,
 so a task that runs again leaves nothing half-written that anyone reads: only the
-files named in the committed manifest count.
+files named in the committed manifest count.  After ``max_docs`` documents or
+``max_bytes`` a task goes on in another shard, so that index and filter, which a
+writer and a reader hold whole, are bounded; everything else is streamed.
 
 Defined results: a null or empty text is a document with the end id only; rows
-that repeat an id stand next to each other, ordered by their text; an empty table
-gives no shards.
+that repeat an id stand next to each other, ordered by their text (also where the
+next shard begins between them); the strings of a tokenizer's special tokens in a
+text become those tokens, as in the library's own call; an empty table gives no
+shards.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +84,11 @@ def id_of(key: bytes) -> int | None:
     return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
-def _bloom_bits(key: bytes, bits: int, hashes: int) -> Iterator[int]:
-    one, two = xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+def _bloom_pair(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+
+
+def _bloom_bits(one: int, two: int, bits: int, hashes: int) -> Iterator[int]:
     return ((one + k * two) % bits for k in range(hashes))
 
 
@@ -88,8 +96,8 @@ class Writer:
     """Streams entries in ascending key order into one shard."""
 
     def __init__(self, out):
-        self.out, self.at, self.block, self.index, self.keys = out, 0, bytearray(), bytearray(), []
-        self.last, self.tokens, self.before = b"", 0, 0
+        self.out, self.at, self.block, self.index, self.keys = out, 0, bytearray(), bytearray(), array("Q")
+        self.last, self.tokens, self.before, self.docs = b"", 0, 0, 0
         self.first_key: bytes | None = None
         self.pack = zstandard.ZstdCompressor(level=1).compress
 
@@ -107,7 +115,8 @@ class Writer:
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.last = key
         self.tokens += tokens
-        self.keys.append(key)
+        self.docs += 1
+        self.keys.extend(_bloom_pair(key))
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -122,17 +131,17 @@ class Writer:
 
     def close(self) -> None:
         self._flush()
-        bits = max(64, len(self.keys) * BLOOM_BITS + 7 & ~7)
+        bits = max(64, self.docs * BLOOM_BITS + 7 & ~7)
         bloom = bytearray(bits // 8)
-        for key in self.keys:
-            for bit in _bloom_bits(key, bits, BLOOM_HASHES):
+        for n in range(0, len(self.keys), 2):
+            for bit in _bloom_bits(self.keys[n], self.keys[n + 1], bits, BLOOM_HASHES):
                 bloom[bit >> 3] |= 1 << (bit & 7)
         bloom_block = struct.pack("<I", BLOOM_HASHES) + bytes(bloom)
         index_at = self.at
         self._put(bytes(self.index))
         bloom_at = self.at
         self._put(bloom_block)
-        self._put(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, len(bloom_block), len(self.keys), self.tokens, MAGIC))
+        self._put(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, len(bloom_block), self.docs, self.tokens, MAGIC))
 
 
 class Reader:
@@ -183,7 +192,7 @@ class Reader:
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Token ids of every entry under ``doc_id``: none, one, or as many as the id was repeated."""
         key, bits = key_of(doc_id), len(self.bloom) * 8
-        if not all(self.bloom[b >> 3] & 1 << (b & 7) for b in _bloom_bits(key, bits, self.hashes)):
+        if not all(self.bloom[b >> 3] & 1 << (b & 7) for b in _bloom_bits(*_bloom_pair(key), bits, self.hashes)):
             return []
         found, at = [], bisect_left(self.blocks, key, key=lambda b: b[0])
         while at < len(self.blocks):
@@ -219,14 +228,15 @@ class TextEncoder:
 
     Where the tokenizer is byte-level with the usual pre-token pattern and no
     normaliser, a text may be cut before every single space that a visible
-    character follows: no pre-token reaches over such a cut.  The pieces recur, so
+    character follows: no pre-token reaches over such a cut.  A text that holds the
+    string of an added token is encoded whole.  The pieces recur, so
     a worker process keeps the ids of about ``memo_size`` of them; when there are
     more it starts again from those of the batch at hand.  A piece of letters is one
     pre-token and goes straight to the library's BPE model; punctuation that follows
     the letters is a pre-token of its own.
     """
 
-    def __init__(self, path: str, memo_size: int = 1_200_000):
+    def __init__(self, path: str, memo_size: int = 1_200_000, special_as_text: bool = False):
         import json
         import os
 
@@ -234,11 +244,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model.encode_special_tokens = special_as_text
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         spec = json.loads(self.model.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.piecewise = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space", True)
+        self.added = [t["content"] for t in spec.get("added_tokens") or () if not (special_as_text and t.get("special"))]
         self.spaced: dict[str, bytes] = {}  # by piece without the space it starts with
         self.tails: dict[str, bytes] = {}
         self.memo_size = memo_size
@@ -290,6 +301,8 @@ class TextEncoder:
         in_run = odd[at]
         in_run[firsts] = False
         whole = np.add.reduceat(in_run, firsts).astype(bool) if len(firsts) else in_run
+        for string in self.added:
+            whole |= np.asarray(pc.match_substring(texts, string)).astype(bool)
         heads = [pieces[n] for n in at[firsts]]
         if whole.any():
             for n in np.flatnonzero(whole):
@@ -355,7 +368,7 @@ def split_pieces(text: str) -> tuple[str, list[str]]:
     return whole[0], whole[1:]
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None, max_docs: int = 1 << 19, max_bytes: int = 1 << 30) -> DataFrame:
     """Write the token ids of all ``docs`` and return the manifest: a row per shard, in key order by ``shard``.
 
     ``tokenizer_path`` must be readable on every executor.  ``folder`` is a new
@@ -367,35 +380,38 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
     dealt = rows.repartitionByRange(partitions, "id", F.xxhash64("body")).sortWithinPartitions("id", F.xxhash64("body"), "body")
 
-    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        stream = batches_of(batches, "body", 16 << 20, 1 << 14)
-        first = next(stream, None)
-        if first is None:
-            return
-        number = TaskContext.get().partitionId()
-        uri = f"{folder}/shard-{number:06d}-{uuid.uuid4().hex}.sst"
-        encoder = encoder_for(tokenizer_path)
+    def entries(batches: Iterable[pa.RecordBatch], encoder: TextEncoder) -> Iterator[tuple[bytes, bytes, int]]:
         width = bytes([encoder.width])
         end = np.array([end_id], "<u2" if encoder.width == 2 else "<u4").tobytes()
-        made: list = []
-
-        def fill(out) -> None:
-            writer = Writer(out)
-            batch = first
-            while batch is not None:
-                flat, cuts = encoder.encode(batch.column(1))
-                for doc, a, b in zip(batch.column(0).to_pylist(), cuts, cuts[1:]):
-                    writer.add(key_of(doc), width + flat[a:b].tobytes() + end, int(b - a) + 1)
-                batch = next(stream, None)
-            writer.close()
-            made.append(writer)
+        for batch in batches_of(batches, "body", 16 << 20, 1 << 14):
+            flat, cuts = encoder.encode(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), cuts, cuts[1:]):
+                yield key_of(doc), width + flat[a:b].tobytes() + end, int(b - a) + 1
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        task, part = TaskContext.get().partitionId(), 0
         with no_collection():
-            publish(uri, fill)
-        w = made[0]
-        yield pa.RecordBatch.from_pylist([{"shard": number, "path": uri, "bytes": w.at, "docs": len(w.keys), "tokens": w.tokens, "first_key": w.first_key, "last_key": w.last}])
+            stream = entries(batches, encoder_for(tokenizer_path))
+            entry = next(stream, None)
+            while entry is not None:
+                uri = f"{folder}/shard-{task:06d}-{part:04d}-{uuid.uuid4().hex}.sst"
+                made: list = []
+
+                def fill(out) -> None:
+                    nonlocal entry
+                    writer = Writer(out)
+                    while entry is not None and writer.docs < max_docs and writer.at < max_bytes:
+                        writer.add(*entry)
+                        entry = next(stream, None)
+                    writer.close()
+                    made.append(writer)
+
+                publish(uri, fill)
+                w = made[0]
+                yield pa.RecordBatch.from_pylist([{"shard": (task << 24) + part, "path": uri, "bytes": w.at, "docs": w.docs, "tokens": w.tokens, "first_key": w.first_key, "last_key": w.last}])
+                part += 1
 
     return written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
@@ -447,8 +463,9 @@ def digest_shards(manifest: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                found = [(doc, start, len(tokens), zlib.crc32(tokens.tobytes())) for doc, start, tokens in _documents(row["path"], row["base"])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                documents = _documents(row["path"], row["base"])
+                while found := [(doc, start, len(tokens), zlib.crc32(tokens.tobytes())) for doc, start, tokens in islice(documents, 1 << 14)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return _located(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
