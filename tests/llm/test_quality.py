@@ -48,6 +48,7 @@ def test_copies_are_not_rejected_for_being_copied(spark):
     text = "\n".join(" ".join(f"w{i}x{k}" for k in range(6)) for i in range(20))
     df = spark.createDataFrame([(i, text, "h") for i in range(500)], "doc_id long, text string, source string")
     assert op.judge(df).where("kept").count() == 500
+    assert op.judge(df, count_copies=True).where("kept").count() == 0 and op.judge(df, line_limit=500, count_copies=True).where("kept").count() == 500
     assert op.judge(df.limit(0)).count() == 0
 
 

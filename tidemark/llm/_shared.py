@@ -19,11 +19,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one use of ``name``, below ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (local tests)
-    is a temporary folder made and set for the context.
+    The setting is read from the session.  Only where it is unset and the master is
+    local is a temporary folder made and set for the context: executors of a cluster
+    would each see a folder of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.sparkContext.setCheckpointDir(base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
@@ -31,17 +34,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_intermediate: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage there."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _intermediate.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``shared_folder`` named."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` has made for this driver so far, and count them.
+
+    Results that were not saved, and manifests that were not read, are lost with them.
+    """
+    paths = list(_intermediate)
+    _intermediate.clear()
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return len(paths)
 
 
 def filesystem(uri: str):
@@ -136,15 +150,14 @@ def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: s
     Keys with more than 1/``total_share`` of all rows number fewer than
     ``total_share``, so that part of ``right`` has a proven bound and is broadcast:
     rows of a hot key stay where they are.  The rest is joined by a shuffle in
-    which no key weighs more than that share.
+    which no key weighs more than that share.  ``right`` is read once to learn the
+    weights and again to join: give it as a written table where it is dear to make.
     """
-    total = right.agg(F.sum(weight)).head()[0] or 0
-    limit = max(1, total // total_share)
-    hot = right.where(F.col(weight) > limit)
-    cold = right.where(F.col(weight) <= limit)
-    if hot.limit(1).count() == 0:
+    total, most = right.agg(F.sum(weight), F.max(weight)).head()
+    limit = max(1, (total or 0) // total_share)
+    if (most or 0) <= limit:
         return left.join(right, keys, how)
-    hot_keys = F.broadcast(hot.select(*keys))
+    hot = right.where(F.col(weight) > limit)
     in_hot = left.join(F.broadcast(hot), keys, "inner")
-    rest = left.join(hot_keys, keys, "left_anti").join(cold, keys, how)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) <= limit), keys, how)
     return in_hot.unionByName(rest)

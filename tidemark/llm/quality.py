@@ -8,7 +8,8 @@ Two verdicts decide whether a document is kept.
   single spaces) and hashed; for each host, the distinct documents that hold a line
   are counted; lines in more than ``line_limit`` of them are removed; a document that
   keeps less than ``kept_share`` of its words is depleted and rejected.  Copies of a
-  text count as one document, so a text is not rejected for being copied.
+  text count as one document, so a text is not rejected for being copied;
+  ``count_copies`` counts each of them.
 
 A verdict depends on host and text only.  It is made once per pair of them and joined
 back to the rows; pairs that many rows share, and lines that many documents share,
@@ -93,32 +94,34 @@ def _make():
     return apply
 
 
-def judge(docs: DataFrame, id_cols: list[str] | None = None, text_col: str = "text", host_col: str = "source", line_limit: int = 100, kept_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def judge(docs: DataFrame, id_cols: list[str] | None = None, text_col: str = "text", host_col: str = "source", line_limit: int = 100, kept_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, count_copies: bool = False) -> DataFrame:
     """``docs`` (or only its ``id_cols``) with RESULTS; columns of those names are replaced.
 
     ``removed_words`` counts the words of lines above the limit.
     """
     columns = [c for c in id_cols or docs.columns if c.lower() not in RESULTS]
-    joined = _judged(docs, columns, text_col, host_col, line_limit, kept_share, min_words, max_repeat_percent)
+    joined = _judged(docs, columns, text_col, host_col, line_limit, kept_share, min_words, max_repeat_percent, count_copies)
     return joined.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)], *RESULTS)
 
 
-def _judged(docs: DataFrame, columns: list[str], text_col: str, host_col: str, line_limit: int, kept_share: float, min_words: int, max_repeat_percent: int, gone: bool = False) -> DataFrame:
+def _judged(docs: DataFrame, columns: list[str], text_col: str, host_col: str, line_limit: int, kept_share: float, min_words: int, max_repeat_percent: int, count_copies: bool, gone: bool = False) -> DataFrame:
     """``columns`` of ``docs`` as own_0, own_1, ..., with RESULTS and, on demand, the hashes of the lines above the limit (``gone``)."""
     text, host = F.col(f"`{text_col}`"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
     key = F.concat(F.coalesce(F.md5(text.cast("binary")), F.lit("null")), F.lit("@"), host)
     source = docs.select(host.alias("host"), key.alias("row_key"), text.alias("body"))
     seen = annotate(source, "body", [*MEASURES, ("lines", _LINES)], _make, drop=["body"])
-    seen = written(seen, "quality-measures")
-
-    texts = seen.groupBy("row_key").agg(F.count("*").alias("copies"), *[F.first(n).alias(n) for n, _ in MEASURES])
-    lines = seen.select("row_key", "host", F.explode("lines").alias("l")).select("row_key", "host", "l.line", "l.words").dropDuplicates(["row_key", "line"])
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > line_limit)
-    removed = split_hot_join(lines, often, ["host", "line"], "docs").groupBy("row_key")
+    # One row per text and host: equal keys have equal measures and lines.
+    texts = seen.groupBy("row_key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("host", *(n for n, _ in MEASURES), "lines")])
+    texts = written(texts, "quality-texts")
+
+    lines = texts.select("row_key", "host", "copies", F.explode("lines").alias("l")).select("row_key", "host", "copies", "l.line", "l.words")
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).where(F.col("rows" if count_copies else "n") > line_limit)
+    often = written(often.select("host", "line", "n"), "quality-lines")
+    removed = split_hot_join(lines, often, ["host", "line"], "n").groupBy("row_key")
     removed = removed.agg(F.sum("words").alias("removed_words"), *([F.collect_list("line").alias("gone")] if gone else []))
 
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    verdict = texts.join(removed, "row_key", "left").withColumns({"base_failed": base, "removed_words": F.coalesce("removed_words", F.lit(0)).cast("long")})
+    verdict = texts.drop("lines", "host").join(removed, "row_key", "left").withColumns({"base_failed": base, "removed_words": F.coalesce("removed_words", F.lit(0)).cast("long")})
     verdict = verdict.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.lit(kept_share) * F.col("n_words")))
     verdict = written(verdict.select("row_key", "copies", *RESULTS, *(["gone"] if gone else [])), "quality-verdicts")
 
@@ -126,9 +129,9 @@ def _judged(docs: DataFrame, columns: list[str], text_col: str, host_col: str, l
     return split_hot_join(own, verdict, ["row_key"], "copies")
 
 
-def filter_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = 100, kept_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def filter_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = 100, kept_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, count_copies: bool = False) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``; lines above the limit are taken out of their texts."""
-    joined = _judged(docs, docs.columns, text_col, host_col, line_limit, kept_share, min_words, max_repeat_percent, gone=True).where("kept")
+    joined = _judged(docs, docs.columns, text_col, host_col, line_limit, kept_share, min_words, max_repeat_percent, count_copies, gone=True).where("kept")
     own = [f"own_{i}" for i in range(len(docs.columns))]
     text = own[[c.lower() for c in docs.columns].index(text_col.lower())]
     joined = joined.select(*own, "gone")
