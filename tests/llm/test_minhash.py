@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 import zstandard
 
 from tidemark.llm import minhash as op
@@ -50,7 +52,7 @@ def test_components_are_those_of_all_pairs(spark):
     docs = families(rng) + [(5, None), (6, ""), (7, " \n"), (8, "one two"), (9, "ONE  two"), (8, "one two"), (None, "one two"), (None, "solo words that nobody shares at all"), (12, "été " * 3000)]
     rng.shuffle(docs)
     df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, node int, kept int").repartition(4)
-    for size, percent in ((4, 80), (5, 80), (1, 90)):
+    for size, percent in ((4, 80), (5, 80), (1, 90), (3, 50)):
         got = sorted((tuple(r) for r in op.near_duplicates(df, size=size, percent=percent).collect()), key=str)
         assert got == brute(docs, size, percent)
     kept = op.deduplicate(df)
@@ -65,13 +67,51 @@ def test_links_between_members_of_a_bucket_are_found_without_its_first(spark):
     name = lambda i: bytes([i]) * 16
     nodes = spark.createDataFrame([(name(i), bytearray(marks[i].tobytes())) for i in range(60)], "node binary, sketch binary")
     packed = spark.createDataFrame([(name(i), bytearray(zstandard.compress(t.encode()))) for i, t in enumerate(texts)], "node binary, packed binary")
-    members = spark.createDataFrame([(7, name(i)) for i in range(60)] + [(8, name(0)), (8, name(1))], "band long, node binary")
+    # Buckets 7, 9 and 10 hold all; 8 holds one pair, with a third member of no likeness.
+    rows = [(7 + 2 * (p > 0) + (p > 1), p, name(i), 57) for i in range(60) for p in (0, 1, 2)] + [(8, 3, name(k), 57) for k in (0, 1, 9)]
+    members = spark.createDataFrame(rows, "band long, pos int, node binary, n_shingles long")
     roots = spark.createDataFrame([(name(5), name(4))], "node binary, root binary")
-    for block, size in ((4, 1 << 20), (2048, 200), (2048, 1 << 20)):
-        found = {(r.a[0], r.b[0]) for r in op._hidden_links(members, roots, nodes, packed, 4, 80, block, size).collect()}
+    for hot, block in ((4, 1 << 20), (59, 200), (60, 200), (60, 1 << 20)):
+        found = {(r.a[0], r.b[0]) for r in op._hidden_links(members, roots, nodes, packed, 4, 80, hot, block).collect()}
         assert found == {(i, i + 1) for i in range(0, 60, 2) if i != 4}
 
 
+def test_bands_follow_the_threshold_and_lose_next_to_nothing():
+    rng = np.random.default_rng(5)
+    assert op.banding(80) == (32, 4) and op.banding(100) == (1, 128)
+    for percent in (15, 30, 50, 80, 90, 95):
+        bands, rows = op.banding(percent)
+        assert bands * rows <= 128 and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+        found = far = 0
+        for _ in range(400):  # pairs exactly at the threshold: 200 shingles in the union
+            union = rng.integers(0, 1 << 63, 200, dtype="u8")
+            own = (200 - 2 * percent) // 2
+            sets = [np.unique(union[: 2 * percent + own]), np.unique(np.concatenate([union[: 2 * percent], union[2 * percent + own :]]))]
+            minima = op.signatures(sets)
+            keys = op.band_keys(minima, bands, rows)
+            found += bool((keys[0] == keys[1]).any())
+            far += (minima[0] == minima[1]).mean() < op.least_agreement(percent)
+        assert found == 400 and far == 0
+    with pytest.raises(ValueError, match="minima"):
+        op.banding(10)
+
+
+def test_a_hot_bucket_of_unlike_documents_is_refined(spark, monkeypatch):
+    """A passage that all share makes buckets of all; only the planted pairs are linked, and none is lost."""
+    monkeypatch.setattr(op._hidden_links, "__defaults__", (12, 1 << 21))
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    docs = []
+    for i in range(60):
+        own = [f"d{i}w{k}" for k in range(30)]
+        docs.append((2 * i, " ".join(passage + own)))
+        if i % 3 == 0:
+            own[rng.randrange(30)] = "changed"
+            docs.append((2 * i + 1, " ".join(passage + own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert sorted((tuple(r) for r in op.near_duplicates(df, size=3, percent=80).collect()), key=str) == brute(docs, 3, 80)
+
+
 def test_star_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(35)] + [(200, 200 + k) for k in range(1, 40)]

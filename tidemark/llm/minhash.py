@@ -2,26 +2,35 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes).  Documents
    with one and the same set are one *node*; from here on work is per node.
-2. 128 universal hash functions give a node's minima; bands of 4 of them are hashed
-   into buckets.  Nodes at the threshold of 0.8 miss each other in all 32 bands with
-   a probability of 5e-8.
+2. 128 universal hash functions give a node's minima; ``banding`` chooses how many of
+   them form a band for the wanted similarity, so that nodes at the threshold miss
+   each other in all bands with a probability of 1e-6 at most (0.8: 32 bands of 4,
+   5e-8).  A band's minima are hashed into a bucket.
 3. In each bucket all members are compared with the smallest member: first the
    signatures, then the full sets.  Confirmed links go into connected components.
 4. A bucket whose members still lie in different components may hide links between
-   them.  All its pairs across components are compared, in blocks: first by signature,
-   then by full sets; the components are completed with the links found.  Pairs inside
-   a component need no look: they are connected already.
+   them.  Its pairs across components are compared, first by signature, then by full
+   sets, each pair in the first such bucket that it shares; the components are
+   completed with the links found.  Pairs inside a component need no look: they are
+   connected already.  A bucket of over ``HOT`` members is refined first: pairs are
+   looked for where they share a second such bucket too, which tells chance from
+   likeness (of pairs at 0.8 that share hot buckets only, 1.1e-6 share just one).  What is
+   still large after that is compared whole, in blocks of bounded size.
 5. Components come from alternating large-star and small-star steps, each written to
    the shared folder.
 
+Signatures are compared with a margin of ``MARGIN`` standard deviations, which loses
+under 1e-9 of the pairs at the threshold.
+
 No step lists the pairs of a group, no group meets in one task unless it is small:
-buckets and components that hold many rows are split off and broadcast under a bound
-that follows from their share, a member that many others are compared with is copied
-to several tasks, and blocks bound what is compared at once.
+buckets, stars and components that hold many rows are split off and broadcast under a
+bound that follows from their share, a member that many others are compared with is
+copied to several tasks, and blocks bound what is compared at once.
 
 Defined results: a document without words has an empty set and is its own group;
 repeated rows with words share a group; a null id is never the smallest id; rows
-whose id is the smallest of their group are kept.
+whose id is the smallest of their group are kept; a threshold under 0.11, which 128
+minima can't serve, is refused.
 """
 
 from __future__ import annotations
@@ -37,15 +46,41 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import batches_of, no_collection, split_hot_join, written
 
-BANDS, ROWS = 32, 4
+MINIMA, MARGIN, HOT = 128, 6.5, 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: h(x) = (a * x + b) mod 2**64 div 2**32 over 32-bit x, a odd: multiply-add-shift hashing.
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype="u8")
+_A = _rng.integers(0, 1 << 63, MINIMA, dtype="u8") * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, MINIMA, dtype="u8")
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def banding(percent: int, missed: float = 1e-6) -> tuple[int, int]:
+    """Bands and rows per band: the most rows with which a pair at the threshold misses itself in all bands with a probability of ``missed`` at most."""
+    share = percent / 100
+    for rows in range(MINIMA, 0, -1):
+        if (1 - share**rows) ** (MINIMA // rows) <= missed:
+            return MINIMA // rows, rows
+    raise ValueError(f"{MINIMA} minima can't find pairs at a similarity of {share}")
+
+
+def least_agreement(percent: int) -> float:
+    """Share of equal minima under which a pair is not worth its full sets."""
+    share = percent / 100
+    return share - MARGIN * (share * (1 - share) / MINIMA) ** 0.5
+
+
+def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Bucket of every node in every band."""
+    keys = np.empty((len(minima), bands), "u8")
+    for band in range(bands):
+        key = np.full(len(minima), band + 1, "u8")
+        for k in range(rows):
+            key = _mixed(key * _MIX1 + minima[:, band * rows + k])
+        keys[:, band] = key
+    return keys
+
+
 def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of words; ``known`` remembers those seen, 200,000 or one text's more."""
     if len(known) > 200_000:
@@ -79,7 +114,7 @@ def shingle_sets(texts: list[str | None], size: int, known: dict[bytes, int] | N
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Minima of every hash function over each (non-empty) set: a row per set."""
-    out = np.empty((len(sets), BANDS * ROWS), "u4")
+    out = np.empty((len(sets), MINIMA), "u4")
     start = 0
     while start < len(sets):
         end, total = start, 0
@@ -88,7 +123,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         x = np.concatenate(sets[start:end]) >> np.uint64(32)
         cuts = np.cumsum([0, *(len(s) for s in sets[start : end - 1])])
-        for k in range(BANDS * ROWS):
+        for k in range(MINIMA):
             out[start:end, k] = np.minimum.reduceat((_A[k] * x + _B[k]) >> np.uint64(32), cuts)
         start = end
     return out
@@ -100,23 +135,20 @@ def _intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _sketch_rows(docs: DataFrame, size: int) -> DataFrame:
+def _sketch_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """id, text_key, node, n_shingles, bands and sketch (low bytes of the signature) of every row of (id, body)."""
 
+    count, rows = banding(percent)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         with no_collection():
             for batch in batches_of(batches, "body", 4 << 20, 2048):
                 sets = shingle_sets(batch.column(2).to_pylist(), size, known)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sig = signatures([sets[i] for i in full]) if full else np.empty((0, BANDS * ROWS), "u4")
+                sig = signatures([sets[i] for i in full]) if full else np.empty((0, MINIMA), "u4")
                 nodes, bands, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-                keys = np.empty((len(full), BANDS), "u8")
-                for band in range(BANDS):
-                    key = np.full(len(full), band + 1, "u8")
-                    for k in range(ROWS):
-                        key = _mixed(key * _MIX1 + sig[:, band * ROWS + k])
-                    keys[:, band] = key
+                keys = band_keys(sig, count, rows)
                 low = sig.astype("u1")
                 for row, i in enumerate(full):
                     nodes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
@@ -132,7 +164,7 @@ def _sketch_rows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_task: int = 2000) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose full sets are similar.  ``texts``: node, packed text."""
+    """Of ``pairs`` (a, b; a written table), those whose full sets are similar.  ``texts``: node, packed text."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
@@ -143,6 +175,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_tas
     # Nulls sort first: the text that a task's others are compared with comes before them.
     rows = firsts.unionByName(members).repartition(parts, "a", "task").sortWithinPartitions("a", "task", "b")
 
+    least = least_agreement(percent)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -157,7 +191,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_tas
                 if b is None:
                     last, own, mine = (a, t), s, mark
                     continue
-                if last != (a, t) or (mark == mine).mean() < percent / 100 - 0.16 or min(len(s), len(own)) * 100 < percent * max(len(s), len(own)):
+                if last != (a, t) or (mark == mine).mean() < least or min(len(s), len(own)) * 100 < percent * max(len(s), len(own)):
                     continue
                 common = _intersection(own, s)
                 if 100 * common >= percent * (len(own) + len(s) - common):
@@ -179,11 +213,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(current)
     while state[0]:
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select("lo", "hi"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = split_hot_join(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = written(large, "large-star")
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(low, "hi")
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        joined = split_hot_join(large, low, ["hi"], "n")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(low.select("hi", F.col("m").alias("lo"))).distinct()
         current = written(small, "small-star")
         now = _state(current)
@@ -197,30 +231,46 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).head())
 
 
-def _hidden_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 2048, block_bytes: int = 8 << 20) -> DataFrame:
+def _hidden_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, hot: int = HOT, block_shingles: int = 1 << 21) -> DataFrame:
     """(a, b) with similar full sets from buckets whose members lie in different components.
 
-    A bucket's members are dealt into blocks of bounded number and text; each pair of
-    blocks is one group.  Inside it, pairs of one component are passed over, also when
-    a link just found has joined the two, and pairs with unlike signatures; the rest
-    are settled by their full sets.
+    ``members``: band, pos, node and n_shingles; ``nodes``: node and sketch.  A group is
+    an open bucket (g1) or, of those with over ``hot`` members, two of them that share
+    nodes (g1, g2).  Its members are dealt into blocks of bounded number and text, and
+    each pair of blocks goes to one task.  There, pairs of one component are passed
+    over, also when a link just found has joined the two, and so are pairs that meet in
+    an earlier group and pairs with unlike signatures; the rest are settled by their
+    full sets.
     """
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("band", "pos", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "bucket-members")
-    open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 2").select("band", "n")
-    left = split_hot_join(placed, open_, ["band"], "n").select("band", "node", "root").join(nodes.select("node", "sketch"), "node").join(texts, "node")
-    left = written(left, "bucket-texts")
-    sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.length("packed")).alias("bytes"))
-    sizes = sizes.select("band", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
-    dealt = split_hot_join(left, sizes, ["band"], "n").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch", "packed")
-    dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    spread = [F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")]
+    open_ = written(placed.groupBy("band").agg(*spread).where("r0 <> r1 AND n > 2").select("band", "n", "weight"), "bucket-open")
+    left = written(split_hot_join(placed, open_, ["band"], "n").withColumn("hot", F.col("n") > hot), "bucket-left")
+    cool = left.where(~F.col("hot")).select(F.col("band").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("pos").alias("p1"), F.lit(-1).alias("p2"), "node", "root", "n_shingles", "n", "weight")
+
+    held = left.groupBy("node").agg(F.first("root").alias("root"), F.first("n_shingles").alias("n_shingles"), F.sort_array(F.collect_list(F.struct("pos", "band", "hot"))).alias("held"))
+    twos = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.struct(x["band"].alias("g1"), y["band"].alias("g2"), x["pos"].alias("p1"), y["pos"].alias("p2")))))
+    shared = held.withColumn("h", F.filter("held", lambda x: x["hot"])).where(F.size("h") > 1).select("node", "root", "n_shingles", F.explode(twos).alias("g")).select("g.*", "node", "root", "n_shingles")
+    if left.where("hot").limit(1).count():
+        shared = written(shared, "bucket-pairs")
+        open_pairs = written(shared.groupBy("g1", "g2").agg(*spread).where("r0 <> r1").select("g1", "g2", "n", "weight"), "bucket-open-pairs")
+        groups = cool.unionByName(split_hot_join(shared, open_pairs, ["g1", "g2"], "n"))
+    else:
+        groups = cool
+
+    blocks = F.greatest(F.ceil(F.col("n") / hot), F.ceil(F.col("weight") / block_shingles)).cast("int")
+    dealt = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g1", "g2", "p1", "p2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    # Of a node, the buckets where it meets others, by their band: what tells whether a pair has met before.
+    meets = lambda flag: F.transform(F.sequence(F.lit(0), F.lit(banding(percent)[0] - 1)), lambda p: F.coalesce(F.get(F.filter("held", lambda x: (x["pos"] == p) & (x["hot"] == flag)), F.lit(0))["band"], F.lit(0).cast("long")))
+    marks = held.select("node", meets(F.lit(False)).alias("cool"), meets(F.lit(True)).alias("warm")).join(nodes.select("node", "sketch"), "node").join(texts, "node")
+    dealt = dealt.join(marks, "node").repartition(parts, "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["band", "i", "j"]):
+        for group in _groups(batches, ["g1", "g2", "i", "j"]):
             found = _links_of_group(group, size, percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
@@ -232,9 +282,12 @@ def _links_of_group(group: pa.Table, size: int, percent: int) -> list[tuple[byte
     """Links between components of the members of a group, until it has no more to find."""
     import zstandard
 
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    own, node, packed = np.array(group.column("own").to_pylist()), group.column("node").to_pylist(), group.column("packed").to_pylist()
+    first = lambda name: group.column(name)[0].as_py()
+    i, j, p1, p2, least = first("i"), first("j"), first("p1"), first("p2"), least_agreement(percent)
+    own, node, packed = group.column("own").to_numpy(), group.column("node").to_pylist(), group.column("packed").to_pylist()
     marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "u1").reshape(len(node), -1)
+    table = lambda name: np.concatenate([np.asarray(c.flatten()) for c in group.column(name).chunks]).reshape(len(node), -1)
+    cool, warm = table("cool"), table("warm")
     numbers: dict[bytes, int] = {}
     component = np.array([numbers.setdefault(r, len(numbers)) for r in group.column("root").to_pylist()])
     sets: dict[int, np.ndarray] = {}
@@ -244,11 +297,20 @@ def _links_of_group(group: pa.Table, size: int, percent: int) -> list[tuple[byte
             sets[k] = shingle_sets([zstandard.decompress(packed[k]).decode()], size)[0]
         return sets[k]
 
+    def met_here(x: int, others: np.ndarray) -> np.ndarray:
+        """Of ``others``, those that x meets in this group first."""
+        same = (cool[others] == cool[x]) & (cool[x] != 0)
+        if p2 < 0:
+            return others[same.argmax(axis=1) == p1]
+        both = (warm[others] == warm[x]) & (warm[x] != 0)
+        return others[~same.any(axis=1) & (both.cumsum(axis=1)[:, p2] == 2)]
+
     found = []
     for x in np.flatnonzero(own == i):
         others = np.flatnonzero((component != component[x]) & (own == j))
         others = others[others > x] if i == j else others
-        others = others[(marks[others] == marks[x]).mean(axis=1) >= percent / 100 - 0.14] if len(others) else others
+        others = others[(marks[others] == marks[x]).mean(axis=1) >= least] if len(others) else others
+        others = met_here(x, others) if len(others) else others
         for at in range(0, len(others), 64):
             near = [y for y in others[at : at + 64] if component[y] != component[x]]
             if not near:
@@ -287,16 +349,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id_col, n_shingles, component_id and kept of every row of ``docs``."""
     text = F.col(f"`{text_col}`")
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("body"))
-    rows = written(_sketch_rows(source, size), "minhash-rows")
+    rows = written(_sketch_rows(source, size, percent), "minhash-rows")
     full = rows.where("node IS NOT NULL")
     first = F.min(F.struct("id", "text_key")).alias("first")
-    nodes = full.groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("min_id"), first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = full.groupBy("node").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min("id").alias("min_id"), first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "minhash-nodes")
 
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("pos", "band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = written(split_hot_join(banded, written(buckets, "minhash-buckets"), ["band"], "n").select("band", "node", "leader"), "minhash-members")
-    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    members = written(split_hot_join(banded, written(buckets, "minhash-buckets"), ["band"], "n").select("band", "pos", "node", "n_shingles", "leader"), "minhash-members")
+    pairs = written(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "minhash-pairs")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
 
@@ -313,13 +375,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = written(_verify(pairs, texts, size, percent), "minhash-links")
     roots = connected_components(links)
-    more = written(_hidden_links(members.select("band", "node"), roots, nodes, texts, size, percent), "minhash-hidden")
+    more = written(_hidden_links(members, roots, nodes, texts, size, percent), "minhash-hidden")
     if more.limit(1).count():
         roots = connected_components(links.union(more))
 
     rooted = written(nodes.select("node", "copies", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-roots")
     smallest = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("min_id").alias("component_id"))
-    named = split_hot_join(rooted, smallest, ["root"], "n").select("node", "copies", "component_id")
+    named = written(split_hot_join(rooted, smallest, ["root"], "n").select("node", "copies", "component_id"), "minhash-names")
     grouped = split_hot_join(full.select("id", "node", "n_shingles"), named, ["node"], "copies").select("id", "n_shingles", "component_id")
     alone = rows.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     return grouped.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
