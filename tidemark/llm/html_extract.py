@@ -2,24 +2,34 @@
 
 A page becomes a tree of elements.  Elements that their tag, role or class marks as
 navigation, header, footer, sidebar, notice, advert, form, script, style or reader
-comment are left out, and where the page names its article (or main part), only that
-counts.  Subtrees are compared across the site before these rules: every element's
+comment are left out, and where the page names its main part or article, only that
+counts (the main part whole, where it holds the article).  A class or id marks an
+element if it is a mark as a whole, or made of marks and words of place and shape:
+``cookie-notice`` and ``site-header`` do, ``notice-period`` and ``header-image`` do
+not.  Inside the named part only the few marks of what is set into articles count.
+
+Subtrees are compared across the site before these rules: every element's
 subtree is hashed, and Spark counts per host in how many pages with different main
 texts each hash stands.  Subtrees that stand in at least ``min_pages`` of them and in
 a share of the host's are template and are deleted: in ``share`` of them inside a
-named article, whose repeated paragraphs are content, and in ``outer_share`` of them
-elsewhere (pages that name no article are elsewhere throughout).  Pages that carry one and the same text count
-once, so that a copied article does not look like a template.
+named part, whose repeated paragraphs are content, and in ``outer_share`` of them
+elsewhere (pages that name no part are elsewhere throughout).  Pages that carry one
+and the same text count once, so that a copied article does not look like a template.
 
-The hashes to delete travel to the executors in blocks of a checked number; if they
-are more than one block, each further block takes another pass over the pages.
+The hashes to delete are broadcast if they are ``broadcast_hashes`` at most.  More of
+them are joined to the pages by host, an array per host: since a template stands in
+a share of the host's pages, an array is at most 1 / ``outer_share`` times as long as
+the host's pages have subtrees on average.  Pages of hot hosts stay where they are.
 
 The text is made of blocks: character references are decoded, white space inside a
 block becomes one space, and non-empty blocks are joined in page order by a newline.
 
 Defined results: null and empty pages have an empty text; text outside any tag is
 content; pages without a host share the empty host; repeated rows get the same text
-each; unclosed elements end with the page.
+each; unclosed elements end with the page; a list of three or more links of four
+words at most, and nothing else, is a menu on pages that name no part; of pages with
+equal main texts the one with the least subtree hashes is counted; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,11 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import annotate, batches_of, no_collection, written
+from tidemark.llm._shared import annotate, batches_of, no_collection, split_hot_join, written
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>\"']*)[^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
-_TOKEN_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^a-z0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style textarea title xmp iframe noembed noframes".split()}
@@ -58,11 +68,14 @@ _ENDS = {
 
 _LEFT_OUT = frozenset("nav footer aside form script style head title noscript template svg math iframe object canvas audio video button select textarea dialog menu xmp noembed noframes".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of class and id attributes (split at anything but letters) that mark what is not the article.
+#: Classes and ids that mark what is not the article.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup comment comments commentlist disqus respond share sharing social related recommended pagination pager login search skip".split()
 )
-_ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment comments related recommended".split())
+#: Those of them that also count inside a named article.
+_ARTICLE_MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsored promo nav navbar sidebar breadcrumbs cookie newsletter comment comments commentlist disqus share sharing social related recommended".split())
+#: Words of place and shape, which change nothing about what a mark says.
+_SHAPES = frozenset("site page top bottom left right main inner outer primary secondary global fixed sticky mobile desktop wrap wrapper container bar box block banner list item items links link buttons button widget widgets area slot unit panel js".split())
 
 
 #: Tells the hash of a subtree outside a named article from that of the same one inside.
@@ -76,8 +89,19 @@ class Node:
         self.tag, self.children, self.out, self.main, self.hash, self.words = tag, [], out, main, 0, False
 
 
-def _node(tag: str, attributes: str, in_article: bool) -> Node:
-    out, main = tag in _LEFT_OUT or (tag == "header" and not in_article), tag == "main"
+def _marked(names: str, marks: frozenset[str]) -> bool:
+    """Whether one of the class names or ids is a mark, alone or with words of place and shape."""
+    for name in names.lower().split():
+        if name in marks:
+            return True
+        parts = [p for p in _PARTS.split(name) if p and not p[0].isdigit()]
+        if any(p in marks for p in parts) and all(p in marks or p in _SHAPES for p in parts):
+            return True
+    return False
+
+
+def _node(tag: str, attributes: str, inside: bool) -> Node:
+    out, main = tag in _LEFT_OUT or (tag == "header" and not inside), tag == "main"
     if attributes and not out:
         found = {}
         for m in _ATTRIBUTE.finditer(attributes):
@@ -85,23 +109,23 @@ def _node(tag: str, attributes: str, in_article: bool) -> Node:
         role = found.get("role", "").lower()
         main = main or role == "main"
         if tag not in ("html", "body", "main"):
-            words = set(_TOKEN_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-            marks = _ARTICLE_MARKS if tag == "article" or main else frozenset() if tag in _HEADING else _MARKS
-            out = bool(words & marks) or role in _ROLES or "hidden" in found or "display:none" in found.get("style", "").lower().replace(" ", "")
+            marks = _ARTICLE_MARKS if inside or main or tag == "article" else frozenset() if tag in _HEADING else _MARKS
+            names = f"{found.get('class', '')} {found.get('id', '')}"
+            out = _marked(names, marks) or role in _ROLES or "hidden" in found or "display:none" in found.get("style", "").lower().replace(" ", "")
     return Node(tag, out, main)
 
 
 def parse(page: str) -> Node:
     """The page's elements under one root.  Every element has the hash of its subtree when it ends."""
     root = Node("#root")
-    stack, open_, articles = [root], Counter(), 0
+    stack, open_, named = [root], Counter(), 0
     at, search, size = 0, _TOKEN.search, len(page)
 
     def pop() -> None:
-        nonlocal articles
+        nonlocal named
         node = stack.pop()
         open_[node.tag] -= 1
-        articles -= node.tag == "article"
+        named -= node.main or node.tag == "article"
         _close(node)
 
     while at < size:
@@ -137,7 +161,7 @@ def parse(page: str) -> Node:
                     depth -= 1
                 while last is not None and len(stack) > last:
                     pop()
-        node = _node(tag, m[3] or "", articles > 0)
+        node = _node(tag, m[3] or "", named > 0)
         stack[-1].children.append(node)
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
@@ -145,7 +169,7 @@ def parse(page: str) -> Node:
         elif tag not in _VOID:
             stack.append(node)
             open_[tag] += 1
-            articles += tag == "article"
+            named += node.main or tag == "article"
     while len(stack) > 1:
         pop()
     return root
@@ -178,25 +202,28 @@ def _outermost(root: Node, wanted) -> list[Node]:
 
 
 def content_roots(root: Node) -> tuple[list[Node], bool]:
-    """Where the main text stands, and whether the page says so itself."""
-    for wanted in (lambda n: n.tag == "article" and n.words, lambda n: n.main and n.words):
-        if found := _outermost(root, wanted):
-            return found, True
-    return [root], False
+    """Where the main text stands, and whether the page says so itself: the main part or the article, whichever is outermost."""
+    mains = _outermost(root, lambda n: n.words and n.main)
+    found = _outermost(root, lambda n: n.words and (n.main or n.tag == "article"))
+    if mains:
+        found = [n for n in found if n.main] or found
+    return (found, True) if found else ([root], False)
 
 
 def _is_link_list(node: Node) -> bool:
-    """Whether a list holds links and nothing else: a menu that no mark gives away."""
-    links, todo = 0, [node]
+    """Whether a list holds short links and nothing else: a menu that no mark gives away."""
+    links, todo = 0, [(node, False)]
     while todo:
-        for child in todo.pop().children:
+        item, in_link = todo.pop()
+        words = 0
+        for child in item.children:
             if isinstance(child, str):
-                if child.strip():
-                    return False
-            elif child.tag == "a":
-                links += 1
+                words += len(child.split())
             else:
-                todo.append(child)
+                links += child.tag == "a"
+                todo.append((child, in_link or child.tag == "a"))
+        if words > (4 if in_link else 0):
+            return False
     return links >= 3
 
 
@@ -272,57 +299,57 @@ def template_hashes(pages: DataFrame, html_col: str = "html", url_col: str = "ur
         return apply
 
     seen = annotate(source, "page", [("content", T.LongType()), ("hashes", T.ArrayType(T.LongType())), ("outer", T.ArrayType(T.LongType()))], make, drop=["page"])
-    distinct = written(seen.where(F.size("hashes") + F.size("outer") > 0), "html-subtrees").groupBy("host", "content").agg(F.first(F.struct("hashes", "outer")).alias("found"))
+    distinct = written(seen.where(F.size("hashes") + F.size("outer") > 0), "html-subtrees").groupBy("host", "content").agg(F.min(F.struct("hashes", "outer")).alias("found"))
     distinct = written(distinct, "html-contents")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     each = lambda part, least: distinct.select("host", F.explode(f"found.{part}").alias("hash"), F.lit(least).alias("least"))
     counts = each("hashes", share).union(each("outer", outer_share)).groupBy("host", "hash", "least").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(hosts, "host").where(F.col("n") >= F.col("least") * F.col("pages")).select("host", "hash")
+    counts = written(counts, "html-counts")
+    hosts = written(counts.groupBy("host").agg(F.count("*").alias("held")).join(hosts, "host"), "html-hosts")
+    return split_hot_join(counts, hosts, ["host"], "held").where(F.col("n") >= F.col("least") * F.col("pages")).select("host", "hash")
 
 
 def _host(url_col: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 8, share: float = 0.6, outer_share: float = 0.05, block_hashes: int = 1 << 20) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 8, share: float = 0.6, outer_share: float = 0.05, broadcast_hashes: int = 1 << 20) -> DataFrame:
     """``pages`` with text and n_chars (its code points); columns of those names are replaced."""
-    spark = pages.sparkSession
     template = written(template_hashes(pages, html_col, url_col, min_pages, share, outer_share), "html-template")
-    count = template.count()
-    blocks = max(1, -(-count // block_hashes))
     columns = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
     work = pages.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)], _host(url_col).alias("host"), F.col(f"`{html_col}`").alias("page"))
-    work = work.withColumn("hits", F.array().cast("array<long>"))
-    for block in range(blocks):
-        part = template if blocks == 1 else template.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block)
-        sets: dict[str, set] = {}
-        for row in part.toLocalIterator() if count else ():
-            sets.setdefault(row["host"], set()).add(row["hash"])
-        packed = spark.sparkContext.broadcast({h: np.array(sorted(s), "i8") for h, s in sets.items()})
-        work = _pass(work, packed, last=block == blocks - 1)
-    return work.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)], "text", F.char_length("text").cast("long").alias("n_chars"))
-
-
-def _pass(work: DataFrame, packed, last: bool) -> DataFrame:
-    """Adds the page's hashes that are in a block to ``hits``; the last pass extracts the text instead."""
-    kept = [f for f in work.schema.fields if f.name.startswith("own_") or not last]
-    schema = T.StructType([*kept, T.StructField("text", T.StringType())] if last else kept)
+    if template.count() <= broadcast_hashes:
+        sets: dict[str, list[int]] = {}
+        for row in template.collect():
+            sets.setdefault(row["host"], []).append(row["hash"])
+        packed = pages.sparkSession.sparkContext.broadcast({h: np.array(sorted(s), "i8") for h, s in sets.items()})
+    else:
+        packed = None
+        arrays = template.groupBy("host").agg(F.collect_set("hash").alias("gone"))
+        hosts = written(work.groupBy("host").agg(F.count("*").alias("pages")).join(arrays, "host", "left"), "html-arrays")
+        work = split_hot_join(work, hosts, ["host"], "pages").drop("pages")
+    texts = _texts(work, packed)
+    return texts.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)], "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def _texts(work: DataFrame, packed) -> DataFrame:
+    """The main text of every page of (own_0, ..., host, page), without the host's template: from the broadcast, or the array ``gone`` of the row."""
+    kept = [f for f in work.schema.fields if f.name.startswith("own_")]
+    schema = T.StructType([*kept, T.StructField("text", T.StringType())])
 
     def run(batches):
+        known: dict[str, frozenset[int]] = {}
+        column = lambda batch, name: batch.column(batch.schema.get_field_index(name))
         with no_collection():
             for batch in batches_of(batches, "page", 4 << 20):
-                column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-                rows = zip(column("host").to_pylist(), column("page").to_pylist(), column("hits").to_pylist(), strict=True)
-                if last:
-                    made = [main_text(page, _unsigned(packed.value.get(host), hits)) for host, page, hits in rows]
-                    values = [batch.column(batch.schema.get_field_index(f.name)) for f in kept] + [pa.array(made, pa.string())]
-                else:
-                    made = [hits + np.intersect1d(np.array(sum(subtrees(page)[1:], []), "i8"), packed.value.get(host, np.empty(0, "i8"))).tolist() for host, page, hits in rows]
-                    values = [pa.array(made, pa.list_(pa.int64())) if f.name == "hits" else batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-                yield pa.RecordBatch.from_arrays(values, names=schema.names)
+                hosts, made = column(batch, "host").to_pylist(), []
+                for n, (host, page) in enumerate(zip(hosts, column(batch, "page").to_pylist(), strict=True)):
+                    if host not in known:
+                        if len(known) >= 64:
+                            known.clear()
+                        gone = packed.value.get(host, ()) if packed else column(batch, "gone")[n].as_py() or ()
+                        known[host] = frozenset(int(h) % (1 << 64) for h in gone)
+                    made.append(main_text(page, known[host]))
+                yield pa.RecordBatch.from_arrays([column(batch, f.name) for f in kept] + [pa.array(made, pa.string())], names=schema.names)
 
     return work.mapInArrow(run, schema)
-
-
-def _unsigned(own: np.ndarray | None, hits: list[int]) -> frozenset[int]:
-    return frozenset(h % (1 << 64) for h in [*(own.tolist() if own is not None else ()), *hits])
