@@ -7,17 +7,19 @@ loss holds the squared change of the score that such a swap makes, so that a neu
 mention of a group is not taken for abuse because of the company the word keeps in
 the labelled rows.
 
-Learning takes a bounded sample: ``max_rows`` labelled rows, chosen by a hash of
-their id, and the ``max_features`` features that differ most between the labels.
-Both bounds are parameters.  All swaps of the sampled texts count: a swap changes the
-score only by the features it takes out and puts in, so equal changes are counted
-over all texts and weighted by their number.  Scoring covers whole texts of all rows, without a
-shuffle, from the broadcast weights.
+Learning takes a bounded sample: ``max_rows`` of the labelled rows that ``docs`` has,
+chosen by a hash of their id, and the ``max_features`` features that differ most
+between the labels, of those in ``min_docs`` texts whose chi-square is ``min_chi``
+at least.  All four are parameters.  All swaps of the sampled texts count: a swap
+changes the score only by the features it takes out and puts in, so equal changes are
+counted over all texts and weighted by their number.  Scoring covers whole texts of
+all rows, without a shuffle, from the broadcast weights.
 
 Defined results: a null or empty text has no features and gets the score of the
 intercept; rows without any label known score 0; labels that are null, or whose id
-is, are not used; an id with several labels is toxic if one of them says so; repeated
-rows get the same score each; an empty table gives an empty result.
+is, are not used; an id with several labels is toxic if one of them says so; of an id
+with several texts the least in byte order is learned from; repeated rows get the
+same score each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = (4, 5, 6)
 
-#: Terms that name groups, by kind; a term is swapped for others of its kind.
+#: Terms that name groups, by kind and language; a term is swapped for others of its kind.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("woman", "man", "girl", "boy"), ("women", "men", "girls", "boys"), ("female", "male", "transgender", "nonbinary"),
     ("gay", "lesbian", "bisexual", "straight", "heterosexual", "homosexual", "queer"),
@@ -45,10 +47,19 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("christians", "muslims", "jews", "hindus", "buddhists", "catholics", "atheists"),
     ("black", "white", "asian", "latino", "hispanic", "african", "european"),
     ("american", "mexican", "chinese", "indian", "german", "french", "spanish", "arab", "turkish", "russian"),
-    ("old", "young", "elderly", "teenage"), ("deaf", "blind", "disabled", "paralyzed"),
-    ("frau", "mann"), ("frauen", "männer"), ("femme", "homme"), ("femmes", "hommes"), ("mujer", "hombre"), ("mujeres", "hombres"),
+    ("old", "young", "elderly", "teenage"), ("deaf", "blind", "disabled", "paralyzed"), ("immigrant", "refugee", "foreigner"),
+    ("frau", "mann"), ("frauen", "männer"), ("mädchen", "junge"), ("schwul", "lesbisch", "bisexuell", "heterosexuell"), ("schwule", "lesben"),
+    ("christ", "moslem", "jude", "hindu", "buddhist", "katholik", "protestant", "atheist"), ("christen", "muslime", "juden", "hindus", "buddhisten", "katholiken"),
+    ("amerikaner", "mexikaner", "chinesen", "inder", "deutsche", "franzosen", "spanier", "araber", "türken", "russen"), ("einwanderer", "flüchtlinge", "ausländer"),
+    ("femme", "homme", "fille", "garçon"), ("femmes", "hommes", "filles", "garçons"), ("homosexuel", "lesbienne", "bisexuel", "hétérosexuel"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "catholique", "protestant", "athée"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "catholiques"),
+    ("américains", "mexicains", "chinois", "indiens", "allemands", "français", "espagnols", "arabes", "turcs", "russes"), ("immigrés", "réfugiés", "étrangers"),
+    ("mujer", "hombre", "chica", "chico"), ("mujeres", "hombres", "chicas", "chicos"), ("homosexual", "lesbiana", "bisexual", "heterosexual"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "católico", "protestante", "ateo"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "católicos"),
+    ("americanos", "mexicanos", "chinos", "indios", "alemanes", "franceses", "españoles", "árabes", "turcos", "rusos"), ("inmigrantes", "refugiados", "extranjeros"),
 )
-_KIND = {term: kind for kind in IDENTITY_TERMS for term in kind}
+#: The terms that each is swapped for: of two kinds that share a term, those of both.
+_KIND: dict[str, tuple[str, ...]] = {t: tuple(sorted({x for kind in IDENTITY_TERMS if t in kind for x in kind})) for t in sorted({x for kind in IDENTITY_TERMS for x in kind})}
 
 
 def features_of(word: str) -> list[str]:
@@ -140,7 +151,7 @@ def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[lis
     return theta[:-1], float(theta[-1])
 
 
-def _counts(sample: DataFrame, min_docs: int, max_features: int) -> list[str]:
+def _counts(sample: DataFrame, min_docs: int, max_features: int, min_chi: float) -> list[str]:
     """The features that differ most between the labels by the chi-square of their document counts."""
     totals = sample.groupBy("toxic").count().collect()
     positive = sum(r["count"] for r in totals if r["toxic"])
@@ -165,7 +176,7 @@ def _counts(sample: DataFrame, min_docs: int, max_features: int) -> list[str]:
     found = found.where(F.col("n0") + F.col("n1") >= min_docs)
     a, b, c, d = F.col("n1"), F.col("n0"), F.lit(float(positive)) - F.col("n1"), F.lit(float(negative)) - F.col("n0")
     chi = (a * d - b * c) * (a * d - b * c) * (positive + negative) / ((a + b) * (c + d + 1e-9) * positive * negative)
-    top = found.withColumn("chi", chi).where("chi >= 15").orderBy(F.desc("chi"), "feature").limit(max_features)
+    top = found.withColumn("chi", chi).where(F.col("chi") >= min_chi).orderBy(F.desc("chi"), "feature").limit(max_features)
     return [r["feature"] for r in top.collect()]
 
 
@@ -175,19 +186,17 @@ def _count_batch(counts: dict[str, list[int]]) -> pa.RecordBatch:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 10_000, min_docs: int = 5, pair_weight: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 10_000, min_docs: int = 5, pair_weight: float = 1.0, min_chi: float = 15.0) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` (id, 0/1) covers."""
     spark = docs.sparkSession
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    total = known.count()
-    if not total:
-        return Model({}, None)
-    if total > max_rows:  # the ids with the smallest hashes
-        known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"))
-    sample = written(own.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "body", "toxic"), "toxicity-sample")
-    chosen = _counts(sample, min_docs, max_features)
+    known = written(known.join(own.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_rows), "toxicity-labels")
+    # max_rows labels at most are broadcast; copies of an id combine before they are shuffled.
+    sample = own.join(F.broadcast(known), "id").groupBy("id", "toxic").agg(F.min("body").alias("body"))
+    sample = written(sample.select("id", "body", "toxic"), "toxicity-sample")
+    chosen = _counts(sample, min_docs, max_features, min_chi)
     number = {f: n for n, f in enumerate(dict.fromkeys([*chosen, *_KIND]))}
     packed = spark.sparkContext.broadcast(number)
 
@@ -220,6 +229,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model({f: float(weights[n]) for f, n in number.items() if weights[n]}, intercept)
 
 
+def count_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """term and texts: how many texts hold each identity term, that is, what the swaps can work on."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches_of(batches, "body", 4 << 20):
+            for text in batch.column(0).to_pylist():
+                counts.update(words_of(text) & _KIND.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "texts"])
+
+    return docs.select(F.col(f"`{text_col}`").alias("body")).mapInArrow(run, "term string, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 where it is 0.5 or more); columns of those names are replaced."""
     packed = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
