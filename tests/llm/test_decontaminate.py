@@ -50,7 +50,7 @@ def test_random_texts_in_one_and_many_blocks(spark):
     for window in (1, 2, 3, 5, 10):
         want = brute(docs, items, window)
         assert run(spark, docs, items, window) == want
-    assert run(spark, docs, items, 4, max_block_bytes=60) == brute(docs, items, 4)
+    assert run(spark, docs, items, 4, max_block_windows=6) == brute(docs, items, 4)
 
 
 def test_empty_tables_and_clashing_names(spark):
@@ -69,3 +69,44 @@ def test_query_over_whole_table(spark):
     got = op1_decontaminate(spark, d).select("doc_id", "n_words", "n_hit", F.col("n_items")).collect()
     want = [(a, b, c, len(x)) for a, b, c, x in brute(docs, items, 10)]
     assert sorted([tuple(r) for r in got], key=str) == want and any(r[2] for r in got)
+
+
+def test_one_block_is_live_at_a_time_and_its_tables_are_bounded(spark, monkeypatch):
+    import sys
+    import tracemalloc
+
+    from pyspark import SparkContext
+
+    live, most, made = set(), [], SparkContext.broadcast
+
+    def broadcast(self, value):
+        out = made(self, value)
+        live.add(out)
+        most.append(len(live))
+        gone = out.destroy
+        out.destroy = lambda *a: (live.discard(out), gone(*a))
+        return out
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    items = [(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(9)]
+    docs = [(i, f"x {t} y") for i, t in items] + [(20, "none of it")]
+    got = run(spark, docs, items, 3, max_block_windows=5)
+    assert got == brute(docs, items, 3) and len(most) == 5 and max(most) <= 2  # the next block is made after the last is gone
+    assert len(live) == 1
+
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(20_000)}" for _ in range(200_000)).encode()
+    tracemalloc.start()
+    windows = op.Windows([("a", text[: len(text) // 2]), ("b", text[len(text) // 2 :])], 10)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    table = windows.tables[0]
+    flat = sum(sys.getsizeof(x) for x in (table.shift, table.buckets, table.starts, table.prefixes))
+    assert flat < 45 * 200_000 and held < 60 * 200_000
+
+
+def test_windows_that_many_items_hold(spark):
+    items = [(i, "one two three four five" if i % 2 else f"one two three n{i} five") for i in range(300)]
+    docs = [(1, "zero one two three four five six"), (2, "one two three n8 five"), (3, "one two three four"), (4, "two three four")]
+    for window in (3, 4, 5):
+        assert run(spark, docs, items, window) == brute(docs, items, window)

@@ -2,14 +2,18 @@
 
 A benchmark item is cut into windows of ``window`` consecutive words; an item of
 fewer words, but not none, is one window.  The windows of one length form one
-pattern set.  For each set a shift table over blocks of two words says how far
-the search may jump, buckets by the hash of the last block (and then the first)
-select the windows that may end at a position, and a direct comparison confirms
-them.  Blocks that no window holds allow a jump over nearly a whole window, so a
-clean text is passed at a fraction of its words.
-
-The windows travel to the executors in blocks of items whose text has a checked
-size; a benchmark over that size takes one pass over the documents per block.
+pattern set.  For each set a shift table, indexed by the hash of a block of two
+words, says how far the search may jump; buckets by the hash of the last block, with
+the hash of the first block as a prefix check, select the windows that may end at a
+position, and a direct comparison confirms them.  Blocks that no window holds allow
+a jump over nearly a whole window, so a clean text is passed at a fraction of its
+words.
+
+The tables are flat arrays: 30 to 45 bytes a window, besides the items' words once.
+The items travel to the executors in blocks of ``max_block_windows`` windows, or one
+item: about 100 MB in a worker.  A benchmark of more than that takes one pass over
+the documents per block; what a pass finds is written, and its block dropped from the
+executors, before the next one begins.
 
 Defined results: a null or word-less text has no words and is clean; an item
 without words has no windows; rows that repeat an item id are one item; a null
@@ -20,6 +24,9 @@ are judged row by row.
 from __future__ import annotations
 
 import uuid
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import annotate, batches_of
+from tidemark.llm._shared import annotate, batches_of, no_collection, written
 
 #: Lower-cases A-Z and turns every ASCII byte outside 0-9 a-z into a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -42,56 +49,113 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search tables for word windows that all have the same length."""
-
-    def __init__(self, length: int, patterns: list[tuple[bytes, ...]]):
-        self.length, self.block = length, min(2, length)
-        self.jump = length - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict = {}
-        for number, pattern in enumerate(patterns):
-            for end in range(self.block, length + 1):
-                block = pattern[end - self.block : end]
-                self.shift[block] = min(self.shift.get(block, self.jump), length - end)
-            first = self.buckets.setdefault(pattern[length - self.block :], {})
-            first.setdefault(pattern[: self.block], []).append((list(pattern), number))
+    """Search tables for windows of one length: stretches of ``words`` that begin at ``starts``.
+
+    Hashes are Python's own of the words, so tables serve the process that built them.
+    """
+
+    def __init__(self, length: int, words: list[bytes], starts: array):
+        self.length, self.block, self.words = length, min(2, length), words
+        jump = min(length - self.block + 1, 255)
+        bits = max(8, (4 * len(starts)).bit_length())
+        self.mask = (1 << bits) - 1
+        self.shift = bytearray([jump]) * (1 << bits)
+        suffix_bits = max(8, len(starts).bit_length())
+        self.suffix_mask = (1 << suffix_bits) - 1
+        sizes = array("I", bytes(4 * ((1 << suffix_bits) + 1)))
+        shift, mask, block = self.shift, self.mask, self.block
+        for start in starts:
+            for end in range(max(block, length - jump + 1), length + 1):
+                slot = hash(tuple(words[start + end - block : start + end])) & mask
+                if shift[slot] > length - end:
+                    shift[slot] = length - end
+            sizes[(hash(tuple(words[start + length - block : start + length])) & self.suffix_mask) + 1] += 1
+        for n in range(1, len(sizes)):
+            sizes[n] += sizes[n - 1]
+        self.buckets, filled = sizes, array("I", sizes)
+        self.starts, self.prefixes = array("I", bytes(4 * len(starts))), array("I", bytes(4 * len(starts)))
+        for start in starts:
+            slot = hash(tuple(words[start + length - block : start + length])) & self.suffix_mask
+            at = filled[slot]
+            self.starts[at], self.prefixes[at] = start, hash(tuple(words[start : start + block])) & 0xFFFFFFFF
+            filled[slot] = at + 1
 
     def find(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(start, pattern number) of every occurrence in ``words``."""
-        found, at, total, length, jump, shift = [], self.length - 1, len(words), self.length, self.jump, self.shift.get
+        """(start, start of the window) of every occurrence in ``words``."""
+        found, at, total, length, shift, mask, own = [], self.length - 1, len(words), self.length, self.shift, self.mask, self.words
         two = self.block == 2
         while at < total:
-            block = (words[at - 1], words[at]) if two else (words[at],)
-            step = shift(block, jump)
+            mark = hash((words[at - 1], words[at]) if two else (words[at],))
+            step = shift[mark & mask]
             if step:
                 at += step
                 continue
-            start = at - length + 1
-            for pattern, number in self.buckets[block].get(tuple(words[start : start + self.block]), ()):
-                if words[start : at + 1] == pattern:
-                    found.append((start, number))
+            first, last = self.buckets[mark & self.suffix_mask], self.buckets[(mark & self.suffix_mask) + 1]
+            if first < last:
+                start = at - length + 1
+                prefix = hash(tuple(words[start : start + self.block])) & 0xFFFFFFFF
+                for n in range(first, last):
+                    if self.prefixes[n] == prefix:
+                        window = self.starts[n]
+                        if words[start : at + 1] == own[window : window + length]:
+                            found.append((start, window))
             at += 1
         return found
 
 
 class Windows:
-    """All windows of some benchmark items, one search table per window length."""
+    """All windows of some benchmark items, one search table per window length.
+
+    A window that several places hold is one pattern, at the first of them; the items
+    of the others are listed by it.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        owners: dict[int, dict[tuple, set[str]]] = {}
+        self.words: list[bytes] = []
+        self.names: list[str] = []
+        self.begins, vocabulary = array("I"), {}
+        lengths: dict[int, array] = {}
+        self.others: dict[int, set[str]] = {}  # by the start of a pattern: further items that hold it
         for item, text in items:
-            words = tuple(words_of(text))
+            words = words_of(text)
             size = min(window, len(words))
-            for start in range(len(words) - size + 1 if size else 0):
-                owners.setdefault(size, {}).setdefault(words[start : start + size], set()).add(item)
-        self.tables = [(WuManber(size, list(found)), list(found.values())) for size, found in sorted(owners.items())]
+            if not size:
+                continue
+            begin = len(self.words)
+            self.names.append(item)
+            self.begins.append(begin)
+            self.words += [vocabulary.setdefault(w, w) for w in words]
+            lengths.setdefault(size, array("I")).extend(range(begin, begin + len(words) - size + 1))
+        self.tables = [WuManber(size, self.words, self._patterns(size, starts)) for size, starts in sorted(lengths.items())]
+
+    def _patterns(self, size: int, starts: array) -> array:
+        """One start per distinct window: those with equal hashes are compared."""
+        words, kept = self.words, array("I")
+        marks = array("q", (hash(tuple(words[s : s + size])) for s in starts))
+        group: list[int] = []
+        last = None
+        for n in sorted(range(len(starts)), key=marks.__getitem__):
+            start = starts[n]
+            if marks[n] != last:
+                last, group = marks[n], []
+            same = next((g for g in group if words[g : g + size] == words[start : start + size]), None)
+            if same is None:
+                group.append(start)
+                kept.append(start)
+            elif self._item(start) != self._item(same):
+                self.others.setdefault(same, set()).add(self._item(start))
+        return kept
+
+    def _item(self, start: int) -> str:
+        return self.names[bisect_right(self.begins, start) - 1]
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         spans, items = [], set()
-        for table, owners in self.tables:
-            for start, number in table.find(words):
+        for table in self.tables:
+            for start, window in table.find(words):
                 spans.append((start, start + table.length))
-                items |= owners[number]
+                items.add(self._item(window))
+                items |= self.others.get(window, set())
         return spans, items
 
 
@@ -114,30 +178,42 @@ def _windows(packed: Broadcast, window: int) -> Windows:
     name, items = packed.value
     if name not in _tables:
         _tables.clear()
-        _tables[name] = Windows(items, window)
+        with no_collection():
+            _tables[name] = Windows(items, window)
     return _tables[name]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int):
-    """Lists of (id, UTF-8 text), each list about ``max_bytes`` of text or one item."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_windows: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Lists of (id, UTF-8 text), each of ``max_windows`` windows or one item; at most as many items come to the driver at a time."""
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text_col}`").cast("binary").alias("text")).where("text is not null and length(text) > 0")
-    total = items.agg(F.sum(F.length("text"))).head()[0] or 0
-    blocks = -(-total // max_bytes)
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield [(r["item"], bytes(r["text"])) for r in part.toLocalIterator()]
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_block_bytes: int = 32 << 20) -> DataFrame:
+    block, held = [], 0
+    for row in items.toLocalIterator():
+        text = bytes(row["text"])
+        count = len(words_of(text))
+        count = max(1, count - window + 1) if count else 0
+        if block and held + count > max_windows:
+            yield block
+            block, held = [], 0
+        if count:
+            block.append((row["item"], text))
+            held += count
+    if block:
+        yield block
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_block_windows: int = 2_000_000) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_spans (word positions, end excluded) and item_ids (sorted as strings).
 
     Columns of ``docs`` that have these names are replaced.
     """
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast((uuid.uuid4().hex, b)) for b in item_blocks(benchmark, item_col, item_text_col, max_block_bytes)] or [sc.broadcast(("none", []))]
-    for number, packed in enumerate(blocks):
-        docs = _pass(docs, text_col, packed, window, first=number == 0)
-    return docs
+    sc, packed, first = docs.sparkSession.sparkContext, None, True
+    for block in item_blocks(benchmark, item_col, item_text_col, window, max_block_windows):
+        if packed:
+            docs = written(_pass(docs, text_col, packed, window, first), "contamination")
+            packed.destroy()
+            first = False
+        packed = sc.broadcast((uuid.uuid4().hex, block))
+    return _pass(docs, text_col, packed or sc.broadcast(("none", [])), window, first)
 
 
 def _pass(docs: DataFrame, text_col: str, packed: Broadcast, window: int, first: bool) -> DataFrame:
@@ -163,13 +239,17 @@ def _pass(docs: DataFrame, text_col: str, packed: Broadcast, window: int, first:
     def more(batches):
         windows = _windows(packed, window)
         for batch in batches_of(batches, text_col):
-            rows = batch.to_pylist()
-            for row in rows:
-                spans, items = windows.search(words_of(row[text_col].encode() if row[text_col] is not None else None))
+            at = [batch.schema.get_field_index(n) for n in ("n_hit", "hit_spans", "item_ids")]
+            hit, held, ids = (batch.column(k).to_pylist() for k in at)
+            for n, text in enumerate(batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()):
+                spans, items = windows.search(words_of(text))
                 if spans:
-                    spans = merged(spans + [(x["start"], x["end"]) for x in row["hit_spans"]])
-                    row |= {"n_hit": sum(e - s for s, e in spans), "hit_spans": [{"start": s, "end": e} for s, e in spans], "item_ids": sorted(items | set(row["item_ids"]))}
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+                    spans = merged(spans + [(x["start"], x["end"]) for x in held[n]])
+                    hit[n], held[n], ids[n] = sum(e - s for s, e in spans), [{"start": s, "end": e} for s, e in spans], sorted(items | set(ids[n]))
+            columns = list(batch.columns)
+            for k, values in zip(at, (hit, held, ids), strict=True):
+                columns[k] = pa.array(values, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(more, schema)
 
