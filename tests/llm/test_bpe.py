@@ -20,7 +20,7 @@ def test_same_ids_as_the_library_and_exact_round_trip(spark):
     bits = ["the", " ", "  ", "\n", "Ünï", "it's", " we'll", "1234", "%%", "漢字", "🙂", "\t", " x", "<|endoftext|>", "　"]
     texts = [None, "", " ", "\n\n a", "a" * 3000, " " * 2000 + "b"] + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(300)]
     docs = spark.createDataFrame([(i % 250, t, "kept", i) for i, t in enumerate(texts)], "doc_id long, text string, IDS string, n int").repartition(5)
-    for options in ({}, {"chunk_bytes": 500}, {"piecewise": False}):
+    for options in ({}, {"chunk_bytes": 500}, {"piecewise": False}, {"max_buckets": 2, "memo_words": 3, "chunk_bytes": 900}):
         rows = op.decode_corpus(op.encode_corpus(docs, RANKS, PATTERN, **options), RANKS).collect()
         assert len(rows) == len(texts)
         for r in rows:
@@ -35,7 +35,21 @@ def test_empty_table_null_ids_and_unknown_id(spark):
     assert [(r.k, r.decoded if r.decoded is None else bytes(r.decoded)) for r in op.decode_corpus(lists, RANKS).orderBy("k").collect()] == [(1, library().decode_bytes([50, 51])), (2, None), (3, b"")]
     with pytest.raises(Exception, match="token table"):
         op.decode_corpus(spark.createDataFrame([([50256],)], "ids array<int>"), RANKS).collect()
-    assert op.encode_texts(spark, ["b", "a a"], RANKS, PATTERN) == [library().encode_ordinary(x) for x in ("b", "a a")]
+
+
+def test_a_pattern_that_reaches_over_spaces_is_not_cut_at_them(spark):
+    pattern = r"\S+ \S+|\s+|\S+"
+    one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=op.load_ranks(RANKS), special_tokens={})
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(("to be or not", "a b", "the cat sat on the mat  twice"))], "n int, text string")
+    assert op.PIECEWISE == PATTERN
+    for r in op.encode_corpus(docs, RANKS, pattern).join(docs, "n").collect():
+        assert r.ids == one.encode_ordinary(r.text)
+
+
+def test_a_chunk_has_a_row_per_bucket_or_word_at_most():
+    chunk = op._Chunk(__import__("regex").compile(PATTERN))
+    chunk.words = {f" w{n}": n for n in range(50)}
+    assert chunk.rows(1, 0, 8).num_rows <= 8 and chunk.rows(1, 0, 4096).num_rows <= 51
 
 
 def test_query_over_whole_table(spark):

@@ -9,17 +9,24 @@ Encoding has three steps:
    remains to be shuffled is each distinct word once per chunk, so a word that is
    everywhere weighs one entry per chunk; the words of a chunk that hash to the same
    bucket travel as one compressed row.
-2. The rows are shuffled by bucket.  A bucket's task merges each distinct word of the
-   corpus once, by rank, and sends its ids back to every chunk that has it.
+2. The rows are shuffled by bucket, each bucket to a task of its own.  The task merges
+   each distinct word of the corpus once, by rank, and sends its ids back to every
+   chunk that has it.  It remembers ``memo_words`` words; a bucket with more of them
+   starts again from none, which costs time and changes nothing.
 3. The rows are shuffled by chunk, and the documents are reassembled by position.
 
+There are as many buckets as shuffle partitions, but ``max_buckets`` at most, and a
+chunk holds ``chunk_bytes`` of text or what a task has: rows grow with the text, not
+with its square.
+
 Steps 1 and 2 meet in a written table: a lost executor repeats its own tasks only,
 and chunk files that a failed task left are named by no row.
 
 Decoding looks ids up in the table of token bytes, whose size the vocabulary bounds.
 
 Defined results: null and empty texts have no ids and decode to no bytes; documents
-that repeat are encoded row by row; an id outside the table is an error.
+that repeat are encoded row by row; an id outside the table is an error; columns
+named ``ids`` or ``decoded`` are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,15 +39,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._shared import batches_of, filesystem, no_collection, publish, shared_folder, written
 from tidemark.llm.sstable import gather, split_pieces
 
-WORDS = "chunk long, bucket int, n int, words binary"
-CODES = "chunk long, bucket int, n int, codes binary"
+WORDS = "chunk long, place int, bucket int, n int, words binary"
+CODES = "chunk long, place int, bucket int, n int, codes binary"
+#: Fixed value: the byte-level pre-token pattern of which no match reaches over a space that a visible character follows.
+PIECEWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _pack(*parts: bytes) -> bytes:
@@ -122,7 +131,7 @@ class _Chunk:
         publish(f"{folder}/chunk-{name}", fill)
         return name
 
-    def rows(self, name: int, buckets: int) -> pa.RecordBatch:
+    def rows(self, name: int, place: int, buckets: int) -> pa.RecordBatch:
         """Its words by bucket: ascending numbers, sizes and bytes.  Bucket 0 always has a row, so that no chunk is without one."""
         numbers: list[list[int]] = [[] for _ in range(buckets)]
         words: list[list[bytes]] = [[] for _ in range(buckets)]
@@ -135,36 +144,40 @@ class _Chunk:
         for bucket, (own, data) in enumerate(zip(numbers, words, strict=True)):
             if own or bucket == 0:
                 steps, sizes = np.diff(np.array(own, "<u4"), prepend=np.uint32(0)).astype("<u4"), np.array([len(d) for d in data], "<u4")
-                rows.append((name, bucket, len(own), _pack(steps.tobytes(), sizes.tobytes(), b"".join(data))))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "n", "words"])
+                rows.append((name, place, bucket, len(own), _pack(steps.tobytes(), sizes.tobytes(), b"".join(data))))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "bucket", "n", "words"])
 
 
-def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", chunk_bytes: int = 32 << 20, piecewise: bool = True) -> DataFrame:
+def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", chunk_bytes: int = 32 << 20, piecewise: bool | None = None, max_buckets: int = 4096, memo_words: int = 2_000_000) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) in the place of ``text_col``; a column of the name ``ids`` is replaced.
 
-    ``ranks_path`` must be readable on every executor.  ``piecewise`` may stay on for
-    patterns of which no match reaches over a space that a visible character follows.
+    ``ranks_path`` must be readable on every executor.  ``piecewise`` splits texts at
+    spaces first; it is right only for patterns of which no match reaches over a space
+    that a visible character follows, and on where the pattern is known to be one.
     """
+    piecewise = pattern == PIECEWISE if piecewise is None else piecewise
     spark = docs.sparkSession
     folder = shared_folder(spark, "bpe-chunks")
     kept = [c for c in docs.columns if c.lower() not in ("ids", text_col.lower())]
     source = docs.select(F.col(f"`{text_col}`").alias("own text"), *[F.col(f"`{c}`") for c in kept])
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(parts, max_buckets)
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        from pyspark import TaskContext
 
-        compiled, chunk = regex.compile(pattern), None
+        compiled, chunk, place = regex.compile(pattern), None, TaskContext.get().partitionId()
         with no_collection():
             for batch in batches_of(batches, "own text", 2 << 20):
                 chunk = chunk or _Chunk(compiled)
                 chunk.add(batch, 0, piecewise)
                 if chunk.bytes >= chunk_bytes:
-                    yield chunk.rows(chunk.save(folder), buckets)
-                    chunk = None
+                    yield chunk.rows(chunk.save(folder), place, buckets)
+                    chunk, place = None, (place + 7919) % (1 << 30)
             if chunk:
-                yield chunk.rows(chunk.save(folder), buckets)
+                yield chunk.rows(chunk.save(folder), place, buckets)
             chunk = None
 
     words = written(source.mapInArrow(chunks, WORDS), "bpe-words")
@@ -176,7 +189,9 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
         with no_collection():
             for batch in batches:
                 out = []
-                for data in batch.column(3).to_pylist():
+                for data in batch.column(4).to_pylist():
+                    if len(known) > memo_words:
+                        known.clear()
                     steps, sizes, blob = _unpack(data, 3)
                     ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
                     found, at = [], 0
@@ -189,17 +204,17 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
                         found.append(packed)
                     counts = np.array([len(p) // width for p in found], "<u4")
                     out.append(_pack(steps, counts.tobytes(), b"".join(found)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["chunk", "bucket", "n", "codes"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["chunk", "place", "bucket", "n", "codes"])
             known.clear()
 
-    encoded = words.repartition(buckets, "bucket").mapInArrow(encode, CODES)
+    encoded = words.repartitionById(buckets, "bucket").mapInArrow(encode, CODES)
     kind = WordEncoder(load_ranks(ranks_path), pattern).kind
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, own = None, []
         for batch in batches:
-            for name, codes in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for name, codes in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if name != chunk:
                     if own:
                         yield from _reassembled(folder, chunk, own, kind, schema.names)
@@ -208,7 +223,7 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
         if own:
             yield from _reassembled(folder, chunk, own, kind, schema.names)
 
-    return encoded.repartition(buckets, "chunk").sortWithinPartitions("chunk").mapInArrow(assemble, schema)
+    return encoded.repartitionById(parts, "place").sortWithinPartitions("chunk").mapInArrow(assemble, schema)
 
 
 def _reassembled(folder: str, chunk: int, parts: list[bytes], kind: str, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +296,3 @@ def digests() -> list:
     """n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 of decoded rows, as columns."""
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
-
-
-def encode_texts(spark: SparkSession, texts: list[str], ranks_path: str, pattern: str) -> list[list[int]]:
-    """Ids of a few texts, in their order."""
-    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
-    return [r.ids for r in encode_corpus(df, ranks_path, pattern).orderBy("n").collect()]
