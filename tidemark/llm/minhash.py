@@ -12,10 +12,12 @@
    them.  Its pairs across components are compared, first by signature, then by full
    sets, each pair in the first such bucket that it shares; the components are
    completed with the links found.  Pairs inside a component need no look: they are
-   connected already.  A bucket of over ``HOT`` members is refined first: pairs are
-   looked for where they share a second such bucket too, which tells chance from
-   likeness (of pairs at 0.8 that share hot buckets only, 1.1e-6 share just one).  What is
-   still large after that is compared whole, in blocks of bounded size.
+   connected already, so a bucket's work is that of its members outside its largest
+   component.  A bucket with over ``HOT`` of those is refined first: pairs are looked
+   for where they share a second such bucket too, within ``NEAR`` bands, which tells
+   chance from likeness (of pairs at 0.8 that share hot buckets only, 1.0e-5 have no
+   two of them that near).  What is still large after that is compared whole, in blocks
+   of bounded size.
 5. Components come from alternating large-star and small-star steps, each written to
    the shared folder.
 
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import batches_of, no_collection, split_hot_join, written
 
-MINIMA, MARGIN, HOT = 128, 6.5, 512
+MINIMA, MARGIN, HOT, NEAR = 128, 6.5, 512, 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: h(x) = (a * x + b) mod 2**64 div 2**32 over 32-bit x, a odd: multiply-add-shift hashing.
@@ -163,7 +165,7 @@ def _sketch_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("id", "text_key", "body").mapInArrow(run, f"id {kind}, text_key long, node binary, n_shingles long, bands array<long>, sketch binary")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_task: int = 2000) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_task: int = 400) -> DataFrame:
     """Of ``pairs`` (a, b; a written table), those whose full sets are similar.  ``texts``: node, packed text."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -231,41 +233,54 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).head())
 
 
+def _opened(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` of groups that hold several components, with n members and their shingles (weight), m of them outside the largest component, and whether a row is (apart)."""
+    per = rows.groupBy(*keys, "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    groups = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    groups = written(groups.select(*keys, "n", "weight", (F.col("n") - F.col("top.n")).alias("m"), F.col("top.root").alias("largest")), name)
+    return split_hot_join(rows, groups, keys, "n").withColumn("apart", F.col("root") != F.col("largest")).drop("largest")
+
+
+def near_bands(bands: int) -> list[tuple[int, int]]:
+    """Pairs of bands at most NEAR places from each other, round the end."""
+    return [(a, b) for a in range(bands) for b in range(a + 1, bands) if b - a <= NEAR or bands - (b - a) <= NEAR]
+
+
 def _hidden_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, hot: int = HOT, block_shingles: int = 1 << 21) -> DataFrame:
     """(a, b) with similar full sets from buckets whose members lie in different components.
 
     ``members``: band, pos, node and n_shingles; ``nodes``: node and sketch.  A group is
-    an open bucket (g1) or, of those with over ``hot`` members, two of them that share
-    nodes (g1, g2).  Its members are dealt into blocks of bounded number and text, and
-    each pair of blocks goes to one task.  There, pairs of one component are passed
-    over, also when a link just found has joined the two, and so are pairs that meet in
-    an earlier group and pairs with unlike signatures; the rest are settled by their
-    full sets.
+    an open bucket (g1) or, of those with over ``hot`` members outside their largest
+    component, two of them that share nodes (g1, g2).  Those members, and the others, are
+    dealt into blocks of bounded number and text; each pair of blocks goes to one task,
+    but none of two blocks of the largest component.  There, pairs of one component are
+    passed over, also when a link just found has joined the two, and so are pairs that
+    meet in an earlier group and pairs with unlike signatures; the rest are settled by
+    their full sets.
     """
     spark = members.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, bands = int(spark.conf.get("spark.sql.shuffle.partitions")), banding(percent)[0]
     placed = members.join(roots, "node", "left").select("band", "pos", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "bucket-members")
-    spread = [F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")]
-    open_ = written(placed.groupBy("band").agg(*spread).where("r0 <> r1 AND n > 2").select("band", "n", "weight"), "bucket-open")
-    left = written(split_hot_join(placed, open_, ["band"], "n").withColumn("hot", F.col("n") > hot), "bucket-left")
-    cool = left.where(~F.col("hot")).select(F.col("band").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("pos").alias("p1"), F.lit(-1).alias("p2"), "node", "root", "n_shingles", "n", "weight")
+    left = written(_opened(placed, ["band"], "bucket-open").withColumn("hot", F.col("m") > hot), "bucket-left")
+    groups = left.where(~F.col("hot")).select(F.col("band").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("pos").alias("p1"), F.lit(-1).alias("p2"), "node", "root", "n", "weight", "m", "apart")
 
     held = left.groupBy("node").agg(F.first("root").alias("root"), F.first("n_shingles").alias("n_shingles"), F.sort_array(F.collect_list(F.struct("pos", "band", "hot"))).alias("held"))
-    twos = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.struct(x["band"].alias("g1"), y["band"].alias("g2"), x["pos"].alias("p1"), y["pos"].alias("p2")))))
-    shared = held.withColumn("h", F.filter("held", lambda x: x["hot"])).where(F.size("h") > 1).select("node", "root", "n_shingles", F.explode(twos).alias("g")).select("g.*", "node", "root", "n_shingles")
     if left.where("hot").limit(1).count():
-        shared = written(shared, "bucket-pairs")
-        open_pairs = written(shared.groupBy("g1", "g2").agg(*spread).where("r0 <> r1").select("g1", "g2", "n", "weight"), "bucket-open-pairs")
-        groups = cool.unionByName(split_hot_join(shared, open_pairs, ["g1", "g2"], "n"))
-    else:
-        groups = cool
-
-    blocks = F.greatest(F.ceil(F.col("n") / hot), F.ceil(F.col("weight") / block_shingles)).cast("int")
-    dealt = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        far = lambda x, y: (y["pos"] - x["pos"] > NEAR) & (bands - (y["pos"] - x["pos"]) > NEAR)
+        twos = F.flatten(F.transform("h", lambda x, i: F.transform(F.filter(F.slice("h", i + 2, F.size("h")), lambda y: ~far(x, y)), lambda y: F.struct(x["band"].alias("g1"), y["band"].alias("g2"), x["pos"].alias("p1"), y["pos"].alias("p2")))))
+        shared = held.withColumn("h", F.filter("held", lambda x: x["hot"])).where(F.size("h") > 1).select("node", "root", "n_shingles", F.explode(twos).alias("g")).select("g.*", "node", "root", "n_shingles")
+        groups = groups.unionByName(_opened(written(shared, "bucket-pairs"), ["g1", "g2"], "bucket-open-pairs").drop("n_shingles"))
+
+    # Blocks 0 to outer - 1 hold what is apart, the rest the largest component.
+    rows = F.greatest(F.lit(1), F.least(F.lit(hot), F.floor(F.lit(block_shingles) * F.col("n") / F.col("weight")))).cast("int")
+    dealt = groups.withColumn("rows", rows).withColumns({"outer": F.ceil(F.col("m") / F.col("rows")).cast("int"), "inner": F.ceil((F.col("n") - F.col("m")) / F.col("rows")).cast("int")})
+    place = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("apart"), place("outer")).otherwise(F.col("outer") + place("inner")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
     dealt = dealt.select("g1", "g2", "p1", "p2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
     # Of a node, the buckets where it meets others, by their band: what tells whether a pair has met before.
-    meets = lambda flag: F.transform(F.sequence(F.lit(0), F.lit(banding(percent)[0] - 1)), lambda p: F.coalesce(F.get(F.filter("held", lambda x: (x["pos"] == p) & (x["hot"] == flag)), F.lit(0))["band"], F.lit(0).cast("long")))
+    meets = lambda flag: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda p: F.coalesce(F.get(F.filter("held", lambda x: (x["pos"] == p) & (x["hot"] == flag)), F.lit(0))["band"], F.lit(0).cast("long")))
     marks = held.select("node", meets(F.lit(False)).alias("cool"), meets(F.lit(True)).alias("warm")).join(nodes.select("node", "sketch"), "node").join(texts, "node")
     dealt = dealt.join(marks, "node").repartition(parts, "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j")
 
@@ -302,8 +317,13 @@ def _links_of_group(group: pa.Table, size: int, percent: int) -> list[tuple[byte
         same = (cool[others] == cool[x]) & (cool[x] != 0)
         if p2 < 0:
             return others[same.argmax(axis=1) == p1]
+        before = same.any(axis=1)
         both = (warm[others] == warm[x]) & (warm[x] != 0)
-        return others[~same.any(axis=1) & (both.cumsum(axis=1)[:, p2] == 2)]
+        for a, b in near_bands(cool.shape[1]):
+            if (a, b) >= (p1, p2):
+                break
+            before |= both[:, a] & both[:, b]
+        return others[~before]
 
     found = []
     for x in np.flatnonzero(own == i):
