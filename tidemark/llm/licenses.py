@@ -2,7 +2,8 @@
 
 Texts are cut into sentences and normalised (lower case, letters and digits only,
 single spaces).  A sentence that the table of known licence sentences holds has that
-sentence's identifier.  A rule is an ordered list of identifiers; it matches where
+sentence's identifier.  A known sentence may have a slot for a holder, written
+``{holder}``: up to twenty words, which may end in a full stop (as ``Inc.`` does).  A rule is an ordered list of identifiers; it matches where
 its identifiers follow each other in the text with at most ``gap`` other sentences
 between two of them.  Longer rules are tried first, and a sentence serves one match.
 
@@ -28,41 +29,82 @@ from pyspark.sql import types as T
 
 from tidemark.llm._shared import annotate
 
+# The licences' own wording, common notices and identifiers.
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "IN NO EVENT SHALL {holder} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 )
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "The name of {holder} may not be used to endorse or promote products derived from this software without specific prior written permission.",
 )
 _APACHE = (
     "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "you may not use this file except in compliance with the License.",
     "You may obtain a copy of the License at",
 )
-_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
-
-#: Licence and the sentences of one of its rules, in their order.  Fixed values: the licences' own wording and common notices.
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_GNU = "This {work} is free software; you can redistribute it and/or modify it under the terms of "
+_GNU_NAMES = (("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("AGPL", "GNU Affero General Public License"))
+_GNU_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 MS-PL OFL-1.1 Unlicense WTFPL Zlib".split()
+
+
+def _gnu_notices() -> list[tuple[str, tuple[str, ...]]]:
+    """The notices of every version: "or later" in two punctuations, "only" in three wordings, of a program and of a library."""
+    out = []
+    for short, name in _GNU_NAMES:
+        for version in _GNU_VERSIONS[short]:
+            full = version if "." in version else f"{version}.0"
+            for work in ("program", "library"):
+                start, foundation = _GNU.format(work=work), "as published by the Free Software Foundation"
+                out += [(f"{short}-{full}-or-later", (f"{start}the {name} {foundation}{mark} either version {version} of the License, or (at your option) any later version.",)) for mark in ",;"]
+                out += [
+                    (f"{short}-{full}-only", (f"{start}the {name} version {version} {foundation}.",)),
+                    (f"{short}-{full}-only", (f"{start}version {version} of the {name} {foundation}.",)),
+                    (f"{short}-{full}-only", (f"{start}the {name} {foundation}; version {version} of the License.",)),
+                ]
+    return out
+
+
+#: Licence and the sentences of one of its rules, in their order.  A text that leaves "only" or "or later" open has the version's name.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("MIT", _MIT), ("MIT", ("Released under the MIT License.",)), ("MIT", ("Licensed under the MIT License.",)), ("MIT", ("This project is licensed under the MIT License.",)), ("MIT", ("SPDX-License-Identifier: MIT",)),
-    ("BSD-2-Clause", _BSD[:3]), ("BSD-3-Clause", _BSD), ("BSD-3-Clause", ("SPDX-License-Identifier: BSD-3-Clause",)), ("BSD-2-Clause", ("SPDX-License-Identifier: BSD-2-Clause",)),
-    ("ISC", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)),
-    ("Apache-2.0", _APACHE), ("Apache-2.0", ("Licensed under the Apache License, Version 2.0.",)), ("Apache-2.0", ("SPDX-License-Identifier: Apache-2.0",)),
-    ("GPL-3.0-or-later", (_GNU.format(name="GNU General Public License", version=3),)), ("LGPL-3.0-or-later", (_GNU.format(name="GNU Lesser General Public License", version=3),)),
-    ("AGPL-3.0-or-later", (_GNU.format(name="GNU Affero General Public License", version=3),)), ("GPL-3.0-only", ("This work is licensed under the GNU General Public License, version 3.",)),
-    ("GPL-2.0-or-later", (_GNU.replace("software:", "software;").format(name="GNU General Public License", version=2),)), ("GPL-3.0-only", ("SPDX-License-Identifier: GPL-3.0-only",)),
+    ("MIT", _MIT[:3]), ("MIT", _MIT), ("MIT", ("Released under the MIT License.",)), ("MIT", ("Licensed under the MIT License.",)), ("MIT", ("This project is licensed under the MIT License.",)),
+    ("BSD-2-Clause", _BSD[:3]), ("BSD-3-Clause", _BSD[:4]), ("BSD-3-Clause", (*_BSD[:3], _BSD[4])),
+    ("ISC", (f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.",)), ("0BSD", (f"{_ISC}.",)),
+    ("Apache-2.0", _APACHE), ("Apache-2.0", ("Licensed under the Apache License, Version 2.0.",)),
+    ("Apache-2.0", ("\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.", "\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.")),
+    *_gnu_notices(),
+    ("GPL-3.0-only", ("This work is licensed under the GNU General Public License, version 3.",)),
+    ("GPL-3.0", ("The GNU General Public License is a free, copyleft license for software and other kinds of works.",)),
+    ("GPL-2.0", ("The licenses for most software are designed to take away your freedom to share and change it.", "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.")),
+    ("LGPL-2.1", ("The licenses for most software are designed to take away your freedom to share and change it.", "By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.")),
+    ("LGPL-3.0", ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",)),
+    ("AGPL-3.0", ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",)),
     ("MPL-2.0", ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.")),
+    ("MPL-2.0", ("\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",)),
+    ("EPL-2.0", ("\"Secondary License\" means either the GNU General Public License, Version 2.0, or any later versions of that license, including any exceptions or additional permissions as identified by the initial Contributor.",)),
+    ("EPL-1.0", ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",)),
+    ("EPL-2.0", ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",)),
+    ("Zlib", ("This software is provided 'as-is', without any express or implied warranty.", "In no event will the authors be held liable for any damages arising from the use of this software.")),
+    ("BSL-1.0", ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",)),
     ("Unlicense", ("This is free and unencumbered software released into the public domain.",)), ("CC0-1.0", ("This work is dedicated to the public domain under CC0 1.0.",)),
-    ("CC-BY-4.0", ("Licensed under CC BY 4.0.",)), ("CC-BY-SA-4.0", ("Licensed under CC BY-SA 4.0.",)), ("CC-BY-NC-4.0", ("Licensed under CC BY-NC 4.0.",)), ("CC-BY-ND-4.0", ("Licensed under CC BY-ND 4.0.",)),
-    ("CC-BY-4.0", ("This work is licensed under a Creative Commons Attribution 4.0 International License.",)), ("CC-BY-NC-4.0", ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",)),
+    *((f"CC-{short}-4.0", (f"Licensed under CC {short} 4.0.",)) for short, _ in _CC),
+    *((f"CC-{short}-4.0", (f"This work is licensed under a Creative Commons {name} 4.0 International License.",)) for short, name in _CC),
+    *((f"CC-{short}-4.0", (f"By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License (\"Public License\").",)) for short, name in _CC),
+    *((name, (f"SPDX-License-Identifier: {name}",)) for name in _SPDX),
 )
 
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n")
 _LINE = re.compile(r"(?<=[.!?;:])\s+|\n")
+#: Where a known sentence names somebody.
+SLOT = "{holder}"
 _WORDS = re.compile(r"[^\W_]+")
 _BULLET = re.compile(r"^(?:\W+|\(?\w{1,2}[.)])\s+")
 
@@ -76,14 +118,21 @@ class Rules:
 
     def __init__(self, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES):
         self.identifiers: dict[str, int] = {}
+        self.slots: list[tuple[re.Pattern, int]] = []
         self.rules: list[tuple[str, tuple[int, ...]]] = []
         for name, sentences in rules:
-            keys = [normal(part) for s in sentences for part in _SENTENCE.split(s) if normal(part)]
+            keys = [key for s in sentences for part in ([s] if SLOT in s else _SENTENCE.split(s)) if (key := " {} ".join(filter(None, map(normal, part.split(SLOT)))))]
             if not keys:
                 raise ValueError(f"no words in the rule for {name}")
             self.rules.append((name, tuple(self.identifiers.setdefault(k, len(self.identifiers)) for k in keys)))
         self.rules.sort(key=lambda r: -len(r[1]))
-        self.words = [sorted(set(k.split()), key=lambda w: (-len(w), w)) for k in self.identifiers]
+        words = [sorted(set(k.replace("{}", " ").split()), key=lambda w: (-len(w), w)) for k in self.identifiers]
+        self.words = [x for n, x in enumerate(words) if not any(m < n and x == y for m, y in enumerate(words))]
+        gap = r"[\W_]+"
+        for key, number in self.identifiers.items():
+            if "{}" in key:
+                parts = [gap.join(map(re.escape, part.split())) for part in key.split("{}")]
+                self.slots.append((re.compile(r"(?<![^\W_])" + rf"{gap}(?:[^\W_]+{gap}){{1,20}}?".join(parts) + r"(?![^\W_])", re.I), number))
 
     def possible(self, text: str) -> bool:
         """Whether a text holds all words of some known sentence, hence whether it may hold the sentence."""
@@ -109,6 +158,9 @@ class Rules:
                 if number is not None:
                     found[end, number] = at
                 at = m.end() if m else end
+        for pattern, number in self.slots:
+            for m in pattern.finditer(text):
+                found[m.end(), number] = m.start()
         return self._numbered(found, starts)
 
     @staticmethod
