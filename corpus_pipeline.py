@@ -6,13 +6,21 @@ Parquet and read again as the next one's ``docs``.  All but the last return the
 columns of ``docs``:
 
 1. quality: documents that the base rules or the line-frequency verdict reject go,
-   and so do the lines above the limit in those that stay (n_chars follows);
+   and so do the lines above the limit in those that stay (n_chars follows, where
+   ``docs`` has it);
 2. toxicity: a classifier learns from the labelled documents that are left (labels
    whose id is held out excepted); documents that it calls toxic go;
 3. near_duplicates: of each group of documents (five-word shingles, similarity 0.8)
    the one with the smallest id stays;
 4. decontamination: documents that hold a benchmark window go;
 5. token_ids: doc_id, the ids, their number, and digests of ids and decoded bytes.
+
+Defined results: null and empty texts fail the quality rules and go; null hosts are
+one host; a null id is never held out, nor the smallest of its group; rows that
+repeat an id are judged by their own text in stages 1, 2, 4 and 5, and in stage 3
+stay if their id does; columns of ``docs`` beside doc_id, text, source and n_chars
+pass through the first four stages, whatever their names; an empty table gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
@@ -27,6 +35,8 @@ from tidemark.llm._shared import written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = quality.filter_quality(docs)
+    if "n_chars" not in docs.columns:
+        return kept
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
