@@ -37,3 +37,18 @@ def test_stage_columns_nulls_and_empty_tables(spark):
             assert name == "token_ids" or out.columns == docs.columns
             assert out.count() <= rows.count()
     assert len(op.STAGES) == 5 and op.ORACLE_SQL is None
+
+
+def test_columns_whose_names_the_stages_use_pass_through(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").drop("n_chars").limit(60)
+    names = ["SCORE", "predicted", "Kept", "n_words", "node", "row_key", "hit_spans", "item_ids", "n_hit", "gone", "host", "component_id", "body", "id"]
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    plain, own = docs, wide
+    for name, stage in op.STAGES[:-1]:
+        plain, own = stage(spark, plain, d), stage(spark, own, d)
+        assert own.columns == wide.columns, name
+        rows = own.collect()
+        assert {r.doc_id for r in rows} == {r.doc_id for r in plain.collect()}
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert op.STAGES[-1][1](spark, own, d).columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
