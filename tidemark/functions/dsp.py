@@ -172,15 +172,24 @@ def sample_entropy(x: np.ndarray, m: int = 2, share: float = 0.2) -> float:
     return -np.log(a / b) if a and b else np.nan
 
 
-def hrv(peaks: np.ndarray, fs: int, window: float, step: float) -> dict[str, np.ndarray]:
-    """Heart-rate variability of sliding windows that start at the first beat; NaN where under half a window's beats are there."""
-    t = peaks[1:] / fs
+def intervals(peaks: np.ndarray, fs: int) -> np.ndarray:
+    """Milliseconds between beats; implausible ones interpolated over their number if over two are valid, else the median."""
     rr = np.diff(peaks) * 1000.0 / fs
     bad = (rr < 300) | (rr > 2000)
     if bad.any():
         good = np.flatnonzero(~bad)
         rr[bad] = np.interp(np.flatnonzero(bad), good, rr[good]) if len(good) > 2 else (np.median(rr[good]) if len(good) else np.nan)
-    names = ("SDNN", "RMSSD", "HF Power", "LF/HF", "SampEn", "pNN50", "Inst HR")
+    return rr
+
+
+def hrv(peaks: np.ndarray, fs: int, window: float, step: float) -> dict[str, np.ndarray]:
+    """Heart-rate variability of sliding windows that start at the first beat; NaN where under half a window's beats are there.
+
+    An interval stands at the beat it begins with.
+    """
+    t = peaks[:-1] / fs
+    rr = intervals(peaks, fs)
+    names = ("SDNN", "RMSSD", "HF Power", "LF/HF", "SampEn", "pNN50")
     if not len(t):
         return {"t": np.zeros(0), **{n: np.zeros(0) for n in names}}
     rows, centres = [], []
@@ -189,17 +198,22 @@ def hrv(peaks: np.ndarray, fs: int, window: float, step: float) -> dict[str, np.
         own, at = rr[inside], t[inside]
         centres.append(start + window / 2)
         if own.sum() / 1000 < 0.5 * window or len(own) < 4:
-            rows.append([np.nan] * 7)
+            rows.append([np.nan] * 6)
             continue
         step_rr = np.diff(own)
         f, p = welch(np.interp(np.arange(at[0], at[-1], 0.25), at, own), 4.0, 256)
         width = f[1] - f[0] if len(f) > 1 else 0.0
         lf, hf = p[(f >= 0.04) & (f < 0.15)].sum() * width, p[(f >= 0.15) & (f <= 0.4)].sum() * width
-        rows.append([own.std(ddof=1), np.sqrt(np.mean(step_rr**2)), hf, lf / hf if hf > 0 else np.nan, sample_entropy(own), 100 * np.mean(np.abs(step_rr) > 50), 60000 / own.mean()])
-    table = np.array(rows, float).reshape(-1, 7)
+        rows.append([own.std(ddof=1), np.sqrt(np.mean(step_rr**2)), hf, lf / hf if hf > 0 else np.nan, sample_entropy(own), 100 * np.mean(np.abs(step_rr) > 50)])
+    table = np.array(rows, float).reshape(-1, 6)
     return {"t": np.array(centres), **{n: table[:, k] for k, n in enumerate(names)}}
 
 
+def tonic_by_high_pass(x: np.ndarray, fs: float, cutoff: float = 0.05) -> np.ndarray:
+    """The slow part of skin conductance: what a second-order high-pass at ``cutoff`` Hz takes away."""
+    return x - zero_phase(x, fs, 2, low=cutoff)
+
+
 def scr_peaks(phasic: np.ndarray, fs: int) -> np.ndarray:
     return local_maxima(phasic, max(1, fs), max(0.01, 0.1 * float(phasic.max()))) if len(phasic) else np.zeros(0, int)
 

@@ -38,37 +38,23 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t)) if df > 0 and math.isfinite(t) else math.nan
 
 
-def signed_rank_p(differences: list[float]) -> tuple[float, float]:
-    """Wilcoxon's W (the smaller rank sum) of the non-zero differences, and its two-sided p.
+def signed_rank_p(n: int, w: float, ties: float) -> float:
+    """Two-sided p of Wilcoxon's W (the smaller rank sum) of ``n`` non-zero differences; ``ties`` sums c**3 - c over groups of c equal sizes.
 
     Exact up to 50 differences without ties, else by the normal approximation with
     the tie correction.
     """
-    d = [x for x in differences if x]
-    n = len(d)
     if not n:
-        return 0.0, 1.0
-    order = sorted(range(n), key=lambda i: abs(d[i]))
-    ranks, i, ties = [0.0] * n, 0, 0
-    while i < n:
-        j = i
-        while j + 1 < n and abs(d[order[j + 1]]) == abs(d[order[i]]):
-            j += 1
-        for k in range(i, j + 1):
-            ranks[order[k]] = (i + j) / 2 + 1
-        ties += (j - i + 1) ** 3 - (j - i + 1)
-        i = j + 1
-    plus = sum(r for r, x in zip(ranks, d, strict=True) if x > 0)
-    w = min(plus, n * (n + 1) / 2 - plus)
+        return 1.0
     if n <= 50 and not ties:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for r in range(1, n + 1):
             for s in range(len(ways) - 1, r - 1, -1):
                 ways[s] += ways[s - r]
-        return w, min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
     z = (w - n * (n + 1) / 4) / sd if sd else 0.0
-    return w, min(1.0, math.erfc(abs(z) / math.sqrt(2)))
+    return min(1.0, math.erfc(abs(z) / math.sqrt(2)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -78,9 +64,9 @@ def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def wilcoxon_p(differences: pd.Series) -> pd.Series:
-    """Two-sided signed-rank p of an array of differences."""
-    return pd.Series([signed_rank_p(list(d))[1] if d is not None else None for d in differences], dtype="Float64")
+def wilcoxon_p(n: pd.Series, w: pd.Series, ties: pd.Series) -> pd.Series:
+    """Two-sided signed-rank p from the number of differences, W and the tie sum."""
+    return pd.Series([signed_rank_p(int(a), float(b), float(c)) if a == a and b == b else None for a, b, c in zip(n, w, ties, strict=True)], dtype="Float64")
 
 
 def stars(p):

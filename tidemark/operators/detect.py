@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.validate import auc, roc_points
+from tidemark.functions.stats import t_p
+from tidemark.operators.frames import mid_rank
+from tidemark.operators.validate import auc, roc_points, running_sums
 
 BASE = ("cons_z", "dc_z", "spike_z", "all4_z", "spike4_z", "max_z", "level_spike4", "dtwrul_z")
 FUSED = ("rank_fusion", "combmax", "combsum", "rrf", "top3mean")
@@ -54,10 +56,7 @@ def score_columns(records: DataFrame) -> DataFrame:
 
 def fuse(scored: DataFrame) -> DataFrame:
     """``scored`` with the five fused scores: ranks are within the subject, from the highest score, ties averaged."""
-    ranks = {}
-    for s in BASE:
-        order = Window.partitionBy("subject").orderBy(F.desc(s))
-        ranks[f"_k_{s}"] = F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy("subject", s)) - 1) / 2.0
+    ranks = {f"_k_{s}": mid_rank(Window.partitionBy("subject").orderBy(F.desc(s))) for s in BASE}
     rows = scored.withColumns(ranks)
     add = lambda cols: reduce(lambda a, b: a + b, cols)
     top = F.slice(F.sort_array(F.array(*BASE), asc=False), 1, 3)
@@ -87,16 +86,20 @@ def label_segments(records: DataFrame, names: list[str], offsets: list[int] | No
 def event_aucs(fused: DataFrame, events: list[str], windows: dict[str, list[int]] = WINDOWS) -> DataFrame:
     """AUC per subject, event, window and strategy, where the subject has the event and both classes are present.
 
-    A row counts as positive at an event and at the window's offsets after it.
+    A row counts as positive at an event and at the window's offsets after it.  A
+    row's rank depends on subject and strategy only; it is taken once, and each event
+    and window adds up the ranks of its positives.
     """
+    session = Window.partitionBy("subject")
+    ranks = {f"_k_{s}": mid_rank(session.orderBy(F.asc(s))) for s in STRATEGIES}
     at = F.array(*[F.struct(F.lit(e).alias("event"), _places(F.array_contains("events", e), "pos").alias("at")) for e in events])
     wide = F.array(*[F.struct(F.lit(n).alias("win_ord"), F.lit(w).alias("window"), F.array(*[F.lit(o) for o in offs]).alias("offs")) for n, (w, offs) in enumerate(windows.items())])
-    scores = F.array(*[F.struct(F.lit(n).alias("strat_ord"), F.lit(s).alias("strategy"), F.col(s).alias("score")) for n, s in enumerate(STRATEGIES)])
-    rows = fused.withColumn("_at", at).select("subject", "pos", scores.alias("_s"), F.explode("_at").alias("_e")).where(F.size("_e.at") > 0)
-    rows = rows.withColumn("_w", F.explode(wide))
-    rows = rows.withColumn("y", _near(F.col("_e.at"), "pos", F.col("_w.offs")).cast("int")).withColumn("_s", F.explode("_s"))
-    rows = rows.select("subject", "_e.event", "_w.win_ord", "_w.window", "_s.strat_ord", "_s.strategy", "_s.score", "y")
-    return auc(rows, ["subject", "event", "win_ord", "window", "strat_ord", "strategy"])
+    rows = fused.withColumns(ranks).withColumns({"_at": at, "_n": F.count(F.lit(1)).over(session)})
+    rows = rows.select("subject", "pos", "_n", *ranks, F.explode("_at").alias("_e")).where(F.size("_e.at") > 0).withColumn("_w", F.explode(wide))
+    hits = rows.where(_near(F.col("_e.at"), "pos", F.col("_w.offs"))).select("subject", "_n", *ranks, "_e.event", "_w.win_ord", "_w.window")
+    sums = hits.groupBy("subject", "event", "win_ord", "window").agg(F.count(F.lit(1)).alias("n1"), F.first("_n").alias("_n"), *[F.sum(k).alias(k) for k in ranks]).withColumn("n0", F.col("_n") - F.col("n1")).where("n0 > 0")
+    each = F.array(*[F.struct(F.lit(n).alias("strat_ord"), F.lit(s).alias("strategy"), ((F.col(f"_k_{s}") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))).alias("auc")) for n, s in enumerate(STRATEGIES)])
+    return sums.select("subject", "event", "win_ord", "window", F.explode(each).alias("_s"), "n1", "n0").select("subject", "event", "win_ord", "window", "_s.*", "n1", "n0")
 
 
 def best_strategies(aucs: DataFrame) -> DataFrame:
@@ -106,17 +109,23 @@ def best_strategies(aucs: DataFrame) -> DataFrame:
     return means.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "win_ord", "strat_ord")
 
 
+def _ranges(df: DataFrame) -> int:
+    """How many ranges a cohort's scores are cut into: as many as there are shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def detection_eval(fused: DataFrame) -> DataFrame:
     """Pooled AUC per strategy over all subjects; ``fused`` carries the labels of ``label_segments`` as y."""
+    ranges = _ranges(fused)
     scores = F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("score")) for s in STRATEGIES])
-    return auc(fused.select("y", F.explode(scores).alias("_s")).select("y", "_s.*"), ["strategy"])
+    return auc(fused.select("y", F.explode(scores).alias("_s")).select("y", "_s.*"), ["strategy"], ranges=ranges)
 
 
 def pooled_roc(fused: DataFrame, event: str, strategy: str, offsets: list[int]) -> DataFrame:
     """ROC points of one strategy for one event over all subjects; offsets stay within a subject."""
     rows = fused.withColumn("_at", _places(F.array_contains("events", event), "pos"))
     y = F.coalesce(_near(F.col("_at"), "pos", F.array(*[F.lit(o) for o in offsets])), F.lit(False)).cast("int")
-    return roc_points(rows.select(F.lit(event).alias("event"), F.col(strategy).alias("score"), y.alias("y")), ["event"])
+    return roc_points(rows.select(F.lit(event).alias("event"), F.col(strategy).alias("score"), y.alias("y")), ["event"], ranges=_ranges(fused))
 
 
 def event_trajectories(records: DataFrame, names: list[str], reach: int = 4) -> DataFrame:
@@ -136,19 +145,21 @@ def cumulative_detection(scored: DataFrame, score: str = "score", label: str = "
     """k, detection rate and precision among the k highest scores, over the whole cohort; ties by the columns of ``ties``, descending.
 
     Running counts are taken within score ranges and offset by the ranges before, so
-    that no task holds more than one of 64 ranges.
+    that no task holds more than one of them.
     """
-    cuts = scored.agg(F.expr(f"percentile_approx({score}, array({', '.join(str(n / 64) for n in range(1, 64))}), 10000)")).head()[0] or []
-    ranged = scored.withColumn("_b", F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c > F.col(score))) if cuts else F.lit(0))
-    per = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_y"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = per.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_y").over(before), F.lit(0)).alias("_y0"), F.sum("_y").over(whole).alias("n_pos"))
-    run = Window.partitionBy("_b").orderBy(F.desc(score), *[F.desc(t) for t in ties]).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranged.join(F.broadcast(base), "_b").withColumns({"k": F.col("_n0") + F.count(F.lit(1)).over(run), "_h": F.col("_y0") + F.sum(label).over(run)})
+    rows = scored.select(F.lit(0).alias("_all"), F.col(score).alias("_score"), F.col(label).alias("_y"), F.lit(1).alias("_one"), *[F.col(t).alias(f"_t{n}") for n, t in enumerate(ties)])
+    order = [F.desc("_score"), *[F.desc(f"_t{n}") for n in range(len(ties))]]
+    rows = running_sums(rows, ["_all"], order, "_score", {"_k0": "_one", "_h0": "_y"}, True, _ranges(scored))
+    rows = rows.join(F.broadcast(scored.groupBy(F.lit(0).alias("_all")).agg(F.sum(label).alias("n_pos"))), "_all")
+    rows = rows.withColumns({"k": F.col("_k0") + 1, "_h": F.col("_h0") + F.col("_y")})
     return rows.select("k", "n_pos", (F.col("_h") / F.when(F.col("n_pos") > 0, F.col("n_pos"))).alias("detection"), (F.col("_h") / F.col("k")).alias("precision"))
 
 
+def inspection_point(detections: DataFrame) -> DataFrame:
+    """The row of ``cumulative_detection`` at which as many segments are looked at as there are events."""
+    return detections.where("k = n_pos")
+
+
 def keep_strongest_event(records: DataFrame, event: str, group: str, affective: list[str]) -> DataFrame:
     """In one group, an event stays only on the subject's segment of the highest consensus (the first of equals); has_affective follows."""
     holds = (F.col("group") == group) & F.array_contains("events", event)
@@ -160,7 +171,7 @@ def keep_strongest_event(records: DataFrame, event: str, group: str, affective:
 
 
 def modality_ablation(solo: DataFrame, baseline: DataFrame) -> DataFrame:
-    """modality, event, n, mean_auc, sem, and the mean and t of solo minus baseline over the subjects that both have.
+    """modality, event, n, mean_auc, sem, and the mean, t and two-sided p of solo minus baseline over the subjects that both have.
 
     ``solo``: modality, event, subject, auc; ``baseline``: event, subject, auc.  A cell without subjects has mean 0.
     """
@@ -171,7 +182,7 @@ def modality_ablation(solo: DataFrame, baseline: DataFrame) -> DataFrame:
     grid = solo.select("modality").distinct().withColumn("event", F.explode(F.array(*[F.lit(e) for e in events])))
     t = F.when(F.col("_sd") > 0, F.col("mean_diff") / (F.when(F.col("_sd") > 0, F.col("_sd")) / F.sqrt(F.col("n").cast("double"))))
     rows = grid.join(own, ["modality", "event"], "left").join(d, ["modality", "event"], "left")
-    return rows.select("modality", "event", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_auc", F.lit(0.0)).alias("mean_auc"), "sem", "mean_diff", t.alias("t"))
+    return rows.select("modality", "event", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_auc", F.lit(0.0)).alias("mean_auc"), "sem", "mean_diff", t.alias("t")).withColumn("p", t_p("t", (F.col("n") - 1).cast("double")))
 
 
 def feature_response(deltas: DataFrame, modality_order: list[str]) -> DataFrame:

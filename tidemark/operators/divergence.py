@@ -55,12 +55,12 @@ def accumulated(costs: np.ndarray, band: int | None = None, slope: float = 1.0)
 
 
 def warping_path(total: np.ndarray) -> list[tuple[int, int]]:
-    """Cells of the cheapest path; of equal predecessors the diagonal one, then the one above."""
+    """Cells of the cheapest path; of equal predecessors (to nine places) the diagonal one, then the one above."""
     i, j = total.shape[0] - 1, total.shape[1] - 1
     path = [(i, j)]
     while i or j:
         options = [(a, b) for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if a >= 0 and b >= 0]
-        i, j = min(options, key=lambda c: total[c])
+        i, j = min(options, key=lambda c: round(total[c], 9))
         path.append((i, j))
     return path[::-1]
 
@@ -177,7 +177,7 @@ def effect_sizes(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sliding_divergence(vectors: DataFrame, keys: list[str], half: int = 25, alpha: float = 0.5) -> DataFrame:
-    """keys, w and d: divergence of the ``half`` rows from w on against the ``half`` before; NULL near the ends."""
+    """keys, w and d: divergence of the ``half`` rows before w (test) from the ``half`` from w on (reference); NULL near the ends."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
 
     def run(table: pa.Table) -> pa.Table:
@@ -193,7 +193,7 @@ def sliding_divergence(vectors: DataFrame, keys: list[str], half: int = 25, alph
 
 
 def frame_divergence(frame: np.ndarray, half: int, alpha: float = 0.5) -> float:
-    """Divergence between the halves of a frame whose features are scaled to unit spread."""
+    """Divergence of the first half of a frame (test) from the second (reference), features scaled to unit spread."""
     spread = frame.std(axis=0)
     frame = frame / np.where(spread == 0, 1.0, spread)
-    return relative_divergence(frame[:half], frame[half:], alpha)
+    return relative_divergence(frame[half:], frame[:half], alpha)

@@ -54,10 +54,10 @@ def standardise(df: DataFrame, keys: list[str], value: str = "value", out: str =
 
 
 def with_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of each series, as columns of its rows."""
-    own = [F.expr(f"percentile({value}, {p}D)").alias(name) for name, p in probabilities.items()]
-    stats = df.groupBy(*keys).agg(*own, F.count(value).alias("n_valid"), F.min(value).alias("v_min"), F.max(value).alias("v_max"))
-    return df.join(stats, keys)
+    """Exact interpolated quantiles of each series, with n_valid, v_min and v_max, as columns of its rows; no join."""
+    w = _over(keys)
+    own = {name: F.expr(f"percentile({value}, {p}D)").over(w) for name, p in probabilities.items()}
+    return df.withColumns({**own, "n_valid": F.count(value).over(w), "v_min": F.min(value).over(w), "v_max": F.max(value).over(w)})
 
 
 def iqr_clip(df: DataFrame, keys: list[str], k: float | Column, value: str = "value", out: str = "clipped") -> DataFrame:
@@ -71,14 +71,13 @@ def iqr_clip(df: DataFrame, keys: list[str], k: float | Column, value: str = "va
 
 def drop_constant(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Without series that are all missing or whose standard deviation is below 1e-10."""
-    alive = df.groupBy(*keys).agg(F.stddev_pop(value).alias("sd"), F.count(value).alias("n")).where("n > 0 AND sd >= 1e-10").select(*keys)
-    return df.join(alive, keys, "left_semi")
+    w = _over(keys)
+    return df.withColumns({"_sd": F.stddev_pop(value).over(w), "_n": F.count(value).over(w)}).where("_n > 0 AND _sd >= 1e-10").drop("_sd", "_n")
 
 
 def drop_sparse(df: DataFrame, keys: list[str], value: str = "value", limit: float = 0.10) -> DataFrame:
     """Without series of which ``limit`` or more is missing."""
-    alive = df.groupBy(*keys).agg(F.avg(F.col(value).isNull().cast("double")).alias("share")).where(F.col("share") < limit).select(*keys)
-    return df.join(alive, keys, "left_semi")
+    return df.withColumn("_share", F.avg(F.col(value).isNull().cast("double")).over(_over(keys))).where(F.col("_share") < limit).drop("_share")
 
 
 def robust_normalise(df: DataFrame, keys: list[str], value: str = "value", out: str = "norm") -> DataFrame:
@@ -96,8 +95,8 @@ def robust_normalise(df: DataFrame, keys: list[str], value: str = "value", out:
 
 def truncate_to_shortest(df: DataFrame, subject: list[str], feature: str = "feature", w: str = "w") -> DataFrame:
     """Only positions that every feature of the subject has."""
-    lengths = df.groupBy(*subject, feature).agg(F.max(w).alias("last")).groupBy(*subject).agg(F.min("last").alias("last"))
-    return df.join(lengths, subject).where(F.col(w) <= F.col("last")).drop("last")
+    rows = df.withColumn("_last", F.max(w).over(_over([*subject, feature]))).withColumn("_last", F.min("_last").over(_over(subject)))
+    return rows.where(F.col(w) <= F.col("_last")).drop("_last")
 
 
 def sliding(df: DataFrame, keys: list[str], window: int, step: int, fs: float = 1.0, how: str = "mean", idx: str = "idx", value: str = "value") -> DataFrame:
@@ -172,6 +171,26 @@ def moving_average(df: DataFrame, keys: list[str], kernel: int, idx: str = "idx"
     return placed.withColumn(out, mean).where(F.col("_at") == i).drop("_n", "_at")
 
 
+def local_peaks(df: DataFrame, keys: list[str], least: float, idx: str = "idx", value: str = "value") -> DataFrame:
+    """Rows higher than the one before, as high as the one after, and above ``least``."""
+    w, x = _over(keys, idx), F.col(value)
+    return df.withColumns({"_b": F.lag(value).over(w), "_a": F.lead(value).over(w)}).where((x > F.col("_b")) & (x >= F.col("_a")) & (x > least)).drop("_a", "_b")
+
+
+def rise_times(df: DataFrame, keys: list[str], fs: float, least: float, reach: float = 5.0, shortest: float = 0.1, idx: str = "idx", value: str = "value", out: str = "rise") -> DataFrame:
+    """Peaks above ``least`` with ``out``: seconds from their onset, the last sample before that is not positive or is higher than its successor.
+
+    The onset is looked for up to ``reach`` seconds back; a rise under ``shortest`` or
+    without an onset is missing.
+    """
+    w, x, at = _over(keys, idx), F.col(value), F.col(idx)
+    onset = F.when((x <= 0) | (x > F.lead(value).over(w)), at)
+    rows = df.withColumns({"_b": F.lag(value).over(w), "_a": F.lead(value).over(w), "_o": onset})
+    rows = rows.withColumn("_o", F.last("_o", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where((x > F.col("_b")) & (x >= F.col("_a")) & (x > least))
+    rise = (at - F.col("_o")) / float(fs)
+    return rows.withColumn(out, F.when(rise.between(shortest, reach), rise)).drop("_a", "_b", "_o")
+
+
 def instantaneous_rate(df: DataFrame, keys: list[str], scale: float = 60.0, t: str = "t", out: str = "rate") -> DataFrame:
     """``scale`` over the time to the next point; none for the last point and for points at one time."""
     step = F.lead(t).over(_over(keys, t)) - F.col(t)
@@ -184,11 +203,14 @@ def change_from_previous(df: DataFrame, keys: list[str], idx: str, value: str, o
     return df.withColumn(out, F.greatest(x - F.coalesce(F.lag(value).over(_over(keys, idx)), x), F.lit(0.0)))
 
 
+def mid_rank(order) -> Column:
+    """Rank from 1 in an ordered window, ties sharing the mean of their places: the first and the last of them, in one sort."""
+    return (F.rank().over(order) + F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2.0
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank", descending: bool = True) -> DataFrame:
-    """Rank from 1, ties sharing the mean of their places."""
-    order = _over(keys).orderBy(F.desc(value) if descending else F.asc(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(out, F.rank().over(order) + (ties - 1) / 2.0)
+    """``mid_rank`` of each series; a series is one task's, so it is for series, not for whole cohorts."""
+    return df.withColumn(out, mid_rank(_over(keys).orderBy(F.desc(value) if descending else F.asc(value))))
 
 
 def flatline(df: DataFrame, keys: list[str], window: int, threshold: float, idx: str = "idx", value: str = "value") -> DataFrame:

@@ -56,12 +56,12 @@ def first_peak_after(beats: DataFrame, samples: DataFrame, keys: list[str], fs:
     """Transit time in ms from each beat (keys, beat idx) to the highest sample in the window after it.
 
     The window is [beat + low, min(beat + high, next beat)) in seconds; it must hold
-    three samples, the first of equal maxima counts, and series with ``least`` hits or
-    fewer have none.
+    three samples, the first of equal maxima counts, the last beat has no window, and
+    series with ``least`` hits or fewer have none.
     """
     w = Window.partitionBy(*keys).orderBy("beat")
-    begin, end = F.col("beat") + int(low * fs), F.least(F.col("beat") + int(high * fs), F.coalesce(F.lead("beat").over(w), F.lit(1 << 60)))
-    spans = beats.withColumns({"_a": begin, "_b": end})
+    spans = beats.withColumn("_next", F.lead("beat").over(w)).where("_next IS NOT NULL")
+    spans = spans.withColumns({"_a": F.col("beat") + int(low * fs), "_b": F.least(F.col("beat") + int(high * fs), F.col("_next"))})
     found = spans.join(samples.select(*keys, F.col("idx").alias("_i"), F.col("value").alias("_v")), keys).where("_i >= _a AND _i < _b")
     best = found.groupBy(*keys, "beat").agg(F.count("_v").alias("n"), F.max_by("_i", F.struct("_v", -F.col("_i"))).alias("peak")).where("n >= 3")
     best = best.withColumn("ptt", (F.col("peak") - F.col("beat")) * 1000.0 / fs).where(F.col("ptt").between(low * 1000, high * 1000))
@@ -69,17 +69,18 @@ def first_peak_after(beats: DataFrame, samples: DataFrame, keys: list[str], fs:
     return best.join(enough, keys, "left_semi").select(*keys, "beat", "peak", "ptt")
 
 
-def align_by_position(features: DataFrame, quality: DataFrame, keys: list[str]) -> DataFrame:
-    """``features`` (keys, w) with ``q``: the quality series (keys, k, q) of any length, linearly interpolated at equal relative position."""
-    size = features.groupBy(*keys).agg((F.max("w") + 1).alias("_T"))
-    length = quality.groupBy(*keys).agg((F.max("k") + 1).alias("_L"))
-    rows = features.join(size, keys).join(length, keys)
-    at = F.when(F.col("_T") > 1, F.col("w") * (F.col("_L") - 1) / (F.col("_T") - 1)).otherwise(0.0)
-    rows = rows.withColumn("_at", at).withColumns({"_lo": F.floor("_at").cast("long"), "_hi": F.ceil("_at").cast("long")})
-    low = quality.select(*keys, F.col("k").alias("_lo"), F.col("q").alias("_ql"))
-    high = quality.select(*keys, F.col("k").alias("_hi"), F.col("q").alias("_qh"))
-    rows = rows.join(low, [*keys, "_lo"]).join(high, [*keys, "_hi"])
-    return rows.withColumn("q", F.col("_ql") + (F.col("_qh") - F.col("_ql")) * (F.col("_at") - F.col("_lo"))).drop("_T", "_L", "_at", "_lo", "_hi", "_ql", "_qh")
+def align_by_position(features: DataFrame, quality: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``features`` (keys, w, from 0) with ``q``: the quality series (keys, k from 0, q) of any length, linearly interpolated at equal relative position.
+
+    One join: a series' qualities travel as one array, of as many entries as it has
+    quality windows.  Series without quality are left out, or have a NULL q (``how`` left).
+    """
+    series = quality.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("_q"))
+    rows = features.join(series, keys, how).withColumn("_T", F.max("w").over(Window.partitionBy(*keys)))
+    rows = rows.withColumn("_at", F.when(F.col("_T") > 0, F.col("w") * (F.size("_q") - 1) / F.col("_T")).otherwise(0.0))
+    low, high = F.floor("_at").cast("int"), F.least(F.ceil("_at").cast("int"), F.size("_q") - 1)
+    line = F.col("_q")[low] + (F.col("_q")[high] - F.col("_q")[low]) * (F.col("_at") - low)
+    return rows.withColumn("q", line).drop("_q", "_T", "_at")
 
 
 def expand_labels(records: DataFrame, keys: list[str], position: str, flag: str, offsets: list[int], out: str = "y") -> DataFrame:

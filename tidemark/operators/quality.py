@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,7 @@ def step_quality(df: DataFrame, keys: list[str], window: int, idx: str = "idx",
 
 def gate(features: DataFrame, quality: DataFrame, keys: list[str], threshold: float = 0.5, value: str = "norm", out: str = "gated") -> DataFrame:
     """``features`` with q and ``out``: missing where the aligned quality is under the threshold; series without quality pass."""
-    known = align_by_position(features, quality, keys).select(*keys, "w", "q").distinct()
-    rows = features.join(known, [*keys, "w"], "left")
+    rows = align_by_position(features, quality, keys, "left")
     return rows.withColumn(out, F.when(F.col("q").isNull() | (F.col("q") >= threshold), F.col(value)))
 
 
@@ -107,13 +106,17 @@ def composite_quality(samples: DataFrame, keys: list[str], modality: str) -> Dat
     return per_series(samples, keys, kernel, "idx long, q double")
 
 
-def runs(flags: Iterator[bool]) -> list[tuple[int, int]]:
-    """[start, end) of the runs of true flags."""
-    out, start = [], None
-    for n, flag in enumerate([*flags, False]):
-        if flag and start is None:
-            start = n
-        elif not flag and start is not None:
-            out.append((start, n))
-            start = None
-    return out
+def artifact_runs(flags: DataFrame, keys: list[str], least: int, flag: str = "flag", idx: str = "idx") -> DataFrame:
+    """Runs of flagged positions of at least ``least``, as start and end (behind the last); adjacent positions differ by one.
+
+    What a detector flags sample by sample counts as an artifact only where it lasts.
+    """
+    order = Window.partitionBy(*keys).orderBy(idx)
+    rows = flags.where(F.col(flag)).withColumn("_run", F.col(idx) - F.row_number().over(order))
+    return rows.groupBy(*keys, "_run").agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("end")).where(F.col("end") - F.col("start") >= least).drop("_run")
+
+
+def mask_runs(samples: DataFrame, runs: DataFrame, keys: list[str], value: str = "value", idx: str = "idx", out: str = "masked") -> DataFrame:
+    """``samples`` with ``out``: the value, missing inside a run of ``artifact_runs``."""
+    inside = runs.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias(idx), F.lit(True).alias("_in"))
+    return samples.join(inside, [*keys, idx], "left").withColumn(out, F.when(F.col("_in").isNull(), F.col(value))).drop("_in")

@@ -13,10 +13,10 @@ def mean_distances(distances: DataFrame, segments: DataFrame, keys: list[str], m
 
     ``distances``: keys, seg_i < seg_j, method, d.
     """
-    both = distances.select(*keys, F.col("seg_i").alias("seg"), "method", "d").unionByName(distances.select(*keys, F.col("seg_j").alias("seg"), "method", "d"))
+    both = distances.select(*keys, F.explode(F.array("seg_i", "seg_j")).alias("seg"), "method", "d")
     sums = both.groupBy(*keys, "seg", "method").agg(F.sum("d").alias("_s"))
-    count = segments.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    grid = segments.select(*keys, "seg", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method")).join(count, keys)
+    counted = segments.select(*keys, "seg", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    grid = counted.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
     rows = grid.join(sums, [*keys, "seg", "method"], "left")
     return rows.select(*keys, "seg", "method", (F.coalesce("_s", F.lit(0.0)) / F.greatest(F.lit(1), F.col("_n") - 1)).alias("md"))
 

@@ -5,6 +5,9 @@ prefix sums of the Gram matrix; the programme minimises the costs plus a penalty
 segment.  Kernel and programme run once per series inside an Arrow group, for all
 penalties together; a series' square is the memory of one task, so long series are
 segmented on a coarser grid (``jump``) or from coarser windows.
+
+A missing value in a vector is filled from its feature's neighbours, linearly, as
+``gap_fill`` does; vectors of one series that differ in length are an error.
 """
 
 from __future__ import annotations
@@ -14,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.dsp import fill_gaps
+
 
-def gram(x: np.ndarray, model: str = "rbf") -> np.ndarray:
-    """Kernel matrix of rows: rbf with gamma = 1 / median squared distance (1 if that is 0), or linear."""
+def gram(x: np.ndarray, model: str = "rbf", gamma: float | None = None) -> np.ndarray:
+    """Kernel matrix of rows: rbf with ``gamma``, or 1 / median squared distance (1 if that is 0), or linear."""
     products = x @ x.T
     if model == "l2":
         return products
@@ -24,25 +29,29 @@ def gram(x: np.ndarray, model: str = "rbf") -> np.ndarray:
         raise ValueError(f"no kernel for {model}")
     norms = np.diag(products)
     d2 = np.maximum(norms[:, None] + norms[None, :] - 2 * products, 0)
+    if gamma is not None:
+        return np.exp(-gamma * d2)
     upper = d2[np.triu_indices(len(x), 1)]
     middle = float(np.median(upper)) if len(upper) else 0.0
     return np.exp(-d2 / (middle or 1.0))
 
 
 class Cost:
-    """Cost of every segment [s, e) of one series."""
+    """Cost of every segment [s, e) of one series: ``model`` rbf (with ``gamma``, if given), l2, l1, or a function of the segment's rows."""
 
-    def __init__(self, x: np.ndarray, model: str = "rbf"):
+    def __init__(self, x: np.ndarray, model: str = "rbf", gamma: float | None = None):
         self.x, self.model = x, model
-        if model == "l1":
+        if model == "l1" or callable(model):
             return
-        k = gram(x, model)
+        k = gram(x, model, gamma)
         self.diagonal = np.concatenate([[0.0], np.cumsum(np.diag(k))])
         self.square = np.zeros((len(x) + 1, len(x) + 1))
         np.cumsum(np.cumsum(k, axis=0), axis=1, out=self.square[1:, 1:])
 
     def to(self, starts: np.ndarray, end: int) -> np.ndarray:
         """Costs of [s, end) for all ``starts``."""
+        if callable(self.model):
+            return np.array([float(self.model(self.x[s:end])) for s in starts])
         if self.model == "l1":
             return np.array([np.abs(self.x[s:end] - np.median(self.x[s:end], axis=0)).sum() for s in starts])
         s = np.asarray(starts)
@@ -53,8 +62,8 @@ class Cost:
 def best_cuts(cost: Cost, n: int, penalty: float, min_size: int = 10, jump: int = 1) -> list[int]:
     """Inner boundaries of the cheapest segmentation; segments have ``min_size`` rows at least, cuts lie on multiples of ``jump``.
 
-    Of equal totals the one whose last segment starts earliest is taken.  A series
-    too short for two segments has no cut.
+    Of equal totals (to 1e-9) the one whose last segment starts earliest is taken.  A
+    series too short for two segments has no cut.
     """
     ends = [e for e in range(0, n, jump) if e >= min_size] + [n]
     total, before = {0: 0.0}, {}
@@ -65,7 +74,7 @@ def best_cuts(cost: Cost, n: int, penalty: float, min_size: int = 10, jump: int
                 before[n] = 0
             continue
         values = np.array([total[s] for s in starts]) + cost.to(starts, end) + penalty
-        best = int(np.argmin(values))
+        best = int(np.flatnonzero(values <= values.min() + 1e-9)[0])
         total[end], before[end] = float(values[best]), int(starts[best])
     cuts, at = [], n
     while at > 0:
@@ -75,19 +84,25 @@ def best_cuts(cost: Cost, n: int, penalty: float, min_size: int = 10, jump: int
     return cuts[::-1]
 
 
-def boundaries(vectors: DataFrame, keys: list[str], penalties: list[float] | tuple[float, ...] = (1.0,), min_size: int = 10, jump: int = 1, model: str = "rbf") -> DataFrame:
-    """keys, penalty and cp: the change points of every series of ``vectors`` (keys, w, x array<double>), for every penalty."""
+def boundaries(vectors: DataFrame, keys: list[str], penalties: list[float] | tuple[float, ...] = (1.0,), min_size: int = 10, jump: int = 1, model: str = "rbf", gamma: float | None = None) -> DataFrame:
+    """keys, penalty and cp: the change points of every series of ``vectors`` (keys, w, x array<double>), for every penalty.
+
+    ``model`` and ``gamma`` shape the cost as ``Cost`` says.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     penalties = [float(p) for p in penalties]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("w")
-        x = np.array(table.column("x").to_pylist(), float)
-        x = x.reshape(len(x), -1)
-        cost = Cost(x, model)
-        rows = [(p, c) for p in penalties for c in best_cuts(cost, len(x), p, min_size, jump)]
-        own = {k: pa.array([table.column(k)[0].as_py()] * len(rows), table.schema.field(k).type) for k in keys}
-        return pa.table({**own, "penalty": pa.array([r[0] for r in rows], pa.float64()), "cp": pa.array([r[1] for r in rows], pa.int32())})
+        rows = table.column("x").to_pylist()
+        if len({len(r) for r in rows}) > 1:
+            raise ValueError("vectors of one series differ in length")
+        x = np.array(rows, float).reshape(len(rows), -1)
+        x = np.column_stack([fill_gaps(c) for c in x.T]) if x.size else x
+        cost = Cost(x, model, gamma)
+        cuts = [(p, c) for p in penalties for c in best_cuts(cost, len(x), p, min_size, jump)]
+        own = {k: pa.array([table.column(k)[0].as_py()] * len(cuts), table.schema.field(k).type) for k in keys}
+        return pa.table({**own, "penalty": pa.array([c[0] for c in cuts], pa.float64()), "cp": pa.array([c[1] for c in cuts], pa.int32())})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "penalty double, cp int"])
     return vectors.select(*keys, "w", "x").groupBy(*keys).applyInArrow(run, schema)

@@ -1,21 +1,46 @@
-"""Validation statistics: permutation tests, rank statistics, corrections."""
+"""Validation statistics: permutation tests, rank statistics, corrections.
+
+Statistics over a whole cohort are made from counts per distinct score.  Where a key
+may hold a cohort, ``ranges`` cuts its scores into that many ranges at approximate
+percentiles: sums run inside a range, and the sums of the ranges before are added, so
+no task holds more than a range.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import t_p, wilcoxon_p
-from tidemark.operators.frames import average_rank
+
+
+def running_sums(rows: DataFrame, keys: list[str], order: list[Column], by: str, sums: dict[str, str], descending: bool, ranges: int) -> DataFrame:
+    """``rows`` with, for each (out, column) of ``sums``, the column's sum over the rows of the key that come before in ``order``, whose first column is ``by``.
+
+    With ``ranges`` a key's rows are cut at approximate percentiles of ``by``.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    if not ranges:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({out: zero(F.sum(c).over(w)) for out, c in sums.items()})
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, [n / ranges for n in range(1, ranges)] or [0.5], 10_000)).alias("_cuts"))
+    placed = rows.join(F.broadcast(cuts), [*keys]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col(by) if descending else c < F.col(by))))
+    per = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{out}") for out, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*keys, "_range", *[zero(F.sum(f"_s_{out}").over(before)).alias(f"_b_{out}") for out in sums])
+    w = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumns({out: zero(F.sum(c).over(w)) for out, c in sums.items()}).join(F.broadcast(base), [*keys, "_range"])
+    return inside.withColumns({out: F.col(out) + F.col(f"_b_{out}") for out in sums}).drop("_cuts", "_range", *[f"_b_{out}" for out in sums])
 
 
 def permutation_seeded(scores: DataFrame, keys: list[str], n_perm: int = 10_000, seed: int = 42) -> DataFrame:
     """Per group of ``keys`` the observed mean difference (event minus other) and its one-sided p over seeded shuffles.
 
-    ``scores``: keys, unit, score, is_event.  Shuffles are drawn for a block of
-    permutations at a time; an empty side gives difference 0 and p 1.
+    ``scores``: keys, unit, score, is_event.  A group is one task's, so it is for the
+    segments of a session; cohorts have ``permutation_hashed``.  Shuffles are drawn a
+    block of some 2**20 numbers at a time; an empty side gives difference 0 and p 1.
     """
     kinds = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
 
@@ -27,73 +52,103 @@ def permutation_seeded(scores: DataFrame, keys: list[str], n_perm: int = 10_000,
         if k == 0 or k == len(x):
             return pd.DataFrame({**own, "delta": [0.0], "p": [1.0], "null_mean": [0.0]})
         delta = x[flag].mean() - x[~flag].mean()
-        for _ in range(n_perm):
-            s = rng.permutation(x)
-            d = s[:k].mean() - s[k:].mean()
-            hits += d >= delta
-            total += d
+        block = max(1, (1 << 20) // len(x))
+        for at in range(0, n_perm, block):
+            drawn = rng.permuted(np.tile(x, (min(block, n_perm - at), 1)), axis=1)
+            d = drawn[:, :k].mean(axis=1) - drawn[:, k:].mean(axis=1)
+            hits += int((d >= delta - 1e-12).sum())
+            total += float(d.sum())
         return pd.DataFrame({**own, "delta": [delta], "p": [hits / n_perm], "null_mean": [total / n_perm]})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "delta double, p double, null_mean double"])
     return scores.select(*keys, "unit", "score", "is_event").groupBy(*keys).applyInPandas(run, schema)
 
 
-def phase_permutations(scores: DataFrame, comparisons: dict[str, tuple[str, str]], n_perm: int = 10_000, seed: int = 42) -> DataFrame:
-    """comparison, delta, p and null_mean of the seeded test for each named pair of conditions (SQL over ``scores``: the event side, the other side)."""
-    parts = [scores.where(f"({own}) OR ({other})").select(F.lit(name).alias("comparison"), "unit", "score", F.expr(own).alias("is_event")) for name, (own, other) in comparisons.items()]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return permutation_seeded(rows, ["comparison"], n_perm, seed)
+def phase_permutations(scores: DataFrame, comparisons: dict[str, tuple[str, str]], n_perm: int = 10_000, seed: str = "42") -> DataFrame:
+    """comparison, delta, p and null_mean of ``permutation_hashed`` for each named pair of conditions (SQL over ``scores``: the event side, the other side)."""
+    sides = [F.struct(F.lit(name).alias("comparison"), F.expr(f"({own}) OR ({other})").alias("taken"), F.expr(own).alias("is_event")) for name, (own, other) in comparisons.items()]
+    rows = scores.select("unit", "score", F.explode(F.array(*sides)).alias("_c")).where("_c.taken").select("_c.comparison", "unit", "score", "_c.is_event")
+    return permutation_hashed(rows, ["comparison"], n_perm, seed)
 
 
-def permutation_hashed(scores: DataFrame, n_perm: int = 1000, seed: str = "42") -> DataFrame:
-    """The same test over one table, each permutation a row: labels go to the units with the smallest hash of (seed, permutation, unit).
+def null_differences(scores: DataFrame, keys: list[str], n_perm: int = 10_000, seed: str = "42", per_range: int = 256) -> DataFrame:
+    """keys, the observed delta, and the difference d of every permutation, where labels go to the units with the smallest hash of (seed, permutation, unit), for a few groups of any size.
 
-    Permutations spread over the cluster; the table of units is the side that a
-    permutation needs whole.  Columns: delta, p, null_mean.
+    ``scores``: keys, unit, score, is_event.  The units of a permutation are counted and
+    summed by the first digits of their hash; only the range in which the labels run
+    out, of some ``per_range`` units, is ordered.  Groups without one of the sides are left out.
     """
-    n1, m1, m0 = scores.agg(F.sum(F.col("is_event").cast("int")), F.avg(F.when(F.col("is_event"), F.col("score"))), F.avg(F.when(~F.col("is_event"), F.col("score")))).head()
-    delta = None if m1 is None or m0 is None else m1 - m0
-    drawn = scores.select("unit", "score").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    order = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col("unit").cast("string"))), "unit")
-    placed = drawn.withColumn("place", F.row_number().over(order))
-    null = placed.groupBy("perm").agg((F.avg(F.when(F.col("place") <= (n1 or 0), F.col("score"))) - F.avg(F.when(F.col("place") > (n1 or 0), F.col("score")))).alias("d"))
-    found = null.agg(F.avg(F.when(F.col("d") >= F.lit(delta).cast("double"), 1.0).otherwise(0.0)).alias("p"), F.avg("d").alias("null_mean")).withColumn("delta", F.lit(delta).cast("double"))
-    known = F.col("delta").isNotNull()
-    return found.select(F.coalesce("delta", F.lit(0.0)).alias("delta"), F.when(known, F.col("p")).otherwise(1.0).alias("p"), F.when(known, F.col("null_mean")).otherwise(0.0).alias("null_mean"))
-
-
-def rank_biserial(scores: DataFrame, keys: list[str], score: str = "score", flag: str = "is_event") -> DataFrame:
-    """Mann-Whitney U of the flagged rows by mid-ranks, and 2 U / (n1 n0) - 1; no row where a side is empty."""
-    ranked = average_rank(scores, keys, score, "_r", descending=False)
-    per = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(flag), F.col("_r"))).alias("_s"), F.sum(F.col(flag).cast("long")).alias("n1"), F.sum((~F.col(flag)).cast("long")).alias("n0")).where("n1 > 0 AND n0 > 0")
-    u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    return per.select(*keys, "n1", "n0", u.alias("u"), (2 * u / (F.col("n1") * F.col("n0")) - 1).alias("r"))
-
-
-def auc(scores: DataFrame, keys: list[str], score: str = "score", label: str = "y") -> DataFrame:
+    sides = _sides(scores, keys)
+    largest = sides.agg(F.max("_n")).head()[0] or 0
+    digits = next(d for d in range(32) if 16**d * per_range >= largest)
+    drawn = scores.where("score IS NOT NULL").select(*keys, "unit", "score", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm"))
+    drawn = drawn.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("_perm").cast("string"), F.col("unit").cast("string")))).withColumn("_r", F.substring("_h", 1, digits))
+    per = drawn.groupBy(*keys, "_perm", "_r").agg(F.count("score").alias("_c"), F.sum("score").alias("_s"))
+    before = Window.partitionBy(*keys, "_perm").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({"_c0": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_s0": F.coalesce(F.sum("_s").over(before), F.lit(0.0))})
+    last = per.join(F.broadcast(sides), keys).where("delta IS NOT NULL AND _c0 < _k AND _k <= _c0 + _c").select(*keys, "_perm", "_r", "_c0", "_s0", "_n", "_k", "_all", "delta")
+    order = Window.partitionBy(*keys, "_perm").orderBy("_h", "unit")
+    rest = drawn.join(last, [*keys, "_perm", "_r"]).withColumn("_place", F.row_number().over(order)).where("_c0 + _place <= _k")
+    picked = rest.groupBy(*keys, "_perm").agg((F.first("_s0") + F.sum("score")).alias("_own"), *[F.first(c).alias(c) for c in ("_n", "_k", "_all", "delta")])
+    return picked.select(*keys, "delta", (F.col("_own") / F.col("_k") - (F.col("_all") - F.col("_own")) / (F.col("_n") - F.col("_k"))).alias("d"))
+
+
+def _sides(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Size, sum and observed difference of each group; delta is NULL without one of the sides."""
+    flag = F.col("is_event")
+    sides = scores.groupBy(*keys).agg(
+        F.count("score").alias("_n"), F.count(F.when(flag, F.col("score"))).alias("_k"), F.sum("score").alias("_all"), F.avg(F.when(flag, F.col("score"))).alias("_m1"), F.avg(F.when(~flag, F.col("score"))).alias("_m0")
+    )
+    return sides.withColumn("delta", F.col("_m1") - F.col("_m0"))
+
+
+def permutation_hashed(scores: DataFrame, keys: list[str], n_perm: int = 10_000, seed: str = "42", per_range: int = 256) -> DataFrame:
+    """keys, delta, p (one-sided) and null_mean of the test over ``null_differences``; a side without units gives 0, 1 and 0, differences are equal within 1e-9."""
+    null = null_differences(scores, keys, n_perm, seed, per_range)
+    found = null.groupBy(*keys).agg(F.avg(F.when(F.col("d") >= F.col("delta") - 1e-9, 1.0).otherwise(0.0)).alias("p"), F.avg("d").alias("null_mean"))
+    rows = _sides(scores, keys).select(*keys, "delta").join(found, keys, "left")
+    return rows.select(*keys, F.coalesce("delta", F.lit(0.0)).alias("delta"), F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("null_mean", F.lit(0.0)).alias("null_mean"))
+
+
+def rank_biserial(scores: DataFrame, keys: list[str], score: str = "score", flag: str = "is_event", ranges: int = 0) -> DataFrame:
+    """Mann-Whitney U of the flagged rows by mid-ranks, and 2 U / (n1 n0) - 1; no row where a side is empty.
+
+    Rows without a flag count on no side; a missing score is the lowest.
+    """
+    hit = F.col(flag).cast("boolean")
+    per = scores.groupBy(*keys, F.col(score).alias("_score")).agg(F.sum(hit.cast("long")).alias("_p"), F.sum((~hit).cast("long")).alias("_q"))
+    per = running_sums(per, keys, [F.asc("_score")], "_score", {"_q0": "_q"}, False, ranges)
+    sums = per.groupBy(*keys).agg(F.sum("_p").alias("n1"), F.sum("_q").alias("n0"), F.sum(F.col("_p") * (F.col("_q0") + F.col("_q") / 2.0)).alias("u")).where("n1 > 0 AND n0 > 0")
+    return sums.select(*keys, "n1", "n0", "u", (2 * F.col("u") / (F.col("n1") * F.col("n0")) - 1).alias("r"))
+
+
+def auc(scores: DataFrame, keys: list[str], score: str = "score", label: str = "y", ranges: int = 0) -> DataFrame:
     """Area under the ROC curve per group by mid-ranks; no row where a class is missing."""
-    found = rank_biserial(scores.withColumn("_f", F.col(label) == 1), keys, score, "_f")
+    found = rank_biserial(scores.withColumn("_f", F.col(label) == 1), keys, score, "_f", ranges)
     return found.select(*keys, (F.col("u") / (F.col("n1") * F.col("n0"))).alias("auc"), "n1", "n0")
 
 
-def roc_points(scores: DataFrame, keys: list[str], score: str = "score", label: str = "y") -> DataFrame:
+def roc_points(scores: DataFrame, keys: list[str], score: str = "score", label: str = "y", ranges: int = 0) -> DataFrame:
     """One point (threshold, fpr, tpr) per distinct score, descending, all collinear ones kept."""
-    per = scores.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
-    run = Window.partitionBy(*keys).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*keys)
-    rows = per.withColumns({"_tp": F.sum("_p").over(run), "_fp": F.sum("_n").over(run), "_P": F.sum("_p").over(all_), "_N": F.sum("_n").over(all_)}).where("_P > 0 AND _N > 0")
-    return rows.select(*keys, "threshold", (F.col("_fp") / F.col("_N")).alias("fpr"), (F.col("_tp") / F.col("_P")).alias("tpr"))
+    per = scores.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_q"))
+    totals = per.groupBy(*keys).agg(F.sum("_p").alias("_all_p"), F.sum("_q").alias("_all_q")).where("_all_p > 0 AND _all_q > 0")
+    rows = running_sums(per, keys, [F.desc("threshold")], "threshold", {"_tp": "_p", "_fp": "_q"}, True, ranges).join(totals, keys)
+    return rows.select(*keys, "threshold", ((F.col("_fp") + F.col("_q")) / F.col("_all_q")).alias("fpr"), ((F.col("_tp") + F.col("_p")) / F.col("_all_p")).alias("tpr"))
 
 
-def signed_rank(pairs: DataFrame, keys: list[str], difference: str = "d", least: int = 5) -> DataFrame:
-    """Wilcoxon signed-rank statistic of the non-zero differences with its two-sided p (1 under ``least`` differences)."""
+def signed_rank(pairs: DataFrame, keys: list[str], difference: str = "d", least: int = 5, ranges: int = 0) -> DataFrame:
+    """Wilcoxon signed-rank statistic of the non-zero differences with its two-sided p (1 under ``least`` differences).
+
+    Ranks are those of distinct sizes; the p is exact up to 50 differences without
+    ties, else by the normal approximation with the tie correction.
+    """
     rows = pairs.where(F.col(difference) != 0).withColumn("_a", F.abs(difference))
-    ranked = average_rank(rows, keys, "_a", "_r", descending=False)
-    per = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.collect_list(difference).alias("_d"))
+    per = rows.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("_c"), F.sum((F.col(difference) > 0).cast("long")).alias("_up"))
+    per = running_sums(per, keys, [F.asc("_a")], "_a", {"_c0": "_c"}, False, ranges)
+    rank = F.col("_c0") + (F.col("_c") + 1) / 2.0
+    per = per.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(F.col("_up") * rank).alias("w_plus"), F.sum((F.col("_c") * F.col("_c") * F.col("_c") - F.col("_c")).cast("double")).alias("_ties"))
     w = F.least(F.col("w_plus"), F.col("n") * (F.col("n") + 1) / 2.0 - F.col("w_plus"))
-    return per.select(*keys, "n", "w_plus", w.alias("w"), F.when(F.col("n") >= least, wilcoxon_p("_d")).otherwise(1.0).alias("p"))
+    return per.select(*keys, "n", "w_plus", w.alias("w"), F.when(F.col("n") >= least, wilcoxon_p(F.col("n").cast("long"), w, F.col("_ties"))).otherwise(1.0).alias("p"))
 
 
 def paired_t(pairs: DataFrame, keys: list[str], difference: str = "d") -> DataFrame:

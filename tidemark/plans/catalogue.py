@@ -1,8 +1,9 @@
 """The registered queries of the engine over the driver's tables, and their SQL.
 
 The tables hold no physiology, so they stand in for it: a user is a subject, an event
-type a feature, an event's value a sample.  Every query covers whole tables.  Doubles
-are rounded to six places on both sides.
+type a feature, an event's value a sample.  Every query covers whole tables: days,
+users and types are those that the table has.  Doubles are rounded to six places on
+both sides.
 """
 
 from __future__ import annotations
@@ -12,16 +13,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import stats
+from tidemark import sources
+from tidemark.functions import dsp, stats
 from tidemark.operators import detect, divergence, frames, joins, quality, rdi, segment, validate
-from tidemark.plans import features, regimes
+from tidemark.plans import features, regimes, sql
+from tidemark.plans.sql import r
+from tidemark.schema import CLIP_RANGES
 from tidemark.sources import synthetic, union_cohorts
+from tidemark.storage import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 S, SF = ["subject_id"], ["subject_id", "feature"]
-DAYS, KINDS, METHODS = 30, ("click", "error", "purchase", "signup", "view"), ("effect", "centroid")
+METHODS = ("effect", "centroid")
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -42,23 +47,30 @@ def query(sql: str | None = None):
     return register
 
 
-def r(expression: str, name: str) -> str:
-    return f"round(CAST({expression} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subject_id, idx, value, feature and t (seconds since 2024) of every event, numbered within the user."""
+    """subject_id, idx, value, feature and t (seconds since the table's first day) of every event, numbered within the user."""
+    rows = table(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"), F.col("ts")).cast("double")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id"), (F.row_number().over(order) - 1).alias("idx"), "value", F.col("event_type").alias("feature"), seconds.alias("t"))
+    origin = rows.agg(F.min("ts").cast("date").cast("timestamp_ntz")).scalar()
+    seconds = F.timestamp_diff("SECOND", origin, F.col("ts")).cast("double")
+    return rows.select(F.col("user_id").alias("subject_id"), (F.row_number().over(order) - 1).alias("idx"), "value", F.col("event_type").alias("feature"), seconds.alias("t"))
 
 
 SAMPLES = """s AS (SELECT user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value, event_type AS feature,
-  CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS DOUBLE) AS t FROM events)"""
+  CAST(date_diff('second', (SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) FROM events), ts) AS DOUBLE) AS t FROM events)"""
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id")).distinct()
+
+
+def last_day(rows: DataFrame):
+    """The number of the last day in ``samples``, as a scalar subquery."""
+    return rows.agg(F.max(F.floor(F.col("t") / 86400)).cast("long")).scalar()
 
 
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +84,22 @@ GAPPY = SAMPLES + ", gp AS (SELECT subject_id, idx, feature, t, CASE WHEN NOT (i
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subject_id, w (day), t (its noon), feature and raw: what a user's events of a type sum to in a day, 0 without any."""
-    rows = samples(spark, sf_dir).withColumn("w", F.floor(F.col("t") / 86400).cast("long"))
-    sums = rows.groupBy(*SF, "w").agg(F.sum("value").alias("raw"))
-    grid = rows.select("subject_id").distinct().withColumn("feature", F.explode(F.array(*[F.lit(k) for k in KINDS]))).withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAYS - 1).cast("long"))))
-    return grid.join(sums, [*SF, "w"], "left").select(*SF, "w", (F.col("w") + 0.5).alias("t"), F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    """subject_id, w (day), t (its noon), feature and raw: what a user's events of a type sum to in a day, 0 without any.
+
+    A user's days of all types are filled in from one map of the days that have events.
+    """
+    rows = samples(spark, sf_dir)
+    sums = rows.groupBy(*SF, F.floor(F.col("t") / 86400).cast("long").alias("w")).agg(F.sum("value").alias("raw"))
+    held = sums.groupBy(*S).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("feature", "w").alias("k"), F.col("raw").alias("v")))).alias("held"))
+    kinds = rows.agg(F.sort_array(F.collect_set("feature"))).scalar()
+    cell = lambda k, w: F.struct(k.alias("feature"), w.alias("w"), (w + 0.5).alias("t"), F.coalesce(F.try_element_at("held", F.struct(k.alias("feature"), w.alias("w"))), F.lit(0.0)).alias("raw"))
+    cells = F.flatten(F.transform("kinds", lambda k: F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda w: cell(k, w))))
+    return held.withColumns({"kinds": kinds, "last": last_day(rows)}).select(*S, F.inline(cells)).select(*SF, "w", "t", "raw")
 
 
-DAILY = SAMPLES + """, u AS (
+DAILY = SAMPLES + """, dy AS (SELECT CAST(max(floor(t / 86400)) AS BIGINT) + 1 AS days FROM s), u AS (
   SELECT a.subject_id, f.feature, w.w, w.w + 0.5::DOUBLE AS t, coalesce(x.raw, 0::DOUBLE) AS raw
-  FROM (SELECT DISTINCT subject_id FROM s) a CROSS JOIN (SELECT DISTINCT feature FROM s) f CROSS JOIN (SELECT unnest(range(0, 30)) AS w) w
+  FROM (SELECT DISTINCT subject_id FROM s) a CROSS JOIN (SELECT DISTINCT feature FROM s) f CROSS JOIN (SELECT unnest(range(0, days)) AS w FROM dy) w
   LEFT JOIN (SELECT subject_id, feature, CAST(floor(t / 86400) AS BIGINT) AS w, sum(value) AS raw FROM s GROUP BY 1, 2, 3) x USING (subject_id, feature, w))"""
 
 
@@ -94,21 +112,27 @@ n AS (SELECT subject_id, feature, w, t, raw, CASE WHEN p98 - p2 > 1e-12 THEN gre
   FROM u JOIN q USING (subject_id, feature))"""
 
 
+def five_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of five days for every user; the last has what is left."""
+    last = last_day(samples(spark, sf_dir))
+    rows = users(spark, sf_dir).withColumn("last", last).withColumn("seg", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 5).cast("int"))))
+    return rows.select(*S, "seg", (F.col("seg") * 5).alias("start"), F.least(F.col("seg") * 5 + 5, F.col("last").cast("int") + 1).alias("end"))
+
+
 def fifths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The normalised table, and six segments of five days for every user."""
-    rows = normalised(spark, sf_dir)
-    six = rows.select("subject_id").distinct().withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    return rows, six.select("subject_id", "seg", (F.col("seg") * 5).alias("start"), (F.col("seg") * 5 + 5).alias("end"))
+    """The normalised table, and the segments of five days."""
+    return normalised(spark, sf_dir), five_days(spark, sf_dir)
 
 
-SEGS = NORM + ", g AS (SELECT subject_id, seg, seg * 5 AS s0, seg * 5 + 5 AS s1 FROM (SELECT DISTINCT subject_id FROM u) CROSS JOIN (SELECT unnest(range(0, 6)) AS seg))"
+FIVE = "sg AS (SELECT subject_id, seg, seg * 5 AS s0, least(seg * 5 + 5, days) AS s1 FROM (SELECT DISTINCT subject_id FROM s) CROSS JOIN dy CROSS JOIN (SELECT unnest(range(0, (days + 4) // 5)) AS seg FROM dy))"
+SEGS = NORM + ", " + FIVE + ", g AS (SELECT * FROM sg)"
 STATS = SEGS + ", st AS (SELECT subject_id, w // 5 AS seg, feature, count(norm) AS n, avg(norm) AS mean, stddev_pop(norm) AS std, var_samp(norm) AS var FROM n GROUP BY 1, 2, 3)"
 EFFECT = STATS + """, cd AS (
   SELECT a.subject_id, a.seg AS i, b.seg AS j, sqrt(avg(power(CASE WHEN a.n >= 3 AND b.n >= 3 AND sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) > 1e-12
     THEN (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) ELSE 0 END, 2))) AS d
   FROM st a JOIN st b ON a.subject_id = b.subject_id AND a.feature = b.feature AND a.seg < b.seg GROUP BY 1, 2, 3),
 ct AS (SELECT a.subject_id, a.seg AS i, b.seg AS j, sqrt(sum(power(a.mean - b.mean, 2))) AS d FROM st a JOIN st b ON a.subject_id = b.subject_id AND a.feature = b.feature AND a.seg < b.seg GROUP BY 1, 2, 3),
-md AS (SELECT subject_id, seg, method, sum(d) / 5 AS md FROM (
+md AS (SELECT subject_id, seg, method, sum(d) / (SELECT (days + 4) // 5 - 1 FROM dy) AS md FROM (
   SELECT subject_id, i AS seg, 'effect' AS method, d FROM cd UNION ALL SELECT subject_id, j, 'effect', d FROM cd UNION ALL SELECT subject_id, i, 'centroid', d FROM ct UNION ALL SELECT subject_id, j, 'centroid', d FROM ct) GROUP BY 1, 2, 3),
 co AS (SELECT subject_id, seg, avg(CASE WHEN top > 0 THEN md / top ELSE md END) AS consensus, max(CASE WHEN method = 'effect' THEN md END) AS effect, max(CASE WHEN method = 'centroid' THEN md END) AS centroid
   FROM (SELECT *, max(md) OVER (PARTITION BY subject_id, method) AS top FROM md) GROUP BY 1, 2)"""
@@ -133,10 +157,8 @@ ge AS (SELECT g.subject_id, g.seg, coalesce(ev.events, []) AS events FROM g LEFT
 
 
 def segments_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id")).distinct()
-    segments = days.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(*S, "seg", (F.col("seg") * 5).alias("start"), (F.col("seg") * 5 + 5).alias("end"))
-    times = days.withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAYS - 1).cast("long")))).withColumn("t", F.col("w") + 0.5)
-    return joins.events_by_segment(segments, times, point_events(spark, sf_dir), S)
+    times = users(spark, sf_dir).withColumn("last", last_day(samples(spark, sf_dir))).select(*S, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("w")).withColumn("t", F.col("w") + 0.5)
+    return joins.events_by_segment(five_days(spark, sf_dir), times, point_events(spark, sf_dir), S)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,19 +328,15 @@ def tonic_phasic(spark, d):
 
 @query(f"WITH {SAMPLES} SELECT subject_id, idx FROM (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS n FROM s WINDOW w AS (PARTITION BY subject_id ORDER BY idx)) WHERE value > p AND value >= n AND value > 60")
 def scr_peaks(spark, d):
-    w = Window.partitionBy("subject_id").orderBy("idx")
-    rows = samples(spark, d).withColumns({"_p": F.lag("value").over(w), "_n": F.lead("value").over(w)})
-    return rows.where("value > _p AND value >= _n AND value > 60").select("subject_id", "idx")
+    return frames.local_peaks(samples(spark, d), S, 60.0).select("subject_id", "idx")
 
 
 @query(f"""WITH {SAMPLES}, x AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS n FROM s WINDOW w AS (PARTITION BY subject_id ORDER BY idx)),
-k AS (SELECT subject_id, idx FROM x WHERE value > p AND value >= n AND value > 60)
-SELECT k.subject_id, k.idx, CAST(k.idx - max(b.idx) AS BIGINT) AS rise FROM k JOIN x b ON b.subject_id = k.subject_id AND b.idx < k.idx AND b.idx >= k.idx - 5 AND (b.value <= 0 OR b.value > b.n) GROUP BY 1, 2""")
+k AS (SELECT subject_id, idx FROM x WHERE value > p AND value >= n AND value > 60),
+o AS (SELECT k.subject_id, k.idx, CAST(k.idx - max(b.idx) AS BIGINT) AS rise FROM k LEFT JOIN x b ON b.subject_id = k.subject_id AND b.idx < k.idx AND (b.value <= 0 OR b.value > b.n) GROUP BY 1, 2)
+SELECT subject_id, idx, {r('CASE WHEN rise BETWEEN 2 AND 3 THEN rise / 2 END', 'rise')} FROM o""")
 def rise_time(spark, d):
-    rows = samples(spark, d)
-    w = Window.partitionBy("subject_id").orderBy("idx")
-    onset = rows.withColumn("_n", F.lead("value").over(w)).where("value <= 0 OR value > _n").select("subject_id", F.col("idx").alias("_o"))
-    return scr_peaks(spark, d).join(onset, "subject_id").where("_o < idx AND _o >= idx - 5").groupBy("subject_id", "idx").agg((F.col("idx") - F.max("_o")).alias("rise"))
+    return frames.rise_times(samples(spark, d), S, 2.0, 60.0, 1.5, 0.6).select("subject_id", "idx", "rise")
 
 
 @query(f"WITH {SAMPLES} SELECT subject_id, idx, {r('CASE WHEN n > t THEN 60 / (n - t) END', 'rate')} FROM (SELECT *, lead(t) OVER (PARTITION BY subject_id ORDER BY idx) AS n FROM s)")
@@ -389,7 +407,7 @@ def mean_sem(spark, d):
 # ---- signal quality
 
 
-QUALITY = """, e0 AS (SELECT subject_id, w // 6 AS k, norm, feature, w, abs(norm - lag(norm) OVER (PARTITION BY subject_id, feature, w // 6 ORDER BY w)) AS step FROM n),
+QUALITY = """, e0 AS (SELECT subject_id, w // 6 AS k, norm, feature, w, abs(norm - lag(norm) OVER (PARTITION BY subject_id, feature, w // 6 ORDER BY w)) AS step FROM n CROSS JOIN dy WHERE w // 6 < days // 6),
 eq AS (SELECT subject_id, feature, k, CASE WHEN max(step) > 0.5 * (max(norm) - min(norm)) OR stddev_pop(norm) < 1e-6 THEN 0::DOUBLE ELSE 1::DOUBLE END AS q FROM e0 GROUP BY 1, 2, 3)"""
 
 
@@ -402,7 +420,8 @@ def eda_quality(spark, d):
     return _daily_quality(spark, d)
 
 
-GATED = NORM + QUALITY + """, al AS (SELECT n.*, a.q + (b.q - a.q) * (n.w * 4 / 29 - floor(n.w * 4 / 29)) AS q FROM n JOIN eq a ON a.subject_id = n.subject_id AND a.feature = n.feature AND a.k = floor(n.w * 4 / 29) JOIN eq b ON b.subject_id = n.subject_id AND b.feature = n.feature AND b.k = ceil(n.w * 4 / 29))"""
+GATED = NORM + QUALITY + """, ql AS (SELECT subject_id, feature, max(k) AS last FROM eq GROUP BY 1, 2), at_ AS (SELECT n.*, n.w * last / (days - 1) AS at_ FROM n JOIN ql USING (subject_id, feature) CROSS JOIN dy),
+al AS (SELECT n.*, a.q + (b.q - a.q) * (at_ - floor(at_)) AS q FROM at_ n JOIN eq a ON a.subject_id = n.subject_id AND a.feature = n.feature AND a.k = floor(at_) JOIN eq b ON b.subject_id = n.subject_id AND b.feature = n.feature AND b.k = ceil(at_))"""
 
 
 @query(f"WITH {GATED} SELECT subject_id, feature, w, {r('q', 'q')}, {r('CASE WHEN q >= 0.5 THEN norm END', 'gated')} FROM al")
@@ -447,44 +466,47 @@ def median_bandwidth(spark, d):
     return segment.bandwidths(_distances(spark, d), S)
 
 
-@query(f"""WITH {GAMMA}, g AS (SELECT subject_id, seg, seg * 5 AS s0, seg * 5 + 5 AS s1 FROM (SELECT DISTINCT subject_id FROM u) CROSS JOIN (SELECT unnest(range(0, 6)) AS seg))
-SELECT g.subject_id, g.seg, {r('5 - (5 + 2 * sum(exp(-gamma * d2))) / 5', 'cost')} FROM g JOIN gm USING (subject_id) JOIN d2 ON d2.subject_id = g.subject_id AND d2.i >= s0 AND d2.j < s1 GROUP BY 1, 2""")
+@query(f"""WITH {GAMMA}, {FIVE}
+SELECT sg.subject_id, sg.seg, {r('(s1 - s0) - ((s1 - s0) + 2 * coalesce(sum(exp(-gamma * d2)), 0)) / (s1 - s0)', 'cost')} FROM sg JOIN gm USING (subject_id) LEFT JOIN d2 ON d2.subject_id = sg.subject_id AND d2.i >= s0 AND d2.j < s1 GROUP BY sg.subject_id, sg.seg, s0, s1""")
 def segment_cost(spark, d):
     rows, segments = fifths(spark, d)
     return segment.segment_costs(segments, _distances(spark, d), S).select(*S, "seg", "cost")
 
 
-@query(f"""WITH RECURSIVE {GAMMA}, iv AS (SELECT s0, e0 FROM (SELECT unnest(range(0, 30)) AS s0) CROSS JOIN (SELECT unnest(range(1, 31)) AS e0) WHERE e0 - s0 >= 3),
-cs AS (SELECT d2.subject_id, s0, e0, (e0 - s0) - ((e0 - s0) + 2 * sum(exp(-gamma * d2))) / (e0 - s0) AS c FROM iv JOIN d2 ON i >= s0 AND j < e0 JOIN gm USING (subject_id) GROUP BY 1, 2, 3),
-cl AS (SELECT subject_id, e0, list(c ORDER BY s0) AS c FROM cs GROUP BY 1, 2),
-dp AS (SELECT subject_id, 0 AS e, [0::DOUBLE] AS tot, [NULL::BIGINT] AS prv FROM (SELECT DISTINCT subject_id FROM u)
-  UNION ALL
-  SELECT subject_id, e + 1, list_append(tot, list_min(cand)), list_append(prv, list_position(cand, list_min(cand)) - 1) FROM (
-    SELECT dp.subject_id, dp.e, tot, prv, list_transform(range(0, dp.e + 2), lambda k: CASE WHEN dp.e + 1 - k >= 3 THEN tot[k + 1] + cl.c[k + 1] + 0.5 END) AS cand
-    FROM dp LEFT JOIN cl ON cl.subject_id = dp.subject_id AND cl.e0 = dp.e + 1 WHERE dp.e < 30)),
-bt AS (SELECT subject_id, 30 AS cp, prv FROM dp WHERE e = 30 UNION ALL SELECT subject_id, prv[cp + 1], prv FROM bt WHERE prv[cp + 1] > 0)
-SELECT subject_id, {r('0.5', 'penalty')}, CAST(cp AS BIGINT) AS cp FROM bt WHERE cp < 30""")
+def _cuts(*args, **more) -> str:
+    return f"WITH RECURSIVE {GAMMA}, {sql.cuts('', *args, **more)} SELECT subject_id, {r('penalty', 'penalty')}, CAST(cp AS BIGINT) AS cp FROM bt WHERE cp < days"
+
+
+@query(_cuts([0.5], 3))
 def kernel_segments(spark, d):
     return segment.boundaries(features.vectors(normalised(spark, d), S), S, [0.5], 3)
 
 
-@query()
+@query(_cuts([0.25, 0.5, 1.0], 3))
 def multi_scale_segments(spark, d):
     return segment.boundaries(features.vectors(normalised(spark, d), S), S, [0.25, 0.5, 1.0], 3)
 
 
-@query()
+@query(_cuts([0.5], 4, 2))
 def grid_segments(spark, d):
     return segment.boundaries(features.vectors(normalised(spark, d), S), S, [0.5], 4, 2)
 
 
-@query()
+MODELS = ("rbf", "l2", "l1")
+
+
+@query(f"WITH RECURSIVE {GAMMA}, {', '.join(sql.cuts(m, [0.5], 3, 1, m) for m in MODELS)} " + " UNION ALL ".join(f"SELECT subject_id, {r('penalty', 'penalty')}, CAST(cp AS BIGINT) AS cp, '{m}' AS model FROM bt{m} WHERE cp < days" for m in MODELS))
 def segments_by_cost_model(spark, d):
     rows = features.vectors(normalised(spark, d), S)
-    parts = [segment.boundaries(rows, S, [0.5], 3, model=m).withColumn("model", F.lit(m)) for m in ("rbf", "l2", "l1")]
+    parts = [segment.boundaries(rows, S, [0.5], 3, model=m).withColumn("model", F.lit(m)) for m in MODELS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(f"WITH RECURSIVE {VEC}, gm AS (SELECT DISTINCT subject_id, 0.8 AS gamma FROM u), {sql.cuts('', [0.5], 3)} SELECT subject_id, {r('penalty', 'penalty')}, CAST(cp AS BIGINT) AS cp FROM bt WHERE cp < days")
+def segments_by_width(spark, d):
+    return segment.boundaries(features.vectors(normalised(spark, d), S), S, [0.5], 3, gamma=0.8)
+
+
 @query(f"WITH {STATS} SELECT subject_id, seg, feature, n, {r('mean', 'mean')}, {r('std', 'std')} FROM st")
 def segment_stats(spark, d):
     rows, segments = fifths(spark, d)
@@ -511,42 +533,54 @@ def _segment_rows(spark, d):
     return divergence.segment_rows(features.vectors(rows, S), segments, S)
 
 
-#: Warping of five rows against five: the least sum over the 321 monotone paths, by one relaxation per anti-diagonal.
-DTW = NORM + """, v AS (SELECT subject_id, w // 5 AS seg, w % 5 AS k, list(norm ORDER BY feature) AS x FROM n GROUP BY 1, 2, 3),
-lc AS (SELECT a.subject_id, a.seg AS i, b.seg AS j, list(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) ORDER BY a.k, b.k) AS c FROM v a JOIN v b ON a.subject_id = b.subject_id AND a.seg < b.seg GROUP BY 1, 2, 3),
-dw AS (SELECT subject_id, i, j, c, 0 AS p, CAST([] AS DOUBLE[]) AS t FROM lc
-  UNION ALL SELECT subject_id, i, j, c, p + 1, list_append(t, c[p + 1] + CASE WHEN p = 0 THEN 0 ELSE list_min([CASE WHEN p >= 5 AND p % 5 > 0 THEN t[p - 5] END, CASE WHEN p >= 5 THEN t[p - 4] END, CASE WHEN p % 5 > 0 THEN t[p] END]) END) FROM dw WHERE p < 25)"""
-
-
-@query(f"WITH RECURSIVE {DTW} SELECT subject_id, i AS seg_i, j AS seg_j, {r('t[25] / 5', 'd')} FROM dw WHERE p = 25")
+@query(f"WITH RECURSIVE {VEC}, {FIVE}, {sql.warped()} SELECT subject_id, i AS seg_i, j AS seg_j, {r('t[n * m] / greatest(n, m)', 'd')} FROM dw WHERE p = n * m")
 def pair_dtw(spark, d):
     return divergence.pair_distances(_segment_rows(spark, d), S, ("DTW",)).drop("method")
 
 
-@query()
+@query(f"WITH RECURSIVE {VEC}, {FIVE}, {sql.warped('cityblock', 2, 1.5)} SELECT subject_id, i AS seg_i, j AS seg_j, {r('t[n * m]', 'd')} FROM dw WHERE p = n * m")
 def banded_dtw(spark, d):
     return divergence.pair_distances(_segment_rows(spark, d), S, ("DTW",), normalise=False, metric="cityblock", band=2, slope=1.5).drop("method")
 
 
-@query()
+@query(f"WITH RECURSIVE {VEC}, {FIVE}, {sql.warped()}, {sql.PATHS} SELECT subject_id, i AS seg_i, j AS seg_j, {r('t[len(t)]', 'd')}, path FROM pt WHERE a = 0 AND b = 0")
 def dtw_path(spark, d):
     found = divergence.warping_paths(_segment_rows(spark, d), S)
     return found.withColumn("path", F.array_join(F.transform("path", lambda c: F.concat_ws("-", c["i"], c["j"])), " "))
 
 
-@query()
+PAIR_RULSIF = f"{sql.PAIR_ROWS}, {sql.ratios('pr', 'subject_id, i, j')}, sa AS (SELECT a.subject_id, a.seg AS i, b.seg AS j FROM sg a JOIN sg b ON a.subject_id = b.subject_id AND a.seg < b.seg), rl AS (SELECT sa.*, coalesce(greatest(pe, 0), 0) AS d FROM sa LEFT JOIN rs USING (subject_id, i, j))"
+
+
+@query(f"WITH RECURSIVE {VEC}, {FIVE}, {PAIR_RULSIF} SELECT subject_id, i AS seg_i, j AS seg_j, {r('d', 'd')} FROM rl")
 def pair_rulsif(spark, d):
     return divergence.pair_distances(_segment_rows(spark, d), S, ("RuLSIF",)).drop("method")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC}, fr AS (SELECT a.subject_id, a.w AS w, n.feature, n.w AS k, n.norm, stddev_pop(n.norm) OVER (PARTITION BY a.subject_id, a.w, n.feature) AS sd
+  FROM (SELECT DISTINCT subject_id, w FROM u) a CROSS JOIN dy JOIN n ON n.subject_id = a.subject_id AND n.w >= a.w - 8 AND n.w < a.w + 8 WHERE a.w >= 8 AND a.w < days - 8),
+fv AS (SELECT subject_id, w, k < w AS test, k, list(norm / CASE WHEN sd = 0 THEN 1 ELSE sd END ORDER BY feature) AS x FROM fr GROUP BY ALL), {sql.ratios('fv', 'subject_id, w')}
+SELECT u.subject_id, u.w, {r('pe', 'd')} FROM (SELECT DISTINCT subject_id, w FROM u) u LEFT JOIN rs USING (subject_id, w)""")
 def sliding_rulsif(spark, d):
     return divergence.sliding_divergence(features.vectors(normalised(spark, d), S), S, 8)
 
 
-@query()
+RDI = f"""WITH RECURSIVE {GAMMA}, {sql.cuts('', [0.5], 3)}, {sql.segments_from('')}, {sql.warped()}, {PAIR_RULSIF},
+st AS (SELECT n.subject_id, seg, feature, count(norm) AS n, avg(norm) AS mean, var_samp(norm) AS var FROM n JOIN sg ON sg.subject_id = n.subject_id AND w >= s0 AND w < s1 GROUP BY 1, 2, 3),
+cd AS (SELECT a.subject_id, a.seg AS i, b.seg AS j, sqrt(avg(power(CASE WHEN a.n >= 3 AND b.n >= 3 AND sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) > 1e-12
+    THEN (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) ELSE 0 END, 2))) AS d FROM st a JOIN st b ON a.subject_id = b.subject_id AND a.feature = b.feature AND a.seg < b.seg GROUP BY 1, 2, 3),
+al AS (SELECT subject_id, i, j, 'DTW' AS method, t[n * m] / greatest(n, m) AS d FROM dw WHERE p = n * m UNION ALL SELECT subject_id, i, j, 'RuLSIF', d FROM rl UNION ALL SELECT subject_id, i, j, 'effect', d FROM cd),
+ns AS (SELECT subject_id, count(*) AS k FROM sg GROUP BY 1),
+md AS (SELECT sg.subject_id, sg.seg, m.method, coalesce(sum(al.d), 0) / greatest(1, any_value(k) - 1) AS md FROM sg JOIN ns USING (subject_id) CROSS JOIN (SELECT unnest(['DTW', 'RuLSIF', 'effect']) AS method) m
+  LEFT JOIN al ON al.subject_id = sg.subject_id AND al.method = m.method AND sg.seg IN (al.i, al.j) GROUP BY 1, 2, 3),
+co AS (SELECT subject_id, seg, avg(CASE WHEN top > 0 THEN md / top ELSE md END) AS consensus FROM (SELECT *, max(md) OVER (PARTITION BY subject_id, method) AS top FROM md) GROUP BY 1, 2),
+z AS (SELECT sg.*, consensus, avg(consensus) OVER w AS mu, stddev_pop(consensus) OVER w AS sd FROM sg JOIN co USING (subject_id, seg) WINDOW w AS (PARTITION BY sg.subject_id))
+SELECT subject_id, seg, CAST(s0 AS BIGINT) AS start, CAST(s1 AS BIGINT) AS "end", {r('consensus', 'consensus')}, {r('CASE WHEN sd >= 1e-12 THEN (consensus - mu) / sd ELSE 0 END', 'z')} FROM z"""
+
+
+@query(RDI)
 def rdi_scores(spark, d):
-    rows = normalised(spark, d)
+    rows = written(normalised(spark, d), "features")
     _, segments = regimes.segment_table(rows, S, 0.5, 3)
     methods = regimes.Options.methods
     return rdi.score_segments(regimes.all_distances(rows, segments, S, methods), segments, S, methods)
@@ -599,8 +633,8 @@ def event_merge(spark, d):
 
 
 @query(f"""WITH {SAMPLES}, k AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY idx) - 1 AS p FROM s WHERE feature = 'error'),
-w AS (SELECT subject_id, idx AS beat, idx + 1 AS a, least(idx + 6, coalesce(lead(idx) OVER (PARTITION BY subject_id ORDER BY idx), 1000000)) AS b FROM k),
-h AS (SELECT w.subject_id, beat, s.idx, s.value FROM w JOIN s ON s.subject_id = w.subject_id AND s.idx >= a AND s.idx < b),
+w AS (SELECT subject_id, idx AS beat, idx + 1 AS a, least(idx + 6, lead(idx) OVER (PARTITION BY subject_id ORDER BY idx)) AS b, lead(idx) OVER (PARTITION BY subject_id ORDER BY idx) AS nx FROM k),
+h AS (SELECT w.subject_id, beat, s.idx, s.value FROM w JOIN s ON s.subject_id = w.subject_id AND s.idx >= a AND s.idx < b WHERE nx IS NOT NULL),
 m AS (SELECT subject_id, beat, count(*) AS n, arg_max(idx, (value, -idx)) AS peak FROM h GROUP BY 1, 2 HAVING count(*) >= 3),
 x AS (SELECT *, (peak - beat) * 1000 / 10 AS ptt FROM m WHERE peak - beat BETWEEN 1 AND 6) SELECT subject_id, beat, peak, {r('ptt', 'ptt')} FROM x WHERE subject_id IN (SELECT subject_id FROM x GROUP BY 1 HAVING count(*) > 2)""")
 def peak_transit(spark, d):
@@ -618,30 +652,39 @@ def _units(spark, d):
 UNITS = SAMPLES + ", un AS (SELECT subject_id AS unit, avg(value) AS score, sum(CASE WHEN feature = 'error' THEN 1 ELSE 0 END) >= 15 AS is_event FROM s GROUP BY 1)"
 
 
-@query(f"""WITH {UNITS}, o AS (SELECT count(*) FILTER (WHERE is_event) AS k, avg(score) FILTER (WHERE is_event) - avg(score) FILTER (WHERE NOT is_event) AS delta FROM un),
-pm AS (SELECT p, score, row_number() OVER (PARTITION BY p ORDER BY md5('42|' || CAST(p AS VARCHAR) || '|' || CAST(unit AS VARCHAR)), unit) AS place FROM un CROSS JOIN (SELECT unnest(range(0, 500)) AS p)),
-nl AS (SELECT p, avg(score) FILTER (WHERE place <= k) - avg(score) FILTER (WHERE place > k) AS d FROM pm CROSS JOIN o GROUP BY p)
-SELECT {r('max(delta)', 'delta')}, {r('avg(CASE WHEN d >= delta THEN 1 ELSE 0 END)', 'p')}, {r('avg(d)', 'null_mean')} FROM nl CROSS JOIN o""")
+def _null(source: str, keys: str, n_perm: int) -> str:
+    """``pf`` (keys, delta, p, null_mean) of the hashed permutation test of ``source`` (keys, unit, score, is_event)."""
+    return f"""ob AS (SELECT {keys}, count(*) FILTER (WHERE is_event) AS k, avg(score) FILTER (WHERE is_event) - avg(score) FILTER (WHERE NOT is_event) AS delta FROM {source} GROUP BY ALL),
+pm AS (SELECT {keys}, p, score, row_number() OVER (PARTITION BY {keys}, p ORDER BY md5('42|' || CAST(p AS VARCHAR) || '|' || CAST(unit AS VARCHAR)), unit) AS place FROM {source} CROSS JOIN (SELECT unnest(range(0, {n_perm})) AS p)),
+nl AS (SELECT {keys}, p, avg(score) FILTER (WHERE place <= k) - avg(score) FILTER (WHERE place > k) AS d FROM pm JOIN ob USING ({keys}) GROUP BY ALL),
+pf AS (SELECT {keys}, coalesce(any_value(delta), 0) AS delta, coalesce(avg(CASE WHEN delta IS NOT NULL THEN CASE WHEN d >= delta - 1e-9 THEN 1 ELSE 0 END END), 1) AS p, coalesce(avg(CASE WHEN delta IS NOT NULL THEN d END), 0) AS null_mean FROM nl JOIN ob USING ({keys}) GROUP BY ALL)"""
+
+
+@query(f"WITH {UNITS}, ug AS (SELECT *, 'all' AS grp FROM un), {_null('ug', 'grp', 2000)} SELECT grp AS \"group\", {r('delta', 'delta')}, {r('p', 'p')}, {r('null_mean', 'null_mean')} FROM pf")
 def permutation_test(spark, d):
-    return validate.permutation_hashed(_units(spark, d), 500)
+    return validate.permutation_hashed(_units(spark, d).withColumn("group", F.lit("all")), ["group"], 2000)
 
 
 @query()
 def permutation_test_seeded(spark, d):
-    return validate.permutation_seeded(_units(spark, d).withColumn("group", F.lit("all")), ["group"], 1000)
+    return validate.permutation_seeded(records(spark, d).select("subject", F.col("seg_idx").alias("unit"), F.col("consensus").alias("score"), F.array_contains("events", "Error").alias("is_event")), ["subject"], 10_000)
 
 
-@query()
+PHASES = {"event vs other": ("hit", "NOT hit"), "event vs practice": ("hit AND in_experiment", "NOT in_experiment"), "experiment only": ("hit AND in_experiment", "in_experiment AND NOT hit"), "event vs late": ("hit", "NOT hit AND seg_idx > 3")}
+
+
+@query(f"""WITH {RECORDS}, ph AS (SELECT CAST(subject AS VARCHAR) || ':' || CAST(seg_idx AS VARCHAR) AS unit, consensus AS score, list_contains(events, 'Error') AS hit, in_experiment, seg_idx FROM rc),
+pc AS ({' UNION ALL '.join(f"SELECT '{name}' AS comparison, unit, score, {own} AS is_event FROM ph WHERE ({own}) OR ({other})" for name, (own, other) in PHASES.items())}), {_null('pc', 'comparison', 200)}
+SELECT comparison, {r('delta', 'delta')}, {r('p', 'p')}, {r('null_mean', 'null_mean')} FROM pf""")
 def phase_permutation(spark, d):
-    rows = records(spark, d).select(F.xxhash64("subject", "seg_idx").alias("unit"), F.col("consensus").alias("score"), F.arrays_overlap("events", F.array(F.lit("Error"))).alias("hit"), "in_experiment", "seg_idx")
-    inside = "in_experiment AND NOT hit"
-    return validate.phase_permutations(rows, {"event vs other": ("hit", "NOT hit"), "event vs practice": ("hit AND in_experiment", "NOT in_experiment"), "experiment only": ("hit AND in_experiment", inside), "event vs late": ("hit", "NOT hit AND seg_idx > 3")}, 500)
+    rows = records(spark, d).select(F.concat_ws(":", "subject", "seg_idx").alias("unit"), F.col("consensus").alias("score"), F.array_contains("events", "Error").alias("hit"), "in_experiment", "seg_idx")
+    return validate.phase_permutations(rows, PHASES, 200)
 
 
 @query(f"""WITH {UNITS}, k AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM un), m AS (SELECT count(*) FILTER (WHERE is_event) AS n1, count(*) FILTER (WHERE NOT is_event) AS n0, sum(rk) FILTER (WHERE is_event) AS s FROM k)
 SELECT 'all' AS "group", n1, n0, {r('s - n1 * (n1 + 1) / 2', 'u')}, {r('2 * (s - n1 * (n1 + 1) / 2) / (n1 * n0) - 1', 'r')} FROM m""")
 def rank_biserial(spark, d):
-    return validate.rank_biserial(_units(spark, d).withColumn("group", F.lit("all")), ["group"])
+    return validate.rank_biserial(_units(spark, d).withColumn("group", F.lit("all")), ["group"], ranges=4)
 
 
 # ---- cohort detection
@@ -704,6 +747,12 @@ def cumulative_detection(spark, d):
     return detect.cumulative_detection(rows)
 
 
+@query(f"""WITH {POOLED}, t AS (SELECT *, row_number() OVER w AS k, sum(y) OVER (ORDER BY score DESC, subject DESC, pos DESC ROWS UNBOUNDED PRECEDING) AS h, sum(y) OVER () AS n FROM pl WHERE strategy = 'cons_z' WINDOW w AS (ORDER BY score DESC, subject DESC, pos DESC))
+SELECT k, CAST(n AS BIGINT) AS n_pos, {r('h / n', 'detection')}, {r('h / k', 'precision')} FROM t WHERE k = n""")
+def inspection_point(spark, d):
+    return detect.inspection_point(cumulative_detection(spark, d))
+
+
 @query(f"""WITH {RECORDS}, g2 AS (SELECT subject, seg_idx, consensus, events, CASE WHEN subject % 2 = 0 THEN 'b' ELSE 'a' END AS grp FROM rc), k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY consensus DESC, seg_idx) AS k FROM g2 WHERE grp = 'b' AND list_contains(events, 'Error')),
 f AS (SELECT g2.subject, g2.seg_idx, CASE WHEN k.k > 1 THEN list_filter(g2.events, lambda e: e <> 'Error') ELSE g2.events END AS events FROM g2 LEFT JOIN k ON k.subject = g2.subject AND k.seg_idx = g2.seg_idx)
 SELECT subject, seg_idx, array_to_string(list_sort(events), ',') AS events, list_contains(events, 'Error') AS has_affective FROM f""")
@@ -732,8 +781,9 @@ def _halves(spark, d):
 
 HALVES = SAMPLES + """, hv AS (SELECT subject_id AS subject, feature AS emotion, avg(value) FILTER (WHERE t < 15 * 86400) AS before, avg(value) FILTER (WHERE t >= 15 * 86400) AS after FROM s GROUP BY 1, 2),
 hp AS (SELECT * FROM hv WHERE before IS NOT NULL AND after IS NOT NULL)"""
-WILCOXON = HALVES + """, hd AS (SELECT emotion, after - before AS d, rank() OVER (PARTITION BY emotion ORDER BY abs(after - before)) + (count(*) OVER (PARTITION BY emotion, abs(after - before)) - 1) / 2 AS rk FROM hp WHERE after <> before),
-hw AS (SELECT emotion, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus FROM hd GROUP BY 1)"""
+WILCOXON = HALVES + ", hd AS (SELECT emotion, after - before AS d FROM hp), " + sql.signed_ranks("hd", "emotion", 5)
+T_TEST = "ht AS (SELECT emotion, count(*) AS n, avg(after - before) AS mean_d, avg(after - before) / (stddev_samp(after - before) / sqrt(count(*))) AS t FROM hp GROUP BY 1)"
+STARS = "CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE '' END AS mark"
 
 
 @query(f"WITH {HALVES} SELECT subject, emotion, {r('before', 'before')}, {r('after', 'after')} FROM hp")
@@ -741,14 +791,14 @@ def paired_ratings(spark, d):
     return _halves(spark, d)
 
 
-@query(f"WITH {WILCOXON} SELECT emotion, n, {r('w_plus', 'w_plus')}, {r('least(w_plus, n * (n + 1) / 2 - w_plus)', 'w')} FROM hw")
+@query(f"WITH RECURSIVE {WILCOXON} SELECT emotion, n, {r('w_plus', 'w_plus')}, {r('w', 'w')}, {r('p', 'p')} FROM wx")
 def wilcoxon_stat(spark, d):
-    return validate.signed_rank(_halves(spark, d).withColumn("d", F.col("after") - F.col("before")), ["emotion"]).drop("p")
+    return validate.signed_rank(_halves(spark, d).withColumn("d", F.col("after") - F.col("before")), ["emotion"])
 
 
-@query(f"WITH {HALVES} SELECT emotion, count(*) AS n, {r('avg(after - before)', 'mean_d')}, {r('avg(after - before) / (stddev_samp(after - before) / sqrt(count(*)))', 't')} FROM hp GROUP BY 1")
+@query(f"WITH {HALVES}, {T_TEST} SELECT emotion, n, {r('mean_d', 'mean_d')}, {r('t', 't')}, {r(sql.student_p('t', '(n - 1)'), 'p')} FROM ht")
 def paired_t_stat(spark, d):
-    return validate.paired_t(_halves(spark, d).withColumn("d", F.col("after") - F.col("before")), ["emotion"]).drop("p")
+    return validate.paired_t(_halves(spark, d).withColumn("d", F.col("after") - F.col("before")), ["emotion"])
 
 
 @query(f"""WITH c AS (SELECT c_nationkey AS k, row_number() OVER (ORDER BY avg(c_acctbal), c_nationkey) / 500 AS p FROM customer GROUP BY 1), h AS (SELECT k, p, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1)) AS h FROM c)
@@ -767,7 +817,11 @@ def quadrant_summary(spark, d):
     return sides[0].join(sides[1].drop("n"), "quadrant")
 
 
-@query()
+HOLM = "{0} AS (SELECT *, max(least(1, p * (m - k + 1))) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, {2}) AS k FROM {1}))"
+
+
+@query(f"""WITH RECURSIVE {WILCOXON}, {T_TEST}, {HOLM.format('hh', 'wx', 'emotion')}
+SELECT emotion, hh.n, {r('w_plus', 'w_plus')}, {r('w', 'w')}, {r('p', 'p')}, {r('p_holm', 'p_holm')}, {STARS.format(p='p_holm')}, {r(sql.student_p('t', '(ht.n - 1)'), 'p_t')} FROM hh JOIN ht USING (emotion)""")
 def paired_tests(spark, d):
     rows = _halves(spark, d).withColumn("d", F.col("after") - F.col("before"))
     w = validate.signed_rank(rows, ["emotion"]).withColumn("family", F.lit("all"))
@@ -775,24 +829,44 @@ def paired_tests(spark, d):
     return w.withColumn("mark", stats.stars(F.col("p_holm"))).join(validate.paired_t(rows, ["emotion"]).select("emotion", F.col("p").alias("p_t")), "emotion")
 
 
+@query(f"""WITH RECURSIVE {HALVES}, qd AS (SELECT CASE WHEN emotion IN ('click', 'view') THEN 'browse' ELSE 'act' END AS quadrant, before, after FROM hp), qx AS (SELECT quadrant, after - before AS d FROM qd), {sql.signed_ranks('qx', 'quadrant', 5)}, {HOLM.format('qh', 'wx', 'quadrant')},
+qs AS (SELECT quadrant, avg(before) AS mb, stddev_samp(before) / sqrt(count(*)) AS sb, avg(after) AS ma, stddev_samp(after) / sqrt(count(*)) AS sa FROM qd GROUP BY 1)
+SELECT quadrant, n, {r('w', 'w')}, {r('p', 'p')}, {r('p_holm', 'p_holm')}, {STARS.format(p='p_holm')}, {r('mb', 'mean_before')}, {r('sb', 'sem_before')}, {r('ma', 'mean_after')}, {r('sa', 'sem_after')} FROM qh JOIN qs USING (quadrant)""")
+def quadrant_tests(spark, d):
+    rows = _halves(spark, d).withColumn("quadrant", F.when(F.col("emotion").isin("click", "view"), "browse").otherwise("act")).withColumn("d", F.col("after") - F.col("before"))
+    tested = validate.holm(validate.signed_rank(rows, ["quadrant"]).withColumn("family", F.lit("all")), ["family"], tie="quadrant")
+    tested = tested.select("quadrant", "n", "w", "p", "p_holm", stats.stars(F.col("p_holm")).alias("mark"))
+    return tested.join(quadrant_summary(spark, d).drop("n"), "quadrant")
+
+
 def _solo(spark, d):
     """AUC of a user's daily sums of one type (and of all) for days with an error."""
     rows = daily(spark, d)
     label = rows.where("feature = 'error'").select(*S, "w", (F.col("raw") > 0).cast("int").alias("y"))
     scored = rows.join(label, [*S, "w"])
+    scored = scored.withColumn("raw", F.round("raw", 9))
     solo = validate.auc(scored.withColumnRenamed("raw", "score"), [*SF]).select(F.col("feature").alias("modality"), F.lit("error").alias("event"), F.col("subject_id").alias("subject"), "auc")
-    whole = scored.groupBy(*S, "w", "y").agg(F.sum("raw").alias("score"))
+    whole = scored.groupBy(*S, "w", "y").agg(F.round(F.sum("raw"), 9).alias("score"))
     return solo, validate.auc(whole, S).select(F.lit("error").alias("event"), F.col("subject_id").alias("subject"), "auc")
 
 
-@query(f"""WITH {DAILY}, lb AS (SELECT subject_id, w, CASE WHEN raw > 0 THEN 1 ELSE 0 END AS y FROM u WHERE feature = 'error'), a0 AS (SELECT subject_id, feature, w, y, round(raw, 9) AS score FROM u JOIN lb USING (subject_id, w)),
-a1 AS (SELECT * FROM a0 UNION ALL SELECT subject_id, '*', w, y, round(sum(score), 9) FROM a0 GROUP BY subject_id, w, y), k AS (SELECT *, rank() OVER (PARTITION BY subject_id, feature ORDER BY score) + (count(*) OVER (PARTITION BY subject_id, feature, score) - 1) / 2 AS rk FROM a1),
-au AS (SELECT subject_id, feature, {AUC} AS auc FROM k GROUP BY 1, 2 HAVING sum(y) > 0 AND sum(1 - y) > 0), pr AS (SELECT a.feature, a.auc, a.auc - b.auc AS d FROM au a JOIN au b ON b.subject_id = a.subject_id AND b.feature = '*' WHERE a.feature <> '*')
-SELECT feature AS modality, 'error' AS event, count(*) AS n, {r('avg(auc)', 'mean_auc')}, {r('stddev_pop(auc) / sqrt(count(*))', 'sem')}, {r('avg(d)', 'mean_diff')}, {r('CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END', 't')} FROM pr GROUP BY 1""")
+SOLO = DAILY + """, lb AS (SELECT subject_id, w, CASE WHEN raw > 0 THEN 1 ELSE 0 END AS y FROM u WHERE feature = 'error'), a0 AS (SELECT subject_id, feature, w, y, round(raw, 9) AS score FROM u JOIN lb USING (subject_id, w)),
+a1 AS (SELECT * FROM a0 UNION ALL SELECT subject_id, '*', w, y, round(sum(score), 9) FROM a0 GROUP BY subject_id, w, y), ak AS (SELECT *, rank() OVER (PARTITION BY subject_id, feature ORDER BY score) + (count(*) OVER (PARTITION BY subject_id, feature, score) - 1) / 2 AS rk FROM a1),
+au AS (SELECT subject_id, feature, """ + AUC + """ AS auc FROM ak GROUP BY 1, 2 HAVING sum(y) > 0 AND sum(1 - y) > 0), pr AS (SELECT a.feature, a.auc, a.auc - b.auc AS d FROM au a JOIN au b ON b.subject_id = a.subject_id AND b.feature = '*' WHERE a.feature <> '*'),
+ab AS (SELECT feature AS modality, count(*) AS n, avg(auc) AS mean_auc, stddev_pop(auc) / sqrt(count(*)) AS sem, avg(d) AS mean_diff, CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t FROM pr GROUP BY 1)"""
+
+
+@query(f"WITH {SOLO} SELECT modality, 'error' AS event, n, {r('mean_auc', 'mean_auc')}, {r('sem', 'sem')}, {r('mean_diff', 'mean_diff')}, {r('t', 't')}, {r(sql.student_p('t', '(n - 1)'), 'p')} FROM ab")
 def modality_ablation(spark, d):
     return detect.modality_ablation(*_solo(spark, d))
 
 
+@query(f"WITH RECURSIVE {SOLO}, hd AS (SELECT feature AS modality, round(auc, 12) - 0.5 AS d FROM au WHERE feature <> '*'), {sql.signed_ranks('hd', 'modality', 6)} SELECT modality, n, {r('w_plus', 'w_plus')}, {r('w', 'w')}, {r('p', 'p')} FROM wx")
+def auc_against_chance(spark, d):
+    solo, _ = _solo(spark, d)
+    return validate.signed_rank(solo.withColumn("d", F.round("auc", 12) - 0.5), ["modality"], least=6)
+
+
 @query(f"""WITH {NORM}, e AS (SELECT subject_id, w FROM u WHERE feature = 'error' AND raw > 0), dl AS (SELECT n.*, norm - lag(norm) OVER (PARTITION BY subject_id, feature ORDER BY w) AS delta FROM n), p AS (SELECT CASE WHEN feature IN ('click', 'view') THEN 'browse' ELSE 'act' END AS modality, feature, delta FROM dl JOIN e USING (subject_id, w) WHERE delta IS NOT NULL),
 m AS (SELECT modality, feature, count(*) AS n, avg(delta) AS mean, CASE WHEN count(*) > 1 THEN stddev_pop(delta) / sqrt(count(*)) ELSE 0 END AS sem FROM p GROUP BY 1, 2)
 SELECT modality, feature, n, {r('mean', 'mean')}, {r('sem', 'sem')}, row_number() OVER (ORDER BY CASE modality WHEN 'browse' THEN 1 ELSE 2 END, abs(mean) DESC, feature) AS place FROM m""")
@@ -803,14 +877,174 @@ def feature_response(spark, d):
     return detect.feature_response(near, ["browse", "act"])
 
 
+# ---- spectra of the users' series, read as signals of four samples a second
+
+
+def _signals(spark, d):
+    return samples(spark, d).select(*S, F.lit(4).alias("fs"), "idx", "value")
+
+
+@query(f"WITH {SAMPLES}, {sql.zero_phase('s', 4.0, 5, 120, high=0.1)} SELECT subject_id, idx, {r('value', 'value')} FROM zp")
+def low_pass(spark, d):
+    return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "value": dsp.skin_temperature(x, fs)}, "idx long, value double")
+
+
+@query(f"WITH {SAMPLES}, {sql.zero_phase('s', 4.0, 3, 240, low=0.05, high=1.0)} SELECT subject_id, idx, {r('value', 'value')} FROM zp")
+def band_pass(spark, d):
+    return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "value": dsp.zero_phase(x, fs, 3, 0.05, 1.0)}, "idx long, value double")
+
+
+@query(f"""WITH {SAMPLES}, c AS (SELECT subject_id, idx, value - avg(value) OVER (PARTITION BY subject_id) AS y, count(*) OVER (PARTITION BY subject_id) AS n FROM s),
+f AS (SELECT subject_id, n, k, sum(y * cos(2 * pi() * ((idx * k) % n) / n)) AS re, -sum(y * sin(2 * pi() * ((idx * k) % n) / n)) AS im FROM c CROSS JOIN (SELECT unnest(range(0, 4097)) AS k) WHERE k <= n // 2 GROUP BY ALL),
+h AS (SELECT *, CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS g FROM f),
+z AS (SELECT c.subject_id, c.idx, sum(g * (re * cos(2 * pi() * ((c.idx * k) % h.n) / h.n) - im * sin(2 * pi() * ((c.idx * k) % h.n) / h.n))) / any_value(h.n) AS a, sum(g * (re * sin(2 * pi() * ((c.idx * k) % h.n) / h.n) + im * cos(2 * pi() * ((c.idx * k) % h.n) / h.n))) / any_value(h.n) AS b FROM c JOIN h USING (subject_id) GROUP BY 1, 2)
+SELECT subject_id, idx, {r('sqrt(a * a + b * b)', 'envelope')} FROM z""")
+def envelope(spark, d):
+    return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "envelope": dsp.envelope(x - x.mean())}, "idx long, envelope double")
+
+
+@query(f"""WITH {SAMPLES}, c AS (SELECT *, count(*) OVER (PARTITION BY subject_id) AS n FROM s), st AS (SELECT subject_id, unnest(range(0, (n - 16) // 4 + 1)) AS w FROM (SELECT DISTINCT subject_id, n FROM c)),
+p AS (SELECT st.subject_id, st.w, g, c.idx - 4 * st.w - 4 * g AS i, value, value - avg(value) OVER (PARTITION BY st.subject_id, st.w, g) AS y FROM st CROSS JOIN (SELECT unnest(range(0, 3)) AS g) JOIN c ON c.subject_id = st.subject_id AND c.idx >= 4 * st.w + 4 * g AND c.idx < 4 * st.w + 4 * g + 8),
+f AS (SELECT subject_id, w, g, k, power(sum(y * (0.5 - 0.5 * cos(2 * pi() * i / 8)) * cos(2 * pi() * i * k / 8)), 2) + power(sum(y * (0.5 - 0.5 * cos(2 * pi() * i / 8)) * sin(2 * pi() * i * k / 8)), 2) AS e FROM p CROSS JOIN (SELECT unnest(range(0, 5)) AS k) GROUP BY ALL),
+e AS (SELECT subject_id, w, sum(CASE WHEN k BETWEEN 1 AND 3 THEN 2 * e ELSE 0 END) AS inside, sum(CASE WHEN k BETWEEN 1 AND 3 THEN 2 * e ELSE e END) AS total FROM f GROUP BY 1, 2),
+sd AS (SELECT st.subject_id, st.w, stddev_pop(value) AS sd FROM st JOIN c ON c.subject_id = st.subject_id AND c.idx >= 4 * st.w AND c.idx < 4 * st.w + 16 GROUP BY 1, 2)
+SELECT subject_id, w, CASE WHEN sd < 24 OR (total > 0 AND inside / total < 0.8) THEN 0::DOUBLE ELSE 1::DOUBLE END AS q FROM e JOIN sd USING (subject_id, w)""")
+def band_quality(spark, d):
+    return quality.band_quality(_signals(spark, d), S, (0.5, 1.5), 0.8, 8, 4.0, 1.0, 24.0)
+
+
+@query(f"""WITH {SAMPLES}, f AS (SELECT *, value > 40 AS flag FROM s), k AS (SELECT *, idx - row_number() OVER (PARTITION BY subject_id ORDER BY idx) AS run FROM f WHERE flag),
+a AS (SELECT subject_id, min(idx) AS s0, max(idx) + 1 AS s1 FROM k GROUP BY subject_id, run HAVING count(*) >= 3)
+SELECT s.subject_id, s.idx, {r('CASE WHEN a.s0 IS NULL THEN value END', 'masked')} FROM s LEFT JOIN a ON a.subject_id = s.subject_id AND s.idx >= s0 AND s.idx < s1""")
+def artifact_mask(spark, d):
+    rows = samples(spark, d)
+    found = quality.artifact_runs(rows.withColumn("flag", F.col("value") > 40), S, 3)
+    return quality.mask_runs(rows, found, S).select(*S, "idx", "masked")
+
+
+@query(f"""WITH {SAMPLES}, gp AS (SELECT *, CASE WHEN NOT (idx % 7 = 1 AND value > 30) THEN value END AS v FROM s), k AS (SELECT subject_id, feature FROM gp GROUP BY 1, 2 HAVING avg(CASE WHEN v IS NULL THEN 1 ELSE 0 END) < 0.10)
+SELECT subject_id, feature, idx FROM gp JOIN k USING (subject_id, feature)""")
+def drop_sparse(spark, d):
+    rows = samples(spark, d).withColumn("value", F.when(~((F.col("idx") % 7 == 1) & (F.col("value") > 30)), F.col("value")))
+    return frames.drop_sparse(rows, SF).select(*SF, "idx")
+
+
+# ---- sources: each query writes the files it reads
+
+
+def _recordings(spark, d):
+    """Text recordings of two kinds of channel: values, and, but for errors, days since the start; a gap of the first is a missing value."""
+    rows = samples(spark, d)
+    cells = F.array(F.struct(F.lit(1).alias("channel"), F.when(F.col("idx") % 11 != 3, F.col("value")).alias("value")), F.struct(F.lit(2).alias("channel"), F.when(F.col("feature") != "error", F.col("t") / 86400).alias("value")))
+    long = rows.select("subject_id", F.col("idx").alias("row_idx"), F.explode(cells).alias("c")).select("subject_id", "row_idx", "c.*")
+    folder = shared_folder(spark, "recordings")
+    written(sources.write_recordings(long, folder), "recording-files").count()
+    return sources.read_recordings(spark, folder)
+
+
+RECORDED = SAMPLES + ", ch AS (SELECT CAST(subject_id AS VARCHAR) AS subject_id, idx AS row_idx, 1 AS channel, CASE WHEN idx % 11 <> 3 THEN value END AS value FROM s UNION ALL SELECT CAST(subject_id AS VARCHAR), idx, 2, CASE WHEN feature <> 'error' THEN t / 86400 END FROM s)"
+
+
+@query(f"WITH {RECORDED} SELECT subject_id, row_idx, CAST(channel AS BIGINT) AS channel, {r('value', 'value')} FROM ch")
+def text_recordings(spark, d):
+    return _recordings(spark, d)
+
+
+@query(f"""WITH {RECORDED} SELECT subject_id, CASE channel WHEN 1 THEN 'PPG' ELSE 'ECG' END AS modality, 200::BIGINT AS fs, row_idx // 2 - 5 AS idx, {r('value', 'value')} FROM ch WHERE row_idx >= 10 AND row_idx < 40 AND (row_idx - 10) % 2 = 0""")
+def recorded_modalities(spark, d):
+    rows = _recordings(spark, d)
+    window = rows.select("subject_id").distinct().select("subject_id", F.lit(0.025).alias("t0"), F.lit(0.1).alias("t1"))
+    return sources.modality_samples(rows, 400, window)
+
+
+@query(f"""WITH {SAMPLES}, e AS (SELECT user_id AS subject_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events),
+x AS (SELECT subject_id, CASE idx WHEN 0 THEN 'Data Start' WHEN 2 THEN 'Video Start' ELSE event_type || ' ' || CAST(idx AS VARCHAR) END AS event, date_trunc('second', ts) AS ts FROM e),
+o AS (SELECT subject_id, max(CASE WHEN event = 'Video Start' THEN ts END) AS v FROM x GROUP BY 1)
+SELECT CAST(subject_id AS VARCHAR) AS subject_id, event, {r("date_diff('second', v, ts)", 't')} FROM x JOIN o USING (subject_id) WHERE ts >= v""")
+def event_stamps(spark, d):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").withColumn("idx", F.row_number().over(order) - 1)
+    name = F.when(F.col("idx") == 0, "Data Start").when(F.col("idx") == 2, "Video Start").otherwise(F.concat_ws(" ", "event_type", "idx"))
+    parts = {p: getattr(F, p)("ts").alias(p) for p in ("year", "month", "day", "hour", "minute", "second")} | {"day": F.dayofmonth("ts").alias("day")}
+    folder = shared_folder(spark, "stamps")
+    rows.select(F.col("user_id").alias("subject_id"), name.alias("event"), *parts.values()).write.csv(folder, header=True)
+    return sources.relative_stamps(sources.read_stamps(spark, folder))
+
+
+@query(f"WITH {HALVES}, a AS (SELECT CAST(subject AS VARCHAR) AS subject, emotion, before, after FROM hp) SELECT subject, emotion, {r('before', 'before')}, {r('after', 'after')} FROM a")
+def ratings_file(spark, d):
+    rows = samples(spark, d).withColumn("condition", F.when(F.col("t") < 15 * 86400, " before").otherwise("After"))
+    means = rows.groupBy("subject_id", "feature", "condition").agg(F.avg("value").alias("rating"))
+    folder = shared_folder(spark, "ratings")
+    means.select(F.col("subject_id").alias("subject"), F.initcap("feature").alias("emotion"), "condition", "rating").write.csv(folder, header=True)
+    return joins.paired_ratings(sources.read_ratings(spark, folder), "Before", "after ")
+
+
+@query(f"WITH {RECORDS} SELECT CAST(subject AS VARCHAR) AS subject, 'IR' AS \"group\", seg_idx, array_to_string(list_sort(events), ',') AS events, in_experiment, {r('consensus', 'consensus')}, {r('dtw', 'dtw')}, CAST(NULL AS DOUBLE) AS rulsif, {r('cohens_d', 'cohens_d')} FROM rc")
+def record_cache(spark, d):
+    folder = shared_folder(spark, "records")
+    records(spark, d).write.json(folder)
+    return sources.read_records(spark, folder, "IR").withColumn("events", F.array_join(F.sort_array("events"), ","))
+
+
+@query(f"""WITH {UNITS}, ug AS (SELECT *, 'all' AS grp FROM un), {_null('ug', 'grp', 50)}, nd AS (SELECT list(d) AS l, max(d) AS top, avg(d) AS mean FROM nl)
+SELECT unnest(['pooled', 'Practice']) AS side, 50::BIGINT AS n, {r('mean', 'null_mean')}, {r('top', 'null_max')}, {r('unnest([p, 0.5])', 'p')}, {r('unnest([0.25, -0.5])', 'r')} FROM nd CROSS JOIN pf""")
+def null_cache(spark, d):
+    units = _units(spark, d).withColumn("group", F.lit("all"))
+    drawn = validate.null_differences(units, ["group"], 50)
+    found = drawn.groupBy("group").agg(F.collect_list("d").alias("null_aff"), F.avg((F.col("d") >= F.col("delta") - 1e-9).cast("double")).alias("p_pooled"))
+    phase = F.create_map(F.lit("Practice"), F.struct(F.col("null_aff").alias("null"), F.lit(1.0).alias("obs_aff"), F.lit(0.0).alias("obs_other"), F.lit(0.5).alias("p"), F.lit(-0.5).alias("r_rb")))
+    folder = shared_folder(spark, "nulls")
+    found.select("null_aff", "p_pooled", F.lit(0.25).alias("r_rb_pooled"), phase.alias("phase_tests")).write.json(folder)
+    return sources.read_null_distributions(spark, folder)
+
+
+@query(f"WITH {SOLO} SELECT feature AS modality, 'error' AS event, CAST(subject_id AS VARCHAR) AS subject, {r('auc', 'auc')} FROM au WHERE feature <> '*'")
+def ablation_cache(spark, d):
+    solo, _ = _solo(spark, d)
+    lists = solo.groupBy("modality", "event").agg(F.avg("auc").alias("mean_auc"), F.sort_array(F.collect_list(F.struct(F.col("subject").cast("string").alias("subject"), "auc"))).alias("l"))
+    folder = shared_folder(spark, "ablation")
+    lists.select("modality", "event", "mean_auc", F.col("l.subject").alias("per_subj_sids"), F.col("l.auc").alias("per_subj_aucs")).write.json(folder)
+    return sources.read_ablation(spark, folder)
+
+
+@query(f"""WITH {RECORDS}, c AS (SELECT subject, pos FROM ex WHERE list_contains(events, 'Error')), o AS (SELECT subject, pos + off AS pos, off + 1 AS off FROM c CROSS JOIN (SELECT unnest(range(-5, 4)) AS off))
+SELECT 'all' AS modality, off, {r('avg(consensus)', 'score')} FROM o JOIN ex USING (subject, pos) GROUP BY off""")
+def trajectory_cache(spark, d):
+    means = detect.event_trajectories(records(spark, d), ["Error"]).agg(F.sort_array(F.collect_list(F.struct("off", "mean"))).alias("l"))
+    folder = shared_folder(spark, "trajectories")
+    means.select(F.lit("all").alias("modality"), F.col("l.off").alias("offsets"), F.col("l.mean").alias("scores")).write.json(folder)
+    return sources.read_trajectories(spark, folder)
+
+
+@query(f"WITH {NORM}, dl AS (SELECT subject_id, feature, w, norm - lag(norm) OVER (PARTITION BY subject_id, feature ORDER BY w) AS delta FROM n) SELECT feature, {r('delta', 'delta')} FROM dl WHERE delta > 0.5")
+def direction_cache(spark, d):
+    rows = normalised(spark, d).withColumn("delta", F.col("norm") - F.lag("norm").over(Window.partitionBy(*SF).orderBy("w"))).where("delta > 0.5")
+    folder = shared_folder(spark, "directions")
+    rows.groupBy("feature").agg(F.collect_list("delta").alias("deltas")).write.json(folder)
+    return sources.read_directions(spark, folder)
+
+
+@query(f"WITH {EFFECT} SELECT subject_id, seg, {r('consensus', 'consensus')} FROM co")
+def scored_store(spark, d):
+    distances, segments = segment_distances(spark, d)
+    folder = shared_folder(spark, "scored")
+    sources.save_scored(rdi.consensus(rdi.mean_distances(distances, segments, S, METHODS), S), folder)
+    return sources.load_scored(spark, folder).select(F.col("subject_id").cast("long").alias("subject_id"), "seg", "consensus")
+
+
+@query(f"WITH {SAMPLES}, m AS (SELECT subject_id, CASE feature WHEN 'click' THEN 'SDNN' WHEN 'error' THEN 'PAV' WHEN 'purchase' THEN 'RVT' WHEN 'signup' THEN 'SCL' ELSE 'unknown' END AS feature, value FROM s) SELECT coalesce(CASE feature WHEN 'SDNN' THEN 'ECG' WHEN 'PAV' THEN 'PPG' WHEN 'RVT' THEN 'Resp' WHEN 'SCL' THEN 'EDA' END, 'none') AS modality, count(*) AS n, {r('avg(value)', 'mean')} FROM m GROUP BY 1")
+def feature_modalities(spark, d):
+    names = F.create_map(*[F.lit(x) for pair in {"click": "SDNN", "error": "PAV", "purchase": "RVT", "signup": "SCL", "view": "unknown"}.items() for x in pair])
+    rows = features.with_modality(samples(spark, d).withColumn("feature", names[F.col("feature")]))
+    return rows.groupBy(F.coalesce("modality", F.lit("none")).alias("modality")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+
+
 # ---- synthetic physiology
 
 
 @query()
 def denoised_signals(spark, d):
-    from tidemark.functions import dsp
-    from tidemark.schema import CLIP_RANGES
-
     rows = synthetic.physiology(spark, 2, 60)
     parts = [quality.per_series(rows.where(F.col("modality") == m), ["subject_id", "modality"], lambda x, fs, m=m: {"idx": range(len(x)), "clean": dsp.denoise(x, fs, m, CLIP_RANGES[m])}, "idx long, clean double") for m in CLIP_RANGES]
     out = parts[0]
@@ -848,6 +1082,14 @@ def pipeline_synthetic(spark, d):
     return regimes.run_features(table_, events, regimes.Options(n_perm=200)).consensus
 
 
+@query()
+def run_from_samples(spark, d):
+    """The whole run from raw samples: features, segments, distances, scores and the permutation test of two made-up sessions."""
+    events = spark.createDataFrame([("S0", 60.0, "Crash"), ("S1", 80.0, "Brake")], "subject_id string, t double, name string")
+    found = regimes.run(synthetic.physiology(spark, 2, 150), events, regimes.Options(n_perm=200))
+    return found.consensus.join(found.permutation, "subject_id")
+
+
 @query()
 def synthetic_consensus(spark, d):
     segments = spark.range(6).select(F.lit("S0").alias("subject_id"), F.col("id").cast("int").alias("seg"))

@@ -20,10 +20,13 @@ def _windows(x: np.ndarray, fs: float, window: float, step: float, how) -> tuple
         return np.zeros(0), np.zeros(0)
     parts = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
     centres = (np.arange(len(parts)) * hop + size / 2) / fs
-    enough = np.isfinite(parts).sum(axis=1) >= int(0.5 * size)
     values = np.full(len(parts), np.nan)
-    if enough.any():
-        values[enough] = how(parts[enough], axis=1)
+    block = max(1, (1 << 21) // size)  # windows overlap: some 16 MB of copies at a time
+    for at in range(0, len(parts), block):
+        own = parts[at : at + block]
+        enough = np.isfinite(own).sum(axis=1) >= int(0.5 * size)
+        if enough.any():
+            values[at : at + block][enough] = how(own[enough], axis=1)
     return centres, values
 
 
@@ -38,19 +41,20 @@ def _ecg(x: np.ndarray, fs: int, window: float, step: float) -> dict:
         raise ValueError("under ten heart beats in the ECG")
     found = dsp.hrv(peaks, fs, window, step)
     t = found.pop("t")
-    return {name: (t, values) for name, values in found.items()}
+    rate = _per_second(peaks[:-1] / fs, 60000 / dsp.intervals(peaks, fs), len(x) / fs)
+    return {name: (t, values) for name, values in found.items()} | {"Inst HR": _windows(rate, 1, window, step, np.nanmean)}
 
 
 def _ppg(x: np.ndarray, fs: int, beats: np.ndarray, beat_fs: int, window: float, step: float) -> dict:
     peaks, seconds = dsp.ppg_peaks(x, fs), len(x) / fs
     if len(peaks) < 3:
         return {}
-    rate = _per_second(peaks[1:] / fs, 60 * fs / np.diff(peaks), seconds)
-    height = _per_second(peaks / fs, np.abs(x[peaks]), seconds)
-    out = {"Pulse Rate": _windows(rate, 1, window, step, np.nanmean), "PAV": _windows(height, 1, window, step, np.nanstd)}
-    hits = []
-    for n, beat in enumerate(beats * fs // beat_fs):
-        end = min(beat + int(0.5 * fs), len(x), beats[n + 1] * fs // beat_fs if n + 1 < len(beats) else len(x))
+    rate = _per_second(peaks[:-1] / fs, 60 * fs / np.diff(peaks), seconds)
+    height = np.interp(np.arange(len(x)), peaks, np.abs(x[peaks]))
+    out = {"Pulse Rate": _windows(rate, 1, window, step, np.nanmean), "PAV": _windows(height, fs, window, step, np.nanstd)}
+    hits, beats = [], beats * fs // beat_fs
+    for beat, after in zip(beats, beats[1:]):
+        end = min(beat + int(0.5 * fs), len(x), after)
         begin = beat + int(0.1 * fs)
         if end - begin >= 3:
             delay = (begin + int(np.argmax(x[begin:end])) - beat) / fs
@@ -68,15 +72,18 @@ def _resp(x: np.ndarray, fs: int, window: float, step: float) -> dict:
     if len(peaks) < 3 or len(troughs) < 3:
         return {}
     slow = _per_second(troughs[1:] / fs, 60 * fs / np.diff(troughs), seconds)
-    quick = _per_second(peaks[1:] / fs, 60 * fs / np.diff(peaks), seconds)
+    quick = _per_second(peaks[:-1] / fs, 60 * fs / np.diff(peaks), seconds)
     low = np.interp(peaks, troughs, x[troughs])
     volume = _per_second(peaks[1:] / fs, (x[peaks] - low)[1:] * fs / np.diff(peaks), seconds)
     return {name: _windows(v, 1, window, step, np.nanmean) for name, v in (("Breath Rate", slow), ("RVT", volume), ("Inst Breath Rate", quick))}
 
 
-def _eda(x: np.ndarray, fs: int, window: float, step: float) -> dict:
+def _eda(x: np.ndarray, fs: int, window: float, step: float, tonic: str = "mean") -> dict:
     size = int(4 * fs) | 1
-    tonic = dsp.moving_mean(np.pad(x, size // 2, mode="symmetric"), size)[size // 2 : size // 2 + len(x)] if len(x) > size else x
+    if tonic == "high-pass":
+        tonic = dsp.tonic_by_high_pass(x, fs)
+    else:
+        tonic = dsp.moving_mean(np.pad(x, size // 2, mode="symmetric"), size)[size // 2 : size // 2 + len(x)] if len(x) > size else x
     phasic = x - tonic
     peaks = dsp.scr_peaks(phasic, fs)
     marks = np.zeros(len(x))
@@ -92,8 +99,11 @@ def _temp(x: np.ndarray, fs: int, window: float, step: float) -> dict:
     return {"Skin Temp": _windows(x, fs, window, step, np.nanmean), "dSkin Temp": _windows(np.gradient(x, 1 / fs) if len(x) > 1 else x, fs, window, step, np.nanmean)}
 
 
-def session_features(signals: dict[str, tuple[int, np.ndarray]], window: float = 30.0, step: float = 1.0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Features by name, each with its window centres, from the raw signals (rate, values) of one session."""
+def session_features(signals: dict[str, tuple[int, np.ndarray]], window: float = 30.0, step: float = 1.0, tonic: str = "mean") -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Features by name, each with its window centres, from the raw signals (rate, values) of one session.
+
+    ``tonic``: how the slow part of skin conductance is taken, by a moving ``mean`` or a ``high-pass``.
+    """
     clean = {m: (fs, dsp.denoise(x, fs, m, CLIP_RANGES[m])) for m, (fs, x) in signals.items()}
     out: dict = {}
     if "ECG" in clean:
@@ -102,9 +112,12 @@ def session_features(signals: dict[str, tuple[int, np.ndarray]], window: float =
         fs, x = clean["PPG"]
         beat_fs, ecg = clean.get("ECG", (fs, np.zeros(0)))
         out |= _ppg(x, fs, dsp.r_peaks(ecg, beat_fs) if len(ecg) else np.zeros(0, int), beat_fs, window, step)
-    for name, kernel in (("Resp", _resp), ("EDA", _eda), ("Temp", _temp)):
-        if name in clean:
-            out |= kernel(clean[name][1], clean[name][0], window, step)
+    if "Resp" in clean:
+        out |= _resp(clean["Resp"][1], clean["Resp"][0], window, step)
+    if "EDA" in clean:
+        out |= _eda(clean["EDA"][1], clean["EDA"][0], window, step, tonic)
+    if "Temp" in clean:
+        out |= _temp(clean["Temp"][1], clean["Temp"][0], window, step)
     return out
 
 
@@ -127,8 +140,13 @@ def feature_table(raw: DataFrame) -> DataFrame:
     rows = frames.truncate_to_shortest(raw, ["subject_id"])
     rows = frames.robust_normalise(frames.drop_constant(rows, keys, "raw"), keys, "raw", "norm")
     rows = frames.gap_fill(frames.drop_sparse(rows, keys, "norm"), keys, "w", "norm", "filled")
+    return with_modality(rows).select("subject_id", "w", "t", "feature", "modality", "raw", F.col("filled").alias("norm"))
+
+
+def with_modality(rows: DataFrame) -> DataFrame:
+    """``rows`` with the modality of their feature, NULL for a feature that is none of the nineteen."""
     table = F.create_map(*[F.lit(x) for pair in FEATURE_MODALITY.items() for x in pair])
-    return rows.select("subject_id", "w", "t", "feature", F.try_element_at(table, F.col("feature")).alias("modality"), "raw", F.col("filled").alias("norm"))
+    return rows.withColumn("modality", F.try_element_at(table, F.col("feature")))
 
 
 def vectors(features: DataFrame, keys: list[str], value: str = "norm") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import divergence, joins, rdi, segment, validate
 from tidemark.plans.features import feature_table, raw_features, vectors
 from tidemark.schema import AFFECTIVE
+from tidemark.storage import written
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ class Options:
 
 @dataclass(frozen=True)
 class Result:
-    """Lazy tables of a run; nothing is computed before one is read."""
+    """Tables of a run.  Features, boundaries and segments are written to the shared folder by the run, so that the Python kernels behind them run once; the others are lazy."""
 
     features: DataFrame
     boundaries: DataFrame
@@ -38,11 +39,11 @@ class Result:
 
 
 def segment_table(features: DataFrame, keys: list[str], penalty: float, min_size: int) -> tuple[DataFrame, DataFrame]:
-    """Change points, and segments (keys, seg, start, end), of a feature table."""
+    """Change points, and segments (keys, seg, start, end), of a feature table (a written one: it is read twice); both are written."""
     rows = vectors(features, keys)
-    cuts = segment.boundaries(rows, keys, [penalty], min_size)
+    cuts = written(segment.boundaries(rows, keys, [penalty], min_size), "boundaries")
     lengths = rows.groupBy(*keys).agg((F.max("w") + 1).cast("int").alias("n"))
-    return cuts, joins.segments_from_boundaries(cuts, lengths, keys)
+    return cuts, written(joins.segments_from_boundaries(cuts, lengths, keys), "segments")
 
 
 def all_distances(features: DataFrame, segments: DataFrame, keys: list[str], methods: tuple[str, ...]) -> DataFrame:
@@ -58,6 +59,7 @@ def all_distances(features: DataFrame, segments: DataFrame, keys: list[str], met
 def run_features(features: DataFrame, events: DataFrame, options: Options = Options()) -> Result:  # noqa: B008
     """Segments, distances, scores and the permutation test of every subject in a feature table."""
     keys = ["subject_id"]
+    features = written(features, "features")
     cuts, segments = segment_table(features, keys, options.penalty, options.min_size)
     distances = all_distances(features, segments, keys, options.methods)
     scored = rdi.score_segments(distances, segments, keys, options.methods)

@@ -1,12 +1,19 @@
-"""Readers of recordings, event stamps, ratings and cohort records; a store for scored sessions."""
+"""Readers of recordings, event stamps, ratings, cohort records and cached results; a store for scored sessions."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.schema import MODALITY_CHANNEL, MODALITY_RATE
+from tidemark.storage import publish
 
+STAMPS = "subject_id string, event string, year int, month int, day int, hour int, minute int, second int"
+NULLS = "obs_aff_mean double, obs_non_mean double, p_pooled double, r_rb_pooled double, null_aff array<double>, phase_tests map<string, struct<null: array<double>, obs_aff: double, obs_other: double, p: double, r_rb: double>>"
+ABLATION = "modality string, event string, mean_auc double, per_subj_sids array<string>, per_subj_aucs array<double>"
+TRAJECTORIES = "modality string, offsets array<int>, scores array<double>"
+DIRECTIONS = "feature string, deltas array<double>"
 RECORDS = "subject string, group string, seg_idx int, events array<string>, in_experiment boolean, consensus double, dtw double, rulsif double, cohens_d double"
 
 
@@ -30,7 +37,33 @@ def read_recordings(spark: SparkSession, path: str, header_lines: int = 20) -> D
     width = rows.groupBy("subject_id").agg(F.max(F.size("cells")).alias("width"))
     rows = rows.join(width, "subject_id").where("width > 0")
     cell = rows.select("subject_id", "row_idx", "cells", F.explode(F.sequence(F.lit(1), F.col("width"))).alias("channel"))
-    return cell.select("subject_id", "row_idx", "channel", F.expr("try_cast(try_element_at(cells, channel) AS double)").alias("value"))
+    return cell.select("subject_id", "row_idx", "channel", F.expr("nullif(try_cast(try_element_at(cells, channel) AS double), double('NaN'))").alias("value"))
+
+
+def write_recordings(recording: DataFrame, folder: str, header_lines: int = 20) -> DataFrame:
+    """Text recordings, a file per subject, from subject_id, row_idx, channel (from 1) and value; subject_id and path of the files.
+
+    A recording is one task's; what is missing at the end of a line is left out, and
+    elsewhere written ``NaN``.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        subject = table.column("subject_id")[0].as_py()
+        lines: dict[int, dict[int, float]] = {}
+        for row, channel, value in zip(*(table.column(c).to_pylist() for c in ("row_idx", "channel", "value")), strict=True):
+            lines.setdefault(row, {})[channel] = value
+        path = f"{folder}/{subject}.txt"
+
+        def fill(out) -> None:
+            out.write(b"".join(b"# header\n" for _ in range(header_lines)))
+            for _, cells in sorted(lines.items()):
+                width = max((c for c, v in cells.items() if v is not None), default=0)
+                out.write((" ".join("NaN" if cells.get(c) is None else repr(cells[c]) for c in range(1, width + 1)) + "\n").encode())
+
+        publish(path, fill)
+        return pa.table({"subject_id": [subject], "path": [path]})
+
+    return recording.select(F.col("subject_id").cast("string"), F.col("row_idx").cast("long"), F.col("channel").cast("int"), F.col("value").cast("double")).groupBy("subject_id").applyInArrow(run, "subject_id string, path string")
 
 
 def modality_samples(recording: DataFrame, raw_rate: int = 2000, window: DataFrame | None = None) -> DataFrame:
@@ -45,6 +78,11 @@ def modality_samples(recording: DataFrame, raw_rate: int = 2000, window: DataFra
     return rows.where(F.col("row_idx") % factor == 0).select("subject_id", "_m.modality", "_m.fs", F.floor(F.col("row_idx") / factor).cast("long").alias("idx"), "value")
 
 
+def read_stamps(spark: SparkSession, path: str) -> DataFrame:
+    """Event stamps from CSV files with a header: subject_id, event, year, month, day, hour, minute and second."""
+    return spark.read.csv(path, header=True, schema=STAMPS)
+
+
 def relative_stamps(stamps: DataFrame, origin: str = "Data Start", shift: str | None = "Video Start") -> DataFrame:
     """subject_id, event and t in seconds after ``origin`` (after ``shift`` too, and not before it, where that is given).
 
@@ -71,6 +109,33 @@ def read_records(spark: SparkSession, path: str, group: str | None = None) -> Da
     return rows.withColumn("group", F.lit(group)) if group else rows
 
 
+def read_null_distributions(spark: SparkSession, path: str) -> DataFrame:
+    """side (pooled, or the name of a phase), n, the null's mean and largest difference, and the cached p and rank-biserial, from JSON lines of permutation results."""
+    rows = spark.read.schema(NULLS).json(path)
+    phase = F.transform(F.map_entries("phase_tests"), lambda e: F.struct(e["key"].alias("side"), e["value"]["null"].alias("null"), e["value"]["p"].alias("p"), e["value"]["r_rb"].alias("r")))
+    whole = F.array(F.struct(F.lit("pooled").alias("side"), F.col("null_aff").alias("null"), F.col("p_pooled").alias("p"), F.col("r_rb_pooled").alias("r")))
+    each = rows.select(F.explode(F.concat(whole, F.coalesce(phase, F.expr("array()").cast("array<struct<side:string,null:array<double>,p:double,r:double>>")))).alias("t"))
+    mean = F.aggregate("t.null", F.lit(0.0), lambda a, x: a + x) / F.when(F.size("t.null") > 0, F.size("t.null"))
+    return each.select("t.side", F.size("t.null").alias("n"), mean.alias("null_mean"), F.array_max("t.null").alias("null_max"), "t.p", "t.r")
+
+
+def read_ablation(spark: SparkSession, path: str) -> DataFrame:
+    """modality (NULL in a baseline's file), event, subject and auc from JSON lines of detection results by subject."""
+    rows = spark.read.schema(ABLATION).json(path)
+    return rows.select("modality", "event", F.explode(F.arrays_zip(F.col("per_subj_sids").alias("subject"), F.col("per_subj_aucs").alias("auc"))).alias("p")).select("modality", "event", "p.subject", "p.auc")
+
+
+def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
+    """modality, off and score from JSON lines of event-locked trajectories."""
+    rows = spark.read.schema(TRAJECTORIES).json(path)
+    return rows.select("modality", F.explode(F.arrays_zip(F.col("offsets").alias("off"), F.col("scores").alias("score"))).alias("p")).select("modality", "p.off", "p.score")
+
+
+def read_directions(spark: SparkSession, path: str) -> DataFrame:
+    """feature and delta (its change at an event) from JSON lines."""
+    return spark.read.schema(DIRECTIONS).json(path).select("feature", F.explode("deltas").alias("delta"))
+
+
 def union_cohorts(cohorts: dict[str, DataFrame]) -> DataFrame:
     """All records, tagged with their cohort; columns that a cohort lacks are NULL."""
     tagged = [df.withColumn("group", F.lit(name)) for name, df in cohorts.items()]
