@@ -402,8 +402,8 @@ def test_missing_and_ragged_vectors(spark):
 def test_ranges_change_no_statistic(spark):
     rng = np.random.default_rng(8)
     rows = [(k, float(s), bool(y)) for k in "ab" for s, y in zip(rng.integers(0, 40, 300) / 7, rng.integers(0, 2, 300))]
-    df = spark.createDataFrame(rows, "k string, score double, hit boolean").repartition(5)
-    labelled = df.withColumn("y", F.col("hit").cast("int")).withColumn("n", F.monotonically_increasing_id())
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "k string, score double, hit boolean, n int").repartition(5)
+    labelled = df.withColumn("y", F.col("hit").cast("int"))
     for ranges in (1, 3, 50):
         for f in (lambda r: validate.rank_biserial(df, K, "score", "hit", r), lambda r: validate.roc_points(labelled, K, ranges=r), lambda r: validate.signed_rank(df, K, "score", ranges=r)):
             near = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())

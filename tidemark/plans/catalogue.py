@@ -933,16 +933,16 @@ def drop_sparse(spark, d):
 
 
 def _recordings(spark, d):
-    """Text recordings of two kinds of channel: values, and, but for errors, days since the start; a gap of the first is a missing value."""
+    """Text recordings of two channels: values, with gaps, and, but for errors, seconds since the start."""
     rows = samples(spark, d)
-    cells = F.array(F.struct(F.lit(1).alias("channel"), F.when(F.col("idx") % 11 != 3, F.col("value")).alias("value")), F.struct(F.lit(2).alias("channel"), F.when(F.col("feature") != "error", F.col("t") / 86400).alias("value")))
+    cells = F.array(F.struct(F.lit(1).alias("channel"), F.when(F.col("idx") % 11 != 3, F.col("value")).alias("value")), F.struct(F.lit(2).alias("channel"), F.when(F.col("feature") != "error", F.col("t")).alias("value")))
     long = rows.select("subject_id", F.col("idx").alias("row_idx"), F.explode(cells).alias("c")).select("subject_id", "row_idx", "c.*")
     folder = shared_folder(spark, "recordings")
     written(sources.write_recordings(long, folder), "recording-files").count()
     return sources.read_recordings(spark, folder)
 
 
-RECORDED = SAMPLES + ", ch AS (SELECT CAST(subject_id AS VARCHAR) AS subject_id, idx AS row_idx, 1 AS channel, CASE WHEN idx % 11 <> 3 THEN value END AS value FROM s UNION ALL SELECT CAST(subject_id AS VARCHAR), idx, 2, CASE WHEN feature <> 'error' THEN t / 86400 END FROM s)"
+RECORDED = SAMPLES + ", ch AS (SELECT CAST(subject_id AS VARCHAR) AS subject_id, idx AS row_idx, 1 AS channel, CASE WHEN idx % 11 <> 3 THEN value END AS value FROM s UNION ALL SELECT CAST(subject_id AS VARCHAR), idx, 2, CASE WHEN feature <> 'error' THEN t END FROM s)"
 
 
 @query(f"WITH {RECORDED} SELECT subject_id, row_idx, CAST(channel AS BIGINT) AS channel, {r('value', 'value')} FROM ch")

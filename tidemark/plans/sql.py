@@ -19,7 +19,7 @@ def cuts(tag: str, penalties: list[float], min_size: int, jump: int = 1, cost: s
     sums = {
         "rbf": "SELECT d2.subject_id, s0, e0, (e0 - s0) - ((e0 - s0) + 2 * sum(exp(-gamma * d2))) / (e0 - s0) AS c FROM {iv} JOIN d2 ON i >= s0 AND j < e0 JOIN gm USING (subject_id) GROUP BY 1, 2, 3",
         "l2": "SELECT d2.subject_id, s0, e0, sum(d2) / (e0 - s0) AS c FROM {iv} JOIN d2 ON i >= s0 AND j < e0 GROUP BY 1, 2, 3",
-        "l1": "SELECT subject_id, s0, e0, sum(c) AS c FROM (SELECT subject_id, feature, s0, e0, list_sum(list_transform(list(norm), lambda y: abs(y - quantile_cont_))) AS c FROM (SELECT n.subject_id, n.feature, s0, e0, norm, quantile_cont(norm, 0.5) OVER (PARTITION BY n.subject_id, n.feature, s0, e0) AS quantile_cont_ FROM {iv} JOIN n ON w >= s0 AND w < e0) GROUP BY 1, 2, 3, 4, quantile_cont_) GROUP BY 1, 2, 3",
+        "l1": "SELECT subject_id, s0, e0, sum(list_sum(list_transform(l, lambda y: abs(y - mid)))) AS c FROM (SELECT subject_id, s0, e0, l[s0 + 1 : e0] AS l, list_aggregate(l[s0 + 1 : e0], 'median') AS mid FROM {iv} CROSS JOIN (SELECT subject_id, feature, list(norm ORDER BY w) AS l FROM n GROUP BY 1, 2)) GROUP BY 1, 2, 3",
     }[cost].format(iv=f"iv{tag}")
     return f"""iv{tag} AS (SELECT s0, e0 FROM (SELECT unnest(range(0, days)) AS s0, days FROM dy) CROSS JOIN (SELECT unnest(range(1, days + 1)) AS e0 FROM dy) WHERE {allowed}),
 cs{tag} AS ({sums}),
