@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import publish, shared_folder, split_hot_join, written
 
-PLAN = "group_size long, given array<long>"
+PLAN = "group_size long, n long, given array<long>"
 
 
 def schedule(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
@@ -82,7 +82,7 @@ def _planned(classes: DataFrame, shards: int, part_classes: int) -> DataFrame:
     folder, held, number = shared_folder(spark, "shard-plan"), [], 0
 
     def save() -> None:
-        table = pa.table({"group_size": pa.array([s for s, _ in held], pa.int64()), "given": pa.array([g for _, g in held], pa.list_(pa.int64()))})
+        table = pa.table({"group_size": pa.array([s for s, _ in held], pa.int64()), "n": pa.array([sum(g) for _, g in held], pa.int64()), "given": pa.array([g for _, g in held], pa.list_(pa.int64()))})
         publish(f"{folder}/part-{number:06d}.parquet", lambda out: pq.write_table(table, out))
 
     for row in schedule(((r["group_size"], r["n"]) for r in ordered.toLocalIterator()), shards):
@@ -120,7 +120,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     groups = rows.groupBy("text_hash").agg(F.count("*").alias("members"), F.first("size").alias("each"))
     groups = written(groups.select("text_hash", "members", (F.col("members") * F.col("each")).alias("group_size")), "shard-groups")
     plan = _planned(written(groups.groupBy("group_size").agg(F.count("*").alias("n")), "shard-classes"), shards, part_classes)
-    placed = _numbered(groups, "group_size", "text_hash", [], "rank", digits).join(plan, "group_size")
+    placed = split_hot_join(_numbered(groups, "group_size", "text_hash", [], "rank", digits), plan, ["group_size"], "n")
     # The shard is the first whose cumulated share of the class exceeds the group's rank in it.
     ahead = F.aggregate("given", F.struct(F.lit(0).alias("shard"), F.lit(0).cast("long").alias("sum")), lambda a, g: F.struct((a["shard"] + (a["sum"] + g <= F.col("rank")).cast("int")).alias("shard"), (a["sum"] + g).alias("sum")))
     shard_of = written(placed.select("text_hash", "members", ahead["shard"].alias("shard")), "shard-groups-placed")
