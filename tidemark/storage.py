@@ -30,8 +30,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 _intermediate: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage there."""
+def written(df: DataFrame, name: str, fewer: int = 1) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage there.
+
+    ``fewer`` joins that many shuffle partitions into one task and file: for narrow
+    rows, of which a partition would make a file of a few kilobytes.
+    """
+    if fewer > 1:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // fewer))
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     _intermediate.append(path)
