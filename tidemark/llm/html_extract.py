@@ -304,8 +304,8 @@ def template_hashes(pages: DataFrame, html_col: str = "html", url_col: str = "ur
     hosts = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     each = lambda part, least: distinct.select("host", F.explode(f"found.{part}").alias("hash"), F.lit(least).alias("least"))
     counts = each("hashes", share).union(each("outer", outer_share)).groupBy("host", "hash", "least").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    counts = written(counts, "html-counts")
-    hosts = written(counts.groupBy("host").agg(F.count("*").alias("held")).join(hosts, "host"), "html-hosts")
+    counts = written(counts, "html-counts", 4)
+    hosts = written(counts.groupBy("host").agg(F.count("*").alias("held")).join(hosts, "host"), "html-hosts", 4)
     return split_hot_join(counts, hosts, ["host"], "held").where(F.col("n") >= F.col("least") * F.col("pages")).select("host", "hash")
 
 
@@ -315,7 +315,7 @@ def _host(url_col: str):
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = 8, share: float = 0.6, outer_share: float = 0.05, broadcast_hashes: int = 1 << 20) -> DataFrame:
     """``pages`` with text and n_chars (its code points); columns of those names are replaced."""
-    template = written(template_hashes(pages, html_col, url_col, min_pages, share, outer_share), "html-template")
+    template = written(template_hashes(pages, html_col, url_col, min_pages, share, outer_share), "html-template", 4)
     columns = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
     work = pages.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)], _host(url_col).alias("host"), F.col(f"`{html_col}`").alias("page"))
     if template.count() <= broadcast_hashes:

@@ -49,6 +49,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import batches_of, no_collection, split_hot_join, written
 
 MINIMA, MARGIN, HOT, NEAR = 128, 6.5, 512, 8
+#: Shuffle partitions that share a file in tables of keys and links.
+FEWER = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: h(x) = (a * x + b) mod 2**64 div 2**32 over 32-bit x, a odd: multiply-add-shift hashing.
@@ -211,17 +213,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     (smaller neighbours and the node itself move to the smallest one) until the edges
     no longer change; they then are stars around the roots.
     """
-    current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "components")
+    current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "components", FEWER)
     state = _state(current)
     while state[0]:
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select("lo", "hi"))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = split_hot_join(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = written(large, "large-star")
+        large = written(large, "large-star", FEWER)
         low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         joined = split_hot_join(large, low, ["hi"], "n")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(low.select("hi", F.col("m").alias("lo"))).distinct()
-        current = written(small, "small-star")
+        current = written(small, "small-star", FEWER)
         now = _state(current)
         if now == state:
             break
@@ -237,7 +239,7 @@ def _opened(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``rows`` of groups that hold several components, with n members and their shingles (weight), m of them outside the largest component, and whether a row is (apart)."""
     per = rows.groupBy(*keys, "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     groups = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    groups = written(groups.select(*keys, "n", "weight", (F.col("n") - F.col("top.n")).alias("m"), F.col("top.root").alias("largest")), name)
+    groups = written(groups.select(*keys, "n", "weight", (F.col("n") - F.col("top.n")).alias("m"), F.col("top.root").alias("largest")), name, FEWER)
     return split_hot_join(rows, groups, keys, "n").withColumn("apart", F.col("root") != F.col("largest")).drop("largest")
 
 
@@ -377,8 +379,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("pos", "band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = written(split_hot_join(banded, written(buckets, "minhash-buckets"), ["band"], "n").select("band", "pos", "node", "n_shingles", "leader"), "minhash-members")
-    pairs = written(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "minhash-pairs")
+    members = written(split_hot_join(banded, written(buckets, "minhash-buckets", FEWER), ["band"], "n").select("band", "pos", "node", "n_shingles", "leader"), "minhash-members")
+    pairs = written(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "minhash-pairs", FEWER)
 
     wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
 
@@ -399,9 +401,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         roots = connected_components(links.union(more))
 
-    rooted = written(nodes.select("node", "copies", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-roots")
+    rooted = written(nodes.select("node", "copies", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-roots", FEWER)
     smallest = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("min_id").alias("component_id"))
-    named = written(split_hot_join(rooted, smallest, ["root"], "n").select("node", "copies", "component_id"), "minhash-names")
+    named = written(split_hot_join(rooted, smallest, ["root"], "n").select("node", "copies", "component_id"), "minhash-names", FEWER)
     grouped = split_hot_join(full.select("id", "node", "n_shingles"), named, ["node"], "copies").select("id", "n_shingles", "component_id")
     alone = rows.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     return grouped.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -116,14 +116,14 @@ def _judged(docs: DataFrame, columns: list[str], text_col: str, host_col: str, l
 
     lines = texts.select("row_key", "host", "copies", F.explode("lines").alias("l")).select("row_key", "host", "copies", "l.line", "l.words")
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).where(F.col("rows" if count_copies else "n") > line_limit)
-    often = written(often.select("host", "line", "n"), "quality-lines")
+    often = written(often.select("host", "line", "n"), "quality-lines", 4)
     removed = split_hot_join(lines, often, ["host", "line"], "n").groupBy("row_key")
     removed = removed.agg(F.sum("words").alias("removed_words"), *([F.collect_list("line").alias("gone")] if gone else []))
 
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     verdict = texts.drop("lines", "host").join(removed, "row_key", "left").withColumns({"base_failed": base, "removed_words": F.coalesce("removed_words", F.lit(0)).cast("long")})
     verdict = verdict.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.lit(kept_share) * F.col("n_words")))
-    verdict = written(verdict.select("row_key", "copies", *RESULTS, *(["gone"] if gone else [])), "quality-verdicts")
+    verdict = written(verdict.select("row_key", "copies", *RESULTS, *(["gone"] if gone else [])), "quality-verdicts", 4)
 
     own = docs.select(key.alias("row_key"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)])
     return split_hot_join(own, verdict, ["row_key"], "copies")

@@ -119,7 +119,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     )
     groups = rows.groupBy("text_hash").agg(F.count("*").alias("members"), F.first("size").alias("each"))
     groups = written(groups.select("text_hash", "members", (F.col("members") * F.col("each")).alias("group_size")), "shard-groups")
-    plan = _planned(written(groups.groupBy("group_size").agg(F.count("*").alias("n")), "shard-classes"), shards, part_classes)
+    plan = _planned(written(groups.groupBy("group_size").agg(F.count("*").alias("n")), "shard-classes", 4), shards, part_classes)
     placed = split_hot_join(_numbered(groups, "group_size", "text_hash", [], "rank", digits), plan, ["group_size"], "n")
     # The shard is the first whose cumulated share of the class exceeds the group's rank in it.
     ahead = F.aggregate("given", F.struct(F.lit(0).alias("shard"), F.lit(0).cast("long").alias("sum")), lambda a, g: F.struct((a["shard"] + (a["sum"] + g <= F.col("rank")).cast("int")).alias("shard"), (a["sum"] + g).alias("sum")))
