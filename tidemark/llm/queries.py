@@ -74,6 +74,28 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents", "doc_id", "text"), 24)
 
 
+#: CRC-32 by its table, and the schedule by one step per group over the list of loads.
+_SQL["op4_shards"] = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, q: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS i))),
+crc AS (
+  SELECT t, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc
+  FROM (SELECT DISTINCT t FROM d) CROSS JOIN k),
+g AS (SELECT t, sha256(t) AS h, count(*) * (strlen(t) + 8) AS size FROM d GROUP BY t),
+ol AS (SELECT list(size ORDER BY size DESC) AS sizes FROM g),
+lpt AS (
+  SELECT 0 AS n, list_transform(range(0, 24), lambda x: 0::BIGINT) AS loads, 0 AS shard, 0::BIGINT AS size FROM ol
+  UNION ALL
+  SELECT n + 1, list_transform(loads, lambda y, i: CASE WHEN i = due THEN y + s ELSE y END), due - 1, s
+  FROM (SELECT n, loads, list_position(loads, list_min(loads)) AS due, sizes[n + 1] AS s FROM lpt CROSS JOIN ol WHERE n < len(sizes))),
+dealt AS (SELECT size, shard, row_number() OVER (PARTITION BY size ORDER BY shard) AS k FROM lpt WHERE n > 0),
+placed AS (SELECT t, h, shard FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY h) AS k FROM g) JOIN dealt USING (size, k))
+SELECT doc_id, CAST(strlen(t) + 8 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, h) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN crc USING (t) JOIN placed USING (t)
+"""
+
+
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
