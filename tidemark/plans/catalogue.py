@@ -39,7 +39,11 @@ def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL if SQL can say it."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _facts.clear()
+            return tidy(f(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -51,12 +55,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What one query has learned about a folder's events.
+_facts: dict[str, tuple] = {}
+
+
+def facts(spark: SparkSession, sf_dir: str) -> tuple:
+    """The first day, the number of the last day, and the types of the events: one row, of as many types as there are features."""
+    if sf_dir not in _facts:
+        row = table(spark, sf_dir, "events").agg(F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last"), F.sort_array(F.collect_set("event_type")).alias("kinds")).head()
+        _facts[sf_dir] = row["first"], (row["last"] - row["first"]).days if row["first"] else 0, row["kinds"]
+    return _facts[sf_dir]
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject_id, idx, value, feature and t (seconds since the table's first day) of every event, numbered within the user."""
     rows = table(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    origin = rows.agg(F.min("ts").cast("date").cast("timestamp_ntz")).scalar()
-    seconds = F.timestamp_diff("SECOND", origin, F.col("ts")).cast("double")
+    seconds = F.timestamp_diff("SECOND", F.lit(facts(spark, sf_dir)[0]).cast("timestamp_ntz"), F.col("ts")).cast("double")
     return rows.select(F.col("user_id").alias("subject_id"), (F.row_number().over(order) - 1).alias("idx"), "value", F.col("event_type").alias("feature"), seconds.alias("t"))
 
 
@@ -68,11 +83,6 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id")).distinct()
 
 
-def last_day(rows: DataFrame):
-    """The number of the last day in ``samples``, as a scalar subquery."""
-    return rows.agg(F.max(F.floor(F.col("t") / 86400)).cast("long")).scalar()
-
-
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of which those over the user's mean and with an odd number are missing."""
     rows = samples(spark, sf_dir)
@@ -91,10 +101,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
     sums = rows.groupBy(*SF, F.floor(F.col("t") / 86400).cast("long").alias("w")).agg(F.sum("value").alias("raw"))
     held = sums.groupBy(*S).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("feature", "w").alias("k"), F.col("raw").alias("v")))).alias("held"))
-    kinds = rows.agg(F.sort_array(F.collect_set("feature"))).scalar()
+    _, last, kinds = facts(spark, sf_dir)
     cell = lambda k, w: F.struct(k.alias("feature"), w.alias("w"), (w + 0.5).alias("t"), F.coalesce(F.try_element_at("held", F.struct(k.alias("feature"), w.alias("w"))), F.lit(0.0)).alias("raw"))
-    cells = F.flatten(F.transform("kinds", lambda k: F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda w: cell(k, w))))
-    return held.withColumns({"kinds": kinds, "last": last_day(rows)}).select(*S, F.inline(cells)).select(*SF, "w", "t", "raw")
+    cells = F.flatten(F.transform(F.array(*[F.lit(k) for k in kinds]).cast("array<string>"), lambda k: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")), lambda w: cell(k, w))))
+    return held.select(*S, F.inline(cells)).select(*SF, "w", "t", "raw")
 
 
 DAILY = SAMPLES + """, dy AS (SELECT CAST(max(floor(t / 86400)) AS BIGINT) + 1 AS days FROM s), u AS (
@@ -114,9 +124,9 @@ n AS (SELECT subject_id, feature, w, t, raw, CASE WHEN p98 - p2 > 1e-12 THEN gre
 
 def five_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of five days for every user; the last has what is left."""
-    last = last_day(samples(spark, sf_dir))
-    rows = users(spark, sf_dir).withColumn("last", last).withColumn("seg", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 5).cast("int"))))
-    return rows.select(*S, "seg", (F.col("seg") * 5).alias("start"), F.least(F.col("seg") * 5 + 5, F.col("last").cast("int") + 1).alias("end"))
+    last = facts(spark, sf_dir)[1]
+    rows = users(spark, sf_dir).withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(last // 5))))
+    return rows.select(*S, "seg", (F.col("seg") * 5).alias("start"), F.least(F.col("seg") * 5 + 5, F.lit(last + 1)).alias("end"))
 
 
 def fifths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +167,8 @@ ge AS (SELECT g.subject_id, g.seg, coalesce(ev.events, []) AS events FROM g LEFT
 
 
 def segments_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = users(spark, sf_dir).withColumn("last", last_day(samples(spark, sf_dir))).select(*S, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("w")).withColumn("t", F.col("w") + 0.5)
+    days = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(facts(spark, sf_dir)[1]).cast("long")))
+    times = users(spark, sf_dir).select(*S, days.alias("w")).withColumn("t", F.col("w") + 0.5)
     return joins.events_by_segment(five_days(spark, sf_dir), times, point_events(spark, sf_dir), S)
 
 
@@ -1033,6 +1044,21 @@ def scored_store(spark, d):
     return sources.load_scored(spark, folder).select(F.col("subject_id").cast("long").alias("subject_id"), "seg", "consensus")
 
 
+@query(f"WITH {SAMPLES} SELECT CAST(subject_id AS VARCHAR) AS subject_id, 'EDA' AS modality, 4::BIGINT AS fs, idx, {r('value', 'value')} FROM s")
+def sample_store(spark, d):
+    folder = shared_folder(spark, "samples")
+    sources.save_samples(_signals(spark, d).select(F.col("subject_id").cast("string").alias("subject_id"), F.lit("EDA").alias("modality"), "fs", "idx", "value"), folder)
+    return sources.read_samples(spark, folder)
+
+
+@query(f"""WITH {SAMPLES}, k AS (SELECT subject_id, idx, idx - row_number() OVER (PARTITION BY subject_id ORDER BY idx) AS run FROM s WHERE value > 35)
+SELECT CAST(subject_id AS VARCHAR) AS subject_id, min(idx) AS start, max(idx) + 1 AS "end" FROM k GROUP BY subject_id, run HAVING count(*) >= 4""")
+def artifact_labels(spark, d):
+    folder = shared_folder(spark, "labels")
+    samples(spark, d).select("subject_id", "idx", (F.col("value") > 35).cast("int").alias("label")).write.csv(folder, header=True)
+    return quality.artifact_runs(sources.read_artifact_labels(spark, folder), S, 4)
+
+
 @query(f"WITH {SAMPLES}, m AS (SELECT subject_id, CASE feature WHEN 'click' THEN 'SDNN' WHEN 'error' THEN 'PAV' WHEN 'purchase' THEN 'RVT' WHEN 'signup' THEN 'SCL' ELSE 'unknown' END AS feature, value FROM s) SELECT coalesce(CASE feature WHEN 'SDNN' THEN 'ECG' WHEN 'PAV' THEN 'PPG' WHEN 'RVT' THEN 'Resp' WHEN 'SCL' THEN 'EDA' END, 'none') AS modality, count(*) AS n, {r('avg(value)', 'mean')} FROM m GROUP BY 1")
 def feature_modalities(spark, d):
     names = F.create_map(*[F.lit(x) for pair in {"click": "SDNN", "error": "PAV", "purchase": "RVT", "signup": "SCL", "view": "unknown"}.items() for x in pair])

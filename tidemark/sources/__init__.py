@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.schema import MODALITY_CHANNEL, MODALITY_RATE
+from tidemark.schema import MODALITY_CHANNEL, MODALITY_RATE, SAMPLES
 from tidemark.storage import publish
 
 STAMPS = "subject_id string, event string, year int, month int, day int, hour int, minute int, second int"
@@ -78,6 +78,21 @@ def modality_samples(recording: DataFrame, raw_rate: int = 2000, window: DataFra
     return rows.where(F.col("row_idx") % factor == 0).select("subject_id", "_m.modality", "_m.fs", F.floor(F.col("row_idx") / factor).cast("long").alias("idx"), "value")
 
 
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of modalities from Parquet tables, a folder per subject: subject_id, modality, fs, idx and value."""
+    return spark.read.schema(SAMPLES).parquet(path)
+
+
+def save_samples(samples: DataFrame, path: str) -> None:
+    samples.select(*SAMPLES.fieldNames()).write.mode("overwrite").partitionBy("subject_id").parquet(path)
+
+
+def read_artifact_labels(spark: SparkSession, path: str) -> DataFrame:
+    """subject_id, idx and flag from CSV files of labels (1: artifact) by sample."""
+    rows = spark.read.csv(path, header=True, schema="subject_id string, idx long, label int")
+    return rows.select("subject_id", "idx", (F.col("label") == 1).alias("flag"))
+
+
 def read_stamps(spark: SparkSession, path: str) -> DataFrame:
     """Event stamps from CSV files with a header: subject_id, event, year, month, day, hour, minute and second."""
     return spark.read.csv(path, header=True, schema=STAMPS)
