@@ -167,7 +167,7 @@ def _sketch_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("id", "text_key", "body").mapInArrow(run, f"id {kind}, text_key long, node binary, n_shingles long, bands array<long>, sketch binary")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_task: int = 200) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_task: int = 64) -> DataFrame:
     """Of ``pairs`` (a, b; a written table), those whose full sets are similar.  ``texts``: node, packed text."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
