@@ -401,9 +401,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         roots = connected_components(links.union(more))
 
-    rooted = written(nodes.select("node", "copies", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-roots", FEWER)
+    rooted = written(nodes.select("node", "copies", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-roots", 2)
     smallest = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("min_id").alias("component_id"))
-    named = written(split_hot_join(rooted, smallest, ["root"], "n").select("node", "copies", "component_id"), "minhash-names", FEWER)
+    named = written(split_hot_join(rooted, smallest, ["root"], "n").select("node", "copies", "component_id"), "minhash-names", 2)
     grouped = split_hot_join(full.select("id", "node", "n_shingles"), named, ["node"], "copies").select("id", "n_shingles", "component_id")
     alone = rows.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     return grouped.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -123,7 +123,7 @@ def _judged(docs: DataFrame, columns: list[str], text_col: str, host_col: str, l
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     verdict = texts.drop("lines", "host").join(removed, "row_key", "left").withColumns({"base_failed": base, "removed_words": F.coalesce("removed_words", F.lit(0)).cast("long")})
     verdict = verdict.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.lit(kept_share) * F.col("n_words")))
-    verdict = written(verdict.select("row_key", "copies", *RESULTS, *(["gone"] if gone else [])), "quality-verdicts", 4)
+    verdict = written(verdict.select("row_key", "copies", *RESULTS, *(["gone"] if gone else [])), "quality-verdicts", 2)
 
     own = docs.select(key.alias("row_key"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)])
     return split_hot_join(own, verdict, ["row_key"], "copies")
