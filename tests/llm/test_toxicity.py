@@ -149,3 +149,11 @@ def test_the_tables_hold_no_identity_term(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id")
     assert docs.count() > 3900 and op.count_terms(docs).collect() == []
+
+
+def test_very_long_texts_score_as_their_words_do(spark):
+    rows = [(i, "vile scum here" if i % 2 else "kind words here", i % 2) for i in range(200)]
+    model = op.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    texts = ["kind words here " * 200_000, "kind words here " * 200_000 + "vile scum", " " * 1_000_000, "vile"]
+    got = {r.n: r.score for r in op.score(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), model).collect()}
+    assert [got[n] for n in range(4)] == [model.score(x) for x in ("kind words here", "kind words here vile scum", "", "vile")]

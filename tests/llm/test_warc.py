@@ -63,3 +63,13 @@ def test_query_over_whole_table(spark):
     d = "/root/testdata/sf0.01"
     pages = [tuple(r) for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html").collect()]
     assert rows(op10_warc(spark, d)) == brute(pages)
+
+
+def test_very_long_pages_and_splits_that_fall_inside_them(spark):
+    rng = random.Random(2)
+    long = "".join(chr(rng.randrange(32, 1000)) for _ in range(1_500_000))
+    pages = [(1, "u", long), (2, "u", "x" * 999), (3, "u", long), (4, "u", "y" * 2_000_000), (5, "u", "x" * 999)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    manifest = op.write_archives(df)
+    for split in (1 << 16, 1 << 24):
+        assert rows(op.read_archives(manifest, split_bytes=split)) == brute(pages)
