@@ -82,6 +82,9 @@ def test_paths_bands_and_phases(spark):
     paths = {(r.seg_i, r.seg_j): (r.d, [tuple(c) for c in r.path]) for r in divergence.warping_paths(data, K).collect()}
     assert paths[0, 1] == (1, [(0, 0), (1, 0), (2, 1)]) and paths[1, 2] == (8, [(0, 0), (1, 0)])
     assert {r.d for r in divergence.pair_distances(data, K, ("DTW",), normalise=False, band=0).where("seg_i = 0 AND seg_j = 1").collect()} == {1.0}
+    whole = sorted(map(tuple, divergence.pair_distances(data, K).collect()))
+    assert len(whole) == 6 and sorted(map(tuple, divergence.pair_distances(data, K, per_task=1).collect())) == whole  # shares of one pair
+    assert divergence.pair_distances(data.where("seg = 0"), K).collect() == []
     units = spark.createDataFrame([(i, float(i), i % 2) for i in range(30)], "unit int, score double, phase int")
     found = {r.comparison: r for r in validate.phase_permutations(units, {"late": ("unit >= 15", "unit < 15"), "none": ("phase = 7", "phase = 1")}, 100).collect()}
     assert found["late"].p <= 0.05 and found["none"].p == 1

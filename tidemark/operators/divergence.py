@@ -1,20 +1,25 @@
 """How far segments lie apart: time warping, relative density ratio, effect size.
 
 Effect sizes come from per-segment sufficient statistics in plain SQL.  The two
-others need the rows of both segments; each pair is a row that carries them, pairs
-are spread by a hash of themselves, and an Arrow batch is scored at a time.
+others need the rows of both segments: a task gets the segments of one series, and
+scores a share of its pairs.  A series of many pairs is copied to as many tasks as it
+has ``PAIRS_A_TASK`` pairs, not once per pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.joins import pairs
 
+PAIRS_A_TASK = 2000
+
 
 def local_costs(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Distances between the rows of x and y: euclidean, sqeuclidean, cityblock or a callable on two rows."""
@@ -110,51 +115,60 @@ def segment_rows(vectors: DataFrame, segments: DataFrame, keys: list[str]) -> Da
     return rows.groupBy(*keys, "seg").agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("data"))
 
 
-def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] = ("DTW", "RuLSIF"), normalise: bool = True, metric: str = "euclidean", band: int | None = None, slope: float = 1.0) -> DataFrame:
+def _by_pairs(data: DataFrame, keys: list[str], fields: list[tuple[str, T.DataType, pa.DataType]], score: Callable[[np.ndarray, np.ndarray], list[tuple]], per_task: int) -> DataFrame:
+    """keys, seg_i < seg_j and ``fields``: the rows that ``score`` gives for every pair of segments of ``data`` (keys, seg, data)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    shares = F.greatest(F.lit(1), F.ceil(n * (n - 1) / 2 / per_task)).cast("int")
+    rows = data.select(*keys, "seg", "data", shares.alias("_of")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    schema = T.StructType([*(data.schema[k] for k in keys), T.StructField("seg_i", data.schema["seg"].dataType), T.StructField("seg_j", data.schema["seg"].dataType), *(T.StructField(name, kind) for name, kind, _ in fields)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seg")
+        segs, of, share = table.column("seg").to_pylist(), table.column("_of")[0].as_py(), table.column("_share")[0].as_py()
+        parts = [np.array(x, float) for x in table.column("data").to_pylist()]
+        found, number = [], 0
+        for i in range(len(segs)):
+            for j in range(i + 1, len(segs)):
+                if number % of == share:
+                    found += [(segs[i], segs[j], *row) for row in score(parts[i], parts[j])]
+                number += 1
+        own = {k: pa.array([table.column(k)[0].as_py()] * len(found), table.schema.field(k).type) for k in keys}
+        kinds = [table.schema.field("seg").type] * 2 + [kind for _, _, kind in fields]
+        return pa.table({**own, **{name: pa.array([row[c] for row in found], kind) for c, (name, kind) in enumerate(zip(schema.names[len(keys) :], kinds, strict=True))}})
+
+    return rows.repartition(*keys, "_share").groupBy(*keys, "_share").applyInArrow(run, schema)
+
+
+def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] = ("DTW", "RuLSIF"), normalise: bool = True, metric: str = "euclidean", band: int | None = None, slope: float = 1.0, per_task: int = PAIRS_A_TASK) -> DataFrame:
     """keys, seg_i, seg_j, method, d for every pair of segments of ``data`` (keys, seg, data).
 
     ``metric``, ``band`` (widened to the difference in length) and ``slope`` shape the
     warping; ``normalise`` divides its distance by the longer length.
     """
-    both = pairs(data, keys, "seg", ["data"])
-    spread = both.repartition(*[F.col(k) for k in keys], "seg_i", "seg_j")
-    kept = [*keys, "seg_i", "seg_j"]
-    schema = T.StructType([*(spread.schema[c] for c in kept), T.StructField("method", T.StringType()), T.StructField("d", T.DoubleType())])
-
-    def score(method: str, a: np.ndarray, b: np.ndarray) -> float:
-        if method == "DTW":
-            reach = None if band is None else max(band, abs(len(a) - len(b)))
-            return dtw_distance(a, b, metric, reach, slope) / (max(len(a), len(b)) if normalise else 1)
-        return segment_divergence(a, b)
-
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column("data_i").to_pylist(), batch.column("data_j").to_pylist()
-            values = [(np.array(a, float), np.array(b, float)) for a, b in zip(left, right, strict=True)]
-            for method in methods:
-                d = [score(method, a, b) for a, b in values]
-                own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([method] * len(d)), pa.array(d, pa.float64())], names=schema.names)
-
-    return spread.mapInArrow(run, schema)
-
-
-def warping_paths(data: DataFrame, keys: list[str], metric: str = "euclidean") -> DataFrame:
+
+    def score(a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        out = []
+        for method in methods:
+            if method == "DTW":
+                reach = None if band is None else max(band, abs(len(a) - len(b)))
+                d = dtw_distance(a, b, metric, reach, slope) / (max(len(a), len(b)) if normalise else 1)
+            else:
+                d = segment_divergence(a, b)
+            out.append((method, d))
+        return out
+
+    return _by_pairs(data, keys, [("method", T.StringType(), pa.string()), ("d", T.DoubleType(), pa.float64())], score, per_task)
+
+
+def warping_paths(data: DataFrame, keys: list[str], metric: str = "euclidean", per_task: int = PAIRS_A_TASK) -> DataFrame:
     """keys, seg_i, seg_j, d (not normalised) and path (array of i, j) of the cheapest warping of every pair of segments."""
-    spread = pairs(data, keys, "seg", ["data"]).repartition(*[F.col(k) for k in keys], "seg_i", "seg_j")
-    kept = [*keys, "seg_i", "seg_j"]
-    cell = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
-    schema = T.StructType([*(spread.schema[c] for c in kept), T.StructField("d", T.DoubleType()), T.StructField("path", T.ArrayType(cell))])
-    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
-
-    def run(batches):
-        for batch in batches:
-            totals = [accumulated(local_costs(np.array(a, float), np.array(b, float), metric)) for a, b in zip(batch.column("data_i").to_pylist(), batch.column("data_j").to_pylist(), strict=True)]
-            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            paths = [[{"i": i, "j": j} for i, j in warping_path(t)] for t in totals]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([float(t[-1, -1]) for t in totals], pa.float64()), pa.array(paths, kind)], names=schema.names)
-
-    return spread.mapInArrow(run, schema)
+    cell = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
+
+    def score(a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        total = accumulated(local_costs(a, b, metric))
+        return [(float(total[-1, -1]), [{"i": i, "j": j} for i, j in warping_path(total)])]
+
+    return _by_pairs(data, keys, [("d", T.DoubleType(), pa.float64()), ("path", cell, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))], score, per_task)
 
 
 def mean_shifts(stats: DataFrame, keys: list[str]) -> DataFrame:
