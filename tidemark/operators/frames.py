@@ -254,6 +254,29 @@ def repair_intervals(df: DataFrame, keys: list[str], idx: str = "beat", value: s
     return filled.join(stats, keys).withColumn("repaired", F.when(F.col("_n") > 2, F.col("_line")).otherwise(F.coalesce("_ok", "_med"))).drop("_ok", "_line", "_n", "_med")
 
 
+def windowed_variability(beats: DataFrame, keys: list[str], window: float, step: float, t: str = "t", rr: str = "rr", jump: float = 50.0) -> DataFrame:
+    """w, t (centre), n, sdnn, rmssd, pnn50 and hr of the intervals in sliding windows from a series' first beat on.
+
+    ``beats``: keys, t (seconds at which an interval begins) and rr (its milliseconds).
+    Differences count inside a window only.  A window whose intervals cover under half
+    of it, or are under four, has missing values; one without any has no row, and the
+    last window ends with the last beat.
+    """
+    order = _over(keys, t)
+    rows = beats.withColumns({"_t0": F.min(t).over(_over(keys)), "_t1": F.max(t).over(_over(keys)), "_pt": F.lag(t).over(order), "_pr": F.lag(rr).over(order)})
+    first = F.greatest(F.lit(0), F.floor((F.col(t) - F.col("_t0") - window) / step) + 1)
+    last = F.least(F.floor((F.col(t) - F.col("_t0")) / step), F.floor((F.col("_t1") - F.col("_t0") - window) / step + 1e-9))
+    held = rows.where(last >= first).withColumn("w", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    start = F.col("_t0") + F.col("w") * F.lit(float(step))
+    step_rr = F.when(F.col("_pt") >= start, F.col(rr) - F.col("_pr"))
+    per = held.withColumns({"_c": start + window / 2, "_d": step_rr}).groupBy(*keys, "w").agg(
+        F.min("_c").alias("t"), F.count(rr).alias("n"), F.sum(rr).alias("_s"), F.stddev_samp(rr).alias("sdnn"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmssd"),
+        (100 * F.avg(F.when(F.col("_d").isNotNull(), (F.abs("_d") > jump).cast("double")))).alias("pnn50"), (60000.0 / F.avg(rr)).alias("hr"),
+    )
+    ok = (F.col("_s") / 1000 >= 0.5 * window) & (F.col("n") >= 4)
+    return per.select(*keys, "w", "t", "n", *[F.when(ok, F.col(c)).alias(c) for c in ("sdnn", "rmssd", "pnn50", "hr")])
+
+
 def mean_sem(df: DataFrame, keys: list[str], value: str = "value", sample: bool = False) -> DataFrame:
     """n, mean and standard error (of the population, or the sample, standard deviation)."""
     sd = (F.stddev_samp if sample else F.stddev_pop)(value)

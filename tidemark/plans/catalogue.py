@@ -21,6 +21,7 @@ from tidemark.plans.sql import r
 from tidemark.schema import CLIP_RANGES
 from tidemark.sources import synthetic, union_cohorts
 from tidemark.storage import shared_folder, written
+from tidemark.streaming import online_divergence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -410,6 +411,17 @@ def hrv_time_domain(spark, d):
     return rows.groupBy("subject_id").agg(F.stddev_samp("rr").alias("sdnn"), F.sqrt(F.avg(F.col("dr") * F.col("dr"))).alias("rmssd"), (100 * F.avg(big)).alias("pnn50"), (60000.0 / F.avg("rr")).alias("hr"))
 
 
+@query(f"""WITH {SAMPLES}, g AS (SELECT subject_id, t / 40000 AS t, (lead(t) OVER (PARTITION BY subject_id ORDER BY idx) - t) / 40 AS rr, idx FROM s),
+b AS (SELECT *, min(t) OVER w AS t0, max(t) OVER w AS t1, lag(t) OVER o AS pt, rr - lag(rr) OVER o AS dr FROM g WHERE rr IS NOT NULL WINDOW w AS (PARTITION BY subject_id), o AS (PARTITION BY subject_id ORDER BY t, idx)),
+ws AS (SELECT subject_id, t0, unnest(range(0, CAST(floor((t1 - t0 - 12) / 4 + 1e-9) AS BIGINT) + 1)) AS w FROM (SELECT DISTINCT subject_id, t0, t1 FROM b)),
+h AS (SELECT ws.subject_id, ws.w, ws.t0 + 4 * ws.w AS st, rr, CASE WHEN pt >= ws.t0 + 4 * ws.w THEN dr END AS d FROM ws JOIN b ON b.subject_id = ws.subject_id AND b.t >= ws.t0 + 4 * ws.w AND b.t < ws.t0 + 4 * ws.w + 12),
+a AS (SELECT subject_id, w, min(st) + 6 AS t, count(*) AS n, sum(rr) >= 6000 AND count(*) >= 4 AS ok, stddev_samp(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100 * avg(CASE WHEN d IS NOT NULL THEN CASE WHEN abs(d) > 50 THEN 1 ELSE 0 END END) AS pnn50, 60000 / avg(rr) AS hr FROM h GROUP BY 1, 2)
+SELECT subject_id, w, {r('t', 't')}, n, {', '.join(r(f'CASE WHEN ok THEN {c} END', c) for c in ('sdnn', 'rmssd', 'pnn50', 'hr'))} FROM a""")
+def hrv_windows(spark, d):
+    beats = _intervals(spark, d).withColumn("t", F.col("t") / 40000)
+    return frames.windowed_variability(beats, S, 12.0, 4.0)
+
+
 @query(f"WITH {SAMPLES} SELECT feature, count(value) AS n, {r('avg(value)', 'mean')}, {r('stddev_pop(value) / sqrt(count(value))', 'sem')} FROM s GROUP BY 1")
 def mean_sem(spark, d):
     return frames.mean_sem(samples(spark, d), ["feature"])
@@ -568,14 +580,29 @@ def pair_rulsif(spark, d):
     return divergence.pair_distances(_segment_rows(spark, d), S, ("RuLSIF",)).drop("method")
 
 
-@query(f"""WITH RECURSIVE {VEC}, fr AS (SELECT a.subject_id, a.w AS w, n.feature, n.w AS k, n.norm, stddev_pop(n.norm) OVER (PARTITION BY a.subject_id, a.w, n.feature) AS sd
-  FROM (SELECT DISTINCT subject_id, w FROM u) a CROSS JOIN dy JOIN n ON n.subject_id = a.subject_id AND n.w >= a.w - 8 AND n.w < a.w + 8 WHERE a.w >= 8 AND a.w < days - 8),
-fv AS (SELECT subject_id, w, k < w AS test, k, list(norm / CASE WHEN sd = 0 THEN 1 ELSE sd END ORDER BY feature) AS x FROM fr GROUP BY ALL), {sql.ratios('fv', 'subject_id, w')}
-SELECT u.subject_id, u.w, {r('pe', 'd')} FROM (SELECT DISTINCT subject_id, w FROM u) u LEFT JOIN rs USING (subject_id, w)""")
+FRAMES = f"""fr AS (SELECT a.subject_id, a.w AS w, n.feature, n.w AS k, n.norm, stddev_pop(n.norm) OVER (PARTITION BY a.subject_id, a.w, n.feature) AS sd
+  FROM (SELECT DISTINCT subject_id, w FROM u) a CROSS JOIN dy JOIN n ON n.subject_id = a.subject_id AND n.w >= a.w - 8 AND n.w < a.w + 8 WHERE a.w >= 8 AND a.w {{last}} days - 8),
+fv AS (SELECT subject_id, w, k < w AS test, k, list(norm / CASE WHEN sd = 0 THEN 1 ELSE sd END ORDER BY feature) AS x FROM fr GROUP BY ALL), {sql.ratios('fv', 'subject_id, w')}"""
+
+
+@query(f"WITH RECURSIVE {VEC}, {FRAMES.format(last='<')} SELECT u.subject_id, u.w, {r('pe', 'd')} FROM (SELECT DISTINCT subject_id, w FROM u) u LEFT JOIN rs USING (subject_id, w)")
 def sliding_rulsif(spark, d):
     return divergence.sliding_divergence(features.vectors(normalised(spark, d), S), S, 8)
 
 
+@query(f"WITH RECURSIVE {VEC}, {FRAMES.format(last='<=')} SELECT CAST(subject_id AS VARCHAR) AS subject_id, w, {r('pe', 'd')} FROM rs")
+def online_rulsif(spark, d):
+    """The same scores from a stream: the days arrive in three files, one a trigger."""
+    rows = written(features.vectors(normalised(spark, d), S).select(F.col("subject_id").cast("string").alias("subject_id"), "w", "x"), "vectors")
+    folder, out = shared_folder(spark, "stream"), shared_folder(spark, "stream-scores")
+    for part in range(3):
+        rows.where(F.least(F.floor(F.col("w") / 10), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    scores = online_divergence(stream, half=8)
+    scores.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(scores.schema).parquet(out)
+
+
 RDI = f"""WITH RECURSIVE {GAMMA}, {sql.cuts('', [0.5], 3)}, {sql.segments_from('')}, {sql.warped()}, {PAIR_RULSIF},
 st AS (SELECT n.subject_id, seg, feature, count(norm) AS n, avg(norm) AS mean, var_samp(norm) AS var FROM n JOIN sg ON sg.subject_id = n.subject_id AND w >= s0 AND w < s1 GROUP BY 1, 2, 3),
 cd AS (SELECT a.subject_id, a.seg AS i, b.seg AS j, sqrt(avg(power(CASE WHEN a.n >= 3 AND b.n >= 3 AND sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) > 1e-12
@@ -905,6 +932,23 @@ def band_pass(spark, d):
     return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "value": dsp.zero_phase(x, fs, 3, 0.05, 1.0)}, "idx long, value double")
 
 
+def _cleaned(kernel: int) -> str:
+    """``md``: values clipped beyond four interquartile ranges and median-filtered, zeros beyond the ends."""
+    half = kernel // 2
+    return f"""qc AS (SELECT subject_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM s GROUP BY 1), cc AS (SELECT subject_id, idx, least(greatest(value, q1 - 4 * (q3 - q1)), q3 + 4 * (q3 - q1)) AS value FROM s JOIN qc USING (subject_id)),
+md AS (SELECT subject_id, idx, list_sort(list_concat(l, list_transform(range(0, {kernel} - len(l)), lambda y: 0::DOUBLE)))[{half + 1}] AS value FROM (SELECT subject_id, idx, list(value) OVER (PARTITION BY subject_id ORDER BY idx ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS l FROM cc))"""
+
+
+@query(f"WITH {SAMPLES}, {_cleaned(3)}, {sql.zero_phase('md', 4.0, 2, 12, high=1.0)} SELECT subject_id, idx, {r('value', 'clean')} FROM zp")
+def eda_denoise(spark, d):
+    return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "clean": dsp.denoise(x, fs, "EDA", CLIP_RANGES["EDA"])}, "idx long, clean double")
+
+
+@query(f"WITH {SAMPLES}, {_cleaned(13)} SELECT subject_id, idx, {r('value', 'clean')} FROM md")
+def temp_denoise(spark, d):
+    return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "clean": dsp.denoise(x, fs, "Temp", CLIP_RANGES["Temp"])}, "idx long, clean double")
+
+
 @query(f"""WITH {SAMPLES}, c AS (SELECT subject_id, idx, value - avg(value) OVER (PARTITION BY subject_id) AS y, count(*) OVER (PARTITION BY subject_id) AS n FROM s),
 f AS (SELECT subject_id, n, k, sum(y * cos(2 * pi() * ((idx * k) % n) / n)) AS re, -sum(y * sin(2 * pi() * ((idx * k) % n) / n)) AS im FROM c CROSS JOIN (SELECT unnest(range(0, 4097)) AS k) WHERE k <= n // 2 GROUP BY ALL),
 h AS (SELECT *, CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS g FROM f),
