@@ -84,9 +84,9 @@ def test_every_rule_is_found_however_its_spaces_are_written(spark):
 
 
 def test_known_sentences_count_in_any_company(spark):
-    texts = ["some words\nMIT\nmore", "some words\nMIT\nmore software", "Some. 2.0. More"]
+    texts = ["some words\n// SPDX-License-Identifier: MIT\nmore", "some\nSPDX-License-Identifier: MIT */\nmore SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: MIT OR Apache-2.0", "MIT\nmit ISC", MIT[1]]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
-    assert [(r.n_known, r.licenses) for r in op.scan(df).orderBy("doc_id").collect()] == [(1, []), (1, []), (1, [])]
+    assert [(r.n_known, r.licenses) for r in op.scan(df).orderBy("doc_id").collect()] == [(1, ["MIT"]), (2, ["GPL-2.0-only", "MIT"]), (0, []), (0, []), (1, [])]
 
 
 def brute(lines, rules, gap):

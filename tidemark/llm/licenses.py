@@ -3,7 +3,8 @@
 Texts are cut into sentences and normalised (lower case, letters and digits only,
 single spaces).  A sentence that the table of known licence sentences holds has that
 sentence's identifier.  A known sentence may have a slot for a holder, written
-``{holder}``: up to twenty words, which may end in a full stop (as ``Inc.`` does).  A rule is an ordered list of identifiers; it matches where
+``{holder}``: up to twenty words, which may end in a full stop (as ``Inc.`` does).  An
+SPDX line is one sentence, in spite of its colon, and ends with its line.  A rule is an ordered list of identifiers; it matches where
 its identifiers follow each other in the text with at most ``gap`` other sentences
 between two of them.  Longer rules are tried first, and a sentence serves one match.
 
@@ -105,6 +106,7 @@ _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n")
 _LINE = re.compile(r"(?<=[.!?;:])\s+|\n")
 #: Where a known sentence names somebody.
 SLOT = "{holder}"
+TAG = "SPDX-License-Identifier:"
 _WORDS = re.compile(r"[^\W_]+")
 _BULLET = re.compile(r"^(?:\W+|\(?\w{1,2}[.)])\s+")
 
@@ -121,23 +123,27 @@ class Rules:
         self.slots: list[tuple[re.Pattern, int]] = []
         self.rules: list[tuple[str, tuple[int, ...]]] = []
         for name, sentences in rules:
-            keys = [key for s in sentences for part in ([s] if SLOT in s else _SENTENCE.split(s)) if (key := " {} ".join(filter(None, map(normal, part.split(SLOT)))))]
+            keys = [key for s in sentences for part in ([s] if SLOT in s or s.startswith(TAG) else _SENTENCE.split(s)) if (key := " {} ".join(filter(None, map(normal, part.split(SLOT)))))]
             if not keys:
                 raise ValueError(f"no words in the rule for {name}")
             self.rules.append((name, tuple(self.identifiers.setdefault(k, len(self.identifiers)) for k in keys)))
         self.rules.sort(key=lambda r: -len(r[1]))
-        words = [sorted(set(k.replace("{}", " ").split()), key=lambda w: (-len(w), w)) for k in self.identifiers]
-        self.words = [x for n, x in enumerate(words) if not any(m < n and x == y for m, y in enumerate(words))]
+        self.words: dict[str, list[list[str]]] = {}  # the other words of known sentences, by their longest one
+        for key in self.identifiers:
+            longest, *rest = sorted(set(key.replace("{}", " ").split()), key=lambda w: (-len(w), w))
+            self.words.setdefault(longest, []).append(rest)
+        tag = normal(TAG)
         gap = r"[\W_]+"
         for key, number in self.identifiers.items():
-            if "{}" in key:
+            if "{}" in key or key.startswith(tag):
                 parts = [gap.join(map(re.escape, part.split())) for part in key.split("{}")]
-                self.slots.append((re.compile(r"(?<![^\W_])" + rf"{gap}(?:[^\W_]+{gap}){{1,20}}?".join(parts) + r"(?![^\W_])", re.I), number))
+                end = r"(?![^\W_])" if "{}" in key else r"(?=[^\w\n]*(?:\n|\Z))"
+                self.slots.append((re.compile(r"(?<![^\W_])" + rf"{gap}(?:[^\W_]+{gap}){{1,20}}?".join(parts) + end, re.I), number))
 
     def possible(self, text: str) -> bool:
         """Whether a text holds all words of some known sentence, hence whether it may hold the sentence."""
         low = text.lower()
-        return any(all(w in low for w in words) for words in self.words)
+        return any(longest in low and any(all(w in low for w in rest) for rest in others) for longest, others in self.words.items())
 
     def sequence(self, text: str) -> list[tuple[int, int]]:
         """(sentence number, identifier) of the known sentences, in text order."""
