@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.operators.frames import spread
 from tidemark.operators.joins import pairs
 
 PAIRS_A_TASK = 2000
@@ -122,21 +124,35 @@ def _by_pairs(data: DataFrame, keys: list[str], fields: list[tuple[str, T.DataTy
     rows = data.select(*keys, "seg", "data", shares.alias("_of")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
     schema = T.StructType([*(data.schema[k] for k in keys), T.StructField("seg_i", data.schema["seg"].dataType), T.StructField("seg_j", data.schema["seg"].dataType), *(T.StructField(name, kind) for name, kind, _ in fields)])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seg")
-        segs, of, share = table.column("seg").to_pylist(), table.column("_of")[0].as_py(), table.column("_share")[0].as_py()
-        parts = [np.array(x, float) for x in table.column("data").to_pylist()]
+    kept = [*keys, "_share", "_of"]
+
+    def scored(key: tuple, segs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        *own, share, of = key
         found, number = [], 0
         for i in range(len(segs)):
             for j in range(i + 1, len(segs)):
                 if number % of == share:
-                    found += [(segs[i], segs[j], *row) for row in score(parts[i], parts[j])]
+                    found += [(*own, segs[i], segs[j], *row) for row in score(parts[i], parts[j])]
                 number += 1
-        own = {k: pa.array([table.column(k)[0].as_py()] * len(found), table.schema.field(k).type) for k in keys}
-        kinds = [table.schema.field("seg").type] * 2 + [kind for _, _, kind in fields]
-        return pa.table({**own, **{name: pa.array([row[c] for row in found], kind) for c, (name, kind) in enumerate(zip(schema.names[len(keys) :], kinds, strict=True))}})
+        return pa.RecordBatch.from_arrays([pa.array([row[c] for row in found], kind) for c, kind in enumerate(kinds)], names=schema.names)
+
+    kinds = [*(to_arrow_type(f.dataType) for f in schema.fields[: len(keys) + 2]), *(kind for _, _, kind in fields)]
+
+    def run(batches):
+        last, segs, parts = None, [], []
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
+            for key, seg, x in zip(zip(*map(column, kept), strict=True), column("seg"), column("data"), strict=True):
+                if key != last:
+                    if len(segs) > 1:
+                        yield scored(last, segs, parts)
+                    last, segs, parts = key, [], []
+                segs.append(seg)
+                parts.append(np.array(x, float))
+        if len(segs) > 1:
+            yield scored(last, segs, parts)
 
-    return rows.repartition(*keys, "_share").groupBy(*keys, "_share").applyInArrow(run, schema)
+    return spread(rows, [*keys, "_share"]).sortWithinPartitions(*keys, "_share", "seg").mapInArrow(run, schema)
 
 
 def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] = ("DTW", "RuLSIF"), normalise: bool = True, metric: str = "euclidean", band: int | None = None, slope: float = 1.0, per_task: int = PAIRS_A_TASK) -> DataFrame:
@@ -203,7 +219,7 @@ def sliding_divergence(vectors: DataFrame, keys: list[str], half: int = 25, alph
         own = {k: pa.array([table.column(k)[0].as_py()] * len(x), table.schema.field(k).type) for k in keys}
         return pa.table({**own, "w": table.column("w").cast(pa.int64()), "d": pa.array(scores, pa.float64())})
 
-    return vectors.select(*keys, "w", "x").groupBy(*keys).applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "w long, d double"]))
+    return spread(vectors.select(*keys, "w", "x"), keys).groupBy(*keys).applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "w long, d double"]))
 
 
 def frame_divergence(frame: np.ndarray, half: int, alpha: float = 0.5) -> float:

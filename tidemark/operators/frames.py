@@ -17,6 +17,15 @@ def _over(keys: list[str], idx: str | None = None):
     return w.orderBy(idx) if idx else w
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as there are shuffle partitions.
+
+    For what is dear to compute from few bytes: sized by bytes, the tasks would be
+    joined into one.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def clipped(x: Column, low: Column, high: Column) -> Column:
     """x within [low, high]; a missing x stays missing (least and greatest alone would skip it)."""
     return F.when(x.isNotNull(), F.greatest(F.least(x, high), low))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dsp
+from tidemark.operators.frames import spread
 from tidemark.operators.joins import align_by_position
 
 
@@ -68,7 +69,7 @@ def per_series(samples: DataFrame, keys: list[str], kernel: Callable[[np.ndarray
         own = {k: pa.array([table.column(k)[0].as_py()] * n, table.schema.field(k).type) for k in keys}
         return pa.table({**own, **{c: pa.array(np.asarray(made[c]), from_pandas=True) for c in names}})
 
-    return samples.select(*keys, "fs", "idx", "value").groupBy(*keys).applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
+    return spread(samples.select(*keys, "fs", "idx", "value"), keys).groupBy(*keys).applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
 
 
 def band_quality(samples: DataFrame, keys: list[str], band: tuple[float, float], least: float, segment: int, window: float = 30.0, step: float = 1.0, flat: float | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dsp import fill_gaps
+from tidemark.operators.frames import spread
 
 
 def gram(x: np.ndarray, model: str = "rbf", gamma: float | None = None) -> np.ndarray:
@@ -105,7 +106,7 @@ def boundaries(vectors: DataFrame, keys: list[str], penalties: list[float] | tup
         return pa.table({**own, "penalty": pa.array([c[0] for c in cuts], pa.float64()), "cp": pa.array([c[1] for c in cuts], pa.int32())})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "penalty double, cp int"])
-    return vectors.select(*keys, "w", "x").groupBy(*keys).applyInArrow(run, schema)
+    return spread(vectors.select(*keys, "w", "x"), keys).groupBy(*keys).applyInArrow(run, schema)
 
 
 def squared_distances(vectors: DataFrame, keys: list[str], item: str = "w", x: str = "x") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import t_p, wilcoxon_p
+from tidemark.operators.frames import spread
 
 
 def running_sums(rows: DataFrame, keys: list[str], order: list[Column], by: str, sums: dict[str, str], descending: bool, ranges: int) -> DataFrame:
@@ -61,7 +62,7 @@ def permutation_seeded(scores: DataFrame, keys: list[str], n_perm: int = 10_000,
         return pd.DataFrame({**own, "delta": [delta], "p": [hits / n_perm], "null_mean": [total / n_perm]})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "delta double, p double, null_mean double"])
-    return scores.select(*keys, "unit", "score", "is_event").groupBy(*keys).applyInPandas(run, schema)
+    return spread(scores.select(*keys, "unit", "score", "is_event"), keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def phase_permutations(scores: DataFrame, comparisons: dict[str, tuple[str, str]], n_perm: int = 10_000, seed: str = "42") -> DataFrame:
@@ -81,7 +82,7 @@ def null_differences(scores: DataFrame, keys: list[str], n_perm: int = 10_000, s
     sides = _sides(scores, keys)
     largest = sides.agg(F.max("_n")).head()[0] or 0
     digits = next(d for d in range(32) if 16**d * per_range >= largest)
-    drawn = scores.where("score IS NOT NULL").select(*keys, "unit", "score", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm"))
+    drawn = spread(scores.where("score IS NOT NULL").select(*keys, "unit", "score"), ["unit"]).select(*keys, "unit", "score", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm"))
     drawn = drawn.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("_perm").cast("string"), F.col("unit").cast("string")))).withColumn("_r", F.substring("_h", 1, digits))
     per = drawn.groupBy(*keys, "_perm", "_r").agg(F.count("score").alias("_c"), F.sum("score").alias("_s"))
     before = Window.partitionBy(*keys, "_perm").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)

@@ -698,9 +698,9 @@ nl AS (SELECT {keys}, p, avg(score) FILTER (WHERE place <= k) - avg(score) FILTE
 pf AS (SELECT {keys}, coalesce(any_value(delta), 0) AS delta, coalesce(avg(CASE WHEN delta IS NOT NULL THEN CASE WHEN d >= delta - 1e-9 THEN 1 ELSE 0 END END), 1) AS p, coalesce(avg(CASE WHEN delta IS NOT NULL THEN d END), 0) AS null_mean FROM nl JOIN ob USING ({keys}) GROUP BY ALL)"""
 
 
-@query(f"WITH {UNITS}, ug AS (SELECT *, 'all' AS grp FROM un), {_null('ug', 'grp', 2000)} SELECT grp AS \"group\", {r('delta', 'delta')}, {r('p', 'p')}, {r('null_mean', 'null_mean')} FROM pf")
+@query(f"WITH {UNITS}, ug AS (SELECT *, 'all' AS grp FROM un), {_null('ug', 'grp', 500)} SELECT grp AS \"group\", {r('delta', 'delta')}, {r('p', 'p')}, {r('null_mean', 'null_mean')} FROM pf")
 def permutation_test(spark, d):
-    return validate.permutation_hashed(_units(spark, d).withColumn("group", F.lit("all")), ["group"], 2000)
+    return validate.permutation_hashed(_units(spark, d).withColumn("group", F.lit("all")), ["group"], 500)
 
 
 @query()

@@ -130,7 +130,7 @@ def raw_features(samples: DataFrame, window: float = 30.0, step: float = 1.0) ->
         columns = ["subject_id", "w", "t", "feature", "raw"]
         return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
 
-    rows = samples.groupBy("subject_id").applyInPandas(run, f"subject_id string, {_RAW}")
+    rows = frames.spread(samples, ["subject_id"]).groupBy("subject_id").applyInPandas(run, f"subject_id string, {_RAW}")
     return rows.withColumn("raw", F.when(~F.isnan("raw"), F.col("raw")))
 
 
