@@ -433,6 +433,21 @@ def test_hashed_permutations_take_the_smallest_hashes_at_every_size(spark):
         assert sorted(got) == pytest.approx(sorted(want))
 
 
+def test_hashed_permutations_read_their_scores_once_and_find_labels_outside_the_fine_ranges(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    units = spark.range(400).select(F.col("id").alias("unit"), F.udf(seen, "double")((F.col("id") * 37 % 101).cast("double")).alias("score"), (F.col("id") % 3).alias("phase"))
+    phases = {"first": ("phase = 0", "phase = 1"), "last": ("phase = 2", "phase < 2")}
+    want = {r.comparison: (round(r.p, 9), round(r.null_mean, 9)) for r in validate.phase_permutations(units, phases, 50).collect()}
+    assert read.value == 400
+    monkeypatch.setattr(validate, "REACH", 0.01)  # nearly every permutation's labels run out below or above the fine ranges
+    assert {r.comparison: (round(r.p, 9), round(r.null_mean, 9)) for r in validate.phase_permutations(units, phases, 50).collect()} == want
+
+
 def test_artifact_runs(spark):
     flags = spark.createDataFrame([("a", i, c == "1") for i, c in enumerate("0110111011110")] + [("b", 0, True)], "k string, idx long, flag boolean")
     runs = quality.artifact_runs(flags, K, 3)
