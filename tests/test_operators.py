@@ -207,6 +207,15 @@ def test_recordings_stamps_ratings_and_store(spark, tmp_path):
     assert sources.load_scored(spark, str(tmp_path / "store")).head().z == 1
 
 
+def test_store_of_many_subjects_has_few_files(spark, tmp_path):
+    rows = spark.range(600).select(F.concat(F.lit("00"), F.col("id") % 300).alias("subject_id"), F.col("id").cast("double").alias("z")).repartition(4)
+    sources.save_scored(rows, str(tmp_path / "store"))
+    assert len(list((tmp_path / "store").rglob("*.parquet"))) <= 8
+    back = sources.load_scored(spark, str(tmp_path / "store"))
+    assert sorted((r.subject_id, r.z) for r in back.collect()) == sorted(map(tuple, rows.collect()))
+    assert back.select("subject_id", F.input_file_name()).distinct().count() == 300  # one file each
+
+
 def test_partitioning_and_order_do_not_matter(spark):
     rows = catalogue.samples(spark, "/root/testdata/sf0.001")
     plain = frames.sliding(rows, ["subject_id"], 10, 2)

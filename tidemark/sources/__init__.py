@@ -161,8 +161,11 @@ def union_cohorts(cohorts: dict[str, DataFrame]) -> DataFrame:
 
 
 def save_scored(df: DataFrame, path: str) -> None:
-    """Store scored sessions by subject."""
-    df.write.mode("overwrite").partitionBy("subject_id").parquet(path)
+    """Store scored sessions by subject: each subject's rows are together in one of a few files, so one subject is found by the files' statistics.
+
+    A folder per subject would be a file per subject and task, which a large cohort does not bear.
+    """
+    df.repartition("subject_id").sortWithinPartitions("subject_id").write.mode("overwrite").parquet(path)
 
 
 def load_scored(spark: SparkSession, path: str) -> DataFrame:
