@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark import sources
-from tidemark.functions import dsp
+from tidemark.functions import dsp, stats
 from tidemark.operators import detect, divergence, frames, joins, quality, rdi, segment, validate
 from tidemark.plans import catalogue, features, regimes
 from tidemark.schema import CLIP_RANGES, EVENT_ALIASES, MODALITY_CHANNEL
@@ -457,6 +457,26 @@ def test_hashed_permutations_read_their_scores_once_and_find_labels_outside_the_
     assert {r.comparison: (round(r.p, 9), round(r.null_mean, 9)) for r in validate.phase_permutations(units, phases, 50).collect()} == want
 
 
+@pytest.fixture(scope="session")
+def equal_changes(tmp_path_factory):
+    """Events of twelve users whose means rise by 0.5 (six), fall by 0.5 (four) or stay (two), of values in all orders."""
+    folder, rows = tmp_path_factory.mktemp("events"), []
+    for user in range(12):
+        order = list(itertools.permutations(range(3)))[user % 6]
+        low, high = [[x, y, z][k] for k in order for x, y, z in [(0.1, 0.2, 0.3)]], [[x, y, z][k] for k in order for x, y, z in [(0.3, 0.8, 1.0)]]
+        first, second = (low, high) if user < 6 else (high, low) if user < 10 else (low, low[::-1])
+        rows += [(user, pd.Timestamp("2024-01-01") + pd.Timedelta(days=day, seconds=user), float(v)) for day, v in zip((0, 1, 2, 20, 21, 22), first + second)]
+    events = pd.DataFrame(rows, columns=["user_id", "ts", "value"]).assign(event_type="click", props="")
+    events["ts"] = events.ts.astype("datetime64[us]")
+    events.assign(event_id=range(len(events))).to_parquet(folder / "events.parquet")
+    return str(folder)
+
+
+def test_equal_changes_share_a_rank_in_quadrants(spark, equal_changes):
+    r = catalogue.QUERIES["quadrant_tests"](spark, equal_changes).head()
+    assert (r.quadrant, r.n, r.w, r.p) == ("browse", 10, 22, pytest.approx(stats.signed_rank_p(10, 22, 990), abs=1e-6))
+
+
 def test_artifact_runs(spark):
     flags = spark.createDataFrame([("a", i, c == "1") for i, c in enumerate("0110111011110")] + [("b", 0, True)], "k string, idx long, flag boolean")
     runs = quality.artifact_runs(flags, K, 3)
