@@ -482,6 +482,11 @@ def test_equal_changes_share_a_rank(spark, equal_changes):
     assert (r.n, r.w_plus, r.w, r.p) == (10, 33, 22, pytest.approx(stats.signed_rank_p(10, 22, 990), abs=1e-6))
 
 
+def test_equal_changes_share_a_rank_in_paired_tests(spark, equal_changes):
+    r = catalogue.QUERIES["paired_tests"](spark, equal_changes).head()
+    assert (r.n, r.w_plus, r.w, r.p, r.mark) == (10, 33, 22, pytest.approx(stats.signed_rank_p(10, 22, 990), abs=1e-6), "")
+
+
 def test_artifact_runs(spark):
     flags = spark.createDataFrame([("a", i, c == "1") for i, c in enumerate("0110111011110")] + [("b", 0, True)], "k string, idx long, flag boolean")
     runs = quality.artifact_runs(flags, K, 3)
