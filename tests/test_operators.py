@@ -487,6 +487,35 @@ def test_equal_changes_share_a_rank_in_paired_tests(spark, equal_changes):
     assert (r.n, r.w_plus, r.w, r.p, r.mark) == (10, 33, 22, pytest.approx(stats.signed_rank_p(10, 22, 990), abs=1e-6), "")
 
 
+def test_beats_on_the_bounds_of_windows_and_of_one_time(spark):
+    # From a first beat at a third on, quotients and sums of doubles disagree about which window some beats on a bound begin.
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(60):
+        t0 = int(rng.integers(1, 40_000)) / 40_000
+        at = sorted([t0, *(t0 + 4.0 * n for n in range(1, 12)), *(t0 + rng.random(40) * 44)])
+        at = at[:20] + [at[19]] + at[20:]  # two beats of one time
+        rr = np.diff([*at, at[-1] + 1.0]) * 1000
+        rows += [(str(k), n, float(t), float(x)) for n, (t, x) in enumerate(zip(at, rr))]
+    beats = spark.createDataFrame(rows, "k string, beat int, t double, rr double")
+    got = {(r.k, r.w): r for r in frames.windowed_variability(beats.orderBy(F.desc("beat")), K, 12.0, 4.0, tie="beat").collect()}
+    want = 0
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        t0, t1 = own[0][2], own[-1][2]
+        for w in range(int(math.floor((t1 - t0 - 12) / 4 + 1e-9)) + 1):
+            start = t0 + 4.0 * w
+            held = [r for r in own if start <= r[2] < start + 12.0]
+            steps = [b[3] - a[3] for a, b in zip(own, own[1:]) if a[2] >= start and b in held]
+            r = got[k, w]
+            assert (r.n, r.rmssd) == (len(held), pytest.approx(np.sqrt(np.mean(np.square(steps)))))
+            want += 1
+    assert len(got) == want
+    sizes = [21103, 32539, 31050, 7484, 1549, 20448, 25334, 22502, 27586, 50405]  # fortieths of 6,000 in all, of which doubles added in order make less
+    half = spark.createDataFrame([("a", n, float(n), k / 40) for n, k in enumerate(sizes)] + [("a", 10, 12.0, 0.0)], "k string, beat int, t double, rr double").coalesce(1)
+    assert frames.windowed_variability(half, K, 12.0, 4.0, tie="beat").head().hr == pytest.approx(100)
+
+
 def test_artifact_runs(spark):
     flags = spark.createDataFrame([("a", i, c == "1") for i, c in enumerate("0110111011110")] + [("b", 0, True)], "k string, idx long, flag boolean")
     runs = quality.artifact_runs(flags, K, 3)
