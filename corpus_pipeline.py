@@ -55,8 +55,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode_corpus(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode_corpus(encoded, ranks).select("doc_id", "ids", *bpe.digests())
+    encoded = bpe.encode_corpus(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select("doc_id", "ids", *bpe.digests())
 
 
 STAGES = [

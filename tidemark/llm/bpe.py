@@ -23,10 +23,12 @@ Steps 1 and 2 meet in a written table: a lost executor repeats its own tasks onl
 and chunk files that a failed task left are named by no row.
 
 Decoding looks ids up in the table of token bytes, whose size the vocabulary bounds.
+``encode_corpus`` does it in step 3 on demand: the ids then do not go through a second
+Python worker beside the one that assembles them.
 
 Defined results: null and empty texts have no ids and decode to no bytes; documents
 that repeat are encoded row by row; an id outside the table is an error; columns
-named ``ids`` or ``decoded`` are replaced; an empty table gives an empty result.
+named as those that are made, ``ids`` or ``decoded``, are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import batches_of, filesystem, no_collection, publish, shared_folder, written
+from tidemark.llm._shared import batches_of, filesystem, give_back, no_collection, publish, shared_folder, written
 from tidemark.llm.sstable import gather, split_pieces
 
 WORDS = "chunk long, place int, bucket int, n int, words binary"
@@ -88,6 +90,25 @@ class WordEncoder:
         return np.array(self.model.encode_ordinary(word), self.kind).tobytes()
 
 
+class TokenDecoder:
+    """Bytes of lists of ids."""
+
+    def __init__(self, ranks_path: str):
+        flat, self.starts, self.sizes = token_table(ranks_path)
+        self.flat = np.frombuffer(flat, "u1")
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Each list's bytes; null lists give null."""
+        ids = np.asarray(lists.flatten())
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or self.sizes[ids].min() < 0):
+            raise ValueError("an id is not in the token table")
+        counts = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], "i8")
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+        data = _gathered(self.flat, self.starts, self.sizes, ids).tobytes()
+        missing = lists.is_null().to_pylist()
+        return pa.array([None if m else data[a:b] for m, a, b in zip(missing, ends, ends[1:])], pa.binary())
+
+
 class _Chunk:
     """Documents of one chunk as sequences of word numbers."""
 
@@ -149,9 +170,10 @@ class _Chunk:
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "bucket", "n", "words"])
 
 
-def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", chunk_bytes: int = 32 << 20, piecewise: bool | None = None, max_buckets: int = 4096, memo_words: int = 2_000_000) -> DataFrame:
+def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", chunk_bytes: int = 32 << 20, piecewise: bool | None = None, max_buckets: int = 4096, memo_words: int = 2_000_000, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) in the place of ``text_col``; a column of the name ``ids`` is replaced.
 
+    With ``decoded``, what ``decode_corpus`` makes of the result: the bytes of the ids too.
     ``ranks_path`` must be readable on every executor.  ``piecewise`` splits texts at
     spaces first; it is right only for patterns of which no match reaches over a space
     that a visible character follows, and on where the pattern is known to be one.
@@ -159,7 +181,8 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     piecewise = pattern == PIECEWISE if piecewise is None else piecewise
     spark = docs.sparkSession
     folder = shared_folder(spark, "bpe-chunks")
-    kept = [c for c in docs.columns if c.lower() not in ("ids", text_col.lower())]
+    made = {"ids": T.ArrayType(T.IntegerType())} | ({"decoded": T.BinaryType()} if decoded else {})
+    kept = [c for c in docs.columns if c.lower() not in (*made, text_col.lower())]
     source = docs.select(F.col(f"`{text_col}`").alias("own text"), *[F.col(f"`{c}`") for c in kept])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(parts, max_buckets)
@@ -178,7 +201,7 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
                     chunk, place = None, (place + 7919) % (1 << 30)
             if chunk:
                 yield chunk.rows(chunk.save(folder), place, buckets)
-            chunk = None
+            chunk = batch = None
 
     words = written(source.mapInArrow(chunks, WORDS), "bpe-words")
 
@@ -206,28 +229,38 @@ def encode_corpus(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
                     out.append(_pack(steps, counts.tobytes(), b"".join(found)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["chunk", "place", "bucket", "n", "codes"])
             known.clear()
+            encoder = None
 
     encoded = words.repartitionById(buckets, "bucket").mapInArrow(encode, CODES)
     kind = WordEncoder(load_ranks(ranks_path), pattern).kind
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, t) for c, t in made.items()])
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = TokenDecoder(ranks_path) if decoded else None
         chunk, own = None, []
         for batch in batches:
             for name, codes in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if name != chunk:
                     if own:
-                        yield from _reassembled(folder, chunk, own, kind, schema.names)
+                        yield from _reassembled(folder, chunk, own, kind, schema.names, decoder)
                     chunk, own = name, []
                 own.append(codes)
         if own:
-            yield from _reassembled(folder, chunk, own, kind, schema.names)
+            yield from _reassembled(folder, chunk, own, kind, schema.names, decoder)
+        decoder = batch = own = codes = None
+        give_back()
 
     return encoded.repartitionById(parts, "place").sortWithinPartitions("chunk").mapInArrow(assemble, schema)
 
 
-def _reassembled(folder: str, chunk: int, parts: list[bytes], kind: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The documents of a chunk, with ids, from the codes of all its buckets."""
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """What ``gather`` gives for ``items``, some at a time: it needs 24 bytes for each element."""
+    some = [items[at : at + (1 << 16)] for at in range(0, len(items), 1 << 16)]
+    return np.concatenate([flat[:0], *(gather(flat, starts[own], sizes[own]) for own in some)])
+
+
+def _reassembled(folder: str, chunk: int, parts: list[bytes], kind: str, names: list[str], decoder: TokenDecoder | None = None) -> Iterator[pa.RecordBatch]:
+    """The documents of a chunk, with ids and on demand their bytes, from the codes of all its buckets."""
     numbers, counts, flat = [], [], []
     for codes in parts:
         steps, sizes, blob = _unpack(codes, 3)
@@ -247,11 +280,11 @@ def _reassembled(folder: str, chunk: int, parts: list[bytes], kind: str, names:
                 sequence = np.asarray(lists.flatten())
                 ends = np.asarray(lists.offsets).astype("i8")
                 ends -= ends[0]
-                lengths = sizes[sequence]
-                ids = gather(flat, starts[sequence], lengths).astype("<i4")
-                cuts = np.concatenate([[0], np.cumsum(lengths)])[ends].astype("<i4")
+                ids = _gathered(flat, starts, sizes, sequence).astype("<i4")
+                cuts = np.concatenate([[0], np.cumsum(sizes[sequence])])[ends].astype("<i4")
                 column = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=names)
+                made = [column] if decoder is None else [column, decoder.decode(column)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
 
 
 def token_table(ranks_path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -272,22 +305,14 @@ def decode_corpus(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") ->
     schema = T.StructType([*own.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, sizes = token_table(ranks_path)
-        flat = np.frombuffer(flat, "u1")
+        decoder = TokenDecoder(ranks_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 lists = batch.column(batch.schema.get_field_index(ids_col))
-                ids = np.asarray(lists.flatten())
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or sizes[ids].min() < 0):
-                    raise ValueError("an id is not in the token table")
-                lengths = sizes[ids]
-                counts = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], "i8")
-                ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-                data = gather(flat, starts[ids], lengths).tobytes()
-                missing = lists.is_null().to_pylist()
-                values = [None if m else data[a:b] for m, a, b in zip(missing, ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, decoder.decode(lists)], names=schema.names)
+        decoder = whole = batch = lists = None
+        give_back()
 
     return own.mapInArrow(decode, schema)
 

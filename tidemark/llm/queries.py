@@ -65,8 +65,8 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode_corpus(_table(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode_corpus(encoded, ranks).select("doc_id", *bpe.digests())
+    encoded = bpe.encode_corpus(_table(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select("doc_id", *bpe.digests())
 
 
 @_query
