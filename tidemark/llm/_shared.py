@@ -59,16 +59,17 @@ def batches_of(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int =
             yield batch.slice(start)
 
 
-def annotate(docs: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[pa.Array], list]], drop: Iterable[str] = ()) -> DataFrame:
+def annotate(docs: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[..., list]], drop: Iterable[str] = (), beside: Iterable[str] = ()) -> DataFrame:
     """``docs`` with columns computed from ``text_col`` a batch at a time, without a shuffle.
 
     ``make()`` runs once per task and returns the function from the text array to
-    one array (or list of values) per field.  A column of ``docs`` that has the
-    name of a field (in any case) is replaced by it.
+    one array (or list of values) per field; it also gets the arrays of the columns
+    ``beside``, in their order.  A column of ``docs`` that has the name of a field (in
+    any case) is replaced by it.
     """
-    made = {n.lower() for n, _ in fields}
+    made, beside = {n.lower() for n, _ in fields}, tuple(beside)
     gone = {*made, *(d.lower() for d in drop)}
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made or c == text_col])
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made or c == text_col or c in beside])
     kept = [c for c in own.columns if c.lower() not in gone]
     schema = T.StructType([own.schema[c] for c in kept] + [T.StructField(n, t) for n, t in fields])
     arrow = [to_arrow_type(t) for _, t in fields]
@@ -76,7 +77,7 @@ def annotate(docs: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]
     def run(batches):
         apply = make()
         for batch in batches_of(batches, text_col, 8 << 20):
-            values = apply(batch.column(batch.schema.get_field_index(text_col)))
+            values = apply(*[batch.column(batch.schema.get_field_index(c)) for c in (text_col, *beside)])
             new = [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(values, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + new, names=schema.names)
         del apply
