@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fill_middle, hard_negatives, html_extract, licenses, minhash, quality, sharding, sstable, toxicity, warc
+from tidemark.llm import bpe, decontaminate, fill_middle, hard_negatives, html_extract, licenses, line_quality, minhash, quality, sharding, sstable, toxicity, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -182,6 +182,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_known", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
 
 
+@_query
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = line_quality.train(docs, labels.where(~toxicity.held_out()))
+    return line_quality.score(docs, model, threshold=0.3).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 @_query
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.transform(_table(spark, sf_dir, "documents", "doc_id", "text"))
