@@ -9,8 +9,9 @@ share of good text, which a logistic curve turns into a score.
 
 Only documents are labelled, so the lines' labels are found while learning: all lines
 of a good document are good; of a bad one those that the field calls bad, but the
-worst lines up to ``least_bad`` of its text in any case.  The first round learns
-features only, the others features and transitions.
+worst lines up to ``least_bad`` of its text in any case.  The first round learns from a
+line's own features only, so that a good line beside bad ones is not taken for bad; the
+others learn those of the neighbours and the transitions too.
 
 Learning takes a bounded sample: ``max_rows`` of the labelled rows that ``docs`` has,
 chosen by a hash of their id, with ``max_lines`` lines together, none of more than a
@@ -194,7 +195,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], truth: np.ndarray, rounds: i
         good, pairs = forward_backward(odds, cut, table) if chained else (1 / (1 + np.exp(np.stack([odds, -odds], axis=1))), None)
         out = 2 * ridge * theta
         out[:-4] += x.T @ (weight * (good[:, 1] - label)).astype("f4")
-        if chained:
+        if not chained:
+            out[N_OWN:] = 0
+        else:
             seen = np.zeros((2, 2))
             np.add.at(seen, (label[inner - 1], label[inner]), weight[inner])
             out[-4:] += ((pairs[inner] * weight[inner, None, None]).sum(axis=0) - seen).ravel()
