@@ -8,6 +8,8 @@ per-series constants come from an aggregation that combines before its shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,24 +111,40 @@ def truncate_to_shortest(df: DataFrame, subject: list[str], feature: str = "feat
 
 
 def sliding(df: DataFrame, keys: list[str], window: int, step: int, fs: float = 1.0, how: str = "mean", idx: str = "idx", value: str = "value") -> DataFrame:
-    """Full windows of ``window`` samples every ``step``: w, t (window centre in seconds) and value.
+    """Full windows of ``window`` samples every ``step`` of a series 0..n-1: w, t (window centre in seconds) and value.
 
-    ``how``: mean or std (NULL where under half the window is valid) or sum.
+    ``how``: mean or std (NULL where under half the window is valid) or sum.  Samples
+    are summed up once, into panes of the largest size that divides both window and
+    step; a window then combines its panes, so its cost is theirs and not its samples'.
     """
-    frame = _over(keys, idx).rowsBetween(0, window - 1)
-    size = F.count(F.lit(1)).over(_over(keys))
-    agg = {"mean": F.avg, "std": F.stddev_pop, "sum": F.sum}[how](value).over(frame)
+    pane = math.gcd(window, step)
+    per = df.groupBy(*keys, F.expr(f"CAST({idx} AS BIGINT) div {pane}").alias("_p")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(value).alias("_k"), F.sum(value).alias("_s"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v")
+    )
+    frame = _over(keys, "_p").rowsBetween(0, window // pane - 1)
+    columns = {"_n": F.sum("_rows").over(_over(keys)), "_sum": F.sum("_s").over(frame), "_count": F.sum("_k").over(frame)}
+    if how == "std":
+        columns["_panes"] = F.collect_list(F.when(F.col("_k") > 0, F.struct("_k", "_m", "_v"))).over(frame)
+    start = F.col("_p") * pane
+    rows = per.withColumns(columns).where((start % step == 0) & (start <= F.col("_n") - window))
+    mean = F.col("_sum") / F.when(F.col("_count") > 0, F.col("_count"))
+    if how == "std":  # each pane's own spread, and that of its mean around the window's
+        squares = F.aggregate("_panes", F.lit(0.0), lambda a, x: a + x["_k"] * (x["_v"] + (x["_m"] - mean) * (x["_m"] - mean)))
+        found = F.sqrt(squares / F.when(F.col("_count") > 0, F.col("_count")))
+    else:
+        found = mean if how == "mean" else F.col("_sum")
     if how != "sum":
-        agg = F.when(F.count(value).over(frame) >= int(0.5 * window), agg)
-    rows = df.withColumns({"_v": agg, "_n": size}).where((F.col(idx) % step == 0) & (F.col(idx) <= F.col("_n") - window))
-    return rows.select(*keys, F.expr(f"{idx} div {step}").alias("w"), ((F.col(idx) + window / 2) / fs).alias("t"), F.col("_v").alias("value"))
+        found = F.when(F.col("_count") >= int(0.5 * window), found)
+    return rows.select(*keys, F.expr(f"_p * {pane} div {step}").alias("w"), ((start + window / 2) / fs).alias("t"), found.alias("value"))
 
 
 def gap_fill(df: DataFrame, keys: list[str], idx: str = "idx", value: str = "value", out: str = "filled") -> DataFrame:
     """Linear between valid neighbours, the nearest valid sample at the ends, 0 where a series has none."""
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))
-    before = F.last(point, True).over(_over(keys, idx).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, True).over(_over(keys, idx).rowsBetween(0, Window.unboundedFollowing))
+    so_far = (Window.unboundedPreceding, 0)
+    before = F.last(point, True).over(_over(keys, idx).rowsBetween(*so_far))
+    # The next valid sample is the last so far in the other direction: a frame that grows is updated, one that shrinks is computed anew at every row.
+    after = F.last(point, True).over(_over(keys).orderBy(F.desc(idx)).rowsBetween(*so_far))
     rows = df.withColumns({"_p": before, "_q": after})
     span = (F.col("_q.i") - F.col("_p.i")).cast("double")
     line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * (F.col(idx) - F.col("_p.i")) / F.when(span > 0, span)
@@ -141,9 +159,9 @@ def resample(df: DataFrame, keys: list[str], step: float = 1.0, t: str = "t", va
     grid = grid.select(*keys, "g", (F.col("t0") + F.col("g") * step).alias("t"), F.lit(None).cast("double").alias("v"))
     both = points.select(*keys, F.lit(None).cast("int").alias("g"), "t", "v").unionByName(grid)
     point = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
-    order = _over(keys).orderBy("t", F.col("g").isNotNull())
-    before = F.last(point, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    so_far = (Window.unboundedPreceding, 0)
+    before = F.last(point, True).over(_over(keys).orderBy("t", F.col("g").isNotNull()).rowsBetween(*so_far))
+    after = F.last(point, True).over(_over(keys).orderBy(F.desc("t"), F.col("g").isNull()).rowsBetween(*so_far))
     rows = both.withColumns({"_p": before, "_q": after}).where("g IS NOT NULL")
     span = F.col("_q.t") - F.col("_p.t")
     line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * (F.col("t") - F.col("_p.t")) / F.when(span > 0, span)
@@ -223,11 +241,17 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank",
 
 
 def flatline(df: DataFrame, keys: list[str], window: int, threshold: float, idx: str = "idx", value: str = "value") -> DataFrame:
-    """``flat``: whether a sample lies in one of the half-overlapping full windows whose standard deviation is below the threshold."""
+    """``flat``: whether a sample lies in one of the half-overlapping full windows whose standard deviation is below the threshold.
+
+    A flat window marks the blocks of half a window that it covers, not its samples: of
+    the last block, when ``window`` is odd, the first samples only.
+    """
     step = max(1, window // 2)
     stats = sliding(df, keys, window, step, how="std", idx=idx, value=value).where(F.col("value") < threshold)
-    marked = stats.select(*keys, F.explode(F.sequence(F.col("w") * step, F.col("w") * step + window - 1)).alias(idx)).distinct().withColumn("flat", F.lit(True))
-    return df.join(marked, [*keys, idx], "left").withColumn("flat", F.coalesce("flat", F.lit(False)))
+    covered = F.array(*[F.struct((F.col("w") + k).alias("_b"), F.lit(min(step, window - k * step)).alias("_to")) for k in range(-(-window // step))])
+    blocks = stats.select(*keys, F.inline(covered)).groupBy(*keys, "_b").agg(F.max("_to").alias("_to"))
+    rows = df.withColumn("_b", F.expr(f"CAST({idx} AS BIGINT) div {step}")).join(blocks, [*keys, "_b"], "left")
+    return rows.withColumn("flat", F.coalesce(F.col(idx) % step < F.col("_to"), F.lit(False))).drop("_b", "_to")
 
 
 def clipping(df: DataFrame, keys: list[str], value: str = "value", low: float = 0.005, high: float = 0.995) -> DataFrame:

@@ -1,7 +1,8 @@
 """Joins between series, segments and point events.
 
-Each carries an equality on the subject; range conditions ride on it, so the plans
-are hash or sort-merge joins with a residual filter, never products.
+Each carries an equality on the subject, and range conditions an equality on a time
+bin or one order of time besides: hash or sort-merge joins and windows, never products
+of what one subject has.
 """
 
 from __future__ import annotations
@@ -28,12 +29,39 @@ def events_by_segment(segments: DataFrame, times: DataFrame, events: DataFrame,
     first = times.select(*keys, F.col("w").alias("start"), F.col("t").alias("t0"))
     last = times.select(*keys, (F.col("w") + 1).alias("end"), F.col("t").alias("t1"))
     spans = segments.join(first, [*keys, "start"]).join(last, [*keys, "end"])
-    point = events.select(*keys, F.col("t").alias("_t"), F.col("name").alias("_name"))
-    hit = spans.select(*keys, "seg", "t0", "t1").join(point, keys).where("_t BETWEEN t0 AND t1")
+    hit = covering(events.select(*keys, F.col("t").cast("double").alias("_t"), F.col("name").alias("_name")), spans.select(*keys, "t0", "t1", "seg"), keys, "_t", "t0", "t1", ["seg"])
     lists = hit.groupBy(*keys, "seg").agg(F.transform(F.sort_array(F.collect_list(F.struct("_t", "_name"))), lambda x: x["_name"]).alias("events"))
     return spans.join(lists, [*keys, "seg"], "left").withColumn("events", F.coalesce("events", F.array().cast("array<string>")))
 
 
+def covering(points: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: str, columns: list[str]) -> DataFrame:
+    """``points`` that lie in one of the spans [low, high] of their series, with its ``columns``; spans of a series do not overlap.
+
+    Points and spans are put in one order of time; the span that began last is the only
+    one that can hold a point.  A series is sorted once, whatever it has of both.  A
+    point on the end of one span and the start of the next belongs to the next.
+    """
+    own = [c for c in points.columns if c not in keys]
+    span = F.struct(F.col(low).alias("low"), F.col(high).cast("double").alias("high"), *[F.col(c) for c in columns])
+    begun = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull()).select(*keys, F.col(low).cast("double").alias("_at"), F.lit(0).alias("_kind"), span.alias("_span"))
+    both = points.withColumns({"_at": F.col(at).cast("double"), "_kind": F.lit(1)}).unionByName(begun, allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_span", F.last("_span", True).over(order)).where("_kind = 1 AND _at <= _span.high")
+    return found.select(*keys, *own, *[F.col(f"_span.{c}").alias(c) for c in columns])
+
+
+def within(points: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: str, width: float) -> DataFrame:
+    """Every point joined with every span [low, high) that holds it; spans may overlap and are ``width`` long at most.
+
+    The join is on equality of the series *and* of a time bin ``width`` long: a span
+    lies in two bins at most and is copied into both, a point lies in one.  So a point
+    meets the spans around it, not all of its series.
+    """
+    bin_of = lambda c: F.floor(c / float(width)).cast("long")
+    cut = spans.where(F.col(high) > F.col(low)).withColumn("_bin", F.explode(F.sequence(bin_of(F.col(low)), bin_of(F.col(high)))))
+    return points.withColumn("_bin", bin_of(F.col(at))).join(cut, [*keys, "_bin"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_bin")
+
+
 def affective(df: DataFrame, names: tuple[str, ...] | list[str], events: str = "events", out: str = "is_event") -> DataFrame:
     """Whether any event of a row is one of ``names``."""
     return df.withColumn(out, F.coalesce(F.arrays_overlap(events, F.array(*[F.lit(n) for n in names])), F.lit(False)))
@@ -62,7 +90,7 @@ def first_peak_after(beats: DataFrame, samples: DataFrame, keys: list[str], fs:
     w = Window.partitionBy(*keys).orderBy("beat")
     spans = beats.withColumn("_next", F.lead("beat").over(w)).where("_next IS NOT NULL")
     spans = spans.withColumns({"_a": F.col("beat") + int(low * fs), "_b": F.least(F.col("beat") + int(high * fs), F.col("_next"))})
-    found = spans.join(samples.select(*keys, F.col("idx").alias("_i"), F.col("value").alias("_v")), keys).where("_i >= _a AND _i < _b")
+    found = within(samples.select(*keys, F.col("idx").alias("_i"), F.col("value").alias("_v")), spans, keys, "_i", "_a", "_b", max(1, int(high * fs)))
     best = found.groupBy(*keys, "beat").agg(F.count("_v").alias("n"), F.max_by("_i", F.struct("_v", -F.col("_i"))).alias("peak")).where("n >= 3")
     best = best.withColumn("ptt", (F.col("peak") - F.col("beat")) * 1000.0 / fs).where(F.col("ptt").between(low * 1000, high * 1000))
     enough = best.groupBy(*keys).count().where(F.col("count") > least).select(*keys)

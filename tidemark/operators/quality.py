@@ -45,10 +45,19 @@ def weighted_fusion(features: DataFrame, keys: list[str], modality: str = "modal
 
 
 def windowed_quality(windows: DataFrame, samples: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """``windows`` (keys, w, t) with q: mean quality of the samples (keys, t, q) in [t - width/2, t + width/2), 1 if there are none."""
-    w = windows.select(*keys, "w", F.col("t").alias("_c"))
-    hit = w.join(samples.select(*keys, F.col("t").alias("_t"), F.col("q").alias("_q")), keys).where(f"_t >= _c - {width / 2}D AND _t < _c + {width / 2}D")
-    mean = hit.groupBy(*keys, "w").agg(F.avg("_q").alias("q"))
+    """``windows`` (keys, w, t) with q: mean quality of the samples (keys, t, q) in [t - width/2, t + width/2), 1 if there are none.
+
+    One running sum over a series' samples serves all its windows: a window is the
+    difference of two of its values, however many samples it holds or shares.
+    """
+    edges = F.array(F.struct(F.lit(-1).alias("_side"), (F.col("t") - width / 2).alias("_at")), F.struct(F.lit(1).alias("_side"), (F.col("t") + width / 2).alias("_at")))
+    bounds = windows.select(*keys, "w", F.inline(edges))
+    both = samples.select(*keys, F.col("t").cast("double").alias("_at"), F.col("q").alias("_q"), F.lit(0).alias("_side")).unionByName(bounds, allowMissingColumns=True)
+    # Up to a bound count the samples before it: bounds come first among what has their time.
+    before = Window.partitionBy(*keys).orderBy("_at", F.col("_side") == 0).rowsBetween(Window.unboundedPreceding, 0)
+    running = both.withColumns({"_s": F.coalesce(F.sum("_q").over(before), F.lit(0.0)), "_n": F.count("_q").over(before)}).where("_side <> 0")
+    mean = running.groupBy(*keys, "w").agg(F.sum(F.col("_side") * F.col("_s")).alias("_s"), F.sum(F.col("_side") * F.col("_n")).alias("_n"))
+    mean = mean.select(*keys, "w", (F.col("_s") / F.when(F.col("_n") > 0, F.col("_n"))).alias("q"))
     return windows.join(mean, [*keys, "w"], "left").withColumn("q", F.coalesce("q", F.lit(1.0)))
 
 
