@@ -20,6 +20,7 @@ from tidemark.plans import features, regimes, sql
 from tidemark.plans.sql import r
 from tidemark.schema import CLIP_RANGES
 from tidemark.sources import synthetic, union_cohorts
+from tidemark.sources.workbook import write_workbooks
 from tidemark.storage import shared_folder, written
 from tidemark.streaming import online_divergence
 
@@ -1022,13 +1023,31 @@ x AS (SELECT subject_id, CASE idx WHEN 0 THEN 'Data Start' WHEN 2 THEN 'Video St
 o AS (SELECT subject_id, max(CASE WHEN event = 'Video Start' THEN ts END) AS v FROM x GROUP BY 1)
 SELECT CAST(subject_id AS VARCHAR) AS subject_id, event, {r("date_diff('second', v, ts)", 't')} FROM x JOIN o USING (subject_id) WHERE ts >= v""")
 def event_stamps(spark, d):
+    folder = shared_folder(spark, "stamps")
+    _stamps(spark, d).write.csv(folder, header=True)
+    return sources.relative_stamps(sources.read_stamps(spark, folder))
+
+
+def _books(spark, column: str):
+    """As many workbooks as there are shuffle partitions, each with the sheets of its share of ``column``."""
+    return F.concat(F.lit("book-"), F.pmod(F.xxhash64(column), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("string"))
+
+
+@query(SQL["event_stamps"])
+def event_stamps_workbook(spark, d):
+    """The same stamps through workbooks, a sheet per user."""
+    folder = shared_folder(spark, "stamp-books")
+    rows = _stamps(spark, d).select(_books(spark, "subject_id").alias("book"), "subject_id", *[F.col(c).alias(c.title()) for c in ("event", "year", "month", "day", "hour", "minute", "second")])
+    written(write_workbooks(rows, folder, "book", "subject_id", ["Year", "Month", "Day", "Hour", "Minute", "Second", "Event"]), "stamp-book-files").count()
+    return sources.relative_stamps(sources.read_stamps_workbook(spark, folder))
+
+
+def _stamps(spark, d):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, d, "events").withColumn("idx", F.row_number().over(order) - 1)
     name = F.when(F.col("idx") == 0, "Data Start").when(F.col("idx") == 2, "Video Start").otherwise(F.concat_ws(" ", "event_type", "idx"))
     parts = {p: getattr(F, p)("ts").alias(p) for p in ("year", "month", "day", "hour", "minute", "second")} | {"day": F.dayofmonth("ts").alias("day")}
-    folder = shared_folder(spark, "stamps")
-    rows.select(F.col("user_id").alias("subject_id"), name.alias("event"), *parts.values()).write.csv(folder, header=True)
-    return sources.relative_stamps(sources.read_stamps(spark, folder))
+    return rows.select(F.col("user_id").alias("subject_id"), name.alias("event"), *parts.values())
 
 
 @query(f"WITH {HALVES}, a AS (SELECT CAST(subject AS VARCHAR) AS subject, emotion, before, after FROM hp) SELECT subject, emotion, {r('before', 'before')}, {r('after', 'after')} FROM a")
@@ -1040,6 +1059,16 @@ def ratings_file(spark, d):
     return joins.paired_ratings(sources.read_ratings(spark, folder), "Before", "after ")
 
 
+@query(SQL["ratings_file"])
+def ratings_workbook(spark, d):
+    """The same ratings through workbooks, a sheet per user with a column per condition."""
+    before = F.col("t") < 15 * 86400
+    means = samples(spark, d).groupBy("subject_id", F.initcap("feature").alias("Emotion")).agg(F.avg(F.when(before, F.col("value"))).alias(" before"), F.avg(F.when(~before, F.col("value"))).alias("After"))
+    folder = shared_folder(spark, "rating-books")
+    written(write_workbooks(means.withColumn("book", _books(spark, "subject_id")), folder, "book", "subject_id", ["Emotion"]), "rating-book-files").count()
+    return joins.paired_ratings(sources.read_ratings_workbook(spark, folder), "Before", "after ")
+
+
 @query(f"WITH {RECORDS} SELECT CAST(subject AS VARCHAR) AS subject, 'IR' AS \"group\", seg_idx, array_to_string(list_sort(events), ',') AS events, in_experiment, {r('consensus', 'consensus')}, {r('dtw', 'dtw')}, CAST(NULL AS DOUBLE) AS rulsif, {r('cohens_d', 'cohens_d')} FROM rc")
 def record_cache(spark, d):
     folder = shared_folder(spark, "records")

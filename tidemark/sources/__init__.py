@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.schema import MODALITY_CHANNEL, MODALITY_RATE, SAMPLES
+from tidemark.sources.workbook import cell, read_workbook
 from tidemark.storage import publish
 
 STAMPS = "subject_id string, event string, year int, month int, day int, hour int, minute int, second int"
@@ -98,6 +99,15 @@ def read_stamps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=STAMPS)
 
 
+def read_stamps_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """Event stamps from workbooks with a sheet per subject, whose columns are Event, Year, Month, Day, Hour, Minute and Second in any order.
+
+    Sheets of one name in several workbooks are one subject's; a cell that is no number is missing.
+    """
+    parts = ("year", "month", "day", "hour", "minute", "second")
+    return read_workbook(spark, path).select(F.col("sheet").alias("subject_id"), cell("event").alias("event"), *[cell(p).try_cast("double").cast("int").alias(p) for p in parts])
+
+
 def relative_stamps(stamps: DataFrame, origin: str = "Data Start", shift: str | None = "Video Start") -> DataFrame:
     """subject_id, event and t in seconds after ``origin`` (after ``shift`` too, and not before it, where that is given).
 
@@ -118,6 +128,12 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="subject string, emotion string, condition string, rating string")
 
 
+def read_ratings_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """subject, emotion, condition and rating from workbooks with a sheet per subject: a row per emotion, which its first column names, and a column per condition."""
+    rows = read_workbook(spark, path).select(F.col("sheet").alias("subject"), F.col("cells")[0]["value"].alias("emotion"), F.explode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))).alias("c"))
+    return rows.select("subject", "emotion", F.col("c.column").alias("condition"), F.col("c.value").alias("rating"))
+
+
 def read_records(spark: SparkSession, path: str, group: str | None = None) -> DataFrame:
     """Cohort segment records from JSON lines; ``group`` tags them."""
     rows = spark.read.schema(RECORDS).json(path)
