@@ -20,6 +20,7 @@ from tidemark.plans import features, regimes, sql
 from tidemark.plans.sql import r
 from tidemark.schema import CLIP_RANGES
 from tidemark.sources import synthetic, union_cohorts
+from tidemark.sources.pickles import read_sessions, write_pickles
 from tidemark.sources.workbook import write_workbooks
 from tidemark.storage import shared_folder, written
 from tidemark.streaming import online_divergence
@@ -1129,6 +1130,18 @@ def sample_store(spark, d):
     return sources.read_samples(spark, folder)
 
 
+@query(f"""WITH {SAMPLES}, m AS (SELECT CAST(subject_id AS VARCHAR) AS subject_id, 'EDA' AS modality, 4::BIGINT AS fs, idx, CASE WHEN idx % 9 <> 4 THEN value END AS value FROM s
+UNION ALL SELECT CAST(subject_id AS VARCHAR), 'ECG', 700, idx // 2, t FROM s WHERE idx % 2 = 0) SELECT subject_id, modality, fs, idx, {r('value', 'value')} FROM m""")
+def sample_pickles(spark, d):
+    """Sessions as pickles of nested arrays: a wrist signal of two channels, and a chest signal; read without running them."""
+    rows = samples(spark, d)
+    wrist = rows.select("subject_id", F.lit("signal/wrist/EDA").alias("signal"), "idx", F.inline(F.array(F.struct(F.lit(0).alias("channel"), F.when(F.col("idx") % 9 != 4, F.col("value")).alias("value")), F.struct(F.lit(1).alias("channel"), F.lit(0.0).alias("value")))))
+    chest = rows.where("idx % 2 = 0").select("subject_id", F.lit("signal/chest/ECG").alias("signal"), F.expr("idx div 2").alias("idx"), F.lit(0).alias("channel"), F.col("t").alias("value"))
+    folder = shared_folder(spark, "sessions")
+    written(write_pickles(wrist.unionByName(chest), folder), "session-files").count()
+    return read_sessions(spark, folder)
+
+
 @query(f"""WITH {SAMPLES}, k AS (SELECT subject_id, idx, idx - row_number() OVER (PARTITION BY subject_id ORDER BY idx) AS run FROM s WHERE value > 35)
 SELECT CAST(subject_id AS VARCHAR) AS subject_id, min(idx) AS start, max(idx) + 1 AS "end" FROM k GROUP BY subject_id, run HAVING count(*) >= 4""")
 def artifact_labels(spark, d):
