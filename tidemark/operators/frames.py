@@ -287,6 +287,22 @@ def repair_intervals(df: DataFrame, keys: list[str], idx: str = "beat", value: s
     return filled.join(stats, keys).withColumn("repaired", F.when(F.col("_n") > 2, F.col("_line")).otherwise(F.coalesce("_ok", "_med"))).drop("_ok", "_line", "_n", "_med")
 
 
+def in_windows(beats: DataFrame, keys: list[str], window: float, step: float, t: str = "t", tie: str | None = None) -> DataFrame:
+    """``beats`` once for every sliding window that holds them, with w, _start and _pt (the time of the beat before).
+
+    Windows begin at a series' first beat, ``step`` apart, and end with its last; a
+    window holds the beats from its start up to, not including, its end, as doubles compare.
+    """
+    order = _over(keys).orderBy(t, *([tie] if tie else []))
+    rows = beats.withColumns({"_t0": F.min(t).over(_over(keys)), "_t1": F.max(t).over(_over(keys)), "_pt": F.lag(t).over(order)})
+    # A quotient can fall to the other side of a whole number: a window more at each end, then the comparison itself.
+    first = F.greatest(F.lit(0), F.floor((F.col(t) - F.col("_t0") - window) / step))
+    last = F.least(F.floor((F.col(t) - F.col("_t0")) / step) + 1, F.floor((F.col("_t1") - F.col("_t0") - window) / step + 1e-9))
+    held = rows.where(last >= first).withColumn("w", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    held = held.withColumn("_start", F.col("_t0") + F.col("w") * F.lit(float(step)))
+    return held.where((F.col(t) >= F.col("_start")) & (F.col(t) < F.col("_start") + window))
+
+
 def windowed_variability(beats: DataFrame, keys: list[str], window: float, step: float, t: str = "t", rr: str = "rr", jump: float = 50.0, tie: str | None = None) -> DataFrame:
     """w, t (centre), n, sdnn, rmssd, pnn50 and hr of the intervals in sliding windows from a series' first beat on.
 
@@ -296,14 +312,8 @@ def windowed_variability(beats: DataFrame, keys: list[str], window: float, step:
     window whose intervals cover under half of it, or are under four, has missing values;
     one without any has no row, and the last window ends with the last beat.
     """
-    order = _over(keys).orderBy(t, *([tie] if tie else []))
-    rows = beats.withColumns({"_t0": F.min(t).over(_over(keys)), "_t1": F.max(t).over(_over(keys)), "_pt": F.lag(t).over(order), "_pr": F.lag(rr).over(order)})
-    # A quotient can fall to the other side of a whole number: a window more at each end, then the comparison itself.
-    first = F.greatest(F.lit(0), F.floor((F.col(t) - F.col("_t0") - window) / step))
-    last = F.least(F.floor((F.col(t) - F.col("_t0")) / step) + 1, F.floor((F.col("_t1") - F.col("_t0") - window) / step + 1e-9))
-    held = rows.where(last >= first).withColumn("w", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    start = F.col("_t0") + F.col("w") * F.lit(float(step))
-    held = held.where((F.col(t) >= start) & (F.col(t) < start + window))
+    held = in_windows(beats.withColumn("_pr", F.lag(rr).over(_over(keys).orderBy(t, *([tie] if tie else [])))), keys, window, step, t, tie)
+    start = F.col("_start")
     step_rr = F.when(F.col("_pt") >= start, F.col(rr) - F.col("_pr"))
     per = held.withColumns({"_c": start + window / 2, "_d": step_rr}).groupBy(*keys, "w").agg(
         F.min("_c").alias("t"), F.count(rr).alias("n"), F.sum(rr).alias("_s"), F.stddev_samp(rr).alias("sdnn"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmssd"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources
 from tidemark.functions import dsp, stats
-from tidemark.operators import detect, divergence, frames, joins, quality, rdi, segment, validate
+from tidemark.operators import beats, detect, divergence, frames, joins, quality, rdi, segment, validate
 from tidemark.plans import features, regimes, sql
 from tidemark.plans.sql import r
 from tidemark.schema import CLIP_RANGES
@@ -420,8 +420,65 @@ h AS (SELECT ws.subject_id, ws.w, ws.t0 + 4 * ws.w AS st, rr, CASE WHEN pt >= ws
 a AS (SELECT subject_id, w, min(st) + 6 AS t, count(*) AS n, sum(rr) >= 6000 AND count(*) >= 4 AS ok, stddev_samp(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100 * avg(CASE WHEN d IS NOT NULL THEN CASE WHEN abs(d) > 50 THEN 1 ELSE 0 END END) AS pnn50, 60000 / avg(rr) AS hr FROM h GROUP BY 1, 2)
 SELECT subject_id, w, {r('t', 't')}, n, {', '.join(r(f'CASE WHEN ok THEN {c} END', c) for c in ('sdnn', 'rmssd', 'pnn50', 'hr'))} FROM a""")
 def hrv_windows(spark, d):
-    beats = _intervals(spark, d).withColumn("t", F.col("t") / 40000)
-    return frames.windowed_variability(beats, S, 12.0, 4.0, tie="beat")
+    rows = _intervals(spark, d).withColumn("t", F.col("t") / 40000)
+    return frames.windowed_variability(rows, S, 12.0, 4.0, tie="beat")
+
+
+@query(f"""WITH {SAMPLES}, g AS (SELECT subject_id, t / 40000 AS t, (lead(t) OVER (PARTITION BY subject_id ORDER BY idx) - t) / 40 AS rr FROM s),
+b AS (SELECT *, min(t) OVER (PARTITION BY subject_id) AS t0, max(t) OVER (PARTITION BY subject_id) AS t1 FROM g WHERE rr IS NOT NULL),
+ws AS (SELECT subject_id, t0, unnest(range(0, CAST(floor((t1 - t0 - 12) / 4 + 1e-9) AS BIGINT) + 1)) AS w FROM (SELECT DISTINCT subject_id, t0, t1 FROM b)),
+h AS (SELECT ws.subject_id, ws.w, ws.t0 + 4 * ws.w AS st, b.t - (ws.t0 + 4 * ws.w) AS x, rr FROM ws JOIN b ON b.subject_id = ws.subject_id AND b.t >= ws.t0 + 4 * ws.w AND b.t < ws.t0 + 4 * ws.w + 12),
+y AS (SELECT *, rr - avg(rr) OVER (PARTITION BY subject_id, w) AS y FROM h),
+f AS (SELECT subject_id, w, k, min(st) AS st, count(*) AS n, sum(rr) AS total, sum(power(cos(k * 0.04 * 2 * pi() * x), 2)) AS cc, sum(power(sin(k * 0.04 * 2 * pi() * x), 2)) AS ss, sum(cos(k * 0.04 * 2 * pi() * x) * sin(k * 0.04 * 2 * pi() * x)) AS cs,
+  sum(y * cos(k * 0.04 * 2 * pi() * x)) AS yc, sum(y * sin(k * 0.04 * 2 * pi() * x)) AS ys FROM y CROSS JOIN (SELECT unnest(range(1, 10)) AS k) GROUP BY 1, 2, 3),
+p AS (SELECT *, CASE WHEN cc * ss - cs * cs > 1e-9 THEN (yc * yc * ss + ys * ys * cc - 2 * yc * ys * cs) / (cc * ss - cs * cs) / n END AS p FROM f),
+a AS (SELECT subject_id, w, min(st) + 6 AS t, max(n) AS n, max(total) >= 6000 AND max(n) >= 4 AS ok, sum(CASE WHEN k <= 3 THEN p END) * 0.48 AS lf, sum(CASE WHEN k > 3 THEN p END) * 0.48 AS hf FROM p GROUP BY 1, 2)
+SELECT subject_id, w, {r('t', 't')}, n, {r('CASE WHEN ok THEN lf END', 'lf')}, {r('CASE WHEN ok THEN hf END', 'hf')}, {r('CASE WHEN ok AND hf > 1e-12 THEN lf / hf END', 'lf_hf')} FROM a""")
+def hrv_spectrum(spark, d):
+    rows = _intervals(spark, d).withColumn("t", F.col("t") / 40000)
+    return beats.windowed_spectrum(rows, S, 12.0, 4.0, grid=0.04, tie="beat")
+
+
+def _classified(source: str, k: int) -> str:
+    """``c{k}`` (subject_id, t, rr, kind, left_): the kinds of the beats of ``source``."""
+    half = lambda c: f"(quantile_cont({c}, 0.75) OVER far - quantile_cont({c}, 0.25) OVER far) / 2"
+    return f"""i{k} AS MATERIALIZED (SELECT *, t - lag(t) OVER (PARTITION BY subject_id ORDER BY t) AS rr FROM {source}),
+d{k} AS MATERIALIZED (SELECT *, rr - lag(rr) OVER (PARTITION BY subject_id ORDER BY t) AS dr, quantile_cont(rr, 0.5) OVER (PARTITION BY subject_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS med FROM i{k}),
+e{k} AS MATERIALIZED (SELECT *, (rr - med) * CASE WHEN rr < med THEN 2 ELSE 1 END AS m FROM d{k}),
+f{k} AS MATERIALIZED (SELECT *, abs(dr) AS ad, abs(m) AS am FROM e{k}),
+h{k} AS MATERIALIZED (SELECT *, 5.2 * {half('ad')} AS t1, 5.2 * {half('am')} AS t2 FROM f{k} WINDOW far AS (PARTITION BY subject_id ORDER BY t ROWS BETWEEN 45 PRECEDING AND 45 FOLLOWING)),
+n{k} AS MATERIALIZED (SELECT *, CASE WHEN t1 > 0 THEN round(dr / t1, 9) WHEN dr IS NOT NULL THEN 0 END AS s, CASE WHEN t2 > 0 THEN round(m / t2, 9) WHEN m IS NOT NULL THEN 0 END AS f FROM h{k}),
+o{k} AS MATERIALIZED (SELECT *, coalesce(lag(s) OVER w, 0) AS b1, coalesce(lead(s) OVER w, 0) AS a1, coalesce(lead(s, 2) OVER w, 0) AS a2, lead(rr) OVER w AS nx FROM n{k} WINDOW w AS (PARTITION BY subject_id ORDER BY t)),
+q{k} AS MATERIALIZED (SELECT *, CASE WHEN dr >= 0 THEN greatest(b1, a1) ELSE least(b1, a1) END AS s1, CASE WHEN dr >= 0 THEN least(a1, a2) ELSE greatest(a1, a2) END AS s2 FROM o{k}),
+g{k} AS MATERIALIZED (SELECT *, (s > 1 AND s2 < -1) OR f > 3 AS long_, (s < -1 AND s2 > 1) OR f < -3 AS short_ FROM q{k}),
+c{k} AS MATERIALIZED (SELECT *, CASE WHEN (s > 1 AND s1 < -0.13 * s - 0.17) OR (s < -1 AND s1 > -0.13 * s + 0.17) THEN 'ectopic' WHEN long_ AND round(abs(rr / 2 - med), 9) < round(t2, 9) THEN 'missed'
+  WHEN short_ AND round(abs(rr + nx - med), 9) < round(t2, 9) THEN 'extra' WHEN long_ THEN 'long' WHEN short_ THEN 'short' END AS kind FROM g{k})"""
+
+
+def _repaired(k: int) -> str:
+    """``p{k + 1}``: the beats after pass ``k``."""
+    return f"""r{k} AS MATERIALIZED (SELECT *, sum(CASE WHEN kind IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id ORDER BY t) AS run, count(kind) OVER (PARTITION BY subject_id) AS n, lag(t) OVER (PARTITION BY subject_id ORDER BY t) AS b, lead(t) OVER (PARTITION BY subject_id ORDER BY t) AS a FROM c{k}),
+l{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY subject_id, run ORDER BY t) - CASE WHEN run > 0 THEN 1 ELSE 0 END AS place, n > 0 AND (left_ IS NULL OR n < left_) AS live FROM r{k}),
+u{k} AS MATERIALIZED (SELECT *, CASE WHEN live AND place % 2 = 1 AND a IS NOT NULL THEN kind END AS todo FROM l{k}),
+p{k + 1} AS MATERIALIZED (SELECT subject_id, unnest(CASE WHEN todo = 'extra' THEN [] WHEN todo = 'missed' THEN [(b + t) / 2, t] WHEN todo IS NOT NULL THEN [(b + a) / 2] ELSE [t] END) AS t, CASE WHEN live THEN n ELSE 0 END AS left_ FROM u{k})"""
+
+
+BEATS = SAMPLES + ", p0 AS MATERIALIZED (SELECT DISTINCT subject_id, t / 40 AS t, CAST(NULL AS BIGINT) AS left_ FROM s)"
+
+
+def _beats(spark, d):
+    """The users' events, forty seconds a millisecond, in the place of heart beats."""
+    return samples(spark, d).select("subject_id", (F.col("t") / 40).alias("t")).distinct()
+
+
+@query(f"WITH {BEATS}, {_classified('p0', 0)} SELECT subject_id, {r('t', 't')}, {r('rr', 'rr')}, kind FROM c0")
+def beat_artifacts(spark, d):
+    return beats.classify(_beats(spark, d), S)
+
+
+@query(f"WITH {BEATS}, " + ", ".join(f"{_classified(f'p{k}', k)}, {_repaired(k)}" for k in range(4)) + f" SELECT subject_id, {r('t', 't')} FROM p4")
+def beat_correction(spark, d):
+    return beats.correct(_beats(spark, d), S, passes=4)
 
 
 @query(f"WITH {SAMPLES} SELECT feature, count(value) AS n, {r('avg(value)', 'mean')}, {r('stddev_pop(value) / sqrt(count(value))', 'sem')} FROM s GROUP BY 1")
@@ -679,8 +736,8 @@ m AS (SELECT subject_id, beat, count(*) AS n, arg_max(idx, (value, -idx)) AS pea
 x AS (SELECT *, (peak - beat) * 1000 / 10 AS ptt FROM m WHERE peak - beat BETWEEN 1 AND 6) SELECT subject_id, beat, peak, {r('ptt', 'ptt')} FROM x WHERE subject_id IN (SELECT subject_id FROM x GROUP BY 1 HAVING count(*) > 2)""")
 def peak_transit(spark, d):
     rows = samples(spark, d)
-    beats = rows.where("feature = 'error'").select(*S, F.col("idx").alias("beat"))
-    return joins.first_peak_after(beats, rows, S, 10, 0.1, 0.6, 2)
+    marks = rows.where("feature = 'error'").select(*S, F.col("idx").alias("beat"))
+    return joins.first_peak_after(marks, rows, S, 10, 0.1, 0.6, 2)
 
 
 def _units(spark, d):
