@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources
 from tidemark.functions import dsp, stats
-from tidemark.operators import beats, detect, divergence, frames, joins, quality, rdi, segment, validate
+from tidemark.operators import beats, detect, divergence, filters, frames, joins, quality, rdi, segment, validate
 from tidemark.plans import features, regimes, sql
 from tidemark.plans.sql import r
 from tidemark.schema import CLIP_RANGES
@@ -996,6 +996,19 @@ def band_pass(spark, d):
     return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "value": dsp.zero_phase(x, fs, 3, 0.05, 1.0)}, "idx long, value double")
 
 
+SKIN, BREATH = filters.butterworth(5, 4.0, high=0.1), filters.butterworth(3, 4.0, 0.05, 1.0)
+
+
+@query(f"WITH RECURSIVE {SAMPLES}, {sql.recursive('s', SKIN, 18)} SELECT subject_id, idx, {r('value', 'filtered')} FROM rf")
+def low_pass_recursive(spark, d):
+    return filters.low_pass(_signals(spark, d), S, 4.0, 0.1)
+
+
+@query(f"WITH RECURSIVE {SAMPLES}, {sql.recursive('s', BREATH, 21)} SELECT subject_id, idx, {r('value', 'filtered')} FROM rf")
+def band_pass_recursive(spark, d):
+    return filters.band_pass(_signals(spark, d), S, 4.0, 0.05, 1.0)
+
+
 def _cleaned(kernel: int) -> str:
     """``md``: values clipped beyond four interquartile ranges and median-filtered, zeros beyond the ends."""
     half = kernel // 2
@@ -1008,6 +1021,11 @@ def eda_denoise(spark, d):
     return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "clean": dsp.denoise(x, fs, "EDA", CLIP_RANGES["EDA"])}, "idx long, clean double")
 
 
+@query(f"WITH RECURSIVE {SAMPLES}, {_cleaned(3)}, {sql.recursive('md', filters.butterworth(2, 4.0, high=1.0), 9)}, ct AS (SELECT subject_id, count(*) AS n FROM s GROUP BY 1) SELECT subject_id, idx, {r('CASE WHEN ct.n > 15 THEN rf.value ELSE md.value END', 'clean')} FROM rf JOIN md USING (subject_id, idx) JOIN ct USING (subject_id)")
+def eda_denoise_recursive(spark, d):
+    return filters.denoise(_signals(spark, d), S, "EDA", 4.0, CLIP_RANGES["EDA"])
+
+
 @query(f"WITH {SAMPLES}, {_cleaned(13)} SELECT subject_id, idx, {r('value', 'clean')} FROM md")
 def temp_denoise(spark, d):
     return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "clean": dsp.denoise(x, fs, "Temp", CLIP_RANGES["Temp"])}, "idx long, clean double")

@@ -125,3 +125,36 @@ zf AS (SELECT subject_id, n, pad, size, k, sum(y * cos(2 * pi() * ((j * k) % siz
 zg AS (SELECT *, {gain} AS gain FROM zf),
 zp AS (SELECT subject_id, idx, sum(gain * CASE WHEN k = 0 THEN re WHEN k = size // 2 THEN re * cos(pi() * (idx + pad)) ELSE 2 * (re * cos(2 * pi() * ((k * (idx + pad)) % size) / size) - im * sin(2 * pi() * ((k * (idx + pad)) % size) / size)) END) / any_value(size) AS value
   FROM zg JOIN (SELECT subject_id, idx FROM {source}) USING (subject_id) GROUP BY 1, 2)"""
+
+
+def recursive(source: str, sections, pad: int) -> str:
+    """``rf`` (subject_id, idx, value): ``source`` (subject_id, idx, value) filtered there and back, sample by sample.
+
+    The series is continued by its odd reflection; each section keeps two numbers.
+    """
+    sections = [[float(v) for v in section] for section in sections]
+    names = [f"s{k}{j}" for k in range(len(sections)) for j in (1, 2)]
+    steady = []
+    gain = 1.0
+    for b0, b1, b2, _, a1, a2 in sections:  # what a constant input of 1 leaves in each section, whose input is then the gain so far
+        y = gain * (b0 + b1 + b2) / (1 + a1 + a2)
+        steady += [f"({y - b0 * gain!r})", f"({b2 * gain - a2 * y!r})"]
+        gain = y
+
+    def sweep(name: str, rows: str) -> str:
+        inner, x = f"SELECT r.subject_id, r.p, r.x AS x0, {', '.join(f'f.{n}' for n in names)} FROM {name} f JOIN {rows} r ON r.subject_id = f.subject_id AND r.p = f.p + 1", "x0"
+        first = f"SELECT subject_id, p, x AS x0, {', '.join(f'{z} * x AS {n}' for z, n in zip(steady, names, strict=True))} FROM {rows} WHERE p = 0"
+        for k, (b0, *_) in enumerate(sections):
+            inner = f"SELECT *, {b0!r} * {x} + s{k}1 AS x{k + 1} FROM ({inner})"
+            first = f"SELECT *, {b0!r} * {x} + s{k}1 AS x{k + 1} FROM ({first})"
+            x = f"x{k + 1}"
+        state = ", ".join(
+            f"{b1!r} * x{k} - ({a1!r}) * x{k + 1} + s{k}2 AS s{k}1, {b2!r} * x{k} - ({a2!r}) * x{k + 1} AS s{k}2" for k, (_, b1, b2, _, a1, a2) in enumerate(sections)
+        )
+        return f"{name} AS (SELECT subject_id, p, {x} AS y, {state} FROM ({first}) UNION ALL SELECT subject_id, p, {x}, {state} FROM ({inner}))"
+
+    return f"""re AS (SELECT *, count(*) OVER w AS n, first_value(value) OVER (PARTITION BY subject_id ORDER BY idx) AS a, first_value(value) OVER (PARTITION BY subject_id ORDER BY idx DESC) AS z FROM {source} WINDOW w AS (PARTITION BY subject_id)),
+rp AS (SELECT *, least({pad}, n - 1) AS k FROM re),
+rx AS MATERIALIZED (SELECT subject_id, k + idx AS p, value AS x, n, k FROM rp UNION ALL SELECT subject_id, k - idx, 2 * a - value, n, k FROM rp WHERE idx BETWEEN 1 AND k UNION ALL SELECT subject_id, k + 2 * (n - 1) - idx, 2 * z - value, n, k FROM rp WHERE idx BETWEEN n - 1 - k AND n - 2),
+{sweep('rg', 'rx')}, rb AS MATERIALIZED (SELECT g.subject_id, n + 2 * k - 1 - g.p AS p, g.y AS x FROM rg g JOIN rx USING (subject_id, p)), {sweep('rh', 'rb')},
+rf AS (SELECT h.subject_id, n + 2 * k - 1 - h.p - k AS idx, y AS value FROM rh h JOIN (SELECT DISTINCT subject_id, n, k FROM rx) USING (subject_id) WHERE n + 2 * k - 1 - h.p - k BETWEEN 0 AND n - 1)"""
