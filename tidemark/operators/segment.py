@@ -1,10 +1,12 @@
-"""Kernel change points: one exact penalised dynamic programme per series.
+"""Change points: one exact penalised dynamic programme per series.
 
-The cost of a segment is sum K_ii - (1 / n) sum K_ij over its rows, from two-way
-prefix sums of the Gram matrix; the programme minimises the costs plus a penalty per
-segment.  Kernel and programme run once per series inside an Arrow group, for all
-penalties together; a series' square is the memory of one task, so long series are
-segmented on a coarser grid (``jump``) or from coarser windows.
+The programme minimises the costs of segments plus a penalty for each.  It goes over
+the ends from left to right and keeps, for each start, what the cost needs: for a
+kernel the sum of the kernel over the rows from there on, which one more row changes by
+one pass over its kernel values; for the other models running sums, of which a segment
+is a difference.  So memory grows with the length of a series, not with its square.
+Starts that can be in no best segmentation any more are pruned, and with them the
+kernel values before the first that is left.  All penalties share one sweep.
 
 A missing value in a vector is filled from its feature's neighbours, linearly, as
 ``gap_fill`` does; vectors of one series that differ in length are an error.
@@ -12,6 +14,8 @@ A missing value in a vector is filled from its feature's neighbours, linearly, a
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,75 +24,269 @@ from pyspark.sql import functions as F
 from tidemark.functions.dsp import fill_gaps
 from tidemark.operators.frames import spread
 
+#: Rows of distances that are computed at once, and distances that are sorted to find a median.
+ROWS, FEW = 128, 1 << 20
+
+
+def _distance_blocks(x: np.ndarray) -> Iterator[np.ndarray]:
+    """The squared distances of all pairs of rows, a block of rows at a time."""
+    norms = (x * x).sum(axis=1)
+    for at in range(0, len(x), ROWS):
+        own = slice(at, at + ROWS)
+        d2 = np.maximum(norms[own, None] + norms[None, at:] - 2 * (x[own] @ x[at:].T), 0)
+        yield d2[np.triu_indices(len(d2), 1, d2.shape[1])]
+
+
+def median_distance(x: np.ndarray) -> float:
+    """The median of the squared distances of all pairs of rows; 0 without pairs.
+
+    Counted by ranges of distance, ever finer around the median, until few are left to
+    be sorted: no table of pairs.
+    """
+    pairs = len(x) * (len(x) - 1) // 2
+    if not pairs:
+        return 0.0
+    wanted = np.array([(pairs - 1) // 2, pairs // 2])
+    low, high, below, inside = 0.0, 4.0 * float(((x - x.mean(axis=0)) ** 2).sum(axis=1).max()), 0, pairs
+    least = 1e-18 * high
+    while inside > FEW and high > least and high - low > 1e-11 * high:
+        counts = np.zeros(4096, "i8")
+        for d2 in _distance_blocks(x):
+            counts += np.histogram(d2, 4096, (low, high))[0]
+        edges, ahead = np.linspace(low, high, 4097), below + np.cumsum(counts)
+        first, last = np.searchsorted(ahead, wanted, side="right").clip(0, 4095)
+        if last > first:  # the two middle values stand on either side of an edge
+            parts = [(d2[d2 < edges[last]].max(initial=0.0), d2[d2 >= edges[last]].min(initial=np.inf)) for d2 in _distance_blocks(x)]
+            return float((max(p[0] for p in parts) + min(p[1] for p in parts)) / 2)
+        below = int(ahead[first - 1]) if first else below
+        low, high, inside = edges[first], edges[first + 1], int(counts[first])
+    if inside > FEW:  # equal but for rounding
+        return float(min(d2[d2 >= low].min(initial=np.inf) for d2 in _distance_blocks(x)))
+    left = np.sort(np.concatenate([d2[(d2 >= low) & (d2 <= high)] for d2 in _distance_blocks(x)]))
+    return float(left[np.clip(wanted - below, 0, len(left) - 1)].mean())
+
 
-def gram(x: np.ndarray, model: str = "rbf", gamma: float | None = None) -> np.ndarray:
-    """Kernel matrix of rows: rbf with ``gamma``, or 1 / median squared distance (1 if that is 0), or linear."""
-    products = x @ x.T
-    if model == "l2":
-        return products
-    if model != "rbf":
-        raise ValueError(f"no kernel for {model}")
-    norms = np.diag(products)
-    d2 = np.maximum(norms[:, None] + norms[None, :] - 2 * products, 0)
-    if gamma is not None:
-        return np.exp(-gamma * d2)
-    upper = d2[np.triu_indices(len(x), 1)]
-    middle = float(np.median(upper)) if len(upper) else 0.0
-    return np.exp(-d2 / (middle or 1.0))
-
-
-class Cost:
-    """Cost of every segment [s, e) of one series: ``model`` rbf (with ``gamma``, if given), l2, l1, or a function of the segment's rows."""
-
-    def __init__(self, x: np.ndarray, model: str = "rbf", gamma: float | None = None):
-        self.x, self.model = x, model
-        if model == "l1" or callable(model):
-            return
-        k = gram(x, model, gamma)
-        self.diagonal = np.concatenate([[0.0], np.cumsum(np.diag(k))])
-        self.square = np.zeros((len(x) + 1, len(x) + 1))
-        np.cumsum(np.cumsum(k, axis=0), axis=1, out=self.square[1:, 1:])
+class Kernel:
+    """Gaussian kernel: sum of k(i, i) less the mean of k(i, j) over the segment's rows; ``gamma``, or 1 / median squared distance (1 if that is 0)."""
+
+    splits = True
+
+    def __init__(self, x: np.ndarray, gamma: float | None = None):
+        self.x, self.norms = x, (x * x).sum(axis=1)
+        self.gamma = gamma if gamma is not None else 1 / (median_distance(x) or 1.0)
+        self.begin()
+
+    def begin(self) -> None:
+        self.end, self.sums = 0, np.zeros(len(self.x) + 1)  # the kernel over the rows from each start to the end
+
+    def advance(self, end: int, first: int) -> None:
+        """Go on to ``end``; starts before ``first`` are not asked for any more."""
+        while self.end < end:
+            some = slice(self.end, min(end, self.end + ROWS))
+            d2 = np.maximum(self.norms[some, None] + self.norms[None, first : some.stop] - 2 * (self.x[some] @ self.x[first : some.stop].T), 0)
+            k = np.exp(-self.gamma * d2)
+            for row, t in zip(k, range(some.start, some.stop), strict=True):
+                if t >= first:
+                    self.sums[first:t] += 2 * np.cumsum(row[: t - first][::-1])[::-1]
+                    self.sums[first : t + 1] += 1
+            self.end = some.stop
 
     def to(self, starts: np.ndarray, end: int) -> np.ndarray:
-        """Costs of [s, end) for all ``starts``."""
-        if callable(self.model):
-            return np.array([float(self.model(self.x[s:end])) for s in starts])
-        if self.model == "l1":
-            return np.array([np.abs(self.x[s:end] - np.median(self.x[s:end], axis=0)).sum() for s in starts])
-        s = np.asarray(starts)
-        block = self.square[end, end] - self.square[s, end] - self.square[end, s] + self.square[s, s]
-        return self.diagonal[end] - self.diagonal[s] - block / (end - s)
+        if end != self.end:
+            if end < self.end:
+                self.begin()
+            self.advance(end, 0)
+        return (end - starts) - self.sums[starts] / (end - starts)
+
+
+class Sums:
+    """Models whose cost follows from the number, the sum and (``squares``) the products of the segment's rows."""
+
+    splits = True
+
+    def __init__(self, rows: np.ndarray, cost: Callable, squares: bool, total: np.ndarray | None = None):
+        self.cost = cost
+        self.sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
+        self.total = np.concatenate([[0.0], np.cumsum(total if total is not None else np.zeros(len(rows)))])
+        if squares:
+            self.at = np.triu_indices(rows.shape[1])
+            self.products = np.concatenate([np.zeros((1, len(self.at[0]))), np.cumsum(rows[:, self.at[0]] * rows[:, self.at[1]], axis=0)])
+        self.squares = squares
+
+    def begin(self) -> None:
+        pass
+
+    def advance(self, end: int, first: int) -> None:
+        pass
+
+    def to(self, starts: np.ndarray, end: int) -> np.ndarray:
+        n, s = (end - starts).astype(float), self.sums[end] - self.sums[starts]
+        if not self.squares:
+            return self.cost(n, s, self.total[end] - self.total[starts])
+        full = np.zeros((len(starts), s.shape[1], s.shape[1]))
+        full[:, self.at[0], self.at[1]] = full[:, self.at[1], self.at[0]] = self.products[end] - self.products[starts]
+        return self.cost(n, s, full)
+
+
+class Rows:
+    """A cost that looks at the segment's rows themselves."""
+
+    def __init__(self, x: np.ndarray, cost: Callable[[np.ndarray], float], splits: bool):
+        self.x, self.cost, self.splits = x, cost, splits
+
+    def begin(self) -> None:
+        pass
+
+    def advance(self, end: int, first: int) -> None:
+        pass
+
+    def to(self, starts: np.ndarray, end: int) -> np.ndarray:
+        return np.array([float(self.cost(self.x[s:end])) for s in starts])
+
+
+def _residual(design: np.ndarray, cross: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of regressions, from the products of regressors, with the target and of the target."""
+    solved = np.linalg.pinv(design, 1e-10, hermitian=True) @ cross[:, :, None]
+    return np.maximum(target - (cross * solved[:, :, 0]).sum(axis=1), 0)
+
+
+def _centred(x: np.ndarray) -> np.ndarray:
+    return x - x.mean(axis=0) if len(x) else x
 
 
-def best_cuts(cost: Cost, n: int, penalty: float, min_size: int = 10, jump: int = 1) -> list[int]:
-    """Inner boundaries of the cheapest segmentation; segments have ``min_size`` rows at least, cuts lie on multiples of ``jump``.
+def _spread(rows: np.ndarray) -> Sums:
+    """Squared distances from the segment's mean."""
+    return Sums(rows, lambda n, s, t: np.maximum(t - (s * s).sum(axis=1) / n, 0), False, (rows * rows).sum(axis=1))
+
+
+def _normal(x: np.ndarray, epsilon: float = 1e-6) -> Sums:
+    """Rows times the log determinant of the segment's covariance, to which ``epsilon`` is added on the diagonal."""
+    own = np.eye(x.shape[1]) * epsilon
+
+    def cost(n, s, p):
+        mean = s / n[:, None]
+        return n * np.linalg.slogdet(p / n[:, None, None] - mean[:, :, None] * mean[:, None, :] + own)[1]
+
+    return Sums(_centred(x), cost, True)
+
+
+def _linear(x: np.ndarray) -> Sums:
+    """Residual of the first column's regression on the others."""
+    return Sums(x, lambda n, s, p: _residual(p[:, 1:, 1:], p[:, 1:, 0], p[:, 0, 0]), True)
+
+
+def _autoregressive(x: np.ndarray, order: int = 4) -> Sums:
+    """Residual of the first column's regression on its ``order`` values before and a constant, over the rows that have these in the segment."""
+    y = _centred(x[:, 0])
+    rows = np.zeros((len(y), order + 2))
+    rows[:, 0], rows[:, -1] = y, 1.0
+    for k in range(1, order + 1):
+        rows[k:, k] = y[:-k]
+    sums = Sums(rows, lambda n, s, p: _residual(p[:, 1:, 1:], p[:, 1:, 0], p[:, 0, 0]), True)
+    whole = sums.to
+    # The first rows of a segment have no values before them in it.
+    sums.to = lambda starts, end: np.where(end - starts > order, whole(np.minimum(starts + order, end - 1), end), 0.0)
+    return sums
+
+
+def _rank(x: np.ndarray) -> Sums:
+    """Less the length times the squared mean of the rows' ranks, in units of the ranks' covariance."""
+    ordered = np.sort(x, axis=0)
+    ranks = np.stack([(np.searchsorted(o, c, "left") + np.searchsorted(o, c, "right") + 1) / 2 for o, c in zip(ordered.T, x.T, strict=True)], axis=1) if len(x) else x
+    ranks = _centred(ranks)
+    inverse = np.linalg.pinv(np.atleast_2d(ranks.T @ ranks / max(1, len(x) - 1)), hermitian=True)
+    return Sums(ranks, lambda n, s, t: -np.einsum("ij,jk,ik->i", s, inverse, s) / n, False)
+
+
+def _mahalanobis(x: np.ndarray, metric: np.ndarray | None = None) -> Sums:
+    """Squared distances from the segment's mean in ``metric``, or in the inverse covariance of all rows."""
+    own = _centred(x)
+    metric = np.linalg.pinv(np.atleast_2d(own.T @ own / max(1, len(x) - 1)), hermitian=True) if metric is None else np.asarray(metric, float)
+    values, vectors = np.linalg.eigh(metric)
+    return _spread(own @ vectors * np.sqrt(np.maximum(values, 0)))
+
+
+def _cosine(x: np.ndarray) -> Sums:
+    """Squared distances from the segment's mean of rows of length one (a row of zeros stays)."""
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return _spread(x / np.where(length > 0, length, 1.0))
+
+
+#: Cost models by name, each made of a series' rows and the model's parameters.
+MODELS: dict[str, Callable] = {
+    "rbf": Kernel, "l2": lambda x: _spread(_centred(x)), "l1": lambda x: Rows(x, lambda rows: np.abs(rows - np.median(rows, axis=0)).sum(), True),
+    "normal": _normal, "linear": _linear, "ar": _autoregressive, "rank": _rank, "mahalanobis": _mahalanobis, "cosine": _cosine,
+}
+
+
+def Cost(x: np.ndarray, model: str | Callable = "rbf", gamma: float | None = None, **parameters):  # noqa: N802
+    """Costs of the segments [s, e) of one series: a name of ``MODELS`` with its parameters, or a function of the segment's rows."""
+    if callable(model):
+        return Rows(x, model, False)
+    if model not in MODELS:
+        raise ValueError(f"no kernel or cost model is called {model}; there are {', '.join(MODELS)}")
+    return MODELS[model](x, **({"gamma": gamma} if gamma is not None else {}), **parameters)
+
+
+class _Programme:
+    """The cheapest segmentations up to each end, for one penalty."""
+
+    def __init__(self, n: int, penalty: float, min_size: int):
+        self.penalty, self.min_size = penalty, min_size
+        self.total, self.before = np.full(n + 1, np.inf), np.zeros(n + 1, "i8")
+        self.total[0] = 0.0
+        self.starts, self.until = np.zeros(1, "i8"), np.array([n + 1])  # starts in play, and the end from which each is out
+
+    def first(self, end: int) -> int:
+        return int(self.starts[0]) if len(self.starts) else end
+
+    def step(self, cost, end: int, final: bool) -> None:
+        keep = self.until > end
+        self.starts, self.until = self.starts[keep], self.until[keep]
+        able = int(np.searchsorted(self.starts, end - self.min_size, side="right"))
+        starts = self.starts[:able]
+        if len(starts):
+            values = self.total[starts] + cost.to(starts, end)
+            best = int(np.flatnonzero(values <= values.min() + 1e-9)[0])
+            self.total[end], self.before[end] = values[best] + self.penalty, starts[best]
+            if cost.splits and not final:
+                # From ``end`` on, a cut here does better than a segment from such a start can; it may stand ``min_size`` later.
+                beaten = values > self.total[end] + 1e-6
+                self.until[:able][beaten] = np.minimum(self.until[:able][beaten], end + self.min_size)
+            self.starts, self.until = np.append(self.starts, end), np.append(self.until, len(self.total))
+
+    def cuts(self, n: int) -> list[int]:
+        found, at = [], int(self.before[n])
+        while at > 0:
+            found.append(at)
+            at = int(self.before[at])
+        return found[::-1]
+
+
+def segmentations(cost, n: int, penalties: list[float], min_size: int = 10, jump: int = 1) -> list[list[int]]:
+    """For each penalty the inner boundaries of the cheapest segmentation; segments have ``min_size`` rows at least, cuts lie on multiples of ``jump``.
 
     Of equal totals (to 1e-9) the one whose last segment starts earliest is taken.  A
     series too short for two segments has no cut.
     """
-    ends = [e for e in range(0, n, jump) if e >= min_size] + [n]
-    total, before = {0: 0.0}, {}
-    for end in ends:
-        starts = np.array([s for s in total if end - s >= min_size], int)
-        if not len(starts):
-            if end == n and 0 in total:
-                before[n] = 0
-            continue
-        values = np.array([total[s] for s in starts]) + cost.to(starts, end) + penalty
-        best = int(np.flatnonzero(values <= values.min() + 1e-9)[0])
-        total[end], before[end] = float(values[best]), int(starts[best])
-    cuts, at = [], n
-    while at > 0:
-        at = before.get(at, 0)
-        if at > 0:
-            cuts.append(at)
-    return cuts[::-1]
-
-
-def boundaries(vectors: DataFrame, keys: list[str], penalties: list[float] | tuple[float, ...] = (1.0,), min_size: int = 10, jump: int = 1, model: str = "rbf", gamma: float | None = None) -> DataFrame:
+    programmes = [_Programme(n, p, min_size) for p in penalties]
+    cost.begin()
+    for end in [e for e in range(0, n, jump) if e >= min_size] + ([n] if n else []):
+        cost.advance(end, min(p.first(end) for p in programmes))
+        for p in programmes:
+            p.step(cost, end, end == n)
+    return [p.cuts(n) for p in programmes]
+
+
+def best_cuts(cost, n: int, penalty: float, min_size: int = 10, jump: int = 1) -> list[int]:
+    """``segmentations`` for one penalty."""
+    return segmentations(cost, n, [penalty], min_size, jump)[0]
+
+
+def boundaries(vectors: DataFrame, keys: list[str], penalties: list[float] | tuple[float, ...] = (1.0,), min_size: int = 10, jump: int = 1, model: str | Callable = "rbf", gamma: float | None = None, **parameters) -> DataFrame:
     """keys, penalty and cp: the change points of every series of ``vectors`` (keys, w, x array<double>), for every penalty.
 
-    ``model`` and ``gamma`` shape the cost as ``Cost`` says.
+    ``model``, ``gamma`` and ``parameters`` shape the cost as ``Cost`` says.
     """
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     penalties = [float(p) for p in penalties]
@@ -100,8 +298,8 @@ def boundaries(vectors: DataFrame, keys: list[str], penalties: list[float] | tup
             raise ValueError("vectors of one series differ in length")
         x = np.array(rows, float).reshape(len(rows), -1)
         x = np.column_stack([fill_gaps(c) for c in x.T]) if x.size else x
-        cost = Cost(x, model, gamma)
-        cuts = [(p, c) for p in penalties for c in best_cuts(cost, len(x), p, min_size, jump)]
+        found = segmentations(Cost(x, model, gamma, **parameters), len(x), penalties, min_size, jump)
+        cuts = [(p, c) for p, own in zip(penalties, found, strict=True) for c in own]
         own = {k: pa.array([table.column(k)[0].as_py()] * len(cuts), table.schema.field(k).type) for k in keys}
         return pa.table({**own, "penalty": pa.array([c[0] for c in cuts], pa.float64()), "cp": pa.array([c[1] for c in cuts], pa.int32())})
 

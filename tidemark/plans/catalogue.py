@@ -584,6 +584,37 @@ def segments_by_cost_model(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Model, its SQL, penalty, features (all without) and parameters.
+REGISTRY = (
+    ("normal", "normal", 3.0, ["click"], {}), ("linear", "linear", 0.2, ["click", "view"], {}), ("ar", "ar", 0.1, ["click"], {"order": 1}),
+    ("rank", "rank", 2.0, ["click"], {}), ("cosine", "cosine", 0.5, None, {}), ("mahalanobis", "weighted", 1.0, None, {"metric": "weights"}),
+)
+
+
+@query(
+    f"""WITH RECURSIVE {VEC}, dq AS (SELECT a.subject_id, a.w AS i, b.w AS j, list_sum(list_transform(list_zip(a.o, b.o), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS unit, list_sum(list_transform(list_zip(a.x, b.x, range(1, len(a.x) + 1)), lambda z: z[3] * (z[1] - z[2]) * (z[1] - z[2]))) AS heavy
+  FROM (SELECT *, list_transform(x, lambda y: y / CASE WHEN list_sum(list_transform(x, lambda q: q * q)) > 0 THEN sqrt(list_sum(list_transform(x, lambda q: q * q))) ELSE 1 END) AS o FROM v) a
+  JOIN (SELECT *, list_transform(x, lambda y: y / CASE WHEN list_sum(list_transform(x, lambda q: q * q)) > 0 THEN sqrt(list_sum(list_transform(x, lambda q: q * q))) ELSE 1 END) AS o FROM v) b ON a.subject_id = b.subject_id AND a.w < b.w),
+ka AS (SELECT subject_id, w, norm AS a, rank() OVER (PARTITION BY subject_id ORDER BY norm) + (count(*) OVER (PARTITION BY subject_id, norm) - 1) / 2 AS k FROM n WHERE feature = 'click'),
+ab AS (SELECT ka.subject_id, ka.w, a, b, lag(a) OVER (PARTITION BY ka.subject_id ORDER BY ka.w) AS p, (k - avg(k) OVER (PARTITION BY ka.subject_id)) / CASE WHEN var_samp(k) OVER (PARTITION BY ka.subject_id) > 0 THEN sqrt(var_samp(k) OVER (PARTITION BY ka.subject_id)) ELSE 1 END AS k
+  FROM ka JOIN (SELECT subject_id, w, norm AS b FROM n WHERE feature = 'view') USING (subject_id, w)), """
+    + ", ".join(sql.cuts(m, [p], 4, 1, c) for m, c, p, *_ in REGISTRY)
+    + " "
+    + " UNION ALL ".join(f"SELECT subject_id, {r('penalty', 'penalty')}, CAST(cp AS BIGINT) AS cp, '{m}' AS model FROM bt{m} WHERE cp < days" for m, *_ in REGISTRY)
+)
+def segments_by_registry(spark, d):
+    """The models beside the kernel, l2 and l1, each with its parameters."""
+    rows, out = normalised(spark, d), None
+    kinds = facts(spark, d)[2]
+    for model, _, penalty, chosen, parameters in REGISTRY:
+        own = features.vectors(rows.where(F.col("feature").isin(chosen)) if chosen else rows, S)
+        if "metric" in parameters:
+            parameters = {"metric": [[float(i + 1) if i == j else 0.0 for j in range(len(kinds))] for i in range(len(kinds))]}
+        part = segment.boundaries(own, S, [penalty], 4, model=model, **parameters).withColumn("model", F.lit(model))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"WITH RECURSIVE {VEC}, gm AS (SELECT DISTINCT subject_id, 0.8 AS gamma FROM u), {sql.cuts('', [0.5], 3)} SELECT subject_id, {r('penalty', 'penalty')}, CAST(cp AS BIGINT) AS cp FROM bt WHERE cp < days")
 def segments_by_width(spark, d):
     return segment.boundaries(features.vectors(normalised(spark, d), S), S, [0.5], 3, gamma=0.8)

@@ -14,11 +14,22 @@ def r(expression: str, name: str) -> str:
 
 
 def cuts(tag: str, penalties: list[float], min_size: int, jump: int = 1, cost: str = "rbf") -> str:
-    """``bt<tag>`` (subject_id, penalty, cp, days): the cheapest segmentation's inner boundaries, cp < days.  Costs: rbf, l2 or l1."""
+    """``bt<tag>`` (subject_id, penalty, cp, days): the cheapest segmentation's inner boundaries, cp < days.
+
+    Costs: rbf, l2 or l1 of all features; cosine and weighted of ``dq`` (distances of rows of
+    length one, and weighted ones); normal, linear, ar and rank of ``ab`` (two features
+    by day, the first one's value of the day before, and its centred rank over its variance's root).
+    """
     allowed = f"e0 - s0 >= {min_size} AND s0 % {jump} = 0 AND (e0 % {jump} = 0 OR e0 = days)"
     sums = {
         "rbf": "SELECT d2.subject_id, s0, e0, (e0 - s0) - ((e0 - s0) + 2 * sum(exp(-gamma * d2))) / (e0 - s0) AS c FROM {iv} JOIN d2 ON i >= s0 AND j < e0 JOIN gm USING (subject_id) GROUP BY 1, 2, 3",
         "l2": "SELECT d2.subject_id, s0, e0, sum(d2) / (e0 - s0) AS c FROM {iv} JOIN d2 ON i >= s0 AND j < e0 GROUP BY 1, 2, 3",
+        "cosine": "SELECT subject_id, s0, e0, sum(unit) / (e0 - s0) AS c FROM {iv} JOIN dq ON i >= s0 AND j < e0 GROUP BY 1, 2, 3",
+        "weighted": "SELECT subject_id, s0, e0, sum(heavy) / (e0 - s0) AS c FROM {iv} JOIN dq ON i >= s0 AND j < e0 GROUP BY 1, 2, 3",
+        "normal": "SELECT subject_id, s0, e0, count(*) * ln(var_pop(a) + 1e-6) AS c FROM {iv} JOIN ab ON w >= s0 AND w < e0 GROUP BY 1, 2, 3",
+        "linear": "SELECT subject_id, s0, e0, greatest(sum(a * a) - CASE WHEN sum(b * b) > 0 THEN power(sum(a * b), 2) / sum(b * b) ELSE 0 END, 0) AS c FROM {iv} JOIN ab ON w >= s0 AND w < e0 GROUP BY 1, 2, 3",
+        "ar": "SELECT subject_id, s0, e0, greatest(count(*) * (var_pop(a) - CASE WHEN var_pop(p) > 1e-12 THEN power(covar_pop(a, p), 2) / var_pop(p) ELSE 0 END), 0) AS c FROM {iv} JOIN ab ON w > s0 AND w < e0 GROUP BY 1, 2, 3",
+        "rank": "SELECT subject_id, s0, e0, -power(sum(k), 2) / count(*) AS c FROM {iv} JOIN ab ON w >= s0 AND w < e0 GROUP BY 1, 2, 3",
         "l1": "SELECT subject_id, s0, e0, sum(list_sum(list_transform(l, lambda y: abs(y - mid)))) AS c FROM (SELECT subject_id, s0, e0, l[s0 + 1 : e0] AS l, list_aggregate(l[s0 + 1 : e0], 'median') AS mid FROM {iv} CROSS JOIN (SELECT subject_id, feature, list(norm ORDER BY w) AS l FROM n GROUP BY 1, 2)) GROUP BY 1, 2, 3",
     }[cost].format(iv=f"iv{tag}")
     return f"""iv{tag} AS (SELECT s0, e0 FROM (SELECT unnest(range(0, days)) AS s0, days FROM dy) CROSS JOIN (SELECT unnest(range(1, days + 1)) AS e0 FROM dy) WHERE {allowed}),
