@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources
 from tidemark.functions import dsp, stats
-from tidemark.operators import beats, detect, divergence, filters, frames, joins, quality, rdi, segment, validate
+from tidemark.operators import beats, detect, divergence, filters, frames, joins, quality, rdi, segment, skin, validate
 from tidemark.plans import features, regimes, sql
 from tidemark.plans.sql import r
 from tidemark.schema import CLIP_RANGES
@@ -1097,6 +1097,12 @@ def drop_sparse(spark, d):
     return frames.drop_sparse(rows, SF).select(*SF, "idx")
 
 
+@query()
+def skin_decomposition(spark, d):
+    """The convex split of the users' series, which SQL cannot express; tests hold it against the conditions of a minimum."""
+    return skin.decompose(_signals(spark, d).withColumn("value", F.col("value") / 100), S, 4.0)
+
+
 # ---- sources: each query writes the files it reads
 
 
