@@ -28,6 +28,13 @@ from tidemark.llm.queries import op8_html_text
         ("<div id='site-header'>h</div><p class='search-results'>found</p><div class='ad-300x250 box'>ad</div><div class='adbox'>b</div><h2 class='header'>t</h2>", "found\nb\nt"),
         ("<article><div class='related links'>r</div><div class='Ad'>a</div><section class='share-buttons'>s</section><p class='alert'>kept</p></article>", "kept"),
         ("<ul><li><a>one of the long links that say something</a><li><a>b</a><li><a>c</a></ul>", "one of the long links that say something\nb\nc"), ("<ol><li>x <a>b</a><li><a>c</a><li><a>d</a></ol>", "x b\nc\nd"), ("<p>one</p><p></p><p> &#32; </p><p>two</p>", "one\ntwo"),
+        ("<article><p class='comment'>The comment of the court was short.</p><h2 id='related'>Related work</h2><p id='cookie'>How to bake a cookie.</p><p class='share'>The share of apples rose.</p></article>", "The comment of the court was short.\nRelated work\nHow to bake a cookie.\nThe share of apples rose."),
+        ("<article><p class='comment'>Only this.</p></article>", "Only this."), ("<article><div class='comment'><p>All of it, in a container.</p></div></article>", "All of it, in a container."),
+        ("<article><p>a</p><div class='cookie-notice'>We use cookies</div><div class=notice>We use cookies</div><div id=gdpr>g</div><section class='consent-banner'>c</section><div class='subscribe'>s</div></article>", "a"),
+        ("<article><p>a</p><div class='user-comments'>u</div><ul class='reader-comments'><li>r</ul><section id='comments-section'>c</section><div class='comment-thread'>t</div><div id='disqus_thread'>d</div><ol class='comment-list'><li>x</ol></article>", "a"),
+        ("<p>Ingredients:</p><ul><li><a>flour</a><li><a>sugar</a><li><a>eggs</a></ul><p>Bake.</p>", "Ingredients:\nflour\nsugar\neggs\nBake."),
+        ("<article><blockquote class='social'>quoted</blockquote><li class='nav'>point</li><span class='ad'>in line</span><td id='menu'>cell</td></article>", "quoted\npoint\nin line\ncell"),
+        ("<article><div class='ad'>only an advert</div><nav>n</nav></article>", ""), ("<article><div class='notice board'><p>x</p></div><p>y</p></article>", "y"),
     ],
 )
 def test_pages(page, text):

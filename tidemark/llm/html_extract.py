@@ -6,7 +6,10 @@ comment are left out, and where the page names its main part or article, only th
 counts (the main part whole, where it holds the article).  A class or id marks an
 element if it is a mark as a whole, or made of marks and words of place and shape:
 ``cookie-notice`` and ``site-header`` do, ``notice-period`` and ``header-image`` do
-not.  Inside the named part only the few marks of what is set into articles count.
+not.  Inside the named part a class or id counts on containers only (a ``div``, a
+``section``, a list), since paragraphs and headings there are the article's, whatever
+they are called; and if nothing would be left of a named part, only those classes and
+ids in it count that mark adverts.
 
 Subtrees are compared across the site before these rules: every element's
 subtree is hashed, and Spark counts per host in how many pages with different main
@@ -27,8 +30,8 @@ block becomes one space, and non-empty blocks are joined in page order by a newl
 Defined results: null and empty pages have an empty text; text outside any tag is
 content; pages without a host share the empty host; repeated rows get the same text
 each; unclosed elements end with the page; a list of three or more links of four
-words at most, and nothing else, is a menu on pages that name no part; of pages with
-equal main texts the one with the least subtree hashes is counted; an empty table
+words at most, and nothing else, is a menu on pages that name no part, if no text
+comes before it; of pages with equal main texts the one with the least subtree hashes is counted; an empty table
 gives an empty result.
 """
 
@@ -72,10 +75,14 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup comment comments commentlist disqus respond share sharing social related recommended pagination pager login search skip".split()
 )
-#: Those of them that also count inside a named article.
-_ARTICLE_MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsored promo nav navbar sidebar breadcrumbs cookie newsletter comment comments commentlist disqus share sharing social related recommended".split())
+#: Those of them that also count on the containers of a named article: all but what an article's own parts are called.
+_ARTICLE_MARKS = _MARKS - frozenset("header masthead search skip login".split())
+#: Those that an article's own text is never called.
+_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion disqus gdpr".split())
+#: What an article is built of and what can hold something that is set into it.
+_CONTAINERS = frozenset("div section aside ul ol dl table figure fieldset details article center".split())
 #: Words of place and shape, which change nothing about what a mark says.
-_SHAPES = frozenset("site page top bottom left right main inner outer primary secondary global fixed sticky mobile desktop wrap wrapper container bar box block banner list item items links link buttons button widget widgets area slot unit panel js".split())
+_SHAPES = frozenset("site page user users reader readers visitor visitors section sections thread threads body text content count form feed message top bottom left right main inner outer primary secondary global fixed sticky mobile desktop wrap wrapper container bar box block banner list item items links link buttons button widget widgets area slot unit panel js".split())
 
 
 #: Tells the hash of a subtree outside a named article from that of the same one inside.
@@ -83,10 +90,11 @@ OUTER = 0x9E3779B97F4A7C15
 
 
 class Node:
-    __slots__ = ("tag", "children", "out", "hash", "main", "words")
+    __slots__ = ("tag", "children", "out", "named", "hash", "main", "words")
 
-    def __init__(self, tag: str, out: bool = False, main: bool = False):
+    def __init__(self, tag: str, out: bool = False, main: bool = False, named: bool = False):
         self.tag, self.children, self.out, self.main, self.hash, self.words = tag, [], out, main, 0, False
+        self.named = named  # left out by a class or id inside a named part
 
 
 def _marked(names: str, marks: frozenset[str]) -> bool:
@@ -101,7 +109,7 @@ def _marked(names: str, marks: frozenset[str]) -> bool:
 
 
 def _node(tag: str, attributes: str, inside: bool) -> Node:
-    out, main = tag in _LEFT_OUT or (tag == "header" and not inside), tag == "main"
+    out, main, named = tag in _LEFT_OUT or (tag == "header" and not inside), tag == "main", False
     if attributes and not out:
         found = {}
         for m in _ATTRIBUTE.finditer(attributes):
@@ -109,10 +117,13 @@ def _node(tag: str, attributes: str, inside: bool) -> Node:
         role = found.get("role", "").lower()
         main = main or role == "main"
         if tag not in ("html", "body", "main"):
-            marks = _ARTICLE_MARKS if inside or main or tag == "article" else frozenset() if tag in _HEADING else _MARKS
+            within = inside or main or tag == "article"
+            marks = (_ARTICLE_MARKS if tag in _CONTAINERS else frozenset()) if within else frozenset() if tag in _HEADING else _MARKS
             names = f"{found.get('class', '')} {found.get('id', '')}"
-            out = _marked(names, marks) or role in _ROLES or "hidden" in found or "display:none" in found.get("style", "").lower().replace(" ", "")
-    return Node(tag, out, main)
+            marked = _marked(names, marks)
+            hidden = role in _ROLES or "hidden" in found or "display:none" in found.get("style", "").lower().replace(" ", "")
+            out, named = marked or hidden, marked and not hidden and inside and not _marked(names, _ADVERTS)
+    return Node(tag, out, main, named)
 
 
 def parse(page: str) -> Node:
@@ -227,16 +238,18 @@ def _is_link_list(node: Node) -> bool:
     return links >= 3
 
 
-def walk(roots: list[Node], named: bool, template=frozenset()) -> Iterator[Node | str | None]:
-    """Elements and texts of the content in page order; None where a block begins or ends."""
+def walk(roots: list[Node], named: bool, template=frozenset(), by_name: bool = True) -> Iterator[Node | str | None]:
+    """Elements and texts of the content in page order; None where a block begins or ends.  Without ``by_name``, classes and ids inside a named part do not count."""
+    begun = False
     for root in roots:
         todo: list = [None, root, None]
         while todo:
             item = todo.pop()
             if not isinstance(item, Node):
+                begun = begun or (item is not None and not item.isspace())
                 yield item
                 continue
-            if item.out or (item.hash if named else item.hash ^ OUTER) in template or (not named and item.tag in ("ul", "ol") and _is_link_list(item)):
+            if (item.out and (by_name or not item.named)) or (item.hash if named else item.hash ^ OUTER) in template or (not named and not begun and item.tag in ("ul", "ol") and _is_link_list(item)):
                 continue
             if item.tag in ("br", "img"):
                 yield " "
@@ -248,8 +261,12 @@ def walk(roots: list[Node], named: bool, template=frozenset()) -> Iterator[Node
 
 def main_text(page: str | None, template=frozenset()) -> str:
     roots, named = content_roots(parse(page)) if page else ([], True)
+    return _blocks(roots, named, template, True) or (_blocks(roots, named, template, False) if named else "")
+
+
+def _blocks(roots: list[Node], named: bool, template, by_name: bool) -> str:
     blocks, buffer = [], []
-    for item in [*walk(roots, named, template), None]:
+    for item in [*walk(roots, named, template, by_name), None]:
         if item is None:
             if buffer:
                 blocks.append(" ".join(entities.unescape("".join(buffer)).split()))
