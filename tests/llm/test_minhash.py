@@ -112,6 +112,35 @@ def test_a_hot_bucket_of_unlike_documents_is_refined(spark, monkeypatch):
     assert sorted((tuple(r) for r in op.near_duplicates(df, size=3, percent=80).collect()), key=str) == brute(docs, 3, 80)
 
 
+def test_a_pair_that_shares_one_hot_bucket_only_is_found(spark):
+    """Of documents that agree in most of their shingles, but link to none, two are alike; they meet in a single bucket, which is hot."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(70)]
+    texts = [" ".join([*common, *(f"o{i}w{k}" for k in range(30))]) for i in range(40)]
+    texts[31] = " ".join([*common, *(f"o5w{k}" for k in range(24)), *(f"x{k}" for k in range(6))])
+    order = rng.sample(range(40), 40)
+    name = lambda i: bytes([order[i]]) * 16
+    sets = op.shingle_sets(texts, 3)
+    marks = op.signatures(sets).astype("u1")
+    nodes = spark.createDataFrame([(name(i), bytearray(marks[i].tobytes())) for i in range(40)], "node binary, sketch binary")
+    packed = spark.createDataFrame([(name(i), bytearray(zstandard.compress(t.encode()))) for i, t in enumerate(texts)], "node binary, packed binary")
+    members = spark.createDataFrame([(7, 11, name(i), len(sets[i])) for i in range(40)], "band long, pos int, node binary, n_shingles long")
+    roots = spark.createDataFrame([(name(3), name(2))], "node binary, root binary")
+    for hot in (4, 38, 1000):
+        found = {frozenset((bytes(r.a), bytes(r.b))) for r in op._hidden_links(members, roots, nodes, packed, 3, 80, hot).collect()}
+        assert found == {frozenset((name(5), name(31)))}
+
+
+def test_rare_shingles_first(spark, monkeypatch):
+    monkeypatch.setattr(op, "RARE", 600)
+    texts = [" ".join([*(f"c{k}" for k in range(90)), *(f"o{i}w{k}" for k in range(30))]) for i in range(20)]
+    sets = op.shingle_sets(texts, 1)
+    nodes = spark.createDataFrame([(bytes([i]) * 16, bytes([i]) * 16, 120, bytearray(zstandard.compress(t.encode()))) for i, t in enumerate(texts)], "node binary, root binary, n_shingles long, packed binary")
+    got = op._by_rare_shingles(nodes, 1, 80).toPandas()
+    shared = set(sets[0].view("i8")) & set(sets[1].view("i8"))
+    assert len(shared) == 90 and (got.groupby("node").size() == 25).all() and not shared & set(got.token)
+
+
 def test_star_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(35)] + [(200, 200 + k) for k in range(1, 40)]

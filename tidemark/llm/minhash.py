@@ -13,11 +13,12 @@
    sets, each pair in the first such bucket that it shares; the components are
    completed with the links found.  Pairs inside a component need no look: they are
    connected already, so a bucket's work is that of its members outside its largest
-   component.  A bucket with over ``HOT`` of those is refined first: pairs are looked
-   for where they share a second such bucket too, within ``NEAR`` bands, which tells
-   chance from likeness (of pairs at 0.8 that share hot buckets only, 1.0e-5 have no
-   two of them that near).  What is still large after that is compared whole, in blocks
-   of bounded size.
+   component.  A bucket with over ``HOT`` of those is not compared as such: its members
+   are grouped anew by their rarest shingles.  Two sets at the threshold share one of
+   the n - ceil(percent * n / 100) + 1 shingles that come first in any order of all
+   shingles, if each gives that many of its own; with rare shingles first, unlike
+   documents hardly ever meet.  This is exact, and so are the blocks of bounded size in
+   which groups are compared.
 5. Components come from alternating large-star and small-star steps, each written to
    the shared folder.
 
@@ -48,7 +49,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import batches_of, no_collection, split_hot_join, written
 
-MINIMA, MARGIN, HOT, NEAR = 128, 6.5, 512, 8
+MINIMA, MARGIN, HOT = 128, 6.5, 512
+#: Of all shingles of hot nodes, those with over one part in so many count as frequent; there are fewer of them than that.
+RARE = 100_000
 #: Shuffle partitions that share a file in tables of keys and links.
 FEWER = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -185,7 +188,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, per_tas
         import zstandard
 
         last, own, mine = None, None, None
-        for batch in batches:
+        for batch in batches_of(batches, "packed", 256 << 10, 256):
             found = []
             a_, t_, b_, packed = (c.to_pylist() for c in batch.columns)
             texts = [zstandard.decompress(p).decode() for p in packed]
@@ -243,36 +246,65 @@ def _opened(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return split_hot_join(rows, groups, keys, "n").withColumn("apart", F.col("root") != F.col("largest")).drop("largest")
 
 
-def near_bands(bands: int) -> list[tuple[int, int]]:
-    """Pairs of bands at most NEAR places from each other, round the end."""
-    return [(a, b) for a in range(bands) for b in range(a + 1, bands) if b - a <= NEAR or bands - (b - a) <= NEAR]
+def _by_rare_shingles(nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """token, node, root and n_shingles: the first shingles of each node of ``nodes`` (node, root, n_shingles, packed text), frequent ones last."""
+    import zstandard
+
+    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        for batch in batches_of(batches, "packed", 256 << 10, 256):
+            yield batch, shingle_sets([zstandard.decompress(p).decode() for p in batch.column(batch.schema.get_field_index("packed")).to_pylist()], size)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in sets_of(batches):
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view("i8")), pa.array(n)], names=["token", "n"])
+
+    counts = nodes.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    total = nodes.agg(F.sum("n_shingles")).head()[0] or 0
+    frequent = counts.where(F.col("n") > total / RARE).collect()  # fewer than RARE
+    tokens = np.array([r["token"] for r in frequent], "i8").view("u8")
+    order = np.argsort(tokens)
+    packed = nodes.sparkSession.sparkContext.broadcast((tokens[order], np.array([r["n"] for r in frequent], "i8")[order]))
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = packed.value
+        for batch, sets in sets_of(batches):
+            taken = []
+            for s in sets:
+                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                weight = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s), "i8")
+                taken.append(s[np.lexsort((s, weight))][: len(s) - -(-percent * len(s) // 100) + 1])
+            rows = pa.array(np.repeat(np.arange(len(sets)), [len(t) for t in taken]))
+            columns = [batch.column(batch.schema.get_field_index(c)).take(rows) for c in ("node", "root", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view("i8")), *columns], names=["token", "node", "root", "n_shingles"])
+
+    return nodes.mapInArrow(first, "token long, node binary, root binary, n_shingles long")
 
 
 def _hidden_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, hot: int = HOT, block_shingles: int = 1 << 21) -> DataFrame:
     """(a, b) with similar full sets from buckets whose members lie in different components.
 
     ``members``: band, pos, node and n_shingles; ``nodes``: node and sketch.  A group is
-    an open bucket (g1) or, of those with over ``hot`` members outside their largest
-    component, two of them that share nodes (g1, g2).  Those members, and the others, are
-    dealt into blocks of bounded number and text; each pair of blocks goes to one task,
+    an open bucket (g1; g2 is 0) or, of the nodes of those with over ``hot`` members
+    outside their largest component, one that shares a rare shingle (g1; g2 is 1).  Those
+    members, and the others, are dealt into blocks of bounded number and text; each pair of blocks goes to one task,
     but none of two blocks of the largest component.  There, pairs of one component are
-    passed over, also when a link just found has joined the two, and so are pairs that
-    meet in an earlier group and pairs with unlike signatures; the rest are settled by
-    their full sets.
+    passed over, also when a link just found has joined the two, and so are pairs with
+    unlike signatures and pairs that meet in a bucket that is compared, but for the first
+    of those; the rest are settled by their full sets.
     """
     spark = members.sparkSession
     parts, bands = int(spark.conf.get("spark.sql.shuffle.partitions")), banding(percent)[0]
     placed = members.join(roots, "node", "left").select("band", "pos", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "bucket-members")
     left = written(_opened(placed, ["band"], "bucket-open").withColumn("hot", F.col("m") > hot), "bucket-left")
-    groups = left.where(~F.col("hot")).select(F.col("band").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("pos").alias("p1"), F.lit(-1).alias("p2"), "node", "root", "n", "weight", "m", "apart")
+    groups = left.where(~F.col("hot")).select(F.col("band").alias("g1"), F.lit(0).alias("g2"), F.col("pos").alias("p1"), "node", "root", "n", "weight", "m", "apart")
 
-    held = left.groupBy("node").agg(F.first("root").alias("root"), F.first("n_shingles").alias("n_shingles"), F.sort_array(F.collect_list(F.struct("pos", "band", "hot"))).alias("held"))
+    held = left.groupBy("node").agg(F.first("root").alias("root"), F.first("n_shingles").alias("n_shingles"), F.max("hot").alias("hot"), F.collect_list(F.when(~F.col("hot"), F.struct("pos", "band"))).alias("held"))
     if left.where("hot").limit(1).count():
-        far = lambda x, y: (y["pos"] - x["pos"] > NEAR) & (bands - (y["pos"] - x["pos"]) > NEAR)
-        twos = F.flatten(F.transform("h", lambda x, i: F.transform(F.filter(F.slice("h", i + 2, F.size("h")), lambda y: ~far(x, y)), lambda y: F.struct(x["band"].alias("g1"), y["band"].alias("g2"), x["pos"].alias("p1"), y["pos"].alias("p2")))))
-        shared = held.withColumn("h", F.filter("held", lambda x: x["hot"])).where(F.size("h") > 1).select("node", "root", "n_shingles", F.explode(twos).alias("g")).select("g.*", "node", "root", "n_shingles")
-        groups = groups.unionByName(_opened(written(shared, "bucket-pairs"), ["g1", "g2"], "bucket-open-pairs").drop("n_shingles"))
+        warm = written(held.where("hot").select("node", "root", "n_shingles").join(texts, "node").select("node", "root", "n_shingles", "packed"), "bucket-hot")
+        again = _opened(written(_by_rare_shingles(warm, size, percent), "bucket-tokens"), ["token"], "bucket-open-tokens")
+        groups = groups.unionByName(again.select(F.col("token").alias("g1"), F.lit(1).alias("g2"), F.lit(-1).alias("p1"), "node", "root", "n", "weight", "m", "apart"))
 
     # Blocks 0 to outer - 1 hold what is apart, the rest the largest component.
     rows = F.greatest(F.lit(1), F.least(F.lit(hot), F.floor(F.lit(block_shingles) * F.col("n") / F.col("weight")))).cast("int")
@@ -280,10 +312,10 @@ def _hidden_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts:
     place = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     dealt = dealt.withColumn("own", F.when(F.col("apart"), place("outer")).otherwise(F.col("outer") + place("inner")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
-    dealt = dealt.select("g1", "g2", "p1", "p2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    dealt = dealt.select("g1", "g2", "p1", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
     # Of a node, the buckets where it meets others, by their band: what tells whether a pair has met before.
-    meets = lambda flag: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda p: F.coalesce(F.get(F.filter("held", lambda x: (x["pos"] == p) & (x["hot"] == flag)), F.lit(0))["band"], F.lit(0).cast("long")))
-    marks = held.select("node", meets(F.lit(False)).alias("cool"), meets(F.lit(True)).alias("warm")).join(nodes.select("node", "sketch"), "node").join(texts, "node")
+    meets = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda p: F.coalesce(F.get(F.filter("held", lambda x: x["pos"] == p), F.lit(0))["band"], F.lit(0).cast("long")))
+    marks = held.select("node", meets.alias("cool")).join(nodes.select("node", "sketch"), "node").join(texts, "node")
     dealt = dealt.join(marks, "node").repartition(parts, "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,11 +332,10 @@ def _links_of_group(group: pa.Table, size: int, percent: int) -> list[tuple[byte
     import zstandard
 
     first = lambda name: group.column(name)[0].as_py()
-    i, j, p1, p2, least = first("i"), first("j"), first("p1"), first("p2"), least_agreement(percent)
+    i, j, p1, least = first("i"), first("j"), first("p1"), least_agreement(percent)
     own, node, packed = group.column("own").to_numpy(), group.column("node").to_pylist(), group.column("packed").to_pylist()
     marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "u1").reshape(len(node), -1)
-    table = lambda name: np.concatenate([np.asarray(c.flatten()) for c in group.column(name).chunks]).reshape(len(node), -1)
-    cool, warm = table("cool"), table("warm")
+    cool = np.concatenate([np.asarray(c.flatten()) for c in group.column("cool").chunks]).reshape(len(node), -1)
     numbers: dict[bytes, int] = {}
     component = np.array([numbers.setdefault(r, len(numbers)) for r in group.column("root").to_pylist()])
     sets: dict[int, np.ndarray] = {}
@@ -315,17 +346,9 @@ def _links_of_group(group: pa.Table, size: int, percent: int) -> list[tuple[byte
         return sets[k]
 
     def met_here(x: int, others: np.ndarray) -> np.ndarray:
-        """Of ``others``, those that x meets in this group first."""
+        """Of ``others``, those that x meets in no compared bucket before this one (of rare shingles: in none at all)."""
         same = (cool[others] == cool[x]) & (cool[x] != 0)
-        if p2 < 0:
-            return others[same.argmax(axis=1) == p1]
-        before = same.any(axis=1)
-        both = (warm[others] == warm[x]) & (warm[x] != 0)
-        for a, b in near_bands(cool.shape[1]):
-            if (a, b) >= (p1, p2):
-                break
-            before |= both[:, a] & both[:, b]
-        return others[~before]
+        return others[same.argmax(axis=1) == p1] if p1 >= 0 else others[~same.any(axis=1)]
 
     found = []
     for x in np.flatnonzero(own == i):
