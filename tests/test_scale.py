@@ -91,3 +91,17 @@ def test_points_in_overlapping_and_disjoint_spans(spark):
     s = spark.createDataFrame(apart, "subject_id string, low double, high double, span int")
     got = {(r.point, r.span) for r in joins.covering(p, s, S, "at", "low", "high", ["span"]).collect()}
     assert got == {(n, m) for k, t, n in points for j, a, b, m in apart if k == j and b is not None and a <= t <= b} and len(got) > 50
+
+
+def test_pairs_of_three_thousand_segments(spark):
+    """Every pair once, and a segment goes to as many tasks as there are blocks."""
+    from tidemark.operators import divergence
+
+    began = time.time()
+    data = spark.range(3000).select(F.lit("a").alias("subject_id"), F.col("id").cast("int").alias("seg"), F.array(F.array(F.col("id").cast("double"))).alias("data"))
+    data = data.unionByName(spark.range(3).select(F.lit("b").alias("subject_id"), (F.col("id") * 10).cast("int").alias("seg"), F.array(F.array(F.col("id").cast("double"))).alias("data")))
+    found = divergence.pair_distances(data, S, ("DTW",))
+    wrong = F.count(F.when((F.col("d") != F.when(F.col("subject_id") == "a", F.col("seg_j") - F.col("seg_i")).otherwise((F.col("seg_j") - F.col("seg_i")) / 10)) | (F.col("seg_i") >= F.col("seg_j")), 1))
+    got = found.where("subject_id = 'b' OR seg_i % 60 = 7").groupBy("subject_id").agg(F.count("*").alias("n"), F.countDistinct("seg_i", "seg_j").alias("m"), wrong.alias("wrong")).collect()
+    want = sum(2999 - i for i in range(7, 3000, 60))
+    assert {tuple(r) for r in got} == {("a", want, want, 0), ("b", 3, 3, 0)} and time.time() - began < 240

@@ -1,13 +1,14 @@
 """How far segments lie apart: time warping, relative density ratio, effect size.
 
 Effect sizes come from per-segment sufficient statistics in plain SQL.  The two
-others need the rows of both segments: a task gets the segments of one series, and
-scores a share of its pairs.  A series of many pairs is copied to as many tasks as it
-has ``PAIRS_A_TASK`` pairs, not once per pair.
+others need the rows of both segments: a task gets two blocks of the segments of one
+series and scores their pairs, ``PAIRS_A_TASK`` at most.  A segment is copied once per
+block of its series, not once per pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -118,41 +119,48 @@ def segment_rows(vectors: DataFrame, segments: DataFrame, keys: list[str]) -> Da
 
 
 def _by_pairs(data: DataFrame, keys: list[str], fields: list[tuple[str, T.DataType, pa.DataType]], score: Callable[[np.ndarray, np.ndarray], list[tuple]], per_task: int) -> DataFrame:
-    """keys, seg_i < seg_j and ``fields``: the rows that ``score`` gives for every pair of segments of ``data`` (keys, seg, data)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    shares = F.greatest(F.lit(1), F.ceil(n * (n - 1) / 2 / per_task)).cast("int")
-    rows = data.select(*keys, "seg", "data", shares.alias("_of")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    """keys, seg_i < seg_j and ``fields``: the rows that ``score`` gives for every pair of segments of ``data`` (keys, seg, data).
+
+    A series' segments are cut into blocks of so many that two blocks make ``per_task``
+    pairs; a task gets two blocks, or one with itself, and so a segment is copied once
+    per block.
+    """
+    size = max(1, math.isqrt(per_task))
+    session = Window.partitionBy(*keys)
+    blocks = F.ceil(F.count(F.lit(1)).over(session) / size).cast("int")
+    own = F.floor((F.row_number().over(session.orderBy("seg")) - 1) / size).cast("int")
+    rows = data.select(*keys, "seg", "data", own.alias("_own"), blocks.alias("_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select(*keys, "seg", "data", "_own", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
     schema = T.StructType([*(data.schema[k] for k in keys), T.StructField("seg_i", data.schema["seg"].dataType), T.StructField("seg_j", data.schema["seg"].dataType), *(T.StructField(name, kind) for name, kind, _ in fields)])
 
-    kept = [*keys, "_share", "_of"]
+    kept = [*keys, "_low", "_high"]
 
-    def scored(key: tuple, segs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
-        *own, share, of = key
-        found, number = [], 0
-        for i in range(len(segs)):
-            for j in range(i + 1, len(segs)):
-                if number % of == share:
-                    found += [(*own, segs[i], segs[j], *row) for row in score(parts[i], parts[j])]
-                number += 1
+    def scored(key: tuple, members: list[tuple]) -> pa.RecordBatch:
+        *own, low, high = key
+        found = []
+        for n, (seg_i, block, x) in enumerate(members):
+            if block == low:
+                for seg_j, other, y in members[n + 1 :]:
+                    if other == high:
+                        found += [(*own, seg_i, seg_j, *row) for row in score(x, y)]
         return pa.RecordBatch.from_arrays([pa.array([row[c] for row in found], kind) for c, kind in enumerate(kinds)], names=schema.names)
 
     kinds = [*(to_arrow_type(f.dataType) for f in schema.fields[: len(keys) + 2]), *(kind for _, _, kind in fields)]
 
     def run(batches):
-        last, segs, parts = None, [], []
+        last, members = None, []
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
-            for key, seg, x in zip(zip(*map(column, kept), strict=True), column("seg"), column("data"), strict=True):
+            for key, seg, block, x in zip(zip(*map(column, kept), strict=True), column("seg"), column("_own"), column("data"), strict=True):
                 if key != last:
-                    if len(segs) > 1:
-                        yield scored(last, segs, parts)
-                    last, segs, parts = key, [], []
-                segs.append(seg)
-                parts.append(np.array(x, float))
-        if len(segs) > 1:
-            yield scored(last, segs, parts)
-
-    return spread(rows, [*keys, "_share"]).sortWithinPartitions(*keys, "_share", "seg").mapInArrow(run, schema)
+                    if len(members) > 1:
+                        yield scored(last, members)
+                    last, members = key, []
+                members.append((seg, block, np.array(x, float)))
+        if len(members) > 1:
+            yield scored(last, members)
+
+    return spread(rows, kept).sortWithinPartitions(*kept, "seg").mapInArrow(run, schema)
 
 
 def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] = ("DTW", "RuLSIF"), normalise: bool = True, metric: str = "euclidean", band: int | None = None, slope: float = 1.0, per_task: int = PAIRS_A_TASK) -> DataFrame:

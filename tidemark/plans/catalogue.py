@@ -1204,9 +1204,10 @@ def null_cache(spark, d):
 @query(f"WITH {SOLO} SELECT feature AS modality, 'error' AS event, CAST(subject_id AS VARCHAR) AS subject, {r('auc', 'auc')} FROM au WHERE feature <> '*'")
 def ablation_cache(spark, d):
     solo, _ = _solo(spark, d)
-    lists = solo.groupBy("modality", "event").agg(F.avg("auc").alias("mean_auc"), F.sort_array(F.collect_list(F.struct(F.col("subject").cast("string").alias("subject"), "auc"))).alias("l"))
+    # A line per subject: no list grows with the cohort.
+    lines = solo.select("modality", "event", F.col("auc").alias("mean_auc"), F.array(F.col("subject").cast("string")).alias("per_subj_sids"), F.array("auc").alias("per_subj_aucs"))
     folder = shared_folder(spark, "ablation")
-    lists.select("modality", "event", "mean_auc", F.col("l.subject").alias("per_subj_sids"), F.col("l.auc").alias("per_subj_aucs")).write.json(folder)
+    lines.write.json(folder)
     return sources.read_ablation(spark, folder)
 
 
@@ -1223,7 +1224,7 @@ def trajectory_cache(spark, d):
 def direction_cache(spark, d):
     rows = normalised(spark, d).withColumn("delta", F.col("norm") - F.lag("norm").over(Window.partitionBy(*SF).orderBy("w"))).where("delta > 0.5")
     folder = shared_folder(spark, "directions")
-    rows.groupBy("feature").agg(F.collect_list("delta").alias("deltas")).write.json(folder)
+    rows.groupBy(*SF).agg(F.collect_list("delta").alias("deltas")).drop("subject_id").write.json(folder)
     return sources.read_directions(spark, folder)
 
 
