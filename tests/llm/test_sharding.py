@@ -67,3 +67,16 @@ def test_query_over_whole_table(spark):
     d = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     verify([tuple(r) for r in op4_shards(spark, d).collect()], docs, 24)
+
+
+def test_many_rows_of_one_id_and_of_none(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    docs = spark.range(n).select(F.when(F.col("id") % 4 == 1, 7).when(F.col("id") % 4 == 2, F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 == 3, "one text").otherwise(F.concat(F.lit("text "), F.col("id") % 5000)).alias("text"))
+    got = op.assign_shards(docs, 4).toPandas()
+    assert len(got) == n and got.doc_id.isna().sum() == n // 2
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+        places = own.sort_values("slot").doc_id.isna().to_numpy()
+        assert abs(int((places[1:] != places[:-1]).sum())) <= 2  # rows without an id stand together

@@ -9,15 +9,17 @@ sizes (one row per distinct size: at most sqrt(2 * total bytes) rows), which com
 it in descending parts of ``part_classes`` rows and leaves it, part by part, as files
 in the shared folder; it takes a run of equal groups in strides, with the same outcome
 as one group at a time.  Everything else stays distributed.  Groups of a size are
-numbered by the SHA-256 of their text, rows of a shard by the MD5 of their id: ranges
-of the hash are counted first, and a place is found within its range.
+numbered by the SHA-256 of their text: ranges of the hash are counted first, and a place
+is found within its range.  Rows of a shard are numbered by the MD5 of their id and the
+hash of their text; the ranges of these are cut where the rows are, so that one id on
+many rows, or none, fills several ranges.
 
 Law ``bytes``: shard sizes are near equal, unless one group alone is larger.
 
 Defined results: a null text has no bytes and shares the group of the empty text; a
 row's size is its bytes plus ``overhead``; repeated rows are one group and have
 slots of their own; rows with equal ids are numbered by their text's hash, rows with
-a null id first; an empty table gives an empty result; columns of ``docs`` other than
+a null id first, and rows with both equal in any order; an empty table gives an empty result; columns of ``docs`` other than
 the two named are not looked at.
 """
 
@@ -28,7 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import publish, shared_folder, split_hot_join, written
@@ -95,8 +97,8 @@ def _planned(classes: DataFrame, shards: int, part_classes: int) -> DataFrame:
     return spark.read.schema(PLAN).parquet(folder)
 
 
-def _numbered(rows: DataFrame, within: str, mark: str, ties: list[Column], out: str, digits: int) -> DataFrame:
-    """``rows`` with ``out``: their place, from 0, in the order of ``mark`` (a hexadecimal hash) and ``ties`` among the rows of one value of ``within``.
+def _numbered(rows: DataFrame, within: str, mark: str, out: str, digits: int) -> DataFrame:
+    """``rows`` with ``out``: their place, from 0, in the order of ``mark`` (a hexadecimal hash that no two rows share) among the rows of one value of ``within``.
 
     Places are counted in ranges of the first ``digits`` digits, so a value that all rows share is spread over 16 ** digits tasks.
     """
@@ -104,7 +106,7 @@ def _numbered(rows: DataFrame, within: str, mark: str, ties: list[Column], out:
     counts = ranged.groupBy(within, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     based = counts.select(within, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(within, "_range").orderBy(mark, *ties)
+    inside = Window.partitionBy(within, "_range").orderBy(mark)
     return ranged.join(based, [within, "_range"]).withColumn(out, F.col("_base") + F.row_number().over(inside) - 1).drop("_range", "_base")
 
 
@@ -120,12 +122,21 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     groups = rows.groupBy("text_hash").agg(F.count("*").alias("members"), F.first("size").alias("each"))
     groups = written(groups.select("text_hash", "members", (F.col("members") * F.col("each")).alias("group_size")), "shard-groups")
     plan = _planned(written(groups.groupBy("group_size").agg(F.count("*").alias("n")), "shard-classes", 4), shards, part_classes)
-    placed = split_hot_join(_numbered(groups, "group_size", "text_hash", [], "rank", digits), plan, ["group_size"], "n")
+    placed = split_hot_join(_numbered(groups, "group_size", "text_hash", "rank", digits), plan, ["group_size"], "n")
     # The shard is the first whose cumulated share of the class exceeds the group's rank in it.
     ahead = F.aggregate("given", F.struct(F.lit(0).alias("shard"), F.lit(0).cast("long").alias("sum")), lambda a, g: F.struct((a["shard"] + (a["sum"] + g <= F.col("rank")).cast("int")).alias("shard"), (a["sum"] + g).alias("sum")))
     shard_of = written(placed.select("text_hash", "members", ahead["shard"].alias("shard")), "shard-groups-placed")
 
     assigned = split_hot_join(rows, shard_of, ["text_hash"], "members").withColumn("mark", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
-    assigned = written(assigned.select("id", "size", "crc", "shard", "mark", "text_hash"), "shard-assigned")
-    slotted = _numbered(assigned, "shard", "mark", [F.asc_nulls_first("id"), F.col("text_hash")], "slot", digits)
+    # The row number tells rows apart that agree in all else; it is written with them, and so are the ranges.
+    assigned = written(assigned.select("id", "size", "crc", "shard", "mark", "text_hash", F.monotonically_increasing_id().alias("row")), "shard-assigned")
+    order = [F.col("mark"), F.asc_nulls_first("id"), F.col("text_hash"), F.col("row")]
+    ranged = assigned.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("shard"), *order)
+    ranged = written(ranged.withColumn("range", F.spark_partition_id()), "shard-ranges")
+    counts = ranged.groupBy("shard", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    based = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("shard", "range").orderBy(*order)
+    # Ranges follow each other, so there is one row per range, and one more per shard that begins within a range.
+    slotted = ranged.join(F.broadcast(based), ["shard", "range"]).withColumn("slot", F.col("base") + F.row_number().over(inside) - 1)
     return slotted.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
