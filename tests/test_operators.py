@@ -235,27 +235,31 @@ def by_hand(name):
     return register
 
 
-def signals(spark, subjects, seconds):
-    """Values of made-up physiology in plain arrays: {subject: {modality: (rate, values)}}."""
+SMALL = "/root/testdata/sf0.001"
+
+
+def signals(spark, seconds):
+    """Values of the users' sessions in plain arrays: {subject: {modality: (rate, values)}}."""
     out = {}
-    for (s, m), own in synthetic.physiology(spark, subjects, seconds).toPandas().groupby(["subject_id", "modality"]):
+    for (s, m), own in synthetic.physiology(spark, catalogue.sessions(spark, SMALL), seconds).toPandas().groupby(["subject_id", "modality"]):
         out.setdefault(s, {})[m] = (int(own["fs"].iloc[0]), own.sort_values("idx")["value"].to_numpy(float))
     return out
 
 
 @by_hand("denoised_signals")
 def _(spark, got):
-    for subject, own in signals(spark, 2, 60).items():
+    for subject, own in signals(spark, 60).items():
         for m, (fs, x) in own.items():
-            clean = got[(got.subject_id == subject) & (got.modality == m)].sort_values("idx").clean.to_numpy(float)
-            np.testing.assert_allclose(clean, dsp.denoise(x, fs, m, CLIP_RANGES[m]), atol=1e-6)
-            assert clean.std() < x.std() * 1.01
+            clean = got[(got.subject_id == subject) & (got.modality == m)].sort_values("second").clean.to_numpy(float)
+            want = dsp.denoise(x, fs, m, CLIP_RANGES[m])
+            np.testing.assert_allclose(clean, want.reshape(60, fs).mean(axis=1), atol=1e-5)
+            assert want.std() < x.std() * 1.05  # the reflection at an edge can swing a little further than the signal
 
 
 @by_hand("signal_quality")
 def _(spark, got):
     want = {}
-    for subject, own in signals(spark, 2, 90).items():
+    for subject, own in signals(spark, 90).items():
         for m, band, least, size in (("PPG", (0.5, 3.0), 0.3, 256), ("Resp", (0.05, 1.0), 0.4, 512)):
             fs, x = own[m]
             for w, start in enumerate(range(0, len(x) - 30 * fs + 1, fs)):
@@ -270,7 +274,7 @@ def _(spark, got):
 
 @by_hand("composite_quality")
 def _(spark, got):
-    own = signals(spark, 2, 60)
+    own = signals(spark, 60)
     want = {(s, m): 1 - dsp.bad_samples(x, fs, m).mean() for s, all_ in own.items() for m, (fs, x) in all_.items() if m != "EDA"}
     assert {(r.subject_id, r.modality): r.good for r in got.itertuples()} == pytest.approx(want, abs=1e-6)
 
@@ -282,7 +286,12 @@ def normalised(raw):
     for name, (t, v) in raw.items():
         t, v = t[:short], v[:short]
         ok = v[np.isfinite(v)]
-        if not len(ok) or ok.std() < 1e-10 or np.isnan(v).mean() >= 0.1:
+        if not len(ok) or ok.std() < 1e-10:
+            continue
+        if len(ok) < 5:  # too few to normalise: zeros throughout, and so nothing is missing
+            out[name] = (t, v, np.zeros(len(v)))
+            continue
+        if np.isnan(v).mean() >= 0.1:
             continue
         low, high = np.percentile(ok, [2, 98])
         out[name] = (t, v, dsp.fill_gaps(np.clip((v - low) / (high - low), 0, 1)))
@@ -291,7 +300,7 @@ def normalised(raw):
 
 @by_hand("full_features")
 def _(spark, got):
-    for subject, own in signals(spark, 2, 120).items():
+    for subject, own in signals(spark, 120).items():
         want = normalised(features.session_features(own))
         mine = got[got.subject_id == subject]
         assert set(mine.feature) == set(want)
@@ -328,7 +337,7 @@ def scored(x, cuts):
 
 @by_hand("pipeline_synthetic")
 def _(spark, got):
-    table = synthetic.regimes(spark, 3).toPandas()
+    table = synthetic.regimes(spark, catalogue.sessions(spark, SMALL)).toPandas()
     for subject, own in table.groupby("subject_id"):
         x = own.pivot(index="w", columns="feature", values="norm").sort_index().to_numpy(float)
         ends, want = scored(x, segment.best_cuts(segment.Cost(x), len(x), 1.0, 10))
@@ -339,16 +348,17 @@ def _(spark, got):
 
 @by_hand("run_from_samples")
 def _(spark, got):
-    for subject, own in signals(spark, 2, 150).items():
+    when = {r.subject_id: r.t for r in catalogue.session_events(spark, SMALL).collect()}
+    for subject, own in signals(spark, 150).items():
         made = normalised(features.session_features(own))
         x = np.column_stack([made[n][2] for n in sorted(made)])
         cuts = segment.best_cuts(segment.Cost(x), len(x), 1.0, 10)
         ends, want = scored(x, cuts)
         mine = got[got.subject_id == subject].sort_values("seg")
-        assert list(zip(mine.start, mine.end)) == ends and len(ends) > 1
+        assert list(zip(mine.start, mine.end)) == ends
         np.testing.assert_allclose(mine.consensus, want, atol=1e-4)
         t = made[sorted(made)[0]][0]
-        at = {"S0": 60.0, "S1": 80.0}[subject]
+        at = when[subject]
         hit = np.array([t[a] <= at <= t[b - 1] for a, b in ends])
         delta = want[hit].mean() - want[~hit].mean() if 0 < hit.sum() < len(hit) else 0.0
         assert mine.delta.iloc[0] == pytest.approx(delta, abs=1e-4) and 0 <= mine.p.iloc[0] <= 1
@@ -373,11 +383,23 @@ def _(spark, got):
 
 @by_hand("synthetic_consensus")
 def _(spark, got):
-    table = synthetic.distance_tables(spark).toPandas()
-    mean = {m: np.array([own.d[(own.seg_i == k) | (own.seg_j == k)].sum() / 5 for k in range(6)]) for m, own in table.groupby("method")}
-    want = np.mean([v / v.max() for v in mean.values()], axis=0)
-    np.testing.assert_allclose(got.sort_values("seg").consensus, want, atol=1e-6)
-    assert set(np.argsort(want)[-2:]) == {2, 5}
+    table = synthetic.distance_tables(spark, subjects=catalogue.sessions(spark, SMALL)).toPandas()
+    assert set(got.subject_id) == set(table.subject_id) and len(set(got.subject_id)) > 5
+    for subject, own in table.groupby("subject_id"):
+        mean = {m: np.array([d.d[(d.seg_i == k) | (d.seg_j == k)].sum() / 5 for k in range(6)]) for m, d in own.groupby("method")}
+        want = np.mean([v / v.max() for v in mean.values()], axis=0)
+        np.testing.assert_allclose(got[got.subject_id == subject].sort_values("seg").consensus, want, atol=1e-6)
+        assert set(np.argsort(want)[-2:]) == {2, 5}
+
+
+@by_hand("skin_decomposition")
+def _(spark, got):
+    from tests.test_skin import is_minimum
+
+    rows = catalogue.samples(spark, SMALL).toPandas()
+    assert len(got) == len(rows)
+    for subject, own in rows.groupby("subject_id"):
+        is_minimum(own.sort_values("idx").value.to_numpy() / 100, got[got.subject_id == subject].sort_values("idx"))
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))

@@ -18,7 +18,7 @@ from tidemark.functions import dsp, stats
 from tidemark.operators import beats, detect, divergence, filters, frames, joins, quality, rdi, segment, skin, validate
 from tidemark.plans import features, regimes, sql
 from tidemark.plans.sql import r
-from tidemark.schema import CLIP_RANGES
+from tidemark.schema import CLIP_RANGES, MODALITY_RATE
 from tidemark.sources import synthetic, union_cohorts
 from tidemark.sources.pickles import read_sessions, write_pickles
 from tidemark.sources.workbook import write_workbooks
@@ -1270,22 +1270,34 @@ def feature_modalities(spark, d):
     return rows.groupBy(F.coalesce("modality", F.lit("none")).alias("modality")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
 
 
-# ---- synthetic physiology
+# ---- sessions of the users: signals whose rates come from their events
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session per user: its heart beats faster with the mean value of the user's events, its breath with the share of clicks; event_t is when something happens in it."""
+    rows = samples(spark, sf_dir).groupBy("subject_id").agg(F.avg("value").alias("mean"), F.avg((F.col("feature") == "click").cast("double")).alias("clicks"), F.count("*").alias("n"))
+    return rows.select(F.col("subject_id").cast("string").alias("subject_id"), (1.0 + F.least("mean", F.lit(100.0)) / 250).alias("heart_hz"), (0.2 + F.col("clicks") / 10).alias("breath_hz"), (40.0 + F.col("n") % 60).alias("event_t"))
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(spark, sf_dir).select("subject_id", F.col("event_t").alias("t"), F.when(F.col("event_t") < 70, "Crash").otherwise("Brake").alias("name"))
 
 
 @query()
 def denoised_signals(spark, d):
-    rows = synthetic.physiology(spark, 2, 60)
+    """Mean cleaned signal of every second."""
+    rows = synthetic.physiology(spark, sessions(spark, d), 60)
     parts = [quality.per_series(rows.where(F.col("modality") == m), ["subject_id", "modality"], lambda x, fs, m=m: {"idx": range(len(x)), "clean": dsp.denoise(x, fs, m, CLIP_RANGES[m])}, "idx long, clean double") for m in CLIP_RANGES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    rates = F.create_map(*[F.lit(x) for pair in MODALITY_RATE.items() for x in pair])
+    return out.groupBy("subject_id", "modality", F.floor(F.col("idx") / rates[F.col("modality")]).alias("second")).agg(F.avg("clean").alias("clean"))
 
 
 @query()
 def signal_quality(spark, d):
-    rows = synthetic.physiology(spark, 2, 90)
+    rows = synthetic.physiology(spark, sessions(spark, d), 90)
     keys = ["subject_id", "modality"]
     ppg = quality.ppg_quality(rows.where("modality = 'PPG'"), keys)
     return ppg.unionByName(quality.resp_quality(rows.where("modality = 'Resp'"), keys))
@@ -1293,7 +1305,7 @@ def signal_quality(spark, d):
 
 @query()
 def composite_quality(spark, d):
-    rows, keys, out = synthetic.physiology(spark, 2, 60), ["subject_id", "modality"], None
+    rows, keys, out = synthetic.physiology(spark, sessions(spark, d), 60), ["subject_id", "modality"], None
     for m in ("ECG", "PPG", "Resp", "Temp"):
         own = quality.composite_quality(rows.where(F.col("modality") == m), keys, m)
         out = own if out is None else out.unionByName(own)
@@ -1302,25 +1314,25 @@ def composite_quality(spark, d):
 
 @query()
 def full_features(spark, d):
-    return features.feature_table(features.raw_features(synthetic.physiology(spark, 2, 120)))
+    return features.feature_table(features.raw_features(synthetic.physiology(spark, sessions(spark, d), 120)))
 
 
 @query()
 def pipeline_synthetic(spark, d):
-    events = spark.createDataFrame([("S0", 92.0, "Crash"), ("S1", 165.0, "Barrel")], "subject_id string, t double, name string")
-    table_ = synthetic.regimes(spark, 3).withColumn("t", F.col("w").cast("double"))
-    return regimes.run_features(table_, events, regimes.Options(n_perm=200)).consensus
+    """The whole run from a feature table with known regimes for every user."""
+    table_ = synthetic.regimes(spark, sessions(spark, d)).withColumn("t", F.col("w").cast("double"))
+    return regimes.run_features(table_, session_events(spark, d), regimes.Options(n_perm=200)).consensus
 
 
 @query()
 def run_from_samples(spark, d):
-    """The whole run from raw samples: features, segments, distances, scores and the permutation test of two made-up sessions."""
-    events = spark.createDataFrame([("S0", 60.0, "Crash"), ("S1", 80.0, "Brake")], "subject_id string, t double, name string")
-    found = regimes.run(synthetic.physiology(spark, 2, 150), events, regimes.Options(n_perm=200))
+    """The whole run from raw samples: features, segments, distances, scores and the permutation test of every user's session."""
+    found = regimes.run(synthetic.physiology(spark, sessions(spark, d), 150), session_events(spark, d), regimes.Options(n_perm=200))
     return found.consensus.join(found.permutation, "subject_id")
 
 
 @query()
 def synthetic_consensus(spark, d):
-    segments = spark.range(6).select(F.lit("S0").alias("subject_id"), F.col("id").cast("int").alias("seg"))
-    return rdi.consensus(rdi.mean_distances(synthetic.distance_tables(spark), segments, S, regimes.Options.methods), S)
+    people = sessions(spark, d)
+    segments = people.select("subject_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("seg"))
+    return rdi.consensus(rdi.mean_distances(synthetic.distance_tables(spark, subjects=people), segments, S, regimes.Options.methods), S)

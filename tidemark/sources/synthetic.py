@@ -1,5 +1,7 @@
-"""Deterministic synthetic series: regime changes, distance tables and physiological signals.
+"""Deterministic series for given subjects: regime changes, distance tables and physiological signals.
 
+Subjects are a number of made-up ones, for tests, or rows of a table: then each has a
+session, whose rates its columns may give, so that what is made grows with the table.
 Noise comes from a hash of the position, so rows can be made on any executor in any
 order and are the same each time.
 """
@@ -28,9 +30,16 @@ def noise(*columns: Column | str, seed: int = 0) -> Column:
     return total - 6.0
 
 
-def regimes(spark: SparkSession, subjects: int = 1, seed: int = 0) -> DataFrame:
+def _subjects(spark: SparkSession, subjects: int | DataFrame) -> DataFrame:
+    """subject_id, and further columns of a table of subjects."""
+    if isinstance(subjects, int):
+        return spark.range(subjects).select(F.concat(F.lit("S"), F.col("id")).alias("subject_id"))
+    return subjects.withColumn("subject_id", F.col("subject_id").cast("string"))
+
+
+def regimes(spark: SparkSession, subjects: int | DataFrame = 1, seed: int = 0) -> DataFrame:
     """subject_id, w, feature, norm: six segments of steady, two-mode, wavy, steady, rising and steady shape."""
-    rows = spark.range(subjects).select(F.concat(F.lit("S"), F.col("id")).alias("subject_id")).withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(REGIME_LENGTH - 1).cast("long"))))
+    rows = _subjects(spark, subjects).select("subject_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(REGIME_LENGTH - 1).cast("long"))).alias("w"))
     rows = rows.withColumn("feature", F.explode(F.array(*[F.lit(f"f{k}") for k in range(3)])))
     seg = sum((F.col("w") >= c).cast("int") for c in REGIME_CUTS)
     starts = F.array(*[F.lit(c) for c in (0, *REGIME_CUTS)])
@@ -45,30 +54,37 @@ def regimes(spark: SparkSession, subjects: int = 1, seed: int = 0) -> DataFrame:
     return rows.select("subject_id", "w", "feature", (level[F.col("seg")][k] + shape).alias("norm"))
 
 
-def distance_tables(spark: SparkSession, segments: int = 6, high: dict[str, tuple[int, ...]] | None = None, seed: int = 0) -> DataFrame:
+def distance_tables(spark: SparkSession, segments: int = 6, high: dict[str, tuple[int, ...]] | None = None, seed: int = 0, subjects: int | DataFrame = 1) -> DataFrame:
     """subject_id, seg_i < seg_j, method, d: distances around 0.3, and around 1 where a method's high segments take part."""
     high = high or {"DTW": (2,), "RuLSIF": (5,), "Cohen's d": (2, 5)}
-    pairs = [("S0", i, j, m) for m in high for i in range(segments) for j in range(i + 1, segments)]
-    rows = spark.createDataFrame(pairs, "subject_id string, seg_i int, seg_j int, method string")
+    pairs = F.array(*[F.struct(F.lit(i).alias("seg_i"), F.lit(j).alias("seg_j"), F.lit(m).alias("method")) for m in high for i in range(segments) for j in range(i + 1, segments)])
+    rows = _subjects(spark, subjects).select("subject_id", F.inline(pairs))
     table = F.create_map(*[x for m, own in high.items() for x in (F.lit(m), F.array(*[F.lit(s) for s in own]))])
     far = F.array_contains(table[F.col("method")], F.col("seg_i")) | F.array_contains(table[F.col("method")], F.col("seg_j"))
-    return rows.withColumn("d", F.when(far, 1.0).otherwise(0.3) + 0.05 * noise("seg_i", "seg_j", "method", seed=seed))
+    return rows.withColumn("d", F.when(far, 1.0).otherwise(0.3) + 0.05 * noise("subject_id", "seg_i", "seg_j", "method", seed=seed))
+
 
+def physiology(spark: SparkSession, subjects: int | DataFrame = 1, seconds: int = 120, heart_hz: float = 1.2, breath_hz: float = 0.25) -> DataFrame:
+    """samples of five modalities with known rates: beats at ``heart_hz``, breaths at ``breath_hz``, a skin response every 20 s.
 
-def physiology(spark: SparkSession, subjects: int = 1, seconds: int = 120, heart_hz: float = 1.2, breath_hz: float = 0.25) -> DataFrame:
-    """samples of five modalities with known rates: beats at ``heart_hz``, breaths at ``breath_hz``, a skin response every 20 s."""
+    Columns ``heart_hz`` and ``breath_hz`` of a table of subjects come before the arguments.
+    """
     from tidemark.schema import MODALITY_RATE
 
+    people = _subjects(spark, subjects)
+    rate = lambda name, value: F.col(name) if name in people.columns else F.lit(value)
+    people = people.select("subject_id", rate("heart_hz", heart_hz).alias("_heart"), rate("breath_hz", breath_hz).alias("_breath"))
     out = None
     pi2 = 2 * math.pi
     for modality, fs in MODALITY_RATE.items():
-        rows = spark.range(subjects).select(F.concat(F.lit("S"), F.col("id")).alias("subject_id")).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seconds * fs - 1).cast("long"))))
+        rows = people.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seconds * fs - 1).cast("long"))))
         t = F.col("idx") / float(fs)
-        beat = F.pmod(t + 0.02 * F.sin(pi2 * breath_hz * t), F.lit(1 / heart_hz))
+        heart, breath = F.col("_heart"), F.col("_breath")
+        beat = F.pmod(t + 0.02 * F.sin(pi2 * breath * t), 1 / heart)
         wave = {
             "ECG": F.exp(-((beat - 0.3) ** 2) / (2 * 0.012**2)) + 0.15 * F.exp(-((beat - 0.55) ** 2) / (2 * 0.04**2)),
             "PPG": F.exp(-((beat - 0.55) ** 2) / (2 * 0.08**2)),
-            "Resp": F.sin(pi2 * breath_hz * t),
+            "Resp": F.sin(pi2 * breath * t),
             "EDA": 5.0 + 0.002 * t + 0.4 * F.exp(-((F.pmod(t, F.lit(20.0)) - 8.0) ** 2) / (2 * 1.2**2)),
             "Temp": 33.0 + 0.2 * F.sin(pi2 * t / 300),
         }[modality]
