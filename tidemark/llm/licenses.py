@@ -3,8 +3,12 @@
 Texts are cut into sentences and normalised (lower case, letters and digits only,
 single spaces).  A sentence that the table of known licence sentences holds has that
 sentence's identifier.  A known sentence may have a slot for a holder, written
-``{holder}``: up to twenty words, which may end in a full stop (as ``Inc.`` does).  An
-SPDX line is one sentence, in spite of its colon, and ends with its line.  A rule is an ordered list of identifiers; it matches where
+``{holder}``: any number of words of one paragraph, with full stops among them (as in
+``Inc.``), up to where the sentence goes on.  An SPDX line is an expression: each of
+its licences is a known sentence, with its exception where it has a known one; ``+``
+and the names of GNU versions without "only" or "later" are read as SPDX says.  A
+notice ("distributed under the terms of the MIT License") is a known sentence within
+any other, unless the name goes on as another licence's ("MIT-style").  A rule is an ordered list of identifiers; it matches where
 its identifiers follow each other in the text with at most ``gap`` other sentences
 between two of them.  Longer rules are tried first, and a sentence serves one match.
 
@@ -57,6 +61,15 @@ _CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "At
 _SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 MS-PL OFL-1.1 Unlicense WTFPL Zlib".split()
 
 
+_EXCEPTIONS = "Bison-exception-2.2 Classpath-exception-2.0 GCC-exception-3.1 LLVM-exception Linux-syscall-note OpenSSL-exception".split()
+#: How notices name a licence, without the word License that may follow.
+_NOTICES = (
+    ("MIT", "MIT"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-2-Clause", "2-Clause BSD"), ("BSD-3-Clause", "BSD 3-Clause"), ("BSD-3-Clause", "3-Clause BSD"), ("ISC", "ISC"), ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("MPL-2.0", "Mozilla Public License, version 2.0"), ("MPL-2.0", "MPL 2.0"), ("BSL-1.0", "Boost Software License 1.0"),
+    ("EPL-2.0", "Eclipse Public License 2.0"), ("Unlicense", "Unlicense"), ("Zlib", "zlib"),
+)
+
+
 def _gnu_notices() -> list[tuple[str, tuple[str, ...]]]:
     """The notices of every version: "or later" in two punctuations, "only" in three wordings, of a program and of a library."""
     out = []
@@ -100,6 +113,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     *((f"CC-{short}-4.0", (f"This work is licensed under a Creative Commons {name} 4.0 International License.",)) for short, name in _CC),
     *((f"CC-{short}-4.0", (f"By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License (\"Public License\").",)) for short, name in _CC),
     *((name, (f"SPDX-License-Identifier: {name}",)) for name in _SPDX),
+    *((f"{name} WITH {exception}", (f"SPDX-License-Identifier: {name} WITH {exception}",)) for name in _SPDX for exception in _EXCEPTIONS if name.startswith(("GPL", "LGPL", "AGPL", "Apache"))),
 )
 
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n")
@@ -108,6 +122,12 @@ _LINE = re.compile(r"(?<=[.!?;:])\s+|\n")
 SLOT = "{holder}"
 TAG = "SPDX-License-Identifier:"
 _WORDS = re.compile(r"[^\W_]+")
+_SPDX_LINE = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)", re.I)
+_SPDX_TERM = re.compile(r"([A-Za-z0-9][A-Za-z0-9.-]*\+?)(?:[ \t]+WITH[ \t]+([A-Za-z0-9][A-Za-z0-9.-]*))?", re.I)
+#: A slot's words, and what may stand between them: no blank line.
+_GAP = r"(?:(?!\n[ \t]*\n)[\W_])+"
+#: What makes another licence of a name, or none.
+_OTHERWISE = r"(?:[\W_]*(?:0|style|styled|like|type|inspired|derived|compatible|variant|modern|clear|attribution|no|modified|with|plus|exception|or[\W_]+later|nuclear|patent|lbnl|views)(?![^\W_]))"
 _BULLET = re.compile(r"^(?:\W+|\(?\w{1,2}[.)])\s+")
 
 
@@ -132,17 +152,29 @@ class Rules:
         for key in self.identifiers:
             longest, *rest = sorted(set(key.replace("{}", " ").split()), key=lambda w: (-len(w), w))
             self.words.setdefault(longest, []).append(rest)
-        tag = normal(TAG)
-        gap = r"[\W_]+"
+        gap, tag = r"[\W_]+", normal(TAG)
         for key, number in self.identifiers.items():
-            if "{}" in key or key.startswith(tag):
-                parts = [gap.join(map(re.escape, part.split())) for part in key.split("{}")]
-                end = r"(?![^\W_])" if "{}" in key else r"(?=[^\w\n]*(?:\n|\Z))"
-                self.slots.append((re.compile(r"(?<![^\W_])" + rf"{gap}(?:[^\W_]+{gap}){{1,20}}?".join(parts) + end, re.I), number))
+            if "{}" in key:
+                before, *rest = [gap.join(map(re.escape, part.split())) for part in key.split("{}")]
+                # The words end where the sentence goes on; where it begins again, it has not gone on.
+                words = rf"{gap}(?:(?!{before}(?![^\W_]))[^\W_]+{_GAP})+?"
+                self.slots.append((re.compile(r"(?<![^\W_])" + words.join([before, *rest]) + r"(?![^\W_])", re.I), number))
+        #: SPDX lines of one licence, however their spaces are written; numbers of licences by name for expressions; patterns of notices.
+        self.lines = [(re.compile(r"(?<![^\W_])" + gap.join(map(re.escape, key.split())) + r"(?=[^\w\n]*(?:\n|\Z))", re.I), number) for key, number in self.identifiers.items() if key.startswith(f"{tag} ")]
+        self.tagged = {key.removeprefix(tag).strip(): number for key, number in self.identifiers.items() if key.startswith(f"{tag} ")}
+        self.notices = []
+        if any(name in {n for n, _ in _NOTICES} and sentences[0].startswith(TAG) for name, sentences in rules):
+            for name, words in _NOTICES:
+                title = gap.join(map(re.escape, _WORDS.findall(words)))
+                verb = rf"(?:licen[sc]ed|distributed|released|published|available|provided|covered){gap}under{gap}(?:the{gap})?(?:terms{gap}of{gap}(?:the{gap})?)?"
+                number = self.tagged[normal(name)]
+                self.notices.append((re.compile(rf"(?<![^\W_]){verb}{title}(?![^\W_])(?!{_OTHERWISE})(?:{gap}(?:software{gap})?licen[sc]e(?![^\W_])(?!{_OTHERWISE}))?", re.I), number))
 
     def possible(self, text: str) -> bool:
         """Whether a text holds all words of some known sentence, hence whether it may hold the sentence."""
         low = text.lower()
+        if "spdx-license-identifier" in low or (self.notices and "under" in low and any(v in low for v in ("licensed", "licenced", "distributed", "released", "published", "available", "provided", "covered"))):
+            return True
         return any(longest in low and any(all(w in low for w in rest) for rest in others) for longest, others in self.words.items())
 
     def sequence(self, text: str) -> list[tuple[int, int]]:
@@ -164,11 +196,24 @@ class Rules:
                 if number is not None:
                     found[end, number] = at
                 at = m.end() if m else end
-        for pattern, number in self.slots:
+        for pattern, number in [*self.slots, *self.notices, *(self.lines if "spdx" in text.lower() else [])]:
             for m in pattern.finditer(text):
                 found[m.end(), number] = m.start()
+        for line in _SPDX_LINE.finditer(text):
+            for m in _SPDX_TERM.finditer(text, line.start(1), line.end(1)):
+                number = self._tagged(m[1], m[2])
+                if number is not None:
+                    found[m.end() if m[2] else m.end(1), number] = m.start()
         return self._numbered(found, starts)
 
+    def _tagged(self, name: str, exception: str | None) -> int | None:
+        """The number of a licence of an SPDX line; an exception that is not known leaves the licence unknown too."""
+        later = name.endswith("+")
+        names = [name.rstrip("+")] if not later else []
+        if re.match(r"(?:A|L)?GPL-[\d.]+\+?$", name, re.I):
+            names = [f"{name.rstrip('+')}-{'or-later' if later else 'only'}"]
+        return next((self.tagged[key] for n in names if (key := normal(f"{n} WITH {exception}" if exception else n)) in self.tagged), None)
+
     @staticmethod
     def _numbered(found: dict[tuple[int, int], int], starts: list[int]) -> list[tuple[int, int]]:
         """Sentences are numbered by where they end among all others; the pieces of a wrapped sentence are no others."""
