@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources
 from tidemark.functions import dsp, stats
-from tidemark.operators import beats, detect, divergence, filters, frames, joins, quality, rdi, segment, skin, validate
+from tidemark.operators import beats, breath, detect, divergence, filters, frames, joins, quality, rdi, segment, skin, validate
 from tidemark.plans import features, regimes, sql
 from tidemark.plans.sql import r
 from tidemark.schema import CLIP_RANGES, MODALITY_RATE
@@ -1103,6 +1103,28 @@ def skin_decomposition(spark, d):
     return skin.decompose(_signals(spark, d).withColumn("value", F.col("value") / 100), S, 4.0)
 
 
+def _through(name: str) -> str:
+    """The line through the known values of ``name``, level beyond its ends."""
+    f = lambda what, order: f"last_value({what} IGNORE NULLS) OVER (PARTITION BY subject_id ORDER BY idx {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    at = f"CASE WHEN {name} IS NOT NULL THEN idx END"
+    i0, v0, i1, v1 = f(at, "ASC"), f(name, "ASC"), f(at, "DESC"), f(name, "DESC")
+    return f"coalesce({name}, CASE WHEN {i1} > {i0} THEN {v0} + ({v1} - {v0}) * (idx - {i0}) / ({i1} - {i0}) END, {v0}, {v1})"
+
+
+@query(f"""WITH {SAMPLES}, x AS (SELECT *, CASE WHEN value > avg(value) OVER w + 0.3 * stddev_pop(value) OVER w THEN 1 WHEN value < avg(value) OVER w - 0.3 * stddev_pop(value) OVER w THEN -1 END AS side FROM s WINDOW w AS (PARTITION BY subject_id)),
+y AS (SELECT *, last_value(side IGNORE NULLS) OVER (PARTITION BY subject_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM x),
+z AS (SELECT *, CASE WHEN state <> lag(state) OVER (PARTITION BY subject_id ORDER BY idx) THEN 1 ELSE 0 END AS step FROM y),
+q AS (SELECT *, sum(step) OVER (PARTITION BY subject_id ORDER BY idx) AS run FROM z),
+e AS (SELECT subject_id, state, CASE WHEN state = 1 THEN arg_max(idx, (value, -idx)) ELSE arg_min(idx, (value, idx)) END AS idx FROM q WHERE state IS NOT NULL GROUP BY subject_id, state, run),
+p AS (SELECT s.subject_id, s.idx, CASE WHEN state = 1 THEN value END AS up, CASE WHEN state = -1 THEN value END AS low, CASE WHEN state = 1 THEN (s.idx - max(CASE WHEN state = 1 THEN s.idx END) OVER (PARTITION BY s.subject_id ORDER BY s.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 4 END AS gap
+  FROM s LEFT JOIN e USING (subject_id, idx)),
+c AS (SELECT subject_id, idx, {_through('up')} AS up, {_through('low')} AS low, {_through('gap')} AS gap FROM p)
+SELECT subject_id, idx, {r('round(up, 9)', 'upper')}, {r('round(low, 9)', 'lower')}, {r('round(gap, 9)', 'period')}, {r('round((up - low) / gap, 9)', 'volume')} FROM c""")
+def breath_volume(spark, d):
+    found = breath.volume(_signals(spark, d), S, 4.0)
+    return found.withColumns({c: F.round(c, 9) for c in ("upper", "lower", "period", "volume")})  # values of two decimals over quarters of a second end in a five
+
+
 # ---- sources: each query writes the files it reads
 
 
