@@ -24,7 +24,7 @@ from tidemark.operators.joins import pairs
 PAIRS_A_TASK = 2000
 
 
-def local_costs(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+def local_costs(x: np.ndarray, y: np.ndarray, metric: str | Callable = "euclidean") -> np.ndarray:
     """Distances between the rows of x and y: euclidean, sqeuclidean, cityblock or a callable on two rows."""
     x, y = (v.reshape(-1, 1) if v.ndim == 1 else v for v in (np.asarray(x, float), np.asarray(y, float)))
     if callable(metric):
@@ -163,7 +163,7 @@ def _by_pairs(data: DataFrame, keys: list[str], fields: list[tuple[str, T.DataTy
     return spread(rows, kept).sortWithinPartitions(*kept, "seg").mapInArrow(run, schema)
 
 
-def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] = ("DTW", "RuLSIF"), normalise: bool = True, metric: str = "euclidean", band: int | None = None, slope: float = 1.0, per_task: int = PAIRS_A_TASK) -> DataFrame:
+def pair_distances(data: DataFrame, keys: list[str], methods: tuple[str, ...] = ("DTW", "RuLSIF"), normalise: bool = True, metric: str | Callable = "euclidean", band: int | None = None, slope: float = 1.0, per_task: int = PAIRS_A_TASK) -> DataFrame:
     """keys, seg_i, seg_j, method, d for every pair of segments of ``data`` (keys, seg, data).
 
     ``metric``, ``band`` (widened to the difference in length) and ``slope`` shape the

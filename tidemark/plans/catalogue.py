@@ -656,6 +656,17 @@ def banded_dtw(spark, d):
     return divergence.pair_distances(_segment_rows(spark, d), S, ("DTW",), normalise=False, metric="cityblock", band=2, slope=1.5).drop("method")
 
 
+def _summed_gaps(a, b) -> float:
+    """A user's own distance of two rows: what they differ by in all, as a plain function of the rows."""
+    return float(sum(abs(x - y) for x, y in zip(a, b, strict=True)))
+
+
+@query(f"WITH RECURSIVE {VEC}, {FIVE}, {sql.warped('cityblock')} SELECT subject_id, i AS seg_i, j AS seg_j, {r('t[n * m]', 'd')} FROM dw WHERE p = n * m")
+def dtw_by_function(spark, d):
+    """Warping under a function of two rows in the place of a metric's name."""
+    return divergence.pair_distances(_segment_rows(spark, d), S, ("DTW",), normalise=False, metric=_summed_gaps).drop("method")
+
+
 @query(f"WITH RECURSIVE {VEC}, {FIVE}, {sql.warped()}, {sql.PATHS} SELECT subject_id, i AS seg_i, j AS seg_j, {r('t[len(t)]', 'd')}, path FROM pt WHERE a = 0 AND b = 0")
 def dtw_path(spark, d):
     found = divergence.warping_paths(_segment_rows(spark, d), S)
