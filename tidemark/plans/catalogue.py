@@ -433,10 +433,11 @@ f AS (SELECT subject_id, w, k, min(st) AS st, count(*) AS n, sum(rr) AS total, s
   sum(y * cos(k * 0.04 * 2 * pi() * x)) AS yc, sum(y * sin(k * 0.04 * 2 * pi() * x)) AS ys FROM y CROSS JOIN (SELECT unnest(range(1, 10)) AS k) GROUP BY 1, 2, 3),
 p AS (SELECT *, CASE WHEN cc * ss - cs * cs > 1e-9 THEN (yc * yc * ss + ys * ys * cc - 2 * yc * ys * cs) / (cc * ss - cs * cs) / n END AS p FROM f),
 a AS (SELECT subject_id, w, min(st) + 6 AS t, max(n) AS n, max(total) >= 6000 AND max(n) >= 4 AS ok, sum(CASE WHEN k <= 3 THEN p END) * 0.48 AS lf, sum(CASE WHEN k > 3 THEN p END) * 0.48 AS hf FROM p GROUP BY 1, 2)
-SELECT subject_id, w, {r('t', 't')}, n, {r('CASE WHEN ok THEN lf END', 'lf')}, {r('CASE WHEN ok THEN hf END', 'hf')}, {r('CASE WHEN ok AND hf > 1e-12 THEN lf / hf END', 'lf_hf')} FROM a""")
+SELECT subject_id, w, {r('t', 't')}, n, {r('round(CASE WHEN ok THEN lf END, 3)', 'lf')}, {r('round(CASE WHEN ok THEN hf END, 3)', 'hf')}, {r('CASE WHEN ok AND hf > 1e-12 THEN lf / hf END', 'lf_hf')} FROM a""")
 def hrv_spectrum(spark, d):
     rows = _intervals(spark, d).withColumn("t", F.col("t") / 40000)
-    return beats.windowed_spectrum(rows, S, 12.0, 4.0, grid=0.04, tie="beat")
+    found = beats.windowed_spectrum(rows, S, 12.0, 4.0, grid=0.04, tie="beat")
+    return found.withColumns({b: F.round(b, 3) for b in ("lf", "hf")})  # powers of a million and more
 
 
 def _classified(source: str, k: int) -> str:
@@ -1041,14 +1042,14 @@ def band_pass(spark, d):
 SKIN, BREATH = filters.butterworth(5, 4.0, high=0.1), filters.butterworth(3, 4.0, 0.05, 1.0)
 
 
-@query(f"WITH RECURSIVE {SAMPLES}, {sql.recursive('s', SKIN, 18)} SELECT subject_id, idx, {r('value', 'filtered')} FROM rf")
+@query(f"WITH RECURSIVE {SAMPLES}, {sql.recursive('s', SKIN, 18)} SELECT subject_id, idx, {r('round(value, 4)', 'filtered')} FROM rf")
 def low_pass_recursive(spark, d):
-    return filters.low_pass(_signals(spark, d), S, 4.0, 0.1)
+    return filters.low_pass(_signals(spark, d), S, 4.0, 0.1).withColumn("filtered", F.round("filtered", 4))
 
 
-@query(f"WITH RECURSIVE {SAMPLES}, {sql.recursive('s', BREATH, 21)} SELECT subject_id, idx, {r('value', 'filtered')} FROM rf")
+@query(f"WITH RECURSIVE {SAMPLES}, {sql.recursive('s', BREATH, 21)} SELECT subject_id, idx, {r('round(value, 4)', 'filtered')} FROM rf")
 def band_pass_recursive(spark, d):
-    return filters.band_pass(_signals(spark, d), S, 4.0, 0.05, 1.0)
+    return filters.band_pass(_signals(spark, d), S, 4.0, 0.05, 1.0).withColumn("filtered", F.round("filtered", 4))
 
 
 def _cleaned(kernel: int) -> str:
@@ -1063,9 +1064,9 @@ def eda_denoise(spark, d):
     return quality.per_series(_signals(spark, d), S, lambda x, fs: {"idx": range(len(x)), "clean": dsp.denoise(x, fs, "EDA", CLIP_RANGES["EDA"])}, "idx long, clean double")
 
 
-@query(f"WITH RECURSIVE {SAMPLES}, {_cleaned(3)}, {sql.recursive('md', filters.butterworth(2, 4.0, high=1.0), 9)}, ct AS (SELECT subject_id, count(*) AS n FROM s GROUP BY 1) SELECT subject_id, idx, {r('CASE WHEN ct.n > 15 THEN rf.value ELSE md.value END', 'clean')} FROM rf JOIN md USING (subject_id, idx) JOIN ct USING (subject_id)")
+@query(f"WITH RECURSIVE {SAMPLES}, {_cleaned(3)}, {sql.recursive('md', filters.butterworth(2, 4.0, high=1.0), 9)}, ct AS (SELECT subject_id, count(*) AS n FROM s GROUP BY 1) SELECT subject_id, idx, {r('round(CASE WHEN ct.n > 15 THEN rf.value ELSE md.value END, 4)', 'clean')} FROM rf JOIN md USING (subject_id, idx) JOIN ct USING (subject_id)")
 def eda_denoise_recursive(spark, d):
-    return filters.denoise(_signals(spark, d), S, "EDA", 4.0, CLIP_RANGES["EDA"])
+    return filters.denoise(_signals(spark, d), S, "EDA", 4.0, CLIP_RANGES["EDA"]).withColumn("clean", F.round("clean", 4))
 
 
 @query(f"WITH {SAMPLES}, {_cleaned(13)} SELECT subject_id, idx, {r('value', 'clean')} FROM md")
@@ -1130,10 +1131,10 @@ e AS (SELECT subject_id, state, CASE WHEN state = 1 THEN arg_max(idx, (value, -i
 p AS (SELECT s.subject_id, s.idx, CASE WHEN state = 1 THEN value END AS up, CASE WHEN state = -1 THEN value END AS low, CASE WHEN state = 1 THEN (s.idx - max(CASE WHEN state = 1 THEN s.idx END) OVER (PARTITION BY s.subject_id ORDER BY s.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 4 END AS gap
   FROM s LEFT JOIN e USING (subject_id, idx)),
 c AS (SELECT subject_id, idx, {_through('up')} AS up, {_through('low')} AS low, {_through('gap')} AS gap FROM p)
-SELECT subject_id, idx, {r('round(up, 9)', 'upper')}, {r('round(low, 9)', 'lower')}, {r('round(gap, 9)', 'period')}, {r('round((up - low) / gap, 9)', 'volume')} FROM c""")
+SELECT subject_id, idx, {r('up + 1e-10', 'upper')}, {r('low + 1e-10', 'lower')}, {r('gap + 1e-10', 'period')}, {r('(up - low) / gap + 1e-10', 'volume')} FROM c""")
 def breath_volume(spark, d):
     found = breath.volume(_signals(spark, d), S, 4.0)
-    return found.withColumns({c: F.round(c, 9) for c in ("upper", "lower", "period", "volume")})  # values of two decimals over quarters of a second end in a five
+    return found.withColumns({c: F.col(c) + 1e-10 for c in ("upper", "lower", "period", "volume")})  # values of two decimals over quarters of a second end in a five: up it goes, on both sides
 
 
 # ---- sources: each query writes the files it reads
