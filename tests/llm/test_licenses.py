@@ -65,7 +65,7 @@ def test_whole_table_against_line_search(spark):
     rows = {r.doc_id: r for r in op7_licenses(spark, d).collect()}
     hits = 0
     for doc, text in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
-        want = sorted(n for line in (text or "").split("\n") for key, n in lines.items() if re.search(rf"(?:^|[.!?;:] ){re.escape(key)}$", op.normal(line)) or op.normal(line) == key)
+        want = sorted(n for line in (text or "").split("\n") for own in [op.normal(line)] for key, n in lines.items() if key in own and (re.search(rf"(?:^|[.!?;:] ){re.escape(key)}$", own) or own == key))
         assert rows[doc].licenses == ",".join(want)
         hits += bool(want)
     assert hits > 10
