@@ -40,3 +40,21 @@ def test_samples_in_any_order_give_the_same_features(spark):
     samples = synthetic.physiology(spark, 2, 60)
     made, mixed = (raw_features(s, together=t).toPandas().sort_values(["subject_id", "feature", "w"], ignore_index=True) for s, t in ((samples, True), (samples.orderBy("value"), False)))
     assert len(made) and made.equals(mixed)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_store_of_samples_has_few_files_whatever_the_subjects(spark, tmp_path):
+    from tidemark import sources
+
+    rows = spark.range(3000).selectExpr("cast(id % 300 AS string) AS subject_id", "'EDA' AS modality", "4 AS fs", "id AS idx", "id * 0.5D AS value")
+    sources.save_samples(rows, f"file://{tmp_path}/store")
+    files = list((tmp_path / "store").rglob("*.parquet"))
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = sources.read_samples(spark, f"file://{tmp_path}/store")
+    assert sorted((r.subject_id, r.idx, r.value) for r in kept.collect()) == sorted((r.subject_id, r.idx, r.value) for r in rows.collect())

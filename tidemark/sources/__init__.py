@@ -80,12 +80,14 @@ def modality_samples(recording: DataFrame, raw_rate: int = 2000, window: DataFra
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of modalities from Parquet tables, a folder per subject: subject_id, modality, fs, idx and value."""
+    """Samples of modalities from Parquet tables, also with a folder per subject: subject_id, modality, fs, idx and value."""
     return spark.read.schema(SAMPLES).parquet(path)
 
 
 def save_samples(samples: DataFrame, path: str) -> None:
-    samples.select(*SAMPLES.fieldNames()).write.mode("overwrite").partitionBy("subject_id").parquet(path)
+    """Store samples as ``save_scored`` does sessions: a subject's rows together, in order, in one of a few files."""
+    rows = samples.select(*SAMPLES.fieldNames()).repartition("subject_id")
+    rows.sortWithinPartitions("subject_id", "modality", "idx").write.mode("overwrite").parquet(path)
 
 
 def read_artifact_labels(spark: SparkSession, path: str) -> DataFrame:
