@@ -58,3 +58,11 @@ def test_a_store_of_samples_has_few_files_whatever_the_subjects(spark, tmp_path)
     assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = sources.read_samples(spark, f"file://{tmp_path}/store")
     assert sorted((r.subject_id, r.idx, r.value) for r in kept.collect()) == sorted((r.subject_id, r.idx, r.value) for r in rows.collect())
+
+
+@pytest.mark.parametrize("name", ["segment_events", "affective_flag", "event_merge"])
+def test_generated_times_are_never_broadcast(spark, name):
+    """Their size is guessed from the rows that they are generated of."""
+    lines = physical(catalogue.QUERIES[name](spark, SMALL)).splitlines()
+    joins = [line for line in lines if "Join" in line and ("start#" in line or "end#" in line)]
+    assert joins and all("SortMergeJoin" in line for line in joins)
