@@ -66,3 +66,13 @@ def test_generated_times_are_never_broadcast(spark, name):
     lines = physical(catalogue.QUERIES[name](spark, SMALL)).splitlines()
     joins = [line for line in lines if "Join" in line and ("start#" in line or "end#" in line)]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_the_streams_files_are_written_by_many_tasks(spark):
+    from pathlib import Path
+
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(base.glob("stream-*"))
+    catalogue.QUERIES["online_rulsif"](spark, SMALL)
+    counts = [len(list(f.glob("part-*.parquet"))) for f in set(base.glob("stream-*")) - before if not f.name.startswith(("stream-scores", "stream-state"))]
+    assert counts and counts[0] > 3
