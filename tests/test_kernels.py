@@ -1,6 +1,7 @@
 """Numeric kernels against closed forms, tables and naive loops."""
 
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -184,3 +185,19 @@ def test_warping_is_symmetric_and_bounded(a, b):
     d = dv.dtw_distance(x, y)
     assert d == pytest.approx(dv.dtw_distance(y, x)) and d >= abs(x[0] - y[0]) - 1e-9
     assert dv.dtw_distance(x, y, band=max(len(a), len(b))) == pytest.approx(d)
+
+
+def test_many_pairs_are_scored_as_each_alone():
+    rng = np.random.default_rng(7)
+    pairs = [tuple(rng.random((rng.integers(1, 33), 3)).round(1) * (rng.random((1, 3)) < 0.6) for _ in range(2)) for _ in range(400)]
+    pairs += [(rng.random((6, 3)), rng.random((130, 3))), (rng.random((130, 3)), rng.random((6, 3))), (np.full((6, 3), np.nan), rng.random((9, 3)))]
+    for metric, band, slope in (("euclidean", None, 1.0), ("cityblock", 2, 1.5), ("sqeuclidean", 0, 1.0), (lambda a, b: float(abs(a - b).max()), 1, 1.0)):
+        some = pairs[:60] if callable(metric) else pairs[:-1]
+        want = [dv.dtw_distance(a, b, metric, None if band is None else max(band, abs(len(a) - len(b))), slope) for a, b in some]
+        np.testing.assert_allclose(dv.dtw_distances(some, metric, band, slope), want, rtol=1e-12, atol=1e-12)
+    np.testing.assert_allclose(dv.segment_divergences(pairs), [dv.segment_divergence(a, b) for a, b in pairs], rtol=1e-9, atol=1e-12)
+    with pytest.raises(ValueError, match="rows in both"):
+        dv.dtw_distances([(pairs[0][0][:0], pairs[0][1])])
+    many, began = [(rng.random((35, 3)), rng.random((33, 3))) for _ in range(3000)], time.time()
+    dv.dtw_distances(many)
+    assert time.time() - began < 3  # one by one: 3 ms each
