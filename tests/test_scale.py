@@ -105,3 +105,13 @@ def test_pairs_of_three_thousand_segments(spark):
     got = found.where("subject_id = 'b' OR seg_i % 60 = 7").groupBy("subject_id").agg(F.count("*").alias("n"), F.countDistinct("seg_i", "seg_j").alias("m"), wrong.alias("wrong")).collect()
     want = sum(2999 - i for i in range(7, 3000, 60))
     assert {tuple(r) for r in got} == {("a", want, want, 0), ("b", 3, 3, 0)} and time.time() - began < 240
+
+
+def test_generated_series_are_made_in_all_tasks(spark):
+    """Of few subjects, whose table is small, many rows are made: sized by bytes, one task would make them all."""
+    from tidemark.plans import catalogue
+    from tidemark.sources import synthetic
+
+    people = catalogue.sessions(spark, "/root/testdata/sf0.01")
+    for made in (synthetic.regimes(spark, people), synthetic.distance_tables(spark, subjects=people)):
+        assert made.select(F.spark_partition_id()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2
