@@ -115,3 +115,21 @@ def test_generated_series_are_made_in_all_tasks(spark):
     people = catalogue.sessions(spark, "/root/testdata/sf0.01")
     for made in (synthetic.regimes(spark, people), synthetic.distance_tables(spark, subjects=people)):
         assert made.select(F.spark_partition_id()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2
+
+
+def test_recordings_are_read_once(spark, tmp_path):
+    """Many small files are dear to open: what is found in them stays when they are gone, also in files that are split."""
+    from tidemark import sources
+
+    for name, lines in (("a", 300), ("b.c", 2)):
+        (tmp_path / f"{name}.txt").write_text("# header\n" * 2 + "".join(f"{k} {'NaN' if k % 3 else k / 4}\n" for k in range(lines)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        found = sources.read_recordings(spark, f"file://{tmp_path}", 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in ("a", "b.c"):
+        (tmp_path / f"{name}.txt").unlink()
+    got = {tuple(r) for r in found.collect()}
+    assert got == {(name, k, c, float(k) if c == 1 else None if k % 3 else k / 4) for name, lines in (("a", 300), ("b.c", 2)) for k in range(lines) for c in (1, 2)}

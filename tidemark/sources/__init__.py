@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import MODALITY_CHANNEL, MODALITY_RATE, SAMPLES
 from tidemark.sources.workbook import cell, read_workbook
-from tidemark.storage import publish
+from tidemark.storage import publish, written
 
 STAMPS = "subject_id string, event string, year int, month int, day int, hour int, minute int, second int"
 NULLS = "obs_aff_mean double, obs_non_mean double, p_pooled double, r_rb_pooled double, null_aff array<double>, phase_tests map<string, struct<null: array<double>, obs_aff: double, obs_other: double, p: double, r_rb: double>>"
@@ -24,17 +24,18 @@ def read_recordings(spark: SparkSession, path: str, header_lines: int = 20) -> D
     Lines after the header are split at white space; what is no number, or missing in
     a short line, is NULL, also in lines before a channel first appears.  Lines are
     numbered within their file by the byte order in which Spark reads them, so files
-    of any size are split.
+    of any size are split.  The files are read once, here: the lines of a block follow
+    one another in the task that reads it, and are written with their place.
     """
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    parts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("size"))
+    cells = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("cells")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), cells)
+    lines = written(lines, "recording-lines")
+    parts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    numbered = lines.join(base, ["file", "block"]).withColumn("line", F.col("base") + F.row_number().over(Window.partitionBy("file", "block").orderBy("n")) - 1)
-    rows = numbered.where(F.col("line") >= header_lines).select(
-        F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("subject_id"), (F.col("line") - header_lines).alias("row_idx"),
-        F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("cells"),
-    )
+    subject = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("subject_id")  # of a block, not of each line: a search through the path is slow
+    base = parts.select("file", "block", subject, (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    numbered = lines.join(base, ["file", "block"]).withColumn("line", F.col("base") + F.col("n"))
+    rows = numbered.where(F.col("line") >= header_lines).select("subject_id", (F.col("line") - header_lines).alias("row_idx"), "cells")
     width = rows.groupBy("subject_id").agg(F.max(F.size("cells")).alias("width"))
     rows = rows.join(width, "subject_id").where("width > 0")
     cell = rows.select("subject_id", "row_idx", "cells", F.explode(F.sequence(F.lit(1), F.col("width"))).alias("channel"))
