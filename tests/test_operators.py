@@ -509,6 +509,34 @@ def test_equal_changes_share_a_rank_in_paired_tests(spark, equal_changes):
     assert (r.n, r.w_plus, r.w, r.p, r.mark) == (10, 33, 22, pytest.approx(stats.signed_rank_p(10, 22, 990), abs=1e-6), "")
 
 
+@pytest.fixture(scope="session")
+def halved_changes(tmp_path_factory):
+    """As ``equal_changes``, of 256 values on either side, so that changes (0.0000390625) end in a half of the ninth place; of values around nothing; of small (error) and large (purchase) ones too."""
+    folder, rng, rows = tmp_path_factory.mktemp("events"), np.random.default_rng(6), []
+    low = rng.integers(-20_000, 20_000, 256)
+    high = low + (np.arange(256) == 0)
+    for kind, scale in (("click", 100.0), ("error", 1e14), ("purchase", 1e-7)):
+        for user in range(12):
+            first, second = (low, high) if user < 6 else (high, low) if user < 10 else (low, low)
+            days = [(d, v) for d, side in ((0, first), (20, second)) for v in rng.permutation(side)]
+            rows += [(user, pd.Timestamp("2024-01-01") + pd.Timedelta(days=d, seconds=user), kind, v / scale) for d, v in days]
+    events = pd.DataFrame(rows, columns=["user_id", "ts", "event_type", "value"]).assign(props="")
+    events["ts"] = events.ts.astype("datetime64[us]")
+    events.assign(event_id=range(len(events))).to_parquet(folder / "events.parquet")
+    return str(folder)
+
+
+def test_equal_changes_share_a_rank_in_paired_tests_at_any_scale(spark, halved_changes):
+    found = {r.emotion: (r.n, r.w_plus, r.w, r.mark) for r in catalogue.QUERIES["paired_tests"](spark, halved_changes).collect()}
+    assert found == {kind: (10, 33, 22, "") for kind in ("click", "error", "purchase")}
+
+
+def test_changes_without_bound_count(spark):
+    rows = [("a", x, 1e-9) for x in (1.0, -1.0 - 1e-10, 2.0, 1e-10)] + [("a", float("inf"), 0.0), ("a", float("nan"), 0.0)]
+    r = validate.signed_rank(spark.createDataFrame(rows, "k string, d double, error double"), K, error="error").head()
+    assert (r.n, r.w_plus) == (5, 1.5 + 3 + 4 + 5)
+
+
 def test_beats_on_the_bounds_of_windows_and_of_one_time(spark):
     # From a first beat at a third on, quotients and sums of doubles disagree about which window some beats on a bound begin.
     rng = np.random.default_rng(4)
