@@ -537,6 +537,11 @@ def test_changes_without_bound_count(spark):
     assert (r.n, r.w_plus) == (5, 1.5 + 3 + 4 + 5)
 
 
+def test_equal_changes_share_a_rank_in_quadrants_at_any_scale(spark, halved_changes):
+    found = {r.quadrant: (r.n, r.w) for r in catalogue.QUERIES["quadrant_tests"](spark, halved_changes).collect()}
+    assert found == {"browse": (10, 22), "act": (20, 4 * 5.5 + 4 * 15.5)}
+
+
 def test_beats_on_the_bounds_of_windows_and_of_one_time(spark):
     # From a first beat at a third on, quotients and sums of doubles disagree about which window some beats on a bound begin.
     rng = np.random.default_rng(4)
