@@ -542,6 +542,11 @@ def test_equal_changes_share_a_rank_in_quadrants_at_any_scale(spark, halved_chan
     assert found == {"browse": (10, 22), "act": (20, 4 * 5.5 + 4 * 15.5)}
 
 
+def test_equal_changes_share_a_rank_at_any_scale(spark, halved_changes):
+    found = {r.emotion: (r.n, r.w_plus, r.w) for r in catalogue.QUERIES["wilcoxon_stat"](spark, halved_changes).collect()}
+    assert found == {kind: (10, 33, 22) for kind in ("click", "error", "purchase")}
+
+
 def test_beats_on_the_bounds_of_windows_and_of_one_time(spark):
     # From a first beat at a third on, quotients and sums of doubles disagree about which window some beats on a bound begin.
     rng = np.random.default_rng(4)
