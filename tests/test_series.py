@@ -76,3 +76,40 @@ def test_the_streams_files_are_written_by_many_tasks(spark):
     catalogue.QUERIES["online_rulsif"](spark, SMALL)
     counts = [len(list(f.glob("part-*.parquet"))) for f in set(base.glob("stream-*")) - before if not f.name.startswith(("stream-scores", "stream-state"))]
     assert counts and counts[0] > 3
+
+
+def test_series_made_by_their_tasks_are_the_samples_of_spark(spark):
+    """Made sample by sample in Spark and handed to Python, those of 90,000 users take most of an hour."""
+    from tidemark.sources import synthetic
+
+    people = spark.createDataFrame([("7", 1.31, 0.27), (None, 1.0, 0.2), ("a name of more than thirty-two bytes", 1.17, 0.23)], "subject_id string, heart_hz double, breath_hz double")
+    want = {k: own.sort_values("idx") for k, own in synthetic.physiology(spark, people, 45).toPandas().groupby(["subject_id", "modality"], dropna=False)}
+    rows = synthetic.series(spark, people, 45).toArrow().to_batches()
+    got = {(str(s), m): (fs, x) for (s, m), fs, x in synthetic.made_series(rows)}
+    assert len(got) == len(want) == 15
+    for (subject, m), own in want.items():
+        fs, x = got[subject if isinstance(subject, str) else "None", m]
+        assert set(own.fs) == {fs}
+        np.testing.assert_allclose(x, own["value"], rtol=0, atol=1e-13)
+
+
+def test_no_row_per_sample_is_made_for_the_features(spark):
+    assert "MapInArrow" in physical(catalogue.QUERIES["full_features"](spark, SMALL)) and "sequence(0" not in physical(catalogue.QUERIES["full_features"](spark, SMALL))
+
+
+def test_windows_of_as_many_beats_are_scored_together(monkeypatch):
+    from tidemark.functions import dsp
+
+    calls = []
+    one = dsp.sample_entropies
+    monkeypatch.setattr(dsp, "sample_entropies", lambda rows: calls.append(len(rows)) or one(rows))
+    rng = np.random.default_rng(3)
+    peaks = np.cumsum(rng.integers(150, 200, 170))
+    found = dsp.hrv(peaks, 200, 30.0, 1.0)
+    assert sum(calls) == len(found["t"]) and len(calls) <= 8
+    t, rr = peaks[:-1] / 200, np.diff(peaks) * 5.0
+    for k, start in enumerate(np.arange(t[0], t[-1] - 30 + 1e-9, 1.0)):
+        own = rr[(t >= start) & (t < start + 30)]
+        far = lambda n: sum(max(abs(own[i : i + n] - own[j : j + n])) <= 0.2 * own.std() for i in range(len(own) - 2) for j in range(len(own) - 2) if i != j)  # noqa: B023, E731
+        assert found["SampEn"][k] == pytest.approx(-np.log(far(3) / far(2)) if far(3) else np.nan, nan_ok=True)
+        assert found["SDNN"][k] == pytest.approx(own.std(ddof=1)) and found["pNN50"][k] == pytest.approx(100 * np.mean(abs(np.diff(own)) > 50))
