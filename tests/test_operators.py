@@ -547,6 +547,21 @@ def test_equal_changes_share_a_rank_at_any_scale(spark, halved_changes):
     assert found == {kind: (10, 33, 22) for kind in ("click", "error", "purchase")}
 
 
+def like_its_sql(spark, name, key, *folders):
+    """The query's rows and those of its SQL, run by one and by eight threads, on every folder."""
+    for folder in folders:
+        got = catalogue.QUERIES[name](spark, folder).toPandas().sort_values(key, ignore_index=True)
+        for threads in (1, 8):
+            con = duckdb.connect(config={"threads": threads})
+            con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+            want = con.execute(catalogue.SQL[name]).df().sort_values(key, ignore_index=True)
+            pd.testing.assert_frame_equal(got, want[list(got)], check_dtype=False, atol=1.1e-6, rtol=0)
+
+
+def test_the_sql_of_paired_tests_ranks_equal_changes_together(spark, equal_changes, halved_changes):
+    like_its_sql(spark, "paired_tests", "emotion", equal_changes, halved_changes)
+
+
 def test_beats_on_the_bounds_of_windows_and_of_one_time(spark):
     # From a first beat at a third on, quotients and sums of doubles disagree about which window some beats on a bound begin.
     rng = np.random.default_rng(4)
