@@ -566,6 +566,10 @@ def test_the_sql_of_quadrant_tests_ranks_equal_changes_together(spark, equal_cha
     like_its_sql(spark, "quadrant_tests", "quadrant", equal_changes, halved_changes)
 
 
+def test_the_sql_of_signed_ranks_puts_equal_changes_together(spark, equal_changes, halved_changes):
+    like_its_sql(spark, "wilcoxon_stat", "emotion", equal_changes, halved_changes)
+
+
 def test_beats_on_the_bounds_of_windows_and_of_one_time(spark):
     # From a first beat at a third on, quotients and sums of doubles disagree about which window some beats on a bound begin.
     rng = np.random.default_rng(4)
