@@ -115,8 +115,23 @@ def test_windows_of_as_many_beats_are_scored_together(monkeypatch):
         assert found["SDNN"][k] == pytest.approx(own.std(ddof=1)) and found["pNN50"][k] == pytest.approx(100 * np.mean(abs(np.diff(own)) > 50))
 
 
-@pytest.mark.parametrize("name", ["signal_quality"])
+@pytest.mark.parametrize("name", ["signal_quality", "composite_quality"])
 def test_no_row_per_sample_is_made_for_the_quality(spark, name):
     """One pass over the sessions, a row for every series."""
     plan = physical(catalogue.QUERIES[name](spark, SMALL))
     assert plan.count("MapInArrow") == 1 and "sequence(0" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 8])
+def test_flat_windows_are_found_many_at_a_time(monkeypatch, size):
+    from tidemark.functions import dsp
+
+    x = np.repeat(np.random.default_rng(1).normal(size=40), np.arange(40) % 9 + 1)
+    want = np.zeros(len(x), bool)
+    for at in range(0, len(x) - size + 1, max(1, size // 2)):
+        if x[at : at + size].std() < 1e-6:
+            want[at : at + size] = True
+    stacks, view = [], np.lib.stride_tricks.sliding_window_view
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", lambda *a: stacks.append(a) or view(*a))
+    np.testing.assert_array_equal(dsp.flat_samples(x, size), want)
+    assert len(stacks) == 1
