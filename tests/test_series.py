@@ -115,7 +115,7 @@ def test_windows_of_as_many_beats_are_scored_together(monkeypatch):
         assert found["SDNN"][k] == pytest.approx(own.std(ddof=1)) and found["pNN50"][k] == pytest.approx(100 * np.mean(abs(np.diff(own)) > 50))
 
 
-@pytest.mark.parametrize("name", ["signal_quality", "composite_quality"])
+@pytest.mark.parametrize("name", ["signal_quality", "composite_quality", "denoised_signals"])
 def test_no_row_per_sample_is_made_for_the_quality(spark, name):
     """One pass over the sessions, a row for every series."""
     plan = physical(catalogue.QUERIES[name](spark, SMALL))
