@@ -135,3 +135,14 @@ def test_flat_windows_are_found_many_at_a_time(monkeypatch, size):
     monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", lambda *a: stacks.append(a) or view(*a))
     np.testing.assert_array_equal(dsp.flat_samples(x, size), want)
     assert len(stacks) == 1
+
+
+def test_no_segment_of_a_run_is_broadcast(spark, monkeypatch):
+    """The segments of 540,000 users fill the driver, though their file is small enough to be broadcast."""
+    from tidemark.plans import regimes
+
+    plans, real = [], regimes.written
+    monkeypatch.setattr(regimes, "written", lambda df, *name: plans.append(physical(df)) or real(df, *name))
+    plans.append(physical(catalogue.QUERIES["pipeline_synthetic"](spark, SMALL)))
+    joined = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert joined and not any("Broadcast" in line for line in joined)
