@@ -146,3 +146,13 @@ def test_no_segment_of_a_run_is_broadcast(spark, monkeypatch):
     plans.append(physical(catalogue.QUERIES["pipeline_synthetic"](spark, SMALL)))
     joined = [line for plan in plans for line in plan.splitlines() if "Join" in line]
     assert joined and not any("Broadcast" in line for line in joined)
+
+
+def test_a_run_from_samples_takes_a_row_for_every_series(spark, monkeypatch):
+    from tidemark.plans import regimes
+
+    seen = []
+    monkeypatch.setattr(regimes, "run", lambda samples, *_, **how: seen.append((samples, how)) or regimes.Result(*[spark.createDataFrame([("a",)], "subject_id string")] * 7))
+    catalogue.QUERIES["run_from_samples"](spark, SMALL)
+    samples, how = seen[0]
+    assert how["made"] and samples.count() == 5 * samples.select("subject_id").distinct().count()
